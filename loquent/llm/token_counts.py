@@ -57,14 +57,23 @@ class Pieces(dict):
 class PrefixCounter:
     """Counts of a word-end BPE vocabulary file at every prefix of a text."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 700_000):
         self.tokenizer = Tokenizer.from_file(path)
         with open(path) as f:
             spec = json.load(f)
         self.vocab: dict[str, int] = spec["model"]["vocab"]
         self.names = {i: t for t, i in self.vocab.items()}
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.ranks = {tuple(p): r for r, p in enumerate(pairs)}
+        #: By the two tokens: when they merge. By the token: when its merge happens, and of which two; -1 for single letters.
+        self.joins: dict[int, int] = {}
+        self.made = [-1] * (max(self.names) + 1)
+        self.halves = [(-1, -1)] * len(self.made)
+        for rank, (one, two) in enumerate(pairs):
+            a, b, t = self.vocab[one], self.vocab[two], self.vocab[one + two]
+            self.joins.setdefault(a << 20 | b, rank)
+            if self.made[t] < 0:
+                self.made[t], self.halves[t] = rank, (a, b)
         #: For each beginning of a token: the token that it is inside a piece and at the end of one, or -1.
         self.parts: dict[str, tuple[int, int]] = {}
         for token in self.vocab:
@@ -92,15 +101,26 @@ class PrefixCounter:
 
     def follows(self, before: int, token: int) -> bool:
         """Whether merging keeps both tokens as they are; before: -1 at the start of a piece."""
-        key = before << 20 | token if before >= 0 else -1 - token
-        known = self.fits.get(key)
-        if known is None:
-            if len(self.fits) > 2_000_000:
-                self.fits.clear()
-            two = [self.names[before]] if before >= 0 else []
-            two.append(self.names[token])
-            known = self.fits[key] = self.merged([s for t in two for s in self.symbols(t)]) == two
-        return known
+        if before < 0:
+            kept = self.fits[-1 - token] = self.merged(self.symbols(self.names[token])) == [self.names[token]]
+            return kept
+        if len(self.fits) > 1_000_000:
+            self.fits.clear()
+        left, right, until = before, token, 1 << 60
+        while True:  # undo merges at the seam from the last on: none across it may come before the one undone
+            if self.joins.get(left << 20 | right, until) < until:
+                kept = False
+                break
+            a, b = self.made[left], self.made[right]
+            if a < 0 and b < 0:
+                kept = True
+                break
+            if a > b:
+                left, until = self.halves[left][1], a
+            else:  # of equal merges the left one is first, so one across the seam is before that on the right
+                right, until = self.halves[right][0], b + 1
+        self.fits[before << 20 | token] = kept
+        return kept
 
     def counts(self, piece: str) -> list[int]:
         """The counts of the prefixes of one piece, given in byte letters."""
