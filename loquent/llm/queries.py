@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loquent.llm import mixing, token_counts
+from loquent.llm import media, mixing, packing, token_counts, topk, toxicity
+from loquent.llm.common import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,18 +20,47 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), size=1024, end_id=2)
+
+
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = media.media_table(table(spark, sf_dir, "documents"))
+    facts = materialize(media.read_back(held))  # its size is known then, and so are partitions to split
+    found = media.resolve(media.sequences(media.document_pages(held), "doc_id"), facts, "doc_id")
+    found = found.filter(F.col("digest").isNotNull())
+    n_bytes = F.regexp_extract("text", r"^(\d+) bytes$", 1).cast("long").alias("n_bytes")
+    return found.select("doc_id", n_bytes, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.prefix_counts(table(spark, sf_dir, "documents"))
     counted = counted.select("doc_id", "n_bytes", token_counts.total().alias("n_tokens"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    held_out = (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
+    "op5_topk": op5_topk,
+    "op6_packing": op6_packing,
+    "op7_media": op7_media,
     "op9_token_counts": op9_token_counts,
+    "op10_toxicity": op10_toxicity,
 }
 
 SQL: dict[str, str] = {
+    "op5_topk": topk.SQL,
     "op4_mixing": mixing.SQL.format(docs="documents") + """
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + (draw < rate - floor(rate))::INT))::BIGINT AS taken FROM rated
 """,
