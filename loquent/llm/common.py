@@ -79,3 +79,9 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def without(docs: DataFrame, gone: DataFrame, on: str = "doc_id") -> DataFrame:
+    """``docs`` but for the ids in ``gone``, which is broadcast up to ``BROADCAST_ROWS`` rows; null ids stay."""
+    gone = materialize(gone.select(on).distinct())
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, on, "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loquent.llm import jaccard, media, mixing, packing, repeats, token_counts, topk, toxicity
+from loquent.llm import jaccard, media, mixing, packing, quality, repeats, token_counts, topk, toxicity
 from loquent.llm.common import materialize
 
 
@@ -47,6 +47,10 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n_bytes, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.prefix_counts(table(spark, sf_dir, "documents"))
     counted = counted.select("doc_id", "n_bytes", token_counts.total().alias("n_tokens"))
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_topk": op5_topk,
     "op6_packing": op6_packing,
     "op7_media": op7_media,
+    "op8_quality": op8_quality,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
 }

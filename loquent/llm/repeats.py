@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -276,16 +276,17 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text: str = "text", carry: Sequence[str] = (), as_text: bool = False) -> DataFrame:
     """One row per row: doc_id, n_bytes, ``spans`` (begin and end of each maximal run removed) and ``kept`` (bytes).
 
     A byte goes if a string of ``length`` bytes over it also starts in a document with a smaller id; strings are
     those of the input, and don't cross documents. Null texts are empty; texts shorter than ``length`` stay whole.
     Of equal texts all but those with the least id go entirely. Rows with a null id stay whole and take nothing from
-    others; rows that repeat an id take nothing from each other. Other columns are left out.
+    others; rows that repeat an id take nothing from each other. Columns in ``carry`` come along, in ``carried``;
+    others are left out. With ``as_text``, ``kept`` is a string, without characters that were cut in two.
     """
     kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text).alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(c) for c in carry]).alias("carried"))
     rows = rows.withColumn("same", F.unhex(F.md5(F.encode("text", "UTF-8"))))
     known = rows.filter(F.col("doc_id").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     spans = covered_spans(known, length)
@@ -309,10 +310,15 @@ def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text: str =
                 runs = merged(found or [])
                 sizes.append(len(raw))
                 gone.append([{"begin": a, "end": b} for a, b in runs])
-                kept.append(b"".join(raw[a:b] for a, b in zip([0, *[b for _, b in runs]], [*[a for a, _ in runs], len(raw)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pairs), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
-
-    return marked.select("doc_id", "text", "spans").mapInArrow(cut, f"doc_id {kind}, n_bytes bigint, spans array<struct<begin:bigint,end:bigint>>, kept binary")
+                rest = b"".join(raw[a:b] for a, b in zip([0, *[b for _, b in runs]], [*[a for a, _ in runs], len(raw)]))
+                kept.append(kept_text(rest) if as_text else rest)
+            made = [pa.array(sizes, pa.int64()), pa.array(gone, pairs), pa.array(kept, pa.string() if as_text else pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made, *([batch.column(3)] if carry else [])], ["doc_id", "n_bytes", "spans", "kept", *["carried"] * bool(carry)])
+
+    schema = f"doc_id {kind}, n_bytes bigint, spans array<struct<begin:bigint,end:bigint>>, kept {'string' if as_text else 'binary'}"
+    if carry:
+        schema += f", carried {rows.schema['carried'].dataType.simpleString()}"
+    return marked.select("doc_id", "text", "spans", *["carried"] * bool(carry)).mapInArrow(cut, schema)
 
 
 def kept_text(kept: bytes) -> str:
