@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loquent.llm.common import BROADCAST_ROWS, WORD, materialize, sliced, text_or_empty
+from loquent.llm.common import BROADCAST_ROWS, WORD, materialize, sliced, text_or_empty, without
 from loquent.llm.components import components
 
 #: Values per band and bands: at a similarity of 0.8 all bands miss with a probability of 1e-9.
@@ -42,7 +42,7 @@ class WordHashes(dict):
 
     def __missing__(self, word: str) -> int:
         found = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        if len(self) > 500_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = found
         return found
@@ -202,15 +202,37 @@ def forest_of(table: pa.Table) -> list[tuple]:
     return out
 
 
+def shared_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (id, key) in order of key, those whose key another row has, with their place among the key's rows."""
+    last: tuple[int, int, int, bool] | None = None  # the row before: id, key, place, and whether it was told
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids, keys = batch.column("id").to_numpy(), batch.column("key").to_numpy()
+        base = 0
+        if last:
+            ids, keys, base = np.concatenate(([last[0]], ids)), np.concatenate(([last[1]], keys)), last[2]
+        new = np.concatenate(([True], keys[1:] != keys[:-1]))
+        begins = np.flatnonzero(new)
+        place = np.arange(len(keys)) - begins[np.cumsum(new) - 1]
+        place += np.where(np.cumsum(new) == 1, base, 0)
+        shared = ~new | np.concatenate((~new[1:], [False]))
+        told = bool(shared[-1]) or bool(last and last[3] and len(keys) == 1)
+        if last and last[3]:
+            shared[0] = False
+        last = (int(ids[-1]), int(keys[-1]), int(place[-1]), told)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[shared]), pa.array(keys[shared]), pa.array(place[shared])], ["id", "key", "place"])
+
+
 def cells(sigs: DataFrame, part_rows: int = 1000) -> DataFrame:
     """``node`` and ``label``: of all texts that a band joins to another, the cell. ``sigs``: id, sig, bands.
 
     Bands of more than ``part_rows`` texts are cut into parts, and each two parts meet in a task of their own.
     """
-    rows = materialize(sigs.select("id", F.explode("bands").alias("key")))
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = rows.join(shared, "key").withColumn("__n", F.ceil(F.col("n") / part_rows).cast("int"))
-    rows = rows.withColumn("__mine", F.pmod(F.xxhash64("id"), F.col("__n")).cast("int"))
+    rows = sigs.select("id", F.explode("bands").alias("key"))
+    rows = materialize(rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(shared_bands, "id bigint, key bigint, place bigint"))
+    sizes = rows.groupBy("key").agg((F.floor(F.max("place") / part_rows) + 1).cast("int").alias("__n"))
+    rows = rows.join(sizes, "key").withColumn("__mine", F.floor(F.col("place") / part_rows).cast("int"))
     rows = rows.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
     rows = rows.select("id", "key", F.least("__mine", "__other").alias("one"), F.greatest("__mine", "__other").alias("two"))
     rows = rows.join(sigs.select("id", "sig"), "id")
@@ -276,7 +298,8 @@ def similar(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col: str = "
     signed = materialize(source.mapInArrow(sign, "id bigint, same binary, sig binary, bands array<bigint>"))
     member = signed.select("id", "same")
     first = materialize(member.filter("same is not null").groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("times")))
-    reps = materialize(signed.join(first, signed["id"] == first["rep"], "left_semi").select("id", "sig", "bands"))
+    copies = member.filter("same is not null").join(first, "same").filter("id <> rep")
+    reps = without(signed.filter("same is not null"), copies, "id").select("id", "sig", "bands")
     celled = materialize(cells(reps).withColumnRenamed("node", "id").withColumnRenamed("label", "cell"))
     sized = celled.join(first.select(F.col("rep").alias("id"), "times"), "id").join(celled.groupBy("cell").agg(F.count("*").alias("m")), "cell")
     sized = materialize(sized.select("id", "cell", "times", "m"))
