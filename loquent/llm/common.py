@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -34,8 +35,25 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/loquent-{uuid.uuid4().hex}"
-    df.write.parquet(path, partitionBy=list(partition_by) or None)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(path, partitionBy=list(partition_by) or None, compression="zstd")
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what ``materialize`` wrote for these tables, once all that reads them is written itself."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of tables that nothing refers to any more, before a stage that needs much disk."""
+    spark.range(1).count()  # else the last query is still referred to
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def join_small(df: DataFrame, small: DataFrame, on: str, rows: int, how: str = "inner", salts: int = 32) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loquent.llm.common import materialize
+from loquent.llm.common import discard, materialize
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -18,12 +18,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     both = materialize(both.union(both.select("v", "u")).distinct())
     labels = materialize(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")))
     for _ in range(rounds):
-        told = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("label").alias("near"))
-        near = labels.join(told, labels["node"] == told["u"], "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
+        told = both.join(labels.select("node", "label"), F.col("v") == F.col("node")).groupBy("u").agg(F.min("label").alias("near"))
+        near = labels.select("node", "label").join(told, F.col("node") == told["u"], "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
         up = labels.select(F.col("node").alias("__n"), F.col("label").alias("__up"))
         new = near.join(up, near["label"] == up["__n"], "left").select("node", "old", F.least("label", F.coalesce("__up", "label")).alias("label"))
         new = materialize(new)
-        labels = new.select("node", "label")
+        discard(labels)
+        labels = new
         if not new.filter("old <> label").limit(1).count():
-            return labels
+            discard(both)
+            return new.select("node", "label")
     raise RuntimeError(f"components still change after {rounds} rounds")

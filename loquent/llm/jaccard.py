@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loquent.llm.common import BROADCAST_ROWS, WORD, materialize, sliced, text_or_empty, without
+from loquent.llm.common import BROADCAST_ROWS, WORD, discard, materialize, release, sliced, text_or_empty, without
 from loquent.llm.components import components
 
 #: Values per band and bands: at a similarity of 0.8 all bands miss with a probability of 1e-9.
@@ -230,7 +230,7 @@ def cells(sigs: DataFrame, part_rows: int = 1000) -> DataFrame:
     Bands of more than ``part_rows`` texts are cut into parts, and each two parts meet in a task of their own.
     """
     rows = sigs.select("id", F.explode("bands").alias("key"))
-    rows = materialize(rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(shared_bands, "id bigint, key bigint, place bigint"))
+    rows = held = materialize(rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(shared_bands, "id bigint, key bigint, place bigint"))
     sizes = rows.groupBy("key").agg((F.floor(F.max("place") / part_rows) + 1).cast("int").alias("__n"))
     rows = rows.join(sizes, "key").withColumn("__mine", F.floor(F.col("place") / part_rows).cast("int"))
     rows = rows.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
@@ -239,7 +239,9 @@ def cells(sigs: DataFrame, part_rows: int = 1000) -> DataFrame:
     dealt = rows.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "id")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     links = dealt.mapInArrow(by_run(["key", "one", "two"], forest_of, schema), "a bigint, b bigint")
-    return components(links.distinct())
+    found = materialize(components(links.distinct()))
+    discard(held)
+    return found
 
 
 def verified(threshold: float) -> Callable[[pa.Table], list[tuple]]:
@@ -300,7 +302,9 @@ def similar(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col: str = "
     first = materialize(member.filter("same is not null").groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("times")))
     copies = member.filter("same is not null").join(first, "same").filter("id <> rep")
     reps = without(signed.filter("same is not null"), copies, "id").select("id", "sig", "bands")
-    celled = materialize(cells(reps).withColumnRenamed("node", "id").withColumnRenamed("label", "cell"))
+    held = cells(reps)
+    celled = held.select(F.col("node").alias("id"), F.col("label").alias("cell"))
+    release(docs.sparkSession)
     sized = celled.join(first.select(F.col("rep").alias("id"), "times"), "id").join(celled.groupBy("cell").agg(F.count("*").alias("m")), "cell")
     sized = materialize(sized.select("id", "cell", "times", "m"))
 
@@ -321,11 +325,15 @@ def similar(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col: str = "
     dealt = blocks.repartition("cell", "one", "two").sortWithinPartitions("cell", "one", "two", "id")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
     found = materialize(dealt.mapInArrow(by_run(["cell", "one", "two"], verified(threshold), schema), "a bigint, b bigint, links bigint"))
+    discard(held, sized)
+    release(docs.sparkSession)
     classes = components(found.filter("b is not null").select("a", "b"))
     linked = found.filter("links is not null").groupBy("a").agg(F.sum("links").alias("links"))
     facts = first.join(linked, first["rep"] == linked["a"], "left").join(classes, first["rep"] == classes["node"], "left")
     facts = materialize(facts.select("same", F.coalesce("label", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("links")))
-    facts = facts.withColumnRenamed("same", "__same")
+    facts_held, facts = facts, facts.withColumnRenamed("same", "__same")
     named = member.filter("same is not null").join(facts, F.col("same") == F.col("__same")).select("id", "class_id", "links")
     alone = member.filter("same is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("links"))
-    return named.union(alone).withColumnRenamed("id", "doc_id")
+    result = materialize(named.union(alone).withColumnRenamed("id", "doc_id"))
+    discard(signed, first, found, facts_held)
+    return result

@@ -10,16 +10,15 @@ its occurrences, so the least document among them is known for every string.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loquent.llm.common import BROADCAST_ROWS, materialize, sliced, text_or_empty
+from loquent.llm.common import BROADCAST_ROWS, discard, materialize, release, sliced, text_or_empty
 
 #: Bytes of an anchor. With it, strings of 50 bytes have 35 anchors to choose from.
 GRAM = 16
@@ -122,12 +121,6 @@ def first_documents(contexts: list[bytes], docs: np.ndarray, length: int, many:
     return np.split(best, place[1:-1])
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of tables that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def shared_anchors(docs: DataFrame, length: int) -> DataFrame:
     """``text_key`` and ``anchor`` for each anchor that several texts have. ``docs``: text, text_key."""
 
@@ -162,13 +155,16 @@ def shared_anchors(docs: DataFrame, length: int) -> DataFrame:
     return rows.repartition("anchor").sortWithinPartitions("anchor", "text_key").mapInArrow(several, "text_key bigint, anchor bigint")
 
 
-def contexts_of(firsts: DataFrame, shared: DataFrame, length: int) -> DataFrame:
-    """The contexts of shared anchors. ``firsts``: doc_id, text, text_key, same, each text once."""
-    lists = shared.groupBy("text_key").agg(F.collect_list("anchor").alias("anchors"))  # of one text
+def places_of(texts: DataFrame, firsts: DataFrame, shared: DataFrame, length: int) -> DataFrame:
+    """Where the contexts of shared anchors start, with how many strings, and a hash of their bytes.
+
+    ``texts``: doc_id, text_key, text; ``firsts``: doc_id and text_key, of each text once.
+    """
+    lists = firsts.join(shared, "text_key").groupBy("doc_id", "text_key").agg(F.collect_list("anchor").alias("anchors"))  # of one text
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 200):
-            at, hashes, firsts_, counts, texts = [], [], [], [], []
+            at, hashes, starts, counts, keys = [], [], [], [], []
             for i, (text, wanted) in enumerate(zip(batch.column("text"), batch.column("anchors"))):
                 raw = text.as_py().encode()
                 h, first, last = anchors(raw, length)
@@ -176,24 +172,44 @@ def contexts_of(firsts: DataFrame, shared: DataFrame, length: int) -> DataFrame:
                 keep = np.flatnonzero(np.isin(h, wanted.values.to_numpy()))
                 at.append(np.full(len(keep), i))
                 hashes.append(h[keep])
-                firsts_.append(first[keep])
-                counts.append((last - first + 1)[keep])
-                texts += [raw[first[k] : last[k] + length] for k in keep]
-            at = np.concatenate(at)
-            keys = [hashlib.blake2b(t, digest_size=16).digest() for t in texts]
-            columns = [batch.column("doc_id").take(pa.array(at)), batch.column("same").take(pa.array(at)), pa.array(np.concatenate(hashes)), pa.array(np.concatenate(firsts_)), pa.array(np.concatenate(counts)), pa.array(keys, pa.binary()), pa.array(texts, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "same", "anchor", "start", "places", "key", "context"])
+                starts.append(first[keep].astype(np.int32))
+                counts.append((last - first + 1)[keep].astype(np.int32))
+                keys += [int.from_bytes(hashlib.blake2b(raw[first[k] : last[k] + length], digest_size=8).digest(), "little", signed=True) for k in keep]
+            at = pa.array(np.concatenate(at))
+            columns = [batch.column("doc_id").take(at), batch.column("text_key").take(at), pa.array(np.concatenate(hashes)), pa.array(keys, pa.int64()), pa.array(np.concatenate(starts)), pa.array(np.concatenate(counts))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "anchor", "key", "start", "places"])
+
+    rows = texts.join(lists, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "anchors")
+    return rows.mapInArrow(emit, "doc_id bigint, text_key bigint, anchor bigint, key bigint, start int, places int")
+
+
+def with_bytes(texts: DataFrame, rows: DataFrame, length: int) -> DataFrame:
+    """anchor, key, doc_id and the bytes of each of ``rows`` (doc_id, text_key, anchor, key, start, places)."""
+    lists = rows.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "key", "start", "places")).alias("found"))  # of one text
 
-    rows = firsts.join(lists, "text_key").select("doc_id", "same", "text", "anchors")
-    return rows.mapInArrow(emit, "doc_id bigint, same binary, anchor bigint, start bigint, places bigint, key binary, context binary")
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 200):
+            out: list[tuple] = []
+            for doc, text, found in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("found").to_pylist()):
+                raw = text.as_py().encode()
+                out += [(x["anchor"], x["key"], doc, raw[x["start"] : x["start"] + x["places"] - 1 + length]) for x in found]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["anchor", "key", "doc_id", "context"])
+
+    joined = texts.join(lists, ["doc_id", "text_key"]).select("doc_id", "text", "found")
+    return joined.mapInArrow(emit, "anchor bigint, key bigint, doc_id bigint, context binary")
 
 
-def settled(found: DataFrame, length: int) -> DataFrame:
-    """For each context ``key``: ``firsts``, the least document of the string at each of its places; one entry if all are the same."""
-    distinct = materialize(found.groupBy("anchor", "key").agg(F.min("doc_id").alias("doc_id"), F.first("context").alias("context")))
+def settled(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
+    """For each context (anchor, key): ``firsts``, the least document of the string at each of its places; one entry if all are the same."""
+    spark = texts.sparkSession
+    distinct = materialize(found.groupBy("anchor", "key").agg(F.min(F.struct("doc_id", "text_key", "start", "places")).alias("f")).select("anchor", "key", "f.*"))
     counts = materialize(distinct.groupBy("anchor").agg(F.count("*").alias("n")))
-    single = distinct.join(counts.filter("n = 1"), "anchor", "left_semi").select("key", F.array("doc_id").alias("firsts"))
-    schema = pa.schema([("key", pa.binary()), ("firsts", pa.list_(pa.int64()))])
+    release(spark)
+    single = distinct.join(counts.filter("n = 1"), "anchor", "left_semi").select("anchor", "key", F.array("doc_id").alias("firsts"))
+    several = materialize(with_bytes(texts, distinct.join(counts.filter("n > 1"), "anchor", "left_semi"), length))
+    release(spark)
+    schema = pa.schema([("anchor", pa.int64()), ("key", pa.int64()), ("firsts", pa.list_(pa.int64()))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of rows in order of anchor, as many whole anchors at once as make a suffix array of good size."""
@@ -202,7 +218,7 @@ def settled(found: DataFrame, length: int) -> DataFrame:
 
         def done(table: pa.Table) -> pa.RecordBatch:
             made = first_documents(table.column("context").to_pylist(), table.column("doc_id").to_numpy(), length)
-            return pa.RecordBatch.from_arrays([table.column("key").combine_chunks(), pa.array(made, pa.list_(pa.int64()))], schema=schema)
+            return pa.RecordBatch.from_arrays([table.column("anchor").combine_chunks(), table.column("key").combine_chunks(), pa.array(made, pa.list_(pa.int64()))], schema=schema)
 
         for batch in sliced(batches, 2000):
             held.append(batch)
@@ -219,33 +235,35 @@ def settled(found: DataFrame, length: int) -> DataFrame:
         if size:
             yield done(pa.Table.from_batches(held).combine_chunks())
 
-    some = distinct.join(counts.filter(f"n > 1 and n <= {MANY}"), "anchor", "left_semi").select("anchor", "key", "doc_id", "context")
-    some = some.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(scan, "key binary, firsts array<bigint>")
+    some = several.join(counts.filter(f"n <= {MANY}"), "anchor", "left_semi").select("anchor", "key", "doc_id", "context")
+    some = some.repartition("anchor").sortWithinPartitions("anchor", "key").mapInArrow(scan, "anchor bigint, key bigint, firsts array<bigint>")
 
     places = F.sequence(F.lit(1), F.octet_length("context") - length + 1)
     string = F.substring(F.col("context"), F.col("place"), F.lit(length))
-    many = distinct.join(counts.filter(f"n > {MANY}"), "anchor", "left_semi").select("key", "doc_id", "context", F.explode(places).alias("place")).select("key", "doc_id", "place", string.alias("string"))
+    many = several.join(counts.filter(f"n > {MANY}"), "anchor", "left_semi").select("anchor", "key", "doc_id", "context", F.explode(places).alias("place"))
+    many = many.select("anchor", "key", "doc_id", "place", string.alias("string"))
     least = materialize(many.groupBy("string").agg(F.min("doc_id").alias("first")))
-    many = many.join(least, "string").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("place", "first"))).alias("found"))
-    return single.union(some).union(many.select("key", F.col("found.first").alias("firsts")))
+    many = many.join(least, "string").groupBy("anchor", "key").agg(F.sort_array(F.collect_list(F.struct("place", "first"))).alias("found"))
+    known = materialize(single.union(some).union(many.select("anchor", "key", F.col("found.first").alias("firsts"))))
+    discard(distinct, counts, several, least)
+    return known
 
 
 def covered_spans(docs: DataFrame, length: int = 50) -> DataFrame:
-    """Rows (same, starts, ends): of each first document of a text, the maximal runs of bytes to remove.
+    """Rows (doc_id, text_key, spans): of each first document of a text, the runs of bytes to remove, in order.
 
-    ``docs``: doc_id (bigint, not null), text (not null), same (a hash of the text).
+    ``docs``: doc_id (bigint, not null), text (not null), text_key (a hash of the text).
     """
     spark = docs.sparkSession
-    keyed = docs.withColumn("text_key", F.conv(F.substring(F.hex("same"), 1, 15), 16, 10).cast("bigint"))
-    shared = materialize(shared_anchors(keyed, length))
+    shared = materialize(shared_anchors(docs, length))
     release(spark)
-    reps = docs.groupBy("same").agg(F.min("doc_id").alias("doc_id"))
-    firsts = keyed.join(reps, ["same", "doc_id"], "left_semi")
-    found = materialize(contexts_of(firsts, shared, length))
+    firsts = docs.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"))
+    found = materialize(places_of(docs, firsts, shared, length))
+    discard(shared)
     release(spark)
-    known = materialize(settled(found, length))
+    known = settled(docs, found, length)
     release(spark)
-    rows = found.select("doc_id", "same", "start", "places", "key").join(known, "key").filter(F.exists("firsts", lambda x: x < F.col("doc_id")))
+    rows = found.join(known, ["anchor", "key"]).filter(F.exists("firsts", lambda x: x < F.col("doc_id")))
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each context's strings to remove, as runs of places where they start."""
@@ -259,10 +277,14 @@ def covered_spans(docs: DataFrame, length: int = 50) -> DataFrame:
                 begins += (start + edge[::2]).tolist()
                 ends += (start + edge[1::2] - 1 + length).tolist()
                 at += [i] * (len(edge) // 2)
-            yield pa.RecordBatch.from_arrays([batch.column("same").take(pa.array(at, pa.int64())), pa.array(begins, pa.int64()), pa.array(ends, pa.int64())], ["same", "begin", "end"])
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("text_key").take(at), pa.array(begins, pa.int64()), pa.array(ends, pa.int64())], ["doc_id", "text_key", "begin", "end"])
 
-    rows = rows.select("doc_id", "same", "start", "firsts", "places")
-    return rows.mapInArrow(spans, "same binary, begin bigint, end bigint").groupBy("same").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
+    rows = rows.select("doc_id", "text_key", "start", "firsts", "places")
+    spread = rows.mapInArrow(spans, "doc_id bigint, text_key bigint, begin bigint, end bigint")
+    out = materialize(spread.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans")))
+    discard(found, known)
+    return out
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -288,18 +310,21 @@ def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text: str =
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text).alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(c) for c in carry]).alias("carried"))
     rows = rows.withColumn("same", F.unhex(F.md5(F.encode("text", "UTF-8"))))
+    rows = rows.withColumn("text_key", F.conv(F.substring(F.hex("same"), 1, 15), 16, 10).cast("bigint"))
     known = rows.filter(F.col("doc_id").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    spans = covered_spans(known, length)
-    member = materialize(known.select("doc_id", "same", F.octet_length("text").cast("long").alias("n")))
+    spans = covered_spans(known.select("doc_id", "text", "text_key"), length)
+    member = materialize(known.select("doc_id", "same", "text_key", F.octet_length("text").cast("long").alias("n")))
     reps = materialize(member.groupBy("same").agg(F.min("doc_id").alias("rep")))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.col("n").alias("end")))
     copies = member.join(reps, "same").filter((F.col("doc_id") > F.col("rep")) & (F.col("n") >= length))
-    copies = copies.select("doc_id", "same", whole.alias("spans")).dropDuplicates(["doc_id", "same"])
-    marks = materialize(spans.join(reps, "same").select(F.col("rep").alias("doc_id"), "same", "spans").union(copies))
+    copies = copies.select("doc_id", "text_key", whole.alias("spans"))
+    marks = materialize(spans.union(copies).dropDuplicates(["doc_id", "text_key"]))
+    discard(spans, member, reps)
+    release(rows.sparkSession)
     size = marks.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("spans")).first()
     small = size["n"] <= BROADCAST_ROWS and size["spans"] <= 10 * BROADCAST_ROWS
-    marks = marks.withColumnRenamed("doc_id", "__doc").withColumnRenamed("same", "__same")
-    marked = rows.join(F.broadcast(marks) if small else marks, (F.col("doc_id").cast("bigint") == F.col("__doc")) & (F.col("same") == F.col("__same")), "left")
+    marks = marks.withColumnRenamed("doc_id", "__doc").withColumnRenamed("text_key", "__key")
+    marked = rows.join(F.broadcast(marks) if small else marks, (F.col("doc_id").cast("bigint") == F.col("__doc")) & (F.col("text_key") == F.col("__key")), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
