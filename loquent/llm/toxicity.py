@@ -159,8 +159,9 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = 10_000, max_terms: int
             x = [normalised(*weigh(t.as_py(), automaton)) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column(1)], ["x", "toxic"])
 
-    pairs = texts.mapInArrow(measured, "x double, toxic int").orderBy("x", "toxic").collect()  # bounded by rows
-    x, y = np.array([r["x"] for r in pairs]), np.array([float(r["toxic"] > 0) for r in pairs])
+    pairs = texts.mapInArrow(measured, "x double, toxic int").collect()  # bounded by rows
+    order = sorted((r["x"], float(r["toxic"] > 0)) for r in pairs)
+    x, y = np.array([a for a, _ in order]), np.array([b for _, b in order])
     lexicon.slope, lexicon.offset = fit_curve(x, y)
     return lexicon
 
