@@ -10,7 +10,6 @@ its occurrences, so the least document among them is known for every string.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -23,7 +22,7 @@ from loquent.llm.common import BROADCAST_ROWS, discard, materialize, release, sl
 #: Bytes of an anchor. With it, strings of 50 bytes have 35 anchors to choose from.
 GRAM = 16
 #: Contexts of one anchor up to which they meet in one task; others are settled string by string.
-MANY = 1000
+MANY = 4000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _POS = np.uint64((1 << 28) - 1)
 
@@ -64,15 +63,34 @@ def anchors(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return h[at[first]], first, np.concatenate((edge - 1, [len(at) - 1]))
 
 
+_BYTES = np.random.default_rng(20).integers(0, 2**64, 256, dtype=np.uint64)
+_INVERSE = np.uint64(pow(int(_A), -1, 2**64))
+
+
+def stretch_hashes(raw: bytes, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes from each begin to its end, by sums of powers, so that places don't matter."""
+    n = len(raw)
+    powers = np.concatenate(([np.uint64(1)], np.multiply.accumulate(np.full(n, _A))))
+    back = np.concatenate(([np.uint64(1)], np.multiply.accumulate(np.full(n, _INVERSE))))
+    sums = np.concatenate(([np.uint64(0)], np.cumsum(_BYTES[np.frombuffer(raw, np.uint8)] * powers[:n])))
+    h = (sums[ends] - sums[begins]) * back[begins] + (ends - begins).astype(np.uint64) * _B
+    h ^= h >> np.uint64(29)
+    h *= _B
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
 def suffix_order(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes from ``starts`` to ``ends`` in order, and the common prefix of each with the one before it."""
-    place = starts[:, None] + np.arange(width)
-    held = np.where(place < ends[:, None], raw[np.minimum(place, len(raw) - 1)], 0).astype(np.uint8)
+    padded = np.concatenate((raw, np.zeros(width, np.uint8)))
+    held = np.lib.stride_tricks.sliding_window_view(padded, width)[starts]
+    sizes = ends - starts
+    for column in range(int(sizes.min(initial=width)), width):
+        held[sizes <= column, column] = 0
     order = np.argsort(held.view(f"S{width}").ravel(), kind="stable")
     held = held[order]
     same = held[1:] == held[:-1]
     lcp = np.where(same.all(1), width, same.argmin(1))
-    left = (ends - starts)[order]
+    left = sizes[order]
     return order, np.concatenate(([0], np.minimum(lcp, np.minimum(left[1:], left[:-1]))))
 
 
@@ -174,9 +192,9 @@ def places_of(texts: DataFrame, firsts: DataFrame, shared: DataFrame, length: in
                 hashes.append(h[keep])
                 starts.append(first[keep].astype(np.int32))
                 counts.append((last - first + 1)[keep].astype(np.int32))
-                keys += [int.from_bytes(hashlib.blake2b(raw[first[k] : last[k] + length], digest_size=8).digest(), "little", signed=True) for k in keep]
+                keys.append(stretch_hashes(raw, first[keep], last[keep] + length))
             at = pa.array(np.concatenate(at))
-            columns = [batch.column("doc_id").take(at), batch.column("text_key").take(at), pa.array(np.concatenate(hashes)), pa.array(keys, pa.int64()), pa.array(np.concatenate(starts)), pa.array(np.concatenate(counts))]
+            columns = [batch.column("doc_id").take(at), batch.column("text_key").take(at), pa.array(np.concatenate(hashes)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(starts)), pa.array(np.concatenate(counts))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "anchor", "key", "start", "places"])
 
     rows = texts.join(lists, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "anchors")
@@ -184,20 +202,26 @@ def places_of(texts: DataFrame, firsts: DataFrame, shared: DataFrame, length: in
 
 
 def with_bytes(texts: DataFrame, rows: DataFrame, length: int) -> DataFrame:
-    """anchor, key, doc_id and the bytes of each of ``rows`` (doc_id, text_key, anchor, key, start, places)."""
-    lists = rows.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "key", "start", "places")).alias("found"))  # of one text
+    """anchor, key, doc_id, n and the bytes of each of ``rows`` (doc_id, text_key, anchor, key, start, places, n)."""
+    names = ["anchor", "key", "start", "places", "n"]
+    lists = rows.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct(*names)).alias("found"))  # of one text
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 200):
-            out: list[tuple] = []
-            for doc, text, found in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("found").to_pylist()):
+            found = batch.column("found")
+            flat = found.flatten()
+            sizes = np.diff(found.offsets.to_numpy())
+            start, end = flat.field("start").to_numpy(), flat.field("start").to_numpy() + flat.field("places").to_numpy() - 1 + length
+            out, at = [], 0
+            for text, size in zip(batch.column("text"), sizes):
                 raw = text.as_py().encode()
-                out += [(x["anchor"], x["key"], doc, raw[x["start"] : x["start"] + x["places"] - 1 + length]) for x in found]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["anchor", "key", "doc_id", "context"])
+                out += [raw[a:b] for a, b in zip(start[at : at + size].tolist(), end[at : at + size].tolist())]
+                at += size
+            docs = batch.column("doc_id").take(pa.array(np.repeat(np.arange(batch.num_rows), sizes)))
+            yield pa.RecordBatch.from_arrays([flat.field("anchor"), flat.field("key"), docs, flat.field("n"), pa.array(out, pa.binary())], ["anchor", "key", "doc_id", "n", "context"])
 
     joined = texts.join(lists, ["doc_id", "text_key"]).select("doc_id", "text", "found")
-    return joined.mapInArrow(emit, "anchor bigint, key bigint, doc_id bigint, context binary")
+    return joined.mapInArrow(emit, "anchor bigint, key bigint, doc_id bigint, n bigint, context binary")
 
 
 def settled(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
@@ -205,9 +229,11 @@ def settled(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
     spark = texts.sparkSession
     distinct = materialize(found.groupBy("anchor", "key").agg(F.min(F.struct("doc_id", "text_key", "start", "places")).alias("f")).select("anchor", "key", "f.*"))
     counts = materialize(distinct.groupBy("anchor").agg(F.count("*").alias("n")))
+    counted = materialize(distinct.join(counts, "anchor"))
+    discard(distinct, counts)
     release(spark)
-    single = distinct.join(counts.filter("n = 1"), "anchor", "left_semi").select("anchor", "key", F.array("doc_id").alias("firsts"))
-    several = materialize(with_bytes(texts, distinct.join(counts.filter("n > 1"), "anchor", "left_semi"), length))
+    single = counted.filter("n = 1").select("anchor", "key", F.array("doc_id").alias("firsts"))
+    several = materialize(with_bytes(texts, counted.filter("n > 1"), length))
     release(spark)
     schema = pa.schema([("anchor", pa.int64()), ("key", pa.int64()), ("firsts", pa.list_(pa.int64()))])
 
@@ -235,17 +261,17 @@ def settled(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
         if size:
             yield done(pa.Table.from_batches(held).combine_chunks())
 
-    some = several.join(counts.filter(f"n <= {MANY}"), "anchor", "left_semi").select("anchor", "key", "doc_id", "context")
+    some = several.filter(f"n <= {MANY}").select("anchor", "key", "doc_id", "context")
     some = some.repartition("anchor").sortWithinPartitions("anchor", "key").mapInArrow(scan, "anchor bigint, key bigint, firsts array<bigint>")
 
     places = F.sequence(F.lit(1), F.octet_length("context") - length + 1)
     string = F.substring(F.col("context"), F.col("place"), F.lit(length))
-    many = several.join(counts.filter(f"n > {MANY}"), "anchor", "left_semi").select("anchor", "key", "doc_id", "context", F.explode(places).alias("place"))
+    many = several.filter(f"n > {MANY}").select("anchor", "key", "doc_id", "context", F.explode(places).alias("place"))
     many = many.select("anchor", "key", "doc_id", "place", string.alias("string"))
     least = materialize(many.groupBy("string").agg(F.min("doc_id").alias("first")))
     many = many.join(least, "string").groupBy("anchor", "key").agg(F.sort_array(F.collect_list(F.struct("place", "first"))).alias("found"))
     known = materialize(single.union(some).union(many.select("anchor", "key", F.col("found.first").alias("firsts"))))
-    discard(distinct, counts, several, least)
+    discard(counted, several, least)
     return known
 
 
@@ -263,16 +289,16 @@ def covered_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     release(spark)
     known = settled(docs, found, length)
     release(spark)
-    rows = found.join(known, ["anchor", "key"]).filter(F.exists("firsts", lambda x: x < F.col("doc_id")))
+    rows = materialize(found.join(known, ["anchor", "key"]).filter(F.exists("firsts", lambda x: x < F.col("doc_id"))).select("doc_id", "text_key", "start", "places", "firsts"))
+    discard(found, known)
+    release(spark)
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each context's strings to remove, as runs of places where they start."""
         for batch in sliced(batches, 5000):
             begins, ends, at = [], [], []
-            for i, (doc, start, firsts_, count) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("doc_id", "start", "firsts", "places")])):
-                gone = np.array(firsts_) < doc
-                if len(firsts_) == 1 and count > 1:
-                    gone = np.repeat(gone, count)
+            for i, (doc, start, firsts_) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("start").to_pylist(), batch.column("firsts"))):
+                gone = firsts_.values.to_numpy() < doc
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
                 begins += (start + edge[::2]).tolist()
                 ends += (start + edge[1::2] - 1 + length).tolist()
@@ -280,10 +306,12 @@ def covered_spans(docs: DataFrame, length: int = 50) -> DataFrame:
             at = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("text_key").take(at), pa.array(begins, pa.int64()), pa.array(ends, pa.int64())], ["doc_id", "text_key", "begin", "end"])
 
-    rows = rows.select("doc_id", "text_key", "start", "firsts", "places")
-    spread = rows.mapInArrow(spans, "doc_id bigint, text_key bigint, begin bigint, end bigint")
+    whole = rows.filter(F.size("firsts") == 1)  # all strings of the context go
+    whole = whole.select("doc_id", "text_key", F.col("start").cast("long").alias("begin"), (F.col("start") + F.col("places") - 1 + length).cast("long").alias("end"))
+    mixed = rows.filter(F.size("firsts") > 1).select("doc_id", "text_key", "start", "firsts")
+    spread = whole.union(mixed.mapInArrow(spans, "doc_id bigint, text_key bigint, begin bigint, end bigint"))
     out = materialize(spread.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans")))
-    discard(found, known)
+    discard(rows)
     return out
 
 
