@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loquent.functions import text as tx
-from loquent.operators import catalog, dedupe, keywords, lexical, memory, search, segments, stats, vectors
+from loquent.operators import catalog, dedupe, keywords, lexical, memory, search, segments, state, stats, themes, vectors
 from loquent.sources.tables import activity, messages, table
 from loquent.sources.tables import vectors as vecs
 
@@ -545,3 +545,39 @@ def page_home(s: SparkSession, d: str) -> DataFrame:
         one = p.toDF("section", "key", "n").select("section", "key", F.col("n").cast("double").alias("value"))
         out = one if out is None else out.union(one)
     return out
+
+
+# --- themes and new states
+
+
+def _digests(s: SparkSession, d: str) -> DataFrame:
+    return vecs(s, d).select("id", "vec", F.md5((F.col("id") % 400).cast("string")).alias("content_hash"), (F.col("id") % 7).alias("character_id"))
+
+
+@query()
+def theme_rollup(s: SparkSession, d: str) -> DataFrame:
+    return themes.rollup(themes.compute(_digests(s, d), 8))
+
+
+@query()
+def theme_characters(s: SparkSession, d: str) -> DataFrame:
+    return themes.by_character(themes.compute(_digests(s, d), 8), _digests(s, d))
+
+
+@query(
+    _C.replace("label AS grp", "vec_id % 20 AS grp")
+    + " SELECT y.grp AS id, round(list_cosine_similarity(x.m, y.m), 6) AS similarity FROM c x, c y WHERE x.grp = 3 AND y.grp <> 3 ORDER BY list_cosine_similarity(x.m, y.m) DESC, y.grp LIMIT 10"
+)
+def similar_chats(s: SparkSession, d: str) -> DataFrame:
+    segs = vecs(s, d).select((F.col("id") % 20).alias("chat_id"), "vec")
+    return themes.similar_chats(segs, 3).select("id", *r6("similarity"))
+
+
+@query("""
+SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 1 THEN 'changed' ELSE c_mktsegment END AS segment FROM customer WHERE c_custkey % 10 <> 2
+UNION ALL SELECT DISTINCT -1 - c_custkey, 'new' FROM customer WHERE c_custkey < 5""")
+def upserted_rows(s: SparkSession, d: str) -> DataFrame:
+    stored = table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"))
+    changed = stored.filter("id % 10 = 1").select("id", F.lit("changed").alias("segment"))
+    new = stored.filter("id < 5").select((-1 - F.col("id")).alias("id"), F.lit("new").alias("segment"))
+    return state.removed(state.upsert(stored, changed.union(new).union(new), ["id"]), stored.filter("id % 10 = 2"), ["id"])
