@@ -134,8 +134,9 @@ def first_documents(contexts: list[bytes], docs: np.ndarray, length: int, many:
     order, lcp = suffix_order(raw, starts, bounds[owner + 1], int(sizes.max()))
     for common, found in maximal_repeats(before, order, lcp, length):
         least = docs[owner[found]].min()
-        for step in range(common - length + 1):
-            np.minimum.at(best, found + step, least)
+        for part in np.array_split(found, -(-len(found) // 10_000)):
+            at = (part[:, None] + np.arange(common - length + 1)).ravel()
+            best[at] = np.minimum(best[at], least)
     return np.split(best, place[1:-1])
 
 
