@@ -119,7 +119,7 @@ def maximal_repeats(before: np.ndarray, order: np.ndarray, lcp: np.ndarray, leas
                 stack.append([value, first, seen])
 
 
-def first_documents(contexts: list[bytes], docs: np.ndarray, length: int, many: int = 150_000) -> list[np.ndarray]:
+def first_documents(contexts: list[bytes], docs: np.ndarray, length: int) -> list[np.ndarray]:
     """For each context and each place in it where a string starts: the least of ``docs`` whose context has it."""
     sizes = np.array([len(c) for c in contexts])
     counts = sizes - length + 1
@@ -134,8 +134,8 @@ def first_documents(contexts: list[bytes], docs: np.ndarray, length: int, many:
     order, lcp = suffix_order(raw, starts, bounds[owner + 1], int(sizes.max()))
     for common, found in maximal_repeats(before, order, lcp, length):
         least = docs[owner[found]].min()
-        for part in np.array_split(found, -(-len(found) // 10_000)):
-            at = (part[:, None] + np.arange(common - length + 1)).ravel()
+        for part in range(0, len(found), 10_000):
+            at = (found[part : part + 10_000, None] + np.arange(common - length + 1)).ravel()
             best[at] = np.minimum(best[at], least)
     return np.split(best, place[1:-1])
 
