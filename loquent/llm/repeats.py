@@ -81,18 +81,17 @@ def stretch_hashes(raw: bytes, begins: np.ndarray, ends: np.ndarray) -> np.ndarr
 
 
 def suffix_order(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes from ``starts`` to ``ends`` in order, and the common prefix of each with the one before it."""
+    """The suffixes from ``starts`` to ``ends`` in order, and the common prefix of each with the one before it.
+
+    From each end on, up to ``width`` bytes from its start, ``raw`` holds zeros or is over.
+    """
     padded = np.concatenate((raw, np.zeros(width, np.uint8)))
     held = np.lib.stride_tricks.sliding_window_view(padded, width)[starts]
-    sizes = ends - starts
-    for column in range(int(sizes.min(initial=width)), width):
-        held[sizes <= column, column] = 0
     order = np.argsort(held.view(f"S{width}").ravel(), kind="stable")
-    held = held[order]
-    same = held[1:] == held[:-1]
-    lcp = np.where(same.all(1), width, same.argmin(1))
-    left = sizes[order]
-    return order, np.concatenate(([0], np.minimum(lcp, np.minimum(left[1:], left[:-1]))))
+    held, left = held[order], (ends - starts)[order]
+    differ = np.ones((len(order) - 1, width + 1), bool)
+    np.not_equal(held[1:], held[:-1], out=differ[:, :width])
+    return order, np.concatenate(([0], np.minimum(differ.argmax(1), np.minimum(left[1:], left[:-1]))))
 
 
 def maximal_repeats(before: np.ndarray, order: np.ndarray, lcp: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -120,25 +119,31 @@ def maximal_repeats(before: np.ndarray, order: np.ndarray, lcp: np.ndarray, leas
                 stack.append([value, first, seen])
 
 
-def first_documents(contexts: list[bytes], docs: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each context and each place in it where a string starts: the least of ``docs`` whose context has it."""
+def first_documents(contexts: list[bytes], docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each context and each place in it where a string starts: the least of ``docs`` whose context has it.
+
+    One entry for a context in which all are the same. As a flat array, and where each context begins and ends in it.
+    """
     sizes = np.array([len(c) for c in contexts])
     counts = sizes - length + 1
-    raw = np.frombuffer(b"".join(contexts), np.uint8)
-    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    width = int(sizes.max())
+    raw = np.frombuffer(b"".join([c.ljust(2 * width, b"\0") for c in contexts]), np.uint8)
     owner = np.repeat(np.arange(len(contexts)), counts)
     place = np.concatenate(([0], np.cumsum(counts)))
     inside = np.arange(place[-1]) - place[owner]
-    starts = bounds[owner] + inside
+    starts = owner * (2 * width) + inside
     before = np.where(inside > 0, raw[np.maximum(starts - 1, 0)].astype(np.int64), -1 - np.arange(len(starts)))
-    best = docs[owner].copy()
-    order, lcp = suffix_order(raw, starts, bounds[owner + 1], int(sizes.max()))
+    best = docs[owner]
+    order, lcp = suffix_order(raw, starts, owner * (2 * width) + sizes[owner], width)
     for common, found in maximal_repeats(before, order, lcp, length):
         least = docs[owner[found]].min()
         for part in range(0, len(found), 10_000):
             at = (found[part : part + 10_000, None] + np.arange(common - length + 1)).ravel()
             best[at] = np.minimum(best[at], least)
-    return np.split(best, place[1:-1])
+    equal = np.minimum.reduceat(best, place[:-1]) == np.maximum.reduceat(best, place[:-1])
+    kept = ~equal[owner]
+    kept[place[:-1]] = True
+    return best[kept], np.concatenate(([0], np.cumsum(np.where(equal, 1, counts))))
 
 
 def shared_anchors(docs: DataFrame, length: int) -> DataFrame:
@@ -245,8 +250,9 @@ def settled(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
         size = 0
 
         def done(table: pa.Table) -> pa.RecordBatch:
-            made = first_documents(table.column("context").to_pylist(), table.column("doc_id").to_numpy(), length)
-            return pa.RecordBatch.from_arrays([table.column("anchor").combine_chunks(), table.column("key").combine_chunks(), pa.array(made, pa.list_(pa.int64()))], schema=schema)
+            best, bounds = first_documents(table.column("context").to_pylist(), table.column("doc_id").to_numpy(), length)
+            made = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(best))
+            return pa.RecordBatch.from_arrays([table.column("anchor").combine_chunks(), table.column("key").combine_chunks(), made.cast(schema.field("firsts").type)], schema=schema)
 
         for batch in sliced(batches, 2000):
             held.append(batch)
