@@ -229,7 +229,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def trained(docs: DataFrame, model: Model, ranks: dict[int, int], rounds: int, share: int) -> Model:
     """``model`` after ``rounds`` rounds, each over another one of ``share`` parts of the training documents.
 
-    Parts are dealt by a hash of the text and grow with the corpus. In a round each task trains on its documents, whole, from the same
+    Parts are dealt by a hash of the text and grow with the corpus; ``share`` rounds see every document. In a round each task trains on its documents, whole, from the same
     parameters; the tasks' parameters are averaged by the symbols that they saw.
     """
     for turn in range(rounds):
@@ -252,10 +252,10 @@ def trained(docs: DataFrame, model: Model, ranks: dict[int, int], rounds: int, s
     return model
 
 
-def score(docs: DataFrame, rounds: int = 3, share: int = 12, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, rounds: int = 3, share: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities).
 
-    Learns from rows that aren't held out. Words are runs of anything but ASCII white space, A-Z in lower case; each
+    Learns from rows that aren't held out; the network sees all of them once where ``rounds`` equals ``share``. Words are runs of anything but ASCII white space, A-Z in lower case; each
     text has one end more. The base is the add-one unigram model. Null and empty texts are an end alone. Null ids
     are never held out; rows that repeat score alike; other columns are left out. No training rows: all words are
     unknown and the base score is 0.

@@ -255,6 +255,15 @@ def test_lm_odd_rows(spark):
     assert recurrent.score(df.limit(0)).count() == 0
 
 
+def test_lm_trains_on_every_document(spark, monkeypatch):
+    models, trained = [], recurrent.trained
+    monkeypatch.setattr(recurrent, "trained", lambda docs, model, *rest: models.append((model, trained(docs, model, *rest))) or models[0][1])
+    recurrent.score(docs_of(spark, [(i, f"own{i} " * (i + 2)) for i in range(40)]))
+    learnt = [i for i in range(40) if zlib.crc32(str(i).encode()) % 7 != 2]
+    before, after = models[0]
+    assert (before.inputs[2 : 2 + len(learnt)] != after.inputs[2 : 2 + len(learnt)]).any(1).all()
+
+
 # --- 4
 
 
