@@ -63,6 +63,25 @@ def test_components_of_a_long_path(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+def test_components_of_a_shuffled_path(spark):
+    ids = random.Random(3).sample(range(5000), 1000)
+    edges = spark.createDataFrame(list(zip(ids, ids[1:])), "a bigint, b bigint")
+    assert {r.node: r.label for r in components.components(edges).collect()} == dict.fromkeys(ids, min(ids))
+
+
+def test_components_of_random_edges(spark):
+    rng = random.Random(4)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)]
+    near = {x: {x} for e in edges if e[0] != e[1] for x in e}
+    for a, b in edges:
+        if a != b:
+            whole = near[a] | near[b]
+            near |= dict.fromkeys(whole, whole)
+    got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {x: min(whole) for x, whole in near.items()}
+    assert components.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
 # --- 1
 
 
