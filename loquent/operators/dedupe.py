@@ -20,22 +20,19 @@ def collapse(rows: DataFrame, hashed: str, order: str) -> DataFrame:
 def overlap_pairs(rows: DataFrame, key: str, hashed: str, scope: list[str], least: float = 0.3, hot: int = 1000) -> DataFrame:
     """Pairs of keys of one scope that share hashes, with the Jaccard index of their sets of hashes.
 
-    An inverted index: only keys with a hash in common meet. A hash with more than ``hot`` keys, such as a common
-    greeting, makes no candidates of its own, but counts in the index of pairs that another hash brings together.
+    An inverted index: only keys with a hash in common meet. The keys of a hash with more than ``hot`` of them, such
+    as a common greeting, are cut into blocks of about that many, and each two blocks meet on their own.
     """
     sets = rows.filter(F.col(hashed).isNotNull()).select(key, hashed, *scope).distinct()
     sizes = sets.groupBy(key, *scope).agg(F.count("*").alias("__size"))
     spread = sets.groupBy(hashed, *scope).agg(F.count("*").alias("__keys"))
-    index = sets.join(spread, [hashed, *scope]).filter(F.col("__keys") > 1)
-    seeds = index.filter(F.col("__keys") <= hot)
-    other = seeds.select(F.col(key).alias("b"), hashed, *scope)
-    pairs = seeds.withColumnRenamed(key, "a").join(other, [hashed, *scope]).filter("a < b").groupBy("a", "b", *scope).agg(F.count("*").alias("__seeds"))
-    common = index.filter(F.col("__keys") > hot).groupBy(key, *scope).agg(F.collect_list(hashed).alias("__hot"))
-    of = lambda side: common.withColumnRenamed(key, side).withColumnRenamed("__hot", f"__hot_{side}")
-    pairs = pairs.join(of("a"), ["a", *scope], "left").join(of("b"), ["b", *scope], "left")
-    both = F.col("__seeds") + F.when(F.col("__hot_a").isNotNull() & F.col("__hot_b").isNotNull(), F.size(F.array_intersect("__hot_a", "__hot_b"))).otherwise(0)
+    index = sets.join(spread, [hashed, *scope]).filter(F.col("__keys") > 1).withColumn("__n", F.ceil(F.col("__keys") / hot))
+    index = index.withColumn("__own", F.pmod(F.xxhash64(key), F.col("__n"))).withColumn("__met", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
+    met = lambda side, own, other: index.select(F.col(key).alias(side), hashed, *scope, F.col("__own").alias(own), F.col("__met").alias(other))
+    pairs = met("a", "__one", "__two").join(met("b", "__two", "__one"), [hashed, *scope, "__one", "__two"]).filter("a < b")
+    pairs = pairs.groupBy("a", "b", *scope).agg(F.count("*").alias("shared"))
     size = lambda side: sizes.select(F.col(key).alias(side), *scope, F.col("__size").alias(f"__n_{side}"))
-    pairs = pairs.withColumn("shared", both).join(size("a"), ["a", *scope]).join(size("b"), ["b", *scope])
+    pairs = pairs.join(size("a"), ["a", *scope]).join(size("b"), ["b", *scope])
     index_ = F.col("shared") / (F.col("__n_a") + F.col("__n_b") - F.col("shared"))
     return pairs.withColumn("jaccard", index_).filter(F.col("jaccard") >= least).select("a", "b", *scope, "shared", "jaccard")
 

@@ -12,6 +12,12 @@ def test_overlap_pairs(spark):
         assert [(r.a, r.b, r.shared) for r in got] == [("x", "y", 3)] and got[0].jaccard == pytest.approx(0.6)
 
 
+def test_overlap_pairs_of_one_hot_hash(spark):
+    rows = spark.createDataFrame([(i, "same", 1) for i in range(9)] + [(9, "same", 2), (3, "other", 1)], "chat int, h string, owner int")
+    got = {(r.a, r.b): r.jaccard for r in dedupe.overlap_pairs(rows, "chat", "h", ["owner"], 0.3, 2).collect()}
+    assert got == {(a, b): 0.5 if 3 in (a, b) else 1.0 for a in range(9) for b in range(a + 1, 9)}
+
+
 def test_fork_roots_and_cycles(spark):
     chats = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, None), (5, 6), (6, 5), (7, 99)], "chat_id bigint, parent_id bigint")
     roots = {r.chat_id: r.root for r in dedupe.fork_roots(spark, chats).collect()}
