@@ -26,8 +26,8 @@ from loquent.llm.components import components
 ROWS, BANDS = 5, 52
 #: Values compared between two rounds of pruning, and the posterior probability below which a pair goes.
 STEP, TOLERANCE = 26, 1e-9
-#: Texts in one block.
-BLOCK = 128
+#: Texts in one block, and bytes of their n-grams, about.
+BLOCK, BLOCK_BYTES = 256, 4_000_000
 #: Estimate of similarity from which two texts of a band share a cell: far enough below any threshold in use.
 ALIKE = 0.4
 _FIND = re.compile(WORD)
@@ -186,61 +186,83 @@ def binary_rows(column: pa.ChunkedArray, width: int) -> np.ndarray:
 
 
 def forest_of(table: pa.Table) -> list[tuple]:
-    """Links that join those texts of one band (or of two parts of it) that look alike, each as few as can be."""
-    ids = table.column("id").to_numpy()
+    """Links between cells (column label) of one band's texts that look alike, each as few as can be."""
     sigs = binary_rows(table.column("sig"), ROWS * BANDS)
-    cell, out = np.arange(len(ids)), []
-    for c in range(len(ids) - 1):
+    names, cell = np.unique(table.column("label").to_numpy(), return_inverse=True)
+    cell, out = cell.astype(np.int64), []
+    for c in range(len(cell) - 1):
+        if (cell == cell[0]).all():
+            break
         other = np.flatnonzero(cell[c + 1 :] != cell[c]) + c + 1
-        near = other[(sigs[other] == sigs[c]).mean(1) >= ALIKE]
+        near = other[np.count_nonzero(sigs[other] == sigs[c], axis=1) >= ALIKE * ROWS * BANDS]
         if len(near):
-            joined, firsts = np.unique(cell[near], return_index=True)
-            out += [(int(ids[c]), int(ids[near[i]])) for i in firsts]
+            joined = np.unique(cell[near])
+            out += [(int(names[cell[c]]), int(names[x])) for x in joined]
             cell[np.isin(cell, joined)] = cell[c]
-            if (cell == cell[0]).all():
-                break
     return out
 
 
-def shared_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (id, key) in order of key, those whose key another row has, with their place among the key's rows."""
-    last: tuple[int, int, int, bool] | None = None  # the row before: id, key, place, and whether it was told
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        ids, keys = batch.column("id").to_numpy(), batch.column("key").to_numpy()
-        base = 0
-        if last:
-            ids, keys, base = np.concatenate(([last[0]], ids)), np.concatenate(([last[1]], keys)), last[2]
-        new = np.concatenate(([True], keys[1:] != keys[:-1]))
-        begins = np.flatnonzero(new)
-        place = np.arange(len(keys)) - begins[np.cumsum(new) - 1]
-        place += np.where(np.cumsum(new) == 1, base, 0)
-        shared = ~new | np.concatenate((~new[1:], [False]))
-        told = bool(shared[-1]) or bool(last and last[3] and len(keys) == 1)
-        if last and last[3]:
-            shared[0] = False
-        last = (int(ids[-1]), int(keys[-1]), int(place[-1]), told)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[shared]), pa.array(keys[shared]), pa.array(place[shared])], ["id", "key", "place"])
+def shared_bands(sigs: DataFrame) -> DataFrame:
+    """id, key and ``n`` for the band keys that ``n`` > 1 texts have. ``sigs``: id, bands.
+
+    Keys are counted before the shuffle, and the join that drops the others has partitions that Spark may split.
+    """
+    rows = sigs.select("id", F.explode("bands").alias("key"))
+    return rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key").select("id", "key", "n")
+
+
+def meet(rows: DataFrame, sigs: DataFrame, keys: list[str]) -> DataFrame:
+    """Links (a, b) between the labels of texts that look alike, for each group of ``rows`` (id, label and ``keys``)."""
+    dealt = rows.select("id", "label", *keys).join(sigs.select("id", "sig"), "id").repartition(*keys).sortWithinPartitions(*keys, "id")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    return dealt.mapInArrow(by_run(keys, forest_of, schema), "a bigint, b bigint").distinct()
+
+
+def first_links(rows: DataFrame, sigs: DataFrame, part_rows: int) -> DataFrame:
+    """Links in a fourth of the bands, whose texts meet in parts of about ``part_rows`` that are left apart."""
+    slot = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / part_rows)).alias("slot")
+    return meet(rows.filter(F.pmod("key", F.lit(4)) == 0).select("id", "key", F.col("id").alias("label"), slot), sigs, ["key", "slot"])
+
+
+def other_links(rows: DataFrame, sigs: DataFrame, part_rows: int) -> DataFrame:
+    """Links between the labels of ``rows`` (id, key, n, label) in all bands that still hold more than one label.
+
+    A band's texts are dealt into slots by label, a frequent label into slots of its own. Each two slots meet in a task
+    of their own, unless both hold one and the same label: so a large group of near copies, which the first links
+    made one label, isn't gone through in pairs again.
+    """
+    sizes = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
+    several = sizes.groupBy("key").agg(F.count("*").alias("labels")).filter("labels > 1").select("key")
+    mixed = rows.join(several, "key").join(sizes, ["key", "label"])
+    own = F.xxhash64("label", F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / part_rows)))
+    slot = F.when(F.col("c") * 2 >= part_rows, own).otherwise(F.pmod(F.xxhash64("label"), F.ceil(F.col("n") / part_rows)))
+    mixed = held = materialize(mixed.select("id", "key", "label", slot.alias("slot")))
+    slots = mixed.groupBy("key", "slot").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    side = lambda x: slots.select("key", F.col("slot").alias(x), F.col("lo").alias(f"lo_{x}"), F.col("hi").alias(f"hi_{x}"))
+    done = "lo_one = hi_one and lo_two = hi_two and lo_one = lo_two"
+    pairs = side("one").join(side("two"), "key").filter(f"one <= two and not ({done})").select("key", "one", "two")
+    pairs = pairs.select("key", "one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("slot"))
+    found = materialize(meet(mixed.join(pairs, ["key", "slot"]), sigs, ["key", "one", "two"]))
+    discard(held)
+    return found
 
 
 def cells(sigs: DataFrame, part_rows: int = 1000) -> DataFrame:
     """``node`` and ``label``: of all texts that a band joins to another, the cell. ``sigs``: id, sig, bands.
 
-    Bands of more than ``part_rows`` texts are cut into parts, and each two parts meet in a task of their own.
+    A fourth of the bands goes first; what they join has one label from then on, and in all bands only texts of
+    different labels still meet. So links grow with the texts, not with the square of a group.
     """
-    rows = sigs.select("id", F.explode("bands").alias("key"))
-    rows = held = materialize(rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(shared_bands, "id bigint, key bigint, place bigint"))
-    sizes = rows.groupBy("key").agg((F.floor(F.max("place") / part_rows) + 1).cast("int").alias("__n"))
-    rows = rows.join(sizes, "key").withColumn("__mine", F.floor(F.col("place") / part_rows).cast("int"))
-    rows = rows.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-    rows = rows.select("id", "key", F.least("__mine", "__other").alias("one"), F.greatest("__mine", "__other").alias("two"))
-    rows = rows.join(sigs.select("id", "sig"), "id")
-    dealt = rows.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "id")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    links = dealt.mapInArrow(by_run(["key", "one", "two"], forest_of, schema), "a bigint, b bigint")
-    found = materialize(components(links.distinct()))
-    discard(held)
+    rows = materialize(shared_bands(sigs))
+    one = materialize(components(first_links(rows, sigs, part_rows)))
+    named = one.select(F.col("node").alias("id"), "label")
+    labelled = materialize(rows.join(named, "id", "left").select("id", "key", "n", F.coalesce("label", "id").alias("label")))
+    links = other_links(labelled, sigs, part_rows)
+    two = materialize(components(links))
+    up = two.select(F.col("node").alias("__n"), F.col("label").alias("__up"))
+    again = one.join(up, F.col("label") == F.col("__n"), "left").select("node", F.coalesce("__up", "label").alias("label"))
+    found = materialize(again.unionByName(two.join(one.select("node"), "node", "left_anti")))
+    discard(rows, one, labelled, links, two)
     return found
 
 
@@ -288,24 +310,27 @@ def similar(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col: str = "
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            keys, sigs, bands = [], [], []
+            keys, sigs, bands, sizes = [], [], [], []
             for value in batch.column(1):
                 words = _FIND.findall(one := value.as_py())
                 keys.append(hashlib.blake2b("\n".join(words).encode(), digest_size=16).digest() if words else None)
-                least = minhashes(ngrams(one, n))
+                least = minhashes(grams := ngrams(one, n))
+                sizes.append(len(grams))
                 sigs.append(least.astype(np.uint8).tobytes() if words else None)
                 bands.append(band_keys(least) if words else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "same", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], ["id", "same", "sig", "bands", "size"])
 
-    signed = materialize(source.mapInArrow(sign, "id bigint, same binary, sig binary, bands array<bigint>"))
+    signed = materialize(source.mapInArrow(sign, "id bigint, same binary, sig binary, bands array<bigint>, size bigint"))
     member = signed.select("id", "same")
     first = materialize(member.filter("same is not null").groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("times")))
     copies = member.filter("same is not null").join(first, "same").filter("id <> rep")
-    reps = without(signed.filter("same is not null"), copies, "id").select("id", "sig", "bands")
+    reps = without(signed.filter("same is not null"), copies, "id").select("id", "sig", "bands", "size")
     held = cells(reps)
     celled = held.select(F.col("node").alias("id"), F.col("label").alias("cell"))
     release(docs.sparkSession)
-    sized = celled.join(first.select(F.col("rep").alias("id"), "times"), "id").join(celled.groupBy("cell").agg(F.count("*").alias("m")), "cell")
+    celled = celled.join(reps.select("id", "size"), "id")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, 8 * F.sum("size") / BLOCK_BYTES)).cast("int").alias("m")
+    sized = celled.join(first.select(F.col("rep").alias("id"), "times"), "id").join(celled.groupBy("cell").agg(blocks), "cell")
     sized = materialize(sized.select("id", "cell", "times", "m"))
 
     def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,8 +342,8 @@ def similar(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col: str = "
 
     small = sized.count() <= BROADCAST_ROWS
     texts = source.join(F.broadcast(sized) if small else sized, "id").select("id", "text", "cell", "times", "m")
-    sets = texts.mapInArrow(gram, "id bigint, cell bigint, times bigint, m bigint, sig binary, grams binary")
-    blocks = sets.withColumn("__n", F.ceil(F.col("m") / BLOCK).cast("int"))
+    sets = texts.mapInArrow(gram, "id bigint, cell bigint, times bigint, m int, sig binary, grams binary")
+    blocks = sets.withColumn("__n", F.col("m"))
     blocks = blocks.withColumn("block", F.pmod(F.xxhash64("id"), F.col("__n")).cast("int"))
     blocks = blocks.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
     blocks = blocks.select("id", "cell", "block", F.least("block", "__other").alias("one"), F.greatest("block", "__other").alias("two"), "times", "sig", "grams")

@@ -119,6 +119,27 @@ def test_bands_in_parts(spark, corpus, monkeypatch):
     assert got == brute_links(corpus)
 
 
+@pytest.mark.parametrize("n", [300, 600, 1200])
+def test_links_of_near_copies_grow_with_their_number(spark, n):
+    """Each text a base with two words changed, so all look alike; parts are small, so many parts of a band would meet."""
+    rng = random.Random(5)
+    base, rows = words(rng, 150).split(), []
+    for i in range(n):
+        text = list(base)
+        for _ in range(2):
+            text[rng.randrange(150)] = f"own{i}"
+        least = jaccard.minhashes(jaccard.ngrams(" ".join(text)))
+        rows.append((i, bytearray(least.astype(np.uint8).tobytes()), jaccard.band_keys(least).tolist()))
+    sigs = common.materialize(spark.createDataFrame(rows, "id bigint, sig binary, bands array<bigint>"))
+    shared = common.materialize(jaccard.shared_bands(sigs))
+    first = jaccard.first_links(shared, sigs, 50).distinct()
+    assert first.count() <= jaccard.BANDS / 4 * 2 * n
+    label = components.components(first).select(F.col("node").alias("id"), "label")
+    labelled = shared.join(label, "id", "left").select("id", "key", "n", F.coalesce("label", "id").alias("label"))
+    assert jaccard.other_links(labelled, sigs, 50).count() <= 0.05 * n
+    assert {r.label for r in jaccard.cells(sigs, 50).collect()} == {0}
+
+
 def test_jaccard_odd_rows(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f"), (3, None), (4, "")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("class_id", F.lit("clash")).withColumn("key", F.lit(1))
