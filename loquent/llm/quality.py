@@ -1,8 +1,8 @@
 """Quality classifier by importance resampling.
 
 Two generative models of hashed n-grams, one of the target (labelled good) and one of the raw text (all documents),
-give each document the logarithm of its importance weight. A curve fitted on labelled rows turns it into log odds,
-and Gumbel top-k samples as many documents as the curve finds good.
+give each document the logarithm of its importance weight: the sum over its n-grams of how much likelier the target
+has them. Gumbel top-k over these weights samples a stated share of the documents without replacement.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loquent.llm.common import materialize, sliced, text_or_empty
-from loquent.llm.toxicity import fit_curve
 
 #: Buckets of each model: word n-grams and n-grams of the shapes of words.
 BUCKETS = 1 << 14
@@ -27,7 +26,7 @@ _AGAIN = zlib.crc32(b"=")
 def shape(word: str) -> str:
     """A word with runs of capitals, small letters and digits as A, a and 9, runs of a sign as two of it."""
     out = []
-    for c in word[:64]:
+    for c in word:
         kind = ("A" if c.isupper() else "a") if c.isalpha() else "9" if c.isdigit() else c
         if not out or out[-1] != kind or (kind not in "Aa9" and out[-2:-1] != [kind]):
             out.append(kind)
@@ -41,7 +40,8 @@ class Shapes(dict):
         found = (zlib.crc32(word.lower().encode("utf-8", "surrogatepass")), zlib.crc32(shape(word).encode("utf-8", "surrogatepass")))
         if len(self) > 400_000:
             self.clear()
-        self[word] = found
+        if len(word) <= 64:
+            self[word] = found
         return found
 
 
@@ -65,11 +65,13 @@ def buckets(text: str) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def sample_labels(labels: DataFrame, rows: int) -> DataFrame:
-    """About ``rows`` labelled ids at most, chosen by a hash of the id, with ``good`` 0 or 1."""
-    known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("good"))
-    share = min(1.0, rows / max(1, known.count()))
-    return known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("doc_id", (F.col("good") > 0).cast("int").alias("good"))
+def sample_labels(labels: DataFrame, rows: int) -> tuple[DataFrame, float]:
+    """About ``rows`` labelled ids at most, chosen by a hash of the id, with ``good`` 0 or 1; and the share of good ones of all labelled."""
+    known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("quality") > 0).cast("int").alias("good"))
+    all_ = known.agg(F.count("*").alias("n"), F.sum("good").alias("good")).first()
+    share = min(1.0, rows / max(1, all_["n"]))
+    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(share * (1 << 40))
+    return known.filter(chosen), (all_["good"] or 0) / max(1, all_["n"])
 
 
 def models(docs: DataFrame, sample: DataFrame) -> np.ndarray:
@@ -123,39 +125,37 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096) -> float |
     return low
 
 
-def classify(docs: DataFrame, labels: DataFrame, rows: int = 10_000, temperature: float = 0.05, seed: int = 20, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, ``log_weight``, ``log_odds``, ``gumbel_key`` and ``kept``.
+def classify(docs: DataFrame, labels: DataFrame, rows: int = 10_000, share: float | None = None, seed: int = 20, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, ``log_weight``, ``gumbel_key`` and ``kept``.
 
-    ``log_weight`` is the mean log ratio of target to raw over n-grams of words, plus that over those of shapes;
-    ``log_odds`` comes of it by a curve fitted on about ``rows`` labelled rows at most. As many documents are kept
-    as have log odds of 0 or more: those with the greatest log_odds / temperature + Gumbel noise, which is seeded by
-    a hash of the id, so reruns agree; of equal keys all stay. Null and empty texts have weight 0. Rows that repeat
-    are kept as they are; null ids are never labelled. Without labels of both kinds all documents are kept.
+    ``log_weight`` is the summed log ratio of target to raw over the n-grams of words and those of shapes. Kept is
+    the ``share`` of the documents (rounded; by default that of good rows among all labelled ones) with the greatest
+    log_weight + Gumbel noise: a sample without replacement by importance weight. The noise is seeded by a hash of
+    the id, so reruns agree; of equal keys all stay. The target model learns from the good rows among about ``rows``
+    labelled rows at most, the raw model from all documents.
+
+    Null and empty texts have weight 0, texts of any length are read whole. Rows that repeat are kept or not alike;
+    null ids are never labelled. Without labels of both kinds all documents are kept. Other columns are left out.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text).alias("text"))
-    sample = materialize(sample_labels(labels, rows))
-    kinds = {r["good"]: r["n"] for r in sample.groupBy("good").agg(F.count("*").alias("n")).collect()}
+    sample, good = sample_labels(labels, rows)
+    sample = materialize(sample)
+    told = {r["good"] for r in sample.select("good").distinct().collect()} == {0, 1}
     kind = dict(source.dtypes)["doc_id"]
-    ratios = models(source, sample) if len(kinds) == 2 else np.zeros((2, BUCKETS))
+    ratios = models(source, sample) if told else np.zeros((2, BUCKETS))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             x = []
             for value in batch.column(1):
                 words, shapes = buckets(value.as_py())
-                x.append(float(ratios[0][words].mean() + ratios[1][shapes].mean()) if len(words) else 0.0)
+                x.append(float(ratios[0][words].sum() + ratios[1][shapes].sum()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.float64())], ["doc_id", "log_weight"])
 
-    weighed = materialize(source.mapInArrow(weigh, f"doc_id {kind}, log_weight double"))
-    slope, offset = 0.0, 1.0
-    if len(kinds) == 2:
-        pairs = weighed.join(F.broadcast(sample), "doc_id").select("log_weight", "good").collect()  # about rows at most
-        order = sorted((r["log_weight"], r["good"]) for r in pairs)
-        slope, offset = fit_curve(np.array([x for x, _ in order]), np.array([float(y) for _, y in order]))
+    weighed = source.mapInArrow(weigh, f"doc_id {kind}, log_weight double")
     unit = (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    scored = weighed.withColumn("log_odds", F.col("log_weight") * slope + offset)
-    scored = scored.withColumn("gumbel_key", F.col("log_odds") / temperature - F.log(-F.log(unit)))
-    scored = materialize(scored)
-    k = scored.filter("log_odds >= 0").count()
-    cut = kth_largest(scored, "gumbel_key", k)
+    scored = materialize(weighed.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(unit))))
+    if not told:
+        return scored.withColumn("kept", F.lit(True))
+    cut = kth_largest(scored, "gumbel_key", round(scored.count() * (good if share is None else share)))
     return scored.withColumn("kept", F.col("gumbel_key") >= F.lit(cut) if cut is not None else F.lit(False))
