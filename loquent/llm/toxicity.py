@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loquent.llm.common import materialize, text_or_empty
@@ -103,12 +103,17 @@ def terms_of(text: str) -> set[str]:
     return {w for w in words if len(w) > 2} | stems
 
 
-def labelled(docs: DataFrame, labels: DataFrame, rows: int, held_out: int = 5) -> DataFrame:
+def held_out(id_col: Column) -> Column:
+    """Whether the remainder of the id's CRC-32 by 5 is 0; no for null ids."""
+    return F.coalesce(F.pmod(F.crc32(id_col.cast("string")), F.lit(5)) == 0, F.lit(False))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     """About ``rows`` rows at most of labelled text, none of a held-out id, chosen by a hash of the id."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.filter(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(held_out)) != 0)
+    known = known.filter(~held_out(F.col("doc_id")))
     share = min(1.0, rows / max(1, known.count()))
-    known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(share * (1 << 40)))
     # bounded by rows
     return docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(known), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
 
@@ -182,8 +187,9 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[float,
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: its id, ``hits`` (summed weights), ``n_words`` and ``score`` from 0 to 1.
 
-    Depends on the text alone. Null and empty texts score as a text without terms; whole texts are read; rows and
-    ids, null ones too, stay as they are; other columns are left out.
+    Depends on the text alone. Null and empty texts score as a text without terms; texts of any length are read whole;
+    rows and ids, null ones too, stay as they are, and equal texts score alike; other columns are left out. No rows
+    give none.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text).alias("text"))
 
