@@ -116,6 +116,7 @@ def resolve(seqs: DataFrame, media: DataFrame, id_col: str = "page_id") -> DataF
     """One row per item with the columns of ``media``, which has each ``digest`` once; null where none matches.
 
     Items without a digest bypass the join, and Spark may split the partitions of a digest that very many share.
+    Pages that repeat an id, or have none, keep their items as rows of their own.
     """
     items = seqs.select(F.col(id_col), F.explode("items").alias("item")).select(id_col, "item.*")
     held = media.withColumnRenamed("digest", "__digest").filter(F.col("__digest").isNotNull())
@@ -158,7 +159,8 @@ def average_hash(payload: bytes) -> str:
 def media_table(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: id, ``n_bytes`` of its text, ``medium`` (the stored image) and its ``digest``.
 
-    A null text counts as empty. Equal texts have equal media and digests.
+    A null text counts as empty, texts of any length are stored whole. Equal texts have equal media and digests; rows
+    that repeat an id, and null ids, stay as they are; other columns are left out. No rows give none.
     """
     rows = docs.select(F.col(id_col), F.encode(text_or_empty(text), "UTF-8").alias("__data"))
     rows = rows.select(id_col, F.octet_length("__data").cast("long").alias("n_bytes"), store(padded(F.col("__data"))).alias("medium"))
@@ -166,7 +168,10 @@ def media_table(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
 
 def read_back(media: DataFrame) -> DataFrame:
-    """One row per digest: sizes, hashes and feature of the medium and of the payload read back from it."""
+    """One row per digest: sizes, hashes and feature of the medium and of the payload read back from it.
+
+    Media that repeat are one row; a medium that isn't a whole image is an error, as it would be lost otherwise.
+    """
     schema = "digest string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
     names = [x.split()[0] for x in schema.split(", ")]
 
