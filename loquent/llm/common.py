@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -95,6 +96,25 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
+def runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """Of rows sorted by ``keys``, each run of equal keys as one table."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        table = pa.Table.from_batches(held)
+        columns = [table.column(k).to_numpy() for k in keys]
+        edge = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        if not len(edge):
+            continue
+        for begin, end in zip([0, *edge[:-1].tolist()], edge.tolist()):
+            yield table.slice(begin, end - begin)
+        held = table.slice(int(edge[-1])).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loquent.llm.common import BROADCAST_ROWS, WORD, discard, materialize, release, sliced, text_or_empty, without
+from loquent.llm.common import BROADCAST_ROWS, WORD, discard, materialize, release, runs, sliced, text_or_empty, without
 from loquent.llm.components import components
 
 #: Values per band and bands: at a similarity of 0.8 all bands miss with a probability of 1e-9.
@@ -152,30 +152,17 @@ def by_run(keys: list[str], each: Callable[[pa.Table], list[tuple]], schema: pa.
     """A function for mapInArrow on rows sorted by ``keys``: gives each run of equal keys to ``each`` at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
         out: list[tuple] = []
 
         def made() -> pa.RecordBatch:
             columns = list(zip(*out)) or [()] * len(schema)
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            table = pa.Table.from_batches(held)
-            columns = [table.column(k).to_numpy() for k in keys]
-            edge = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
-            if not len(edge):
-                continue
-            for begin, end in zip([0, *edge[:-1]], edge):
-                out += each(table.slice(begin, end - begin))
-                if len(out) > 10_000:
-                    yield made()
-                    out = []
-            held = table.slice(int(edge[-1])).combine_chunks().to_batches()
-        if held:
-            out += each(pa.Table.from_batches(held))
+        for table in runs(batches, keys):
+            out += each(table)
+            if len(out) > 10_000:
+                yield made()
+                out = []
         yield made()
 
     return run

@@ -1,32 +1,35 @@
 """A gated recurrent language model in numpy, with class-factored softmax, trained by truncated backpropagation.
 
-Spark deals the work: tasks count words, train on their documents from common parameters that are averaged between
-rounds, and score whole documents, the state carried from window to window. Words beyond the model's vocabulary are
-one symbol, shared among them by their counts over all training documents, so every text has a probability.
+Spark deals the work: tasks count words, write each document's symbols, train on shards of them from common
+parameters that are averaged between rounds, and score whole documents, the state carried from window to window. Words
+beyond the model's vocabulary are one symbol, shared among them by their counts over all training documents, so every
+text has a probability. Shards are made by hashes and the number of tokens, so scores don't depend on input splits.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loquent.llm.common import materialize, text_or_empty
+from loquent.llm.common import materialize, runs, sliced, text_or_empty
 
 #: Classes, words in each, units. Symbols: 0 the end, 1 any rare word, from 2 on the most frequent words.
 CLASSES, EACH, UNITS = 32, 32, 16
 SYMBOLS = CLASSES * EACH
 #: Steps between two cuts of backpropagation, and steps scored at once; documents in one training batch.
-WINDOW, SCORED, BATCH = 32, 64, 128
+WINDOW, SCORED, BATCH = 32, 64, 512
 #: Predictions whose probabilities are worked out at once, at most and one step of all documents more.
 AT_ONCE = 60_000
 #: Most frequent words whose counts every task holds; counts of others are joined.
 HELD = 100_000
+#: Tokens that one task trains on between two averages, about.
+SHARD = 1_000_000
 END_SYMBOL, RARE = 0, 1
 
 
@@ -48,7 +51,7 @@ class WordCodes(dict):
 
 def word_hash(word: bytes) -> int:
     """63 bits that stand for a word."""
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little") >> 1
+    return xxhash.xxh3_64_intdigest(word) >> 1
 
 
 def words_of(text: str) -> list[bytes]:
@@ -84,8 +87,9 @@ class Model:
         model.word_b[:] = np.log(share.reshape(CLASSES, EACH)) - model.class_b[:, None]
         return model
 
-    def step(self, symbols: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        x, g = self.inputs[symbols], h @ self.carry
+    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The states after ``h`` and inputs ``x`` (rows of ``inputs``), and what backpropagation needs of the gates."""
+        g = h @ self.carry
         zr = sigmoid(x[:, : 2 * UNITS] + g[:, : 2 * UNITS])
         z, r = zr[:, :UNITS], zr[:, UNITS:]
         n = np.tanh(x[:, 2 * UNITS :] + r * g[:, 2 * UNITS :])
@@ -93,37 +97,41 @@ class Model:
 
     def told(self, h: np.ndarray, symbols: np.ndarray, grads: Model | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Log probabilities of ``symbols`` after states ``h``; with ``grads``, adds the loss's slopes, and gives that by ``h``."""
-        group, word = symbols // EACH, symbols % EACH
+        order = np.argsort(symbols // EACH, kind="stable")  # by class, so that each class is one slice
+        h, group, word = h[order], symbols[order] // EACH, symbols[order] % EACH
         rows = np.arange(len(symbols))
         logits = h @ self.class_w + self.class_b
         logits -= logits.max(1, keepdims=True)
-        p = np.exp(logits)
-        total = p.sum(1)
-        out = logits[rows, group] - np.log(total)
+        picked = logits[rows, group]
+        np.exp(logits, out=logits)
+        total = logits.sum(1)
+        out = picked - np.log(total)
         slope = None
         if grads is not None:
-            p /= total[:, None]
-            p[rows, group] -= 1
-            grads.class_w += h.T @ p
-            grads.class_b += p.sum(0)
-            slope = p @ self.class_w.T
-        order = np.argsort(group, kind="stable")
-        bounds = np.searchsorted(group[order], np.arange(CLASSES + 1))
+            logits /= total[:, None]
+            logits[rows, group] -= 1
+            grads.class_w += h.T @ logits
+            grads.class_b += logits.sum(0)
+            slope = logits @ self.class_w.T
+        bounds = np.searchsorted(group, np.arange(CLASSES + 1))
         for c in np.flatnonzero(np.diff(bounds)):
-            at = order[bounds[c] : bounds[c + 1]]
+            at = slice(bounds[c], bounds[c + 1])
             logits = h[at] @ self.word_w[c].T + self.word_b[c]
             logits -= logits.max(1, keepdims=True)
-            p = np.exp(logits)
-            total = p.sum(1)
-            one = np.arange(len(at))
-            out[at] += logits[one, word[at]] - np.log(total)
+            one = rows[: len(logits)]
+            picked = logits[one, word[at]]
+            np.exp(logits, out=logits)
+            total = logits.sum(1)
+            out[at] += picked - np.log(total)
             if grads is not None:
-                p /= total[:, None]
-                p[one, word[at]] -= 1
-                grads.word_w[c] += p.T @ h[at]
-                grads.word_b[c] += p.sum(0)
-                slope[at] += p @ self.word_w[c]
-        return out, slope
+                logits /= total[:, None]
+                logits[one, word[at]] -= 1
+                grads.word_w[c] += logits.T @ h[at]
+                grads.word_b[c] += logits.sum(0)
+                slope[at] += logits @ self.word_w[c]
+        back = np.empty_like(order)
+        back[order] = rows
+        return out[back], slope[back] if slope is not None else None
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """The natural log probability of each sequence of symbols, all stepping together from window to window."""
@@ -140,7 +148,7 @@ class Model:
             n = int(np.searchsorted(-sizes, -t, "left"))  # those longer than t come first
             now = flat[begins[:n] + t]
             held.append((h[:n].copy(), now, np.arange(n)))
-            h[:n] = self.step(now, h[:n])[0]
+            h[:n] = self.step(self.inputs[now], h[:n])[0]
             rows += n
             if rows >= AT_ONCE or len(held) == SCORED or t + 1 == steps:
                 states, symbols, owners = map(np.concatenate, zip(*held))
@@ -152,48 +160,55 @@ class Model:
 
     def train(self, texts: list[np.ndarray], rate: float) -> int:
         """Adam over windows of batches of sequences; returns the symbols seen."""
-        first, second, step, seen = np.zeros(self.SIZE, np.float32), np.zeros(self.SIZE, np.float32), 0, 0
+        first, second, step = np.zeros(self.SIZE, np.float32), np.zeros(self.SIZE, np.float32), 0
         texts = sorted(texts, key=len, reverse=True)
-        for b in range(0, len(texts), BATCH):
-            batch = texts[b : b + BATCH]
+        many = min(BATCH, max(32, len(texts) // 16))  # few texts: smaller batches, so that there are steps enough
+        for b in range(0, len(texts), many):
+            batch = texts[b : b + many]
             sizes = np.array([len(t) for t in batch])
+            flat, begins = np.concatenate(batch).astype(np.int64), np.concatenate(([0], np.cumsum(sizes)[:-1]))
             h = np.zeros((len(batch), UNITS), np.float32)
             for at in range(0, int(sizes[0]), WINDOW):
-                grads, tape, n = Model(np.zeros(self.SIZE, np.float32)), [], 0
-                width = min(WINDOW, int(sizes[0]) - at)
-                padded = np.stack([np.pad(t[at : at + width], (0, width - len(t[at : at + width]))) for t in batch[: int((sizes > at).sum())]])
-                for t in range(width):
-                    n = int((sizes > at + t).sum())
-                    now, before = padded[:n, t], h[:n].copy()
-                    after, *gates = self.step(now, before)
-                    h[:n] = after
-                    tape.append((now, before, gates))
-                states, symbols = np.concatenate([x[1] for x in tape]), np.concatenate([x[0] for x in tape])
-                slopes = self.told(states, symbols, grads)[1]
-                back, d = [], np.zeros((0, UNITS), np.float32)
-                end = len(symbols)
-                for now, before, (z, r, cand, g) in reversed(tape):
-                    if len(d) < len(now):
-                        d = np.concatenate((d, np.zeros((len(now) - len(d), UNITS), np.float32)))
-                    dn = d * (1 - z) * (1 - cand * cand)
-                    dr = dn * g * r * (1 - r)
-                    dz = d * (before - cand) * z * (1 - z)
-                    dg = np.concatenate((dz, dr, dn * r), 1)
-                    grads.carry += before.T @ dg
-                    back.append((now, np.concatenate((dz, dr, dn), 1)))
-                    d = d * z + dg @ self.carry.T + slopes[end - len(now) : end]
-                    end -= len(now)
-                now, dx = np.concatenate([x[0] for x in back]), np.concatenate([x[1] for x in back])
-                order = np.argsort(now, kind="stable")
-                distinct, begins = np.unique(now[order], return_index=True)
-                grads.inputs[distinct] += np.add.reduceat(dx[order], begins)
-                slope = np.clip(grads.flat / len(symbols), -1, 1)
+                counts = np.searchsorted(-sizes, -np.arange(at, min(at + WINDOW, int(sizes[0]))), "left")  # those that go on come first
+                slope = self.window(flat, begins, at, counts, h)
                 step += 1
-                seen += len(symbols)
                 first += 0.1 * (slope - first)
                 second += 0.01 * (slope * slope - second)
                 self.flat -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
-        return seen
+        return sum(map(len, texts))
+
+    def window(self, flat: np.ndarray, begins: np.ndarray, at: int, counts: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The mean loss's slopes over one window; ``h`` goes on to its end. Slopes go back to its beginning, not beyond.
+
+        The steps from ``at`` on have ``counts`` sequences each; ``begins`` says where those lie in ``flat``.
+        """
+        bounds = np.concatenate(([0], np.cumsum(counts)))
+        steps = np.repeat(np.arange(len(counts)), counts)
+        symbols = flat[begins[np.arange(bounds[-1]) - bounds[steps]] + at + steps]
+        x, before, gates = self.inputs[symbols], np.empty((bounds[-1], UNITS), np.float32), []
+        for n, a, b in zip(counts, bounds, bounds[1:]):
+            before[a:b] = h[:n]
+            h[:n], *now = self.step(x[a:b], before[a:b])
+            gates.append(now)
+        grads = Model(np.zeros(self.SIZE, np.float32))
+        slopes = self.told(before, symbols, grads)[1]
+        dg, dx = np.empty_like(x), x  # x is not read again
+        d, carry_back = np.zeros((0, UNITS), np.float32), np.ascontiguousarray(self.carry.T)
+        for n, a, b, (z, r, cand, g) in zip(counts[::-1], bounds[-2::-1], bounds[:0:-1], gates[::-1]):
+            if len(d) < n:
+                d = np.concatenate((d, np.zeros((n - len(d), UNITS), np.float32)))
+            dn = d * (1 - z)
+            dz = dn * (before[a:b] - cand) * z
+            dn *= 1 - cand * cand
+            rest = dn * r
+            dx[a:b, :UNITS], dx[a:b, UNITS : 2 * UNITS], dx[a:b, 2 * UNITS :] = dz, rest * g * (1 - r), dn
+            dg[a:b, : 2 * UNITS], dg[a:b, 2 * UNITS :] = dx[a:b, : 2 * UNITS], rest
+            d = d * z + dg[a:b] @ carry_back + slopes[a:b]
+        grads.carry += before.T @ dg
+        order = np.argsort(symbols, kind="stable")
+        distinct, begin = np.unique(symbols[order], return_index=True)
+        grads.inputs[distinct] += np.add.reduceat(dx[order], begin)
+        return np.clip(grads.flat / len(symbols), -1, 1)
 
 
 def symbols_of(codes: np.ndarray) -> np.ndarray:
@@ -226,38 +241,63 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(tally, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def trained(docs: DataFrame, model: Model, ranks: dict[int, int], rounds: int, share: int) -> Model:
-    """``model`` after ``rounds`` rounds, each over another one of ``share`` parts of the training documents.
+def most_frequent(counts: DataFrame, most: int) -> tuple[list[int], np.ndarray]:
+    """Hashes and counts of the most frequent words, ``most`` or fewer: all words that occur as often as some number.
 
-    Parts are dealt by a hash of the text and grow with the corpus; ``share`` rounds see every document. In a round each task trains on its documents, whole, from the same
-    parameters; the tasks' parameters are averaged by the symbols that they saw.
+    That number comes from a histogram of counts, exact up to 4096 and in steps of one hundredth beyond, so only the
+    histogram and the words found reach the driver.
+    """
+    bucket = F.when(F.col("n") < 4096, F.col("n")).otherwise(4096 + F.floor(F.log2(F.col("n") / 4096) * 64)).cast("int")
+    sizes = {r["b"]: r["words"] for r in counts.groupBy(bucket.alias("b")).agg(F.count("*").alias("words")).collect()}
+    total, least = 0, None
+    for b in sorted(sizes, reverse=True):
+        total += sizes[b]
+        if total > most:
+            break
+        least = b
+    if least is None:
+        return [], np.zeros(0)
+    found = counts.filter(bucket >= least).collect()  # bounded by most
+    found.sort(key=lambda r: (-r["n"], r["word"]))
+    return [r["word"] for r in found], np.array([r["n"] for r in found], np.float64)
+
+
+def trained(docs: DataFrame, model: Model, rounds: int, shards: int) -> Model:
+    """``model`` after ``rounds`` rounds, each over another part of ``docs`` (symbols, key): together all of them, once.
+
+    Parts and shards are dealt by ``key``. In a round the texts of each shard, whole, train a model of their own from
+    the common parameters; these are averaged by the symbols that they saw.
     """
     for turn in range(rounds):
         flat, rate = model.flat.copy(), 0.02 / (1 + turn)
 
         def fit(batches: Iterator[pa.RecordBatch], flat: np.ndarray = flat, rate: float = rate) -> Iterator[pa.RecordBatch]:
-            own, codes, seen = Model(flat.copy()), WordCodes(ranks), 0
-            for batch in batches:
-                texts = [words_of(x.as_py()) for x in batch.column(0)]
-                seen += own.train([symbols_of(np.fromiter(map(codes.__getitem__, t), np.int64, len(t))) for t in texts], rate)
+            total, seen = np.zeros(Model.SIZE), 0
+            for shard in runs(batches, ["shard"]):
+                own = Model(flat.copy())
+                n = own.train([np.frombuffer(x, np.uint16) for x in shard.column("symbols").to_pylist()], rate)
+                total += own.flat.astype(np.float64) * n
+                seen += n
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(Model.SIZE)), pa.array(own.flat.astype(np.float64) * seen), pa.array(np.full(Model.SIZE, seen))], ["at", "value", "seen"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(Model.SIZE)), pa.array(total), pa.array(np.full(Model.SIZE, seen))], ["at", "value", "seen"])
 
-        part = docs.filter(F.pmod(F.xxhash64("text"), F.lit(share)) == turn % share).select("text")
-        sums = part.mapInArrow(fit, "at bigint, value double, seen bigint").groupBy("at").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen"))
-        rows = sums.toPandas()  # one row a parameter
+        shard = F.pmod(F.shiftright("key", 8), F.lit(shards)).alias("shard")
+        part = docs.filter(F.pmod("key", F.lit(rounds)) == turn).select(shard, "key", "symbols")
+        part = part.repartition("shard").sortWithinPartitions("shard", "key", "symbols")
+        rows = part.mapInArrow(fit, "at bigint, value double, seen bigint").groupBy("at").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen")).toPandas()  # one row a parameter
         flat = model.flat.copy()
         flat[rows["at"].to_numpy()] = rows["value"].to_numpy() / rows["seen"].to_numpy()
         model = Model(flat)
     return model
 
 
-def score(docs: DataFrame, rounds: int = 3, share: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, rounds: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities).
 
-    Learns from rows that aren't held out; the network sees all of them once where ``rounds`` equals ``share``. Words are runs of anything but ASCII white space, A-Z in lower case; each
-    text has one end more. The base is the add-one unigram model. Null and empty texts are an end alone. Null ids
-    are never held out; rows that repeat score alike; other columns are left out. No training rows: all words are
+    Learns from rows that aren't held out; the network sees each of them once. Words are runs of anything but ASCII
+    white space, A-Z in lower case; each text has one end more. The base is the add-one unigram model. Null and empty
+    texts are an end alone; texts of any length are read and scored whole. Null ids are never held out; rows that
+    repeat count as often in training and score alike; other columns are left out. No training rows: all words are
     unknown and the base score is 0.
     """
     kind = dict(docs.dtypes)[id_col]
@@ -267,56 +307,64 @@ def score(docs: DataFrame, rounds: int = 3, share: int = 3, id_col: str = "doc_i
     ends = learnt.select("held_out").count()
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_tokens, n_types = sums["n"] + ends, sums["v"] + (ends > 0)
-    top = counts.orderBy(F.desc("n"), "word").limit(HELD).toPandas()  # bounded by HELD
-    ranks = {int(w): i for i, w in enumerate(top["word"])}
-    held = top["n"].to_numpy().astype(np.float64)
+    words, held = most_frequent(counts, HELD)
+    ranks = {w: i for i, w in enumerate(words)}
     own = held[: SYMBOLS - 2]
     rare = n_tokens - ends - own.sum()
     shares = np.zeros(SYMBOLS)
     shares[END_SYMBOL], shares[RARE], shares[2 : 2 + len(own)] = ends, rare, own
-    model = trained(learnt, Model.first(shares), ranks, rounds, share)
     log_held = np.log10(held + 1)
     rare_mass = float(rare + (n_types - (ends > 0) - len(own)) + 1)
-    flat = model.flat
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, codes = Model(flat.copy()), WordCodes(ranks)
-        for batch in batches:
-            rows, texts, others, tfs, bounds = [], [], [], [], [0]
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each text's symbols, the sums that its held words give, and its other words."""
+        codes = WordCodes(ranks)
+        for batch in sliced(batches):
+            rows, symbols, others, tfs, bounds = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [0]
             for value in batch.column(1):
-                words = words_of(value.as_py())
-                code = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
+                found = words_of(value.as_py())
+                code = np.fromiter(map(codes.__getitem__, found), np.int64, len(found))
                 known = code[code >= 0]
                 small = known[known >= SYMBOLS - 2]
                 other, tf = np.unique(-1 - code[code < 0], return_counts=True)
                 others.append(other)
                 tfs.append(tf)
                 bounds.append(bounds[-1] + len(other))
-                texts.append(symbols_of(code))
-                rows.append((len(words) + 1, len(known) + (ends > 0), log_held[known].sum() + np.log10(ends + 1), log_held[small].sum(), len(small) + len(words) - len(known)))
-            logs = model.score(texts) / np.log(10)
-            columns = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()))]
+                symbols.append(symbols_of(code).astype(np.uint16).tobytes())
+                rows.append((len(found) + 1, len(known) + (ends > 0), log_held[known].sum() + np.log10(ends + 1), log_held[small].sum(), len(small) + len(found) - len(known)))
+            columns = [pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 5, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()))]
             items = pa.StructArray.from_arrays([pa.array(np.concatenate(others)), pa.array(np.concatenate(tfs).astype(np.int64))], ["word", "tf"])
             rest = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), items)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *columns, pa.array(logs), rest], NAMES)
-
-    NAMES = ["doc_id", "held_out", "key", "n_tokens", "n_known", "logs", "rare_logs", "n_rare", "told", "rest"]
-    schema = f"doc_id {kind}, held_out boolean, key bigint, n_tokens bigint, n_known bigint, logs double, rare_logs double, n_rare bigint, told double, rest array<struct<word:bigint,tf:bigint>>"
-    rows = source.select("doc_id", "text", "held_out", F.xxhash64("doc_id", "text").alias("key"))
-    made = materialize(rows.filter(F.col("key").isNotNull()).mapInArrow(run, schema))
-    one_each = made.select("key", "rest")
-    if made.groupBy("key").count().filter("count > 1").limit(1).count():
-        one_each = one_each.dropDuplicates(["key"])
-    words = one_each.select("key", F.explode("rest").alias("w")).select("key", "w.word", "w.tf")
-    found = words.join(counts, "word").groupBy("key").agg(F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("more"), F.sum("tf").alias("known"))
-    whole = made.drop("rest").join(found, "key", "left")
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *columns, pa.array(symbols, pa.binary()), rest], NAMES)
+
+    NAMES = ["doc_id", "held_out", "key", "twin", "n_tokens", "n_known", "logs", "rare_logs", "n_rare", "symbols", "rest"]
+    schema = f"doc_id {kind}, held_out boolean, key bigint, twin bigint, n_tokens bigint, n_known bigint, logs double, rare_logs double, n_rare bigint, symbols binary, rest array<struct<word:bigint,tf:bigint>>"
+    rows = source.select("doc_id", "text", "held_out", F.xxhash64("doc_id", "text").alias("key"), F.xxhash64(F.lit(1), "text").alias("twin"))  # 128 bits stand for a row
+    made = materialize(rows.mapInArrow(encode, schema))
+    model = trained(made.filter(~F.col("held_out")), Model.first(shares), rounds, -(-int(n_tokens) // (SHARD * max(1, rounds))) or 1)
+    flat = model.flat
+
+    one_each = made.select("key", "twin", "rest")
+    if made.groupBy("key", "twin").count().filter("count > 1").limit(1).count():
+        one_each = one_each.dropDuplicates(["key", "twin"])
+    words_ = one_each.select("key", "twin", F.explode("rest").alias("w")).select("key", "twin", "w.word", "w.tf")
+    found = words_.join(counts, "word").groupBy("key", "twin").agg(F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("more"), F.sum("tf").alias("known"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(flat.copy())
+        for batch in batches:
+            told = model.score([np.frombuffer(x, np.uint16) for x in batch.column(batch.num_columns - 1).to_pylist()]) / np.log(10)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(told)], [*NAMES[:-2], "told"])
+
+    told = made.drop("rest").mapInArrow(run, schema[: schema.index(", symbols")] + ", told double")
+    whole = told.join(found, ["key", "twin"], "left")
     more = F.coalesce("more", F.lit(0.0))
     return whole.select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(n_tokens).cast("long").alias("train_tokens"),
+        F.lit(int(n_tokens)).cast("long").alias("train_tokens"),
         (F.col("logs") + more - F.col("n_tokens") * F.lit(float(np.log10(n_tokens + n_types + 1)))).alias("base_score"),
         (F.col("told") + F.col("rare_logs") + more - F.col("n_rare") * F.lit(float(np.log10(rare_mass)))).alias("score"),
     )
