@@ -5,7 +5,10 @@ So equal strings have equal anchors, and a document is cut into few contexts: th
 all strings it stands for. Only contexts whose anchor is in several texts go on. Equal contexts are settled by the
 least document that has them. For the different contexts of one anchor an enhanced suffix array is scanned with a
 stack: intervals of a common prefix that can't be extended to the left are the maximal repeats, and each has all
-its occurrences, so the least document among them is known for every string.
+its occurrences, so the least document among them is known for every string. Where an anchor has very many contexts
+they are dealt into blocks, and the strings of the blocks, one each, meet once more.
+
+Contexts count as equal if the 64-bit hashes of their anchor and of all their bytes both agree; texts do by their MD5.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +25,10 @@ from loquent.llm.common import BROADCAST_ROWS, discard, materialize, release, sl
 
 #: Bytes of an anchor. With it, strings of 50 bytes have 35 anchors to choose from.
 GRAM = 16
-#: Contexts of one anchor up to which they meet in one task; others are settled string by string.
-MANY = 4000
+#: Contexts of one anchor that meet in one suffix array; of more, each block of about so many has its own.
+BLOCK = 1000
+#: Texts looked at together for anchors that very many texts have, how many make one hot, and salts that spread its rows.
+LOOK, HOT, SALTS = 2000, 20, 64
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _POS = np.uint64((1 << 28) - 1)
 
@@ -147,69 +153,82 @@ def first_documents(contexts: list[bytes], docs: np.ndarray, length: int) -> tup
 
 
 def shared_anchors(docs: DataFrame, length: int) -> DataFrame:
-    """``text_key`` and ``anchor`` for each anchor that several texts have. ``docs``: text, text_key."""
+    """``text_key`` and ``anchor`` for each anchor that several texts have. ``docs``: text, text_key.
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 500):
-            keys, found = batch.column(1).to_numpy(), [np.unique(anchors(x.as_py().encode(), length)[0]) for x in batch.column(0)]
-            values = np.concatenate(found) if found else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, [len(f) for f in found])), pa.array(values.view(np.int64))], ["text_key", "anchor"])
+    What many texts of one batch share is shared, whatever others have: those rows are spread by salts, and but one of
+    them goes to meet the texts of other batches. So no task gets all rows of a frequent passage.
+    """
 
-    rows = docs.select("text", "text_key").mapInArrow(emit, "text_key bigint, anchor bigint")
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, LOOK):
+            keys, at = np.unique(batch.column(1).to_numpy(), return_index=True)
+            found = [np.unique(anchors(batch.column(0)[i].as_py().encode(), length)[0]) for i in at.tolist()]
+            keys, values = np.repeat(keys, [len(f) for f in found]), np.concatenate([np.zeros(0, np.uint64), *found])
+            first, inverse, counts = np.unique(values, return_index=True, return_inverse=True, return_counts=True)[1:]
+            salt = np.where(counts[inverse] > HOT, 1 + keys % (SALTS - 1), 0)
+            met = first[counts > HOT]
+            keys, values, salt = np.concatenate((keys, keys[met])), np.concatenate((values, values[met])), np.concatenate((salt, np.zeros(len(met), np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(values.view(np.int64)), pa.array(salt.astype(np.int8))], ["text_key", "anchor", "salt"])
+
+    rows = docs.select("text", "text_key").mapInArrow(emit, "text_key bigint, anchor bigint, salt tinyint")
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows in order of anchor and text, those of anchors with more than one text, and each row once."""
-        last: tuple[int, int, bool] | None = None  # a row whose anchor may go on in the next batch, and if it was told
+        """Of rows in order of anchor, salt and text, those of anchors with more than one text, and each row once."""
+        last: tuple[int, int, int, bool] | None = None  # a row whose anchor may go on in the next batch, and if it was told
         for batch in batches:
             if not batch.num_rows:
                 continue
-            text, anchor = batch.column("text_key").to_numpy(), batch.column("anchor").to_numpy()
+            text, anchor, salt = (batch.column(k).to_numpy() for k in ("text_key", "anchor", "salt"))
             if last:
-                text, anchor = np.concatenate(([last[0]], text)), np.concatenate(([last[1]], anchor))
-            new = np.concatenate(([True], (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1])))
-            told = bool(last and last[2])
-            text, anchor = text[new], anchor[new]
-            same = anchor[1:] == anchor[:-1]
-            shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
+                text, anchor, salt = (np.concatenate(([x], y)) for x, y in zip(last, (text, anchor, salt)))
+            group = (anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])
+            new = np.concatenate(([True], (text[1:] != text[:-1]) | group))
+            told = bool(last and last[3])
+            text, anchor, salt = text[new], anchor[new], salt[new]
+            same = (anchor[1:] == anchor[:-1]) & (salt[1:] == salt[:-1])
+            shared = np.concatenate((same, [False])) | np.concatenate(([False], same)) | (salt > 0)
             ends_told = bool(shared[-1]) or (told and len(text) == 1)
             if told:
                 shared[0] = False
-            last = (int(text[-1]), int(anchor[-1]), ends_told)
+            last = (int(text[-1]), int(anchor[-1]), int(salt[-1]), ends_told)
             yield pa.RecordBatch.from_arrays([pa.array(text[shared]), pa.array(anchor[shared])], ["text_key", "anchor"])
 
-    return rows.repartition("anchor").sortWithinPartitions("anchor", "text_key").mapInArrow(several, "text_key bigint, anchor bigint")
+    return rows.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "text_key").mapInArrow(several, "text_key bigint, anchor bigint")
 
 
-def places_of(texts: DataFrame, firsts: DataFrame, shared: DataFrame, length: int) -> DataFrame:
-    """Where the contexts of shared anchors start, with how many strings, and a hash of their bytes.
+def contexts_of(texts: DataFrame, lists: DataFrame, length: int) -> DataFrame:
+    """One row per text of ``lists`` (doc_id, text_key, anchors): its contexts of those anchors, and the bytes they lie in.
 
-    ``texts``: doc_id, text_key, text; ``firsts``: doc_id and text_key, of each text once.
+    ``contexts``: anchor, ``key`` (a hash of the bytes), where it starts and how many strings it holds; ``at`` and
+    ``parts``: the runs of bytes that contexts cover.
     """
-    lists = firsts.join(shared, "text_key").groupBy("doc_id", "text_key").agg(F.collect_list("anchor").alias("anchors"))  # of one text
+    context = pa.struct([("anchor", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("places", pa.int32())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 200):
-            at, hashes, starts, counts, keys = [], [], [], [], []
-            for i, (text, wanted) in enumerate(zip(batch.column("text"), batch.column("anchors"))):
+            values, counts, at, parts = [], [], [], []
+            for text, wanted in zip(batch.column("text"), batch.column("anchors")):
                 raw = text.as_py().encode()
                 h, first, last = anchors(raw, length)
                 h = h.view(np.int64)
                 keep = np.flatnonzero(np.isin(h, wanted.values.to_numpy()))
-                at.append(np.full(len(keep), i))
-                hashes.append(h[keep])
-                starts.append(first[keep].astype(np.int32))
-                counts.append((last - first + 1)[keep].astype(np.int32))
-                keys.append(stretch_hashes(raw, first[keep], last[keep] + length))
-            at = pa.array(np.concatenate(at))
-            columns = [batch.column("doc_id").take(at), batch.column("text_key").take(at), pa.array(np.concatenate(hashes)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(starts)), pa.array(np.concatenate(counts))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "anchor", "key", "start", "places"])
+                first, last = first[keep], last[keep]
+                values.append((h[keep], stretch_hashes(raw, first, last + length), first.astype(np.int32), (last - first + 1).astype(np.int32)))
+                counts.append(len(keep))
+                edge = np.flatnonzero(first[1:] > last[:-1] + length) + 1  # contexts are in order; where one doesn't touch the next
+                begins, ends = first[np.concatenate((np.zeros(min(1, len(keep)), np.int64), edge))], last[np.concatenate((edge - 1, np.full(min(1, len(keep)), len(keep) - 1)))] + length
+                at.append(begins.tolist())
+                parts.append([raw[a:b] for a, b in zip(begins.tolist(), ends.tolist())])
+            flat = pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in zip(*values)], fields=list(context))
+            lists_ = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), lists_, pa.array(at, pa.list_(pa.int32())), pa.array(parts, pa.list_(pa.binary()))], ["doc_id", "text_key", "contexts", "at", "parts"])
 
     rows = texts.join(lists, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "anchors")
-    return rows.mapInArrow(emit, "doc_id bigint, text_key bigint, anchor bigint, key bigint, start int, places int")
+    return rows.mapInArrow(emit, "doc_id bigint, text_key bigint, contexts array<struct<anchor:bigint,key:bigint,start:int,places:int>>, at array<int>, parts array<binary>")
 
 
-def with_bytes(texts: DataFrame, rows: DataFrame, length: int) -> DataFrame:
-    """anchor, key, doc_id, n and the bytes of each of ``rows`` (doc_id, text_key, anchor, key, start, places, n)."""
+def with_bytes(held: DataFrame, rows: DataFrame, length: int) -> DataFrame:
+    """anchor, key, doc_id, n and the bytes of each of ``rows`` (doc_id, text_key, anchor, key, start, places, n), out of ``held`` (at, parts)."""
     names = ["anchor", "key", "start", "places", "n"]
     lists = rows.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct(*names)).alias("found"))  # of one text
 
@@ -218,41 +237,41 @@ def with_bytes(texts: DataFrame, rows: DataFrame, length: int) -> DataFrame:
             found = batch.column("found")
             flat = found.flatten()
             sizes = np.diff(found.offsets.to_numpy())
-            start, end = flat.field("start").to_numpy(), flat.field("start").to_numpy() + flat.field("places").to_numpy() - 1 + length
-            out, at = [], 0
-            for text, size in zip(batch.column("text"), sizes):
-                raw = text.as_py().encode()
-                out += [raw[a:b] for a, b in zip(start[at : at + size].tolist(), end[at : at + size].tolist())]
-                at += size
+            start = flat.field("start").to_numpy()
+            size = flat.field("places").to_numpy() - 1 + length
+            out, place = [], 0
+            for at, parts, n in zip(batch.column("at"), batch.column("parts"), sizes.tolist()):
+                at, parts, mine = at.values.to_numpy(), parts.as_py(), start[place : place + n]
+                part = np.searchsorted(at, mine, "right") - 1
+                begin = mine - at[part]
+                out += [parts[p][a:b] for p, a, b in zip(part.tolist(), begin.tolist(), (begin + size[place : place + n]).tolist())]
+                place += n
             docs = batch.column("doc_id").take(pa.array(np.repeat(np.arange(batch.num_rows), sizes)))
             yield pa.RecordBatch.from_arrays([flat.field("anchor"), flat.field("key"), docs, flat.field("n"), pa.array(out, pa.binary())], ["anchor", "key", "doc_id", "n", "context"])
 
-    joined = texts.join(lists, ["doc_id", "text_key"]).select("doc_id", "text", "found")
+    joined = held.select("doc_id", "text_key", "at", "parts").join(lists, ["doc_id", "text_key"]).select("doc_id", "at", "parts", "found")
     return joined.mapInArrow(emit, "anchor bigint, key bigint, doc_id bigint, n bigint, context binary")
 
 
-def settled(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
-    """For each context (anchor, key): ``firsts``, the least document of the string at each of its places; one entry if all are the same."""
-    spark = texts.sparkSession
-    distinct = materialize(found.groupBy("anchor", "key").agg(F.min(F.struct("doc_id", "text_key", "start", "places")).alias("f")).select("anchor", "key", "f.*"))
-    counts = materialize(distinct.groupBy("anchor").agg(F.count("*").alias("n")))
-    counted = materialize(distinct.join(counts, "anchor"))
-    discard(distinct, counts)
-    release(spark)
-    single = counted.filter("n = 1").select("anchor", "key", F.array("doc_id").alias("firsts"))
-    several = materialize(with_bytes(texts, counted.filter("n > 1"), length))
-    release(spark)
-    schema = pa.schema([("anchor", pa.int64()), ("key", pa.int64()), ("firsts", pa.list_(pa.int64()))])
+def scan_blocks(contexts: DataFrame, length: int, block: int) -> DataFrame:
+    """Adds ``firsts`` to rows (anchor, key, doc_id, n, context): among about ``block`` contexts of its anchor, the least document of each string.
+
+    Only contexts of larger anchors keep their bytes, as they are wanted again.
+    """
+    rows = contexts.withColumn("block", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / block)))
+    schema = "anchor bigint, key bigint, n bigint, context binary, firsts array<bigint>"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows in order of anchor, as many whole anchors at once as make a suffix array of good size."""
+        """Of rows in order of anchor and block, as many whole blocks at once as make a suffix array of good size."""
         held: list[pa.RecordBatch] = []
         size = 0
 
         def done(table: pa.Table) -> pa.RecordBatch:
             best, bounds = first_documents(table.column("context").to_pylist(), table.column("doc_id").to_numpy(), length)
             made = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(best))
-            return pa.RecordBatch.from_arrays([table.column("anchor").combine_chunks(), table.column("key").combine_chunks(), made.cast(schema.field("firsts").type)], schema=schema)
+            n = table.column("n").combine_chunks()
+            kept = pc.if_else(pc.greater(n, block), table.column("context").combine_chunks(), pa.scalar(None, pa.binary()))
+            return pa.RecordBatch.from_arrays([table.column("anchor").combine_chunks(), table.column("key").combine_chunks(), n, kept, made], ["anchor", "key", "n", "context", "firsts"])
 
         for batch in sliced(batches, 2000):
             held.append(batch)
@@ -260,8 +279,8 @@ def settled(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
             if size < 4000:
                 continue
             table = pa.Table.from_batches(held)
-            anchor = table.column("anchor").to_numpy()
-            cut = np.flatnonzero(anchor[1:] != anchor[:-1])
+            anchor, part = table.column("anchor").to_numpy(), table.column("block").to_numpy()
+            cut = np.flatnonzero((anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1]))
             if len(cut):
                 cut = int(cut[-1]) + 1
                 yield done(table.slice(0, cut).combine_chunks())
@@ -269,36 +288,58 @@ def settled(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
         if size:
             yield done(pa.Table.from_batches(held).combine_chunks())
 
-    some = several.filter(f"n <= {MANY}").select("anchor", "key", "doc_id", "context")
-    some = some.repartition("anchor").sortWithinPartitions("anchor", "key").mapInArrow(scan, "anchor bigint, key bigint, firsts array<bigint>")
+    return rows.repartition("anchor", "block").sortWithinPartitions("anchor", "block", "key").mapInArrow(scan, schema)
+
 
+def settled(held: DataFrame, found: DataFrame, length: int) -> DataFrame:
+    """For each context (anchor, key): ``firsts``, the least document of the string at each of its places; one entry if all are the same."""
+    spark = found.sparkSession
+    distinct = materialize(found.groupBy("anchor", "key").agg(F.min(F.struct("doc_id", "text_key", "start", "places")).alias("f")).select("anchor", "key", "f.*"))
+    counts = materialize(distinct.groupBy("anchor").agg(F.count("*").alias("n")))
+    counted = materialize(distinct.join(counts, "anchor"))
+    discard(distinct, counts)
+    release(spark)
+    single = counted.filter("n = 1").select("anchor", "key", F.array("doc_id").alias("firsts"))
+    several = materialize(with_bytes(held, counted.filter("n > 1"), length))
+    release(spark)
+    scanned = materialize(scan_blocks(several, length, BLOCK))
+    discard(several)
+    release(spark)
+    some = scanned.filter(f"n <= {BLOCK}").select("anchor", "key", "firsts")
+
+    # the strings of blocks of one anchor meet: those that a block found equal have one number there, so they are combined before the shuffle
     places = F.sequence(F.lit(1), F.octet_length("context") - length + 1)
-    string = F.substring(F.col("context"), F.col("place"), F.lit(length))
-    many = several.filter(f"n > {MANY}").select("anchor", "key", "doc_id", "context", F.explode(places).alias("place"))
-    many = many.select("anchor", "key", "doc_id", "place", string.alias("string"))
-    least = materialize(many.groupBy("string").agg(F.min("doc_id").alias("first")))
-    many = many.join(least, "string").groupBy("anchor", "key").agg(F.sort_array(F.collect_list(F.struct("place", "first"))).alias("found"))
+    string = F.substring(F.col("context"), F.col("place"), F.lit(length)).alias("string")
+    first = F.element_at("firsts", F.when(F.size("firsts") == 1, 1).otherwise(F.col("place"))).alias("first")
+    many = scanned.filter(f"n > {BLOCK}").select("anchor", "key", "context", "firsts", F.explode(places).alias("place"))
+    many = many.select("anchor", "key", "place", string, first)
+    least = materialize(many.groupBy("string").agg(F.min("first").alias("first")))
+    many = many.drop("first").join(least, "string").groupBy("anchor", "key").agg(F.sort_array(F.collect_list(F.struct("place", "first"))).alias("found"))
     known = materialize(single.union(some).union(many.select("anchor", "key", F.col("found.first").alias("firsts"))))
-    discard(counted, several, least)
+    discard(counted, scanned, least)
     return known
 
 
 def covered_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     """Rows (doc_id, text_key, spans): of each first document of a text, the runs of bytes to remove, in order.
 
-    ``docs``: doc_id (bigint, not null), text (not null), text_key (a hash of the text).
+    ``docs``: doc_id (bigint, not null), text (not null), ``same`` and ``text_key`` (hashes of the text).
     """
     spark = docs.sparkSession
     shared = materialize(shared_anchors(docs, length))
     release(spark)
-    firsts = docs.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"))
-    found = materialize(places_of(docs, firsts, shared, length))
+    firsts = docs.groupBy("same", "text_key").agg(F.min("doc_id").alias("doc_id")).drop("same")
+    lists = materialize(firsts.join(shared, "text_key").groupBy("doc_id", "text_key").agg(F.collect_list("anchor").alias("anchors")))  # of one text
     discard(shared)
     release(spark)
-    known = settled(docs, found, length)
+    held = materialize(contexts_of(docs.select("doc_id", "text_key", "text"), lists, length))
+    discard(lists)
+    release(spark)
+    found = held.select("doc_id", "text_key", F.explode("contexts").alias("c")).select("doc_id", "text_key", "c.*")
+    known = settled(held, found, length)
     release(spark)
     rows = materialize(found.join(known, ["anchor", "key"]).filter(F.exists("firsts", lambda x: x < F.col("doc_id"))).select("doc_id", "text_key", "start", "places", "firsts"))
-    discard(found, known)
+    discard(held, known)
     release(spark)
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,9 +387,9 @@ def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text: str =
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text).alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(c) for c in carry]).alias("carried"))
     rows = rows.withColumn("same", F.unhex(F.md5(F.encode("text", "UTF-8"))))
-    rows = rows.withColumn("text_key", F.conv(F.substring(F.hex("same"), 1, 15), 16, 10).cast("bigint"))
+    rows = rows.withColumn("text_key", F.xxhash64("text"))
     known = rows.filter(F.col("doc_id").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    spans = covered_spans(known.select("doc_id", "text", "text_key"), length)
+    spans = covered_spans(known.select("doc_id", "text", "same", "text_key"), length)
     member = materialize(known.select("doc_id", "same", "text_key", F.octet_length("text").cast("long").alias("n")))
     reps = materialize(member.groupBy("same").agg(F.min("doc_id").alias("rep")))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.col("n").alias("end")))

@@ -190,9 +190,10 @@ def brute_repeats(texts, length=50):
     return out
 
 
-@pytest.mark.parametrize("many", [1000, 1])
-def test_repeats_equal_brute_force(spark, corpus, many, monkeypatch):
-    monkeypatch.setattr(repeats, "MANY", many)
+@pytest.mark.parametrize(("block", "hot"), [(1000, 20), (2, 1), (1, 0)])
+def test_repeats_equal_brute_force(spark, corpus, block, hot, monkeypatch):
+    monkeypatch.setattr(repeats, "BLOCK", block)
+    monkeypatch.setattr(repeats, "HOT", hot)
     got = {r.doc_id: (r.n_bytes, sum(s.end - s.begin for s in r.spans), len(r.spans), bytes(r.kept)) for r in repeats.dedup(docs_of(spark, corpus)).collect()}
     assert got == brute_repeats(corpus)
 
@@ -203,6 +204,8 @@ def test_repeats_odd_rows(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("spans", F.lit(1))
     got = sorted((r.doc_id or -1, r.n_bytes, len(r.kept)) for r in repeats.dedup(df).collect())
     assert got == [(-1, 60, 60), (1, 60, 60), (1, 60, 60), (2, 60, 0), (3, 0, 0)]
+    both = spark.createDataFrame([(1, long), (1, f"{long}!"), (2, f"?{long}")], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.n_bytes, len(r.kept)) for r in repeats.dedup(both).collect()) == [(1, 60, 60), (1, 61, 61), (2, 61, 1)]
     assert repeats.dedup(df.limit(0)).count() == 0
 
 
