@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from loquent.llm.common import materialize, runs, sliced, text_or_empty
 
-#: Classes, words in each, units. Symbols: 0 the end, 1 any rare word, from 2 on the most frequent words.
+#: Classes, words in each, units. Symbols: 0 any rare word, in a class of its own; from the next class on the end and
+#: the most frequent words.
 CLASSES, EACH, UNITS = 32, 32, 16
 SYMBOLS = CLASSES * EACH
 #: Steps between two cuts of backpropagation, and steps scored at once; documents in one training batch.
@@ -30,7 +31,9 @@ AT_ONCE = 60_000
 HELD = 100_000
 #: Tokens that one task trains on between two averages, about.
 SHARD = 1_000_000
-END_SYMBOL, RARE = 0, 1
+RARE, END_SYMBOL = 0, EACH
+#: Most frequent words that have a symbol, and the first of these.
+OWN, FIRST = SYMBOLS - EACH - 1, EACH + 1
 
 
 class WordCodes(dict):
@@ -88,50 +91,59 @@ class Model:
         return model
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The states after ``h`` and inputs ``x`` (rows of ``inputs``), and what backpropagation needs of the gates."""
-        g = h @ self.carry
-        zr = sigmoid(x[:, : 2 * UNITS] + g[:, : 2 * UNITS])
-        z, r = zr[:, :UNITS], zr[:, UNITS:]
-        n = np.tanh(x[:, 2 * UNITS :] + r * g[:, 2 * UNITS :])
-        return n + z * (h - n), z, r, n, g[:, 2 * UNITS :]
+        """The states after ``h`` (a column for each text) and inputs ``x``, and what backpropagation needs of the gates."""
+        g = self.carry.T @ h
+        zr = sigmoid(x[: 2 * UNITS] + g[: 2 * UNITS])
+        z, r = zr[:UNITS], zr[UNITS:]
+        n = np.tanh(x[2 * UNITS :] + r * g[2 * UNITS :])
+        return n + z * (h - n), z, r, n, g[2 * UNITS :]
+
+    def columns(self) -> np.ndarray:
+        """What each symbol puts into the gates, as a column."""
+        return np.ascontiguousarray(self.inputs.T)
 
     def told(self, h: np.ndarray, symbols: np.ndarray, grads: Model | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Log probabilities of ``symbols`` after states ``h``; with ``grads``, adds the loss's slopes, and gives that by ``h``."""
-        order = np.argsort(symbols // EACH, kind="stable")  # by class, so that each class is one slice
-        h, group, word = h[order], symbols[order] // EACH, symbols[order] % EACH
-        rows = np.arange(len(symbols))
-        logits = h @ self.class_w + self.class_b
-        logits -= logits.max(1, keepdims=True)
-        picked = logits[rows, group]
+        """Log probabilities of ``symbols`` after states ``h`` (columns); with ``grads``, adds the loss's slopes, and gives that by ``h``.
+
+        The class of rare words has no other symbol, so nothing is to be told inside it.
+        """
+        order = np.argsort((symbols // EACH).astype(np.uint16), kind="stable")  # by class, so that each class is one slice
+        h, group, word = np.take(h, order, axis=1), symbols[order] // EACH, symbols[order] % EACH
+        every = np.arange(len(symbols))
+        logits = self.class_w.T @ h + self.class_b[:, None]
+        logits -= logits.max(0)
+        picked = logits[group, every]
         np.exp(logits, out=logits)
-        total = logits.sum(1)
+        total = logits.sum(0)
         out = picked - np.log(total)
         slope = None
         if grads is not None:
-            logits /= total[:, None]
-            logits[rows, group] -= 1
-            grads.class_w += h.T @ logits
-            grads.class_b += logits.sum(0)
-            slope = logits @ self.class_w.T
+            logits /= total
+            logits[group, every] -= 1
+            grads.class_w += h @ logits.T
+            grads.class_b += logits.sum(1)
+            slope = self.class_w @ logits
         bounds = np.searchsorted(group, np.arange(CLASSES + 1))
         for c in np.flatnonzero(np.diff(bounds)):
+            if c == RARE // EACH:
+                continue
             at = slice(bounds[c], bounds[c + 1])
-            logits = h[at] @ self.word_w[c].T + self.word_b[c]
-            logits -= logits.max(1, keepdims=True)
-            one = rows[: len(logits)]
-            picked = logits[one, word[at]]
+            logits = self.word_w[c] @ h[:, at] + self.word_b[c][:, None]
+            logits -= logits.max(0)
+            one = every[: logits.shape[1]]
+            picked = logits[word[at], one]
             np.exp(logits, out=logits)
-            total = logits.sum(1)
+            total = logits.sum(0)
             out[at] += picked - np.log(total)
             if grads is not None:
-                logits /= total[:, None]
-                logits[one, word[at]] -= 1
-                grads.word_w[c] += logits.T @ h[at]
-                grads.word_b[c] += logits.sum(0)
-                slope[at] += logits @ self.word_w[c]
+                logits /= total
+                logits[word[at], one] -= 1
+                grads.word_w[c] += logits @ h[:, at].T
+                grads.word_b[c] += logits.sum(1)
+                slope[:, at] += self.word_w[c].T @ logits
         back = np.empty_like(order)
-        back[order] = rows
-        return out[back], slope[back] if slope is not None else None
+        back[order] = every
+        return out[back], np.take(slope, back, axis=1) if slope is not None else None
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """The natural log probability of each sequence of symbols, all stepping together from window to window."""
@@ -140,18 +152,20 @@ class Model:
         flat = np.concatenate([texts[i] for i in order]).astype(np.int64) if len(texts) else np.zeros(0, np.int64)
         sizes = sizes[order]
         begins = np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(sizes) else sizes
-        out, h = np.zeros(len(texts)), np.zeros((len(texts), UNITS), np.float32)
+        out, h = np.zeros(len(texts)), np.zeros((UNITS, len(texts)), np.float32)
         held: list[tuple[np.ndarray, ...]] = []
         steps = int(sizes.max(initial=0))
-        rows = 0
+        rows, columns = 0, self.columns()
         for t in range(steps):
             n = int(np.searchsorted(-sizes, -t, "left"))  # those longer than t come first
             now = flat[begins[:n] + t]
-            held.append((h[:n].copy(), now, np.arange(n)))
-            h[:n] = self.step(self.inputs[now], h[:n])[0]
+            h = h[:, :n]
+            held.append((h, now, np.arange(n)))
+            h = self.step(np.take(columns, now, axis=1), h)[0]
             rows += n
             if rows >= AT_ONCE or len(held) == SCORED or t + 1 == steps:
-                states, symbols, owners = map(np.concatenate, zip(*held))
+                states = np.concatenate([x[0] for x in held], axis=1)
+                symbols, owners = (np.concatenate([x[i] for x in held]) for i in (1, 2))
                 out += np.bincount(owners, self.told(states, symbols)[0], minlength=len(texts))
                 held, rows = [], 0
         back = np.empty(len(texts))
@@ -167,53 +181,55 @@ class Model:
             batch = texts[b : b + many]
             sizes = np.array([len(t) for t in batch])
             flat, begins = np.concatenate(batch).astype(np.int64), np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            h = np.zeros((len(batch), UNITS), np.float32)
+            h = np.zeros((UNITS, len(batch)), np.float32)
             for at in range(0, int(sizes[0]), WINDOW):
                 counts = np.searchsorted(-sizes, -np.arange(at, min(at + WINDOW, int(sizes[0]))), "left")  # those that go on come first
-                slope = self.window(flat, begins, at, counts, h)
+                slope, h = self.window(flat, begins, at, counts, h)
                 step += 1
                 first += 0.1 * (slope - first)
                 second += 0.01 * (slope * slope - second)
                 self.flat -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
         return sum(map(len, texts))
 
-    def window(self, flat: np.ndarray, begins: np.ndarray, at: int, counts: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """The mean loss's slopes over one window; ``h`` goes on to its end. Slopes go back to its beginning, not beyond.
+    def window(self, flat: np.ndarray, begins: np.ndarray, at: int, counts: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The mean loss's slopes over one window, and the states after it. Slopes go back to its beginning, not beyond.
 
         The steps from ``at`` on have ``counts`` sequences each; ``begins`` says where those lie in ``flat``.
         """
         bounds = np.concatenate(([0], np.cumsum(counts)))
         steps = np.repeat(np.arange(len(counts)), counts)
         symbols = flat[begins[np.arange(bounds[-1]) - bounds[steps]] + at + steps]
-        x, before, gates = self.inputs[symbols], np.empty((bounds[-1], UNITS), np.float32), []
+        x, before, gates = np.take(self.columns(), symbols, axis=1), np.empty((UNITS, bounds[-1]), np.float32), []
         for n, a, b in zip(counts, bounds, bounds[1:]):
-            before[a:b] = h[:n]
-            h[:n], *now = self.step(x[a:b], before[a:b])
+            h = before[:, a:b] = h[:, :n]
+            h, *now = self.step(x[:, a:b], h)
             gates.append(now)
         grads = Model(np.zeros(self.SIZE, np.float32))
         slopes = self.told(before, symbols, grads)[1]
         dg, dx = np.empty_like(x), x  # x is not read again
-        d, carry_back = np.zeros((0, UNITS), np.float32), np.ascontiguousarray(self.carry.T)
+        d = np.zeros((UNITS, 0), np.float32)
         for n, a, b, (z, r, cand, g) in zip(counts[::-1], bounds[-2::-1], bounds[:0:-1], gates[::-1]):
-            if len(d) < n:
-                d = np.concatenate((d, np.zeros((n - len(d), UNITS), np.float32)))
+            if d.shape[1] < n:
+                d = np.concatenate((d, np.zeros((UNITS, n - d.shape[1]), np.float32)), axis=1)
             dn = d * (1 - z)
-            dz = dn * (before[a:b] - cand) * z
+            dx[:UNITS, a:b] = dn * (before[:, a:b] - cand) * z
             dn *= 1 - cand * cand
             rest = dn * r
-            dx[a:b, :UNITS], dx[a:b, UNITS : 2 * UNITS], dx[a:b, 2 * UNITS :] = dz, rest * g * (1 - r), dn
-            dg[a:b, : 2 * UNITS], dg[a:b, 2 * UNITS :] = dx[a:b, : 2 * UNITS], rest
-            d = d * z + dg[a:b] @ carry_back + slopes[a:b]
-        grads.carry += before.T @ dg
-        order = np.argsort(symbols, kind="stable")
+            dx[UNITS : 2 * UNITS, a:b] = rest * g * (1 - r)
+            dx[2 * UNITS :, a:b] = dn
+            dg[: 2 * UNITS, a:b] = dx[: 2 * UNITS, a:b]
+            dg[2 * UNITS :, a:b] = rest
+            d = d * z + self.carry @ dg[:, a:b] + slopes[:, a:b]
+        grads.carry += before @ dg.T
+        order = np.argsort(symbols.astype(np.uint16), kind="stable")
         distinct, begin = np.unique(symbols[order], return_index=True)
-        grads.inputs[distinct] += np.add.reduceat(dx[order], begin)
-        return np.clip(grads.flat / len(symbols), -1, 1)
+        grads.inputs[distinct] += np.add.reduceat(np.take(dx, order, axis=1), begin, axis=1).T
+        return np.clip(grads.flat / len(symbols), -1, 1), h
 
 
 def symbols_of(codes: np.ndarray) -> np.ndarray:
     """The model's symbols for the words with these codes, and the end."""
-    return np.concatenate((np.where((codes >= 0) & (codes < SYMBOLS - 2), codes + 2, RARE), [END_SYMBOL])).astype(np.int64)
+    return np.concatenate((np.where((codes >= 0) & (codes < OWN), codes + FIRST, RARE), [END_SYMBOL])).astype(np.int64)
 
 
 def held_out(id_col: Column) -> Column:
@@ -283,7 +299,7 @@ def trained(docs: DataFrame, model: Model, rounds: int, shards: int) -> Model:
 
         shard = F.pmod(F.shiftright("key", 8), F.lit(shards)).alias("shard")
         part = docs.filter(F.pmod("key", F.lit(rounds)) == turn).select(shard, "key", "symbols")
-        part = part.repartition("shard").sortWithinPartitions("shard", "key", "symbols")
+        part = part.repartition(shards, "shard").sortWithinPartitions("shard", "key", "symbols")
         rows = part.mapInArrow(fit, "at bigint, value double, seen bigint").groupBy("at").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen")).toPandas()  # one row a parameter
         flat = model.flat.copy()
         flat[rows["at"].to_numpy()] = rows["value"].to_numpy() / rows["seen"].to_numpy()
@@ -309,10 +325,10 @@ def score(docs: DataFrame, rounds: int = 3, id_col: str = "doc_id", text: str =
     n_tokens, n_types = sums["n"] + ends, sums["v"] + (ends > 0)
     words, held = most_frequent(counts, HELD)
     ranks = {w: i for i, w in enumerate(words)}
-    own = held[: SYMBOLS - 2]
+    own = held[:OWN]
     rare = n_tokens - ends - own.sum()
     shares = np.zeros(SYMBOLS)
-    shares[END_SYMBOL], shares[RARE], shares[2 : 2 + len(own)] = ends, rare, own
+    shares[END_SYMBOL], shares[RARE], shares[FIRST : FIRST + len(own)] = ends, rare, own
     log_held = np.log10(held + 1)
     rare_mass = float(rare + (n_types - (ends > 0) - len(own)) + 1)
 
@@ -325,7 +341,7 @@ def score(docs: DataFrame, rounds: int = 3, id_col: str = "doc_id", text: str =
                 found = words_of(value.as_py())
                 code = np.fromiter(map(codes.__getitem__, found), np.int64, len(found))
                 known = code[code >= 0]
-                small = known[known >= SYMBOLS - 2]
+                small = known[known >= OWN]
                 other, tf = np.unique(-1 - code[code < 0], return_counts=True)
                 others.append(other)
                 tfs.append(tf)

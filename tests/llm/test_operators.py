@@ -231,12 +231,12 @@ def test_gradients_are_right():
     rng = np.random.default_rng(3)
     model = recurrent.Model.first(rng.integers(1, 50, recurrent.SYMBOLS).astype(float))
     model.flat[:] += rng.normal(0, 0.2, model.SIZE).astype(np.float32)
-    h = rng.normal(size=(6, recurrent.UNITS)).astype(np.float32)
-    symbols = rng.integers(0, recurrent.SYMBOLS, 6)
+    h = rng.normal(size=(recurrent.UNITS, 6)).astype(np.float32)
+    symbols = np.array([recurrent.RARE, *rng.integers(recurrent.EACH, recurrent.SYMBOLS, 5)])
     grads = recurrent.Model(np.zeros(model.SIZE, np.float32))
     slope = model.told(h, symbols, grads)[1]
     loss = lambda hh: -model.told(hh, symbols)[0].astype(np.float64).sum()
-    for i, j in ((0, 0), (3, 5)):
+    for i, j in ((0, 0), (5, 3)):
         e = np.zeros_like(h)
         e[i, j] = 1e-2
         assert slope[i, j] == pytest.approx((loss(h + e) - loss(h - e)) / 2e-2, abs=2e-2)
@@ -250,21 +250,23 @@ def test_gradients_are_right():
 
 def test_probabilities_sum_to_one_and_state_is_carried():
     model = recurrent.Model.first(np.ones(recurrent.SYMBOLS))
-    h = np.random.default_rng(1).normal(size=(1, recurrent.UNITS)).astype(np.float32)
-    every = np.exp(model.told(np.repeat(h, recurrent.SYMBOLS, 0), np.arange(recurrent.SYMBOLS))[0])
+    h = np.random.default_rng(1).normal(size=(recurrent.UNITS, 1)).astype(np.float32)
+    symbols = np.array([recurrent.RARE, *range(recurrent.EACH, recurrent.SYMBOLS)])
+    every = np.exp(model.told(np.repeat(h, len(symbols), 1), symbols)[0])
     assert every.sum() == pytest.approx(1, abs=1e-4)
     long = np.random.default_rng(2).integers(0, recurrent.SYMBOLS, 3 * recurrent.SCORED + 5)
-    state, total = np.zeros((1, recurrent.UNITS), np.float32), 0.0
+    long[long < recurrent.EACH] = recurrent.RARE
+    state, total = np.zeros((recurrent.UNITS, 1), np.float32), 0.0
     for s in long:
         total += model.told(state, np.array([s]))[0][0]
-        state = model.step(model.inputs[np.array([s])], state)[0]
-    got = model.score([np.array([0]), long, np.array([5, 0])])
+        state = model.step(model.columns()[:, [s]], state)[0]
+    got = model.score([np.array([0]), long, np.array([50, 0])])
     assert got[1] == pytest.approx(total, rel=1e-4) and len(got) == 3
 
 
 def test_training_learns_a_pattern():
     model = recurrent.Model.first(np.ones(recurrent.SYMBOLS))
-    texts = [np.array([2, 3, 4] * 30 + [0]) for _ in range(64)]
+    texts = [np.array([72, 173, 304] * 30 + [recurrent.END_SYMBOL]) for _ in range(64)]
     before = model.score(texts[:1])[0]
     for _ in range(15):
         model.train(texts, 0.02)
@@ -308,7 +310,7 @@ def test_lm_scores_equal_a_plain_recurrence(spark, corpus, monkeypatch):
     while len(top) > 1100:
         last = counts[top[-1]]
         top = [w for w in top if counts[w] > last]
-    symbol = {w: i + 2 for i, w in enumerate(top[: recurrent.SYMBOLS - 2])}
+    symbol = {w: i + recurrent.FIRST for i, w in enumerate(top[: recurrent.OWN])}
     mass = sum(n + 1 for w, n in counts.items() if w not in symbol) + 1
     u = recurrent.UNITS
     for i, found in tokens.items():
@@ -317,9 +319,8 @@ def test_lm_scores_equal_a_plain_recurrence(spark, corpus, monkeypatch):
             s = recurrent.END_SYMBOL if w is None else symbol.get(w, recurrent.RARE)
             group = np.exp(h @ fixed.class_w + fixed.class_b)
             word = np.exp(fixed.word_w[s // recurrent.EACH] @ h + fixed.word_b[s // recurrent.EACH])
-            p = group[s // recurrent.EACH] / group.sum() * word[s % recurrent.EACH] / word.sum()
-            if s == recurrent.RARE:
-                p *= (counts[w] + 1) / mass
+            p = group[s // recurrent.EACH] / group.sum()
+            p *= (counts[w] + 1) / mass if s == recurrent.RARE else word[s % recurrent.EACH] / word.sum()
             total += np.log10(p)
             x, g = fixed.inputs[s], h @ fixed.carry
             z, r = 1 / (1 + np.exp(-(x[:u] + g[:u]))), 1 / (1 + np.exp(-(x[u : 2 * u] + g[u : 2 * u])))
@@ -370,7 +371,8 @@ def test_lm_trains_on_every_document(spark, monkeypatch):
     recurrent.score(docs_of(spark, [(i, f"own{i} " * (i + 2)) for i in range(40)]))
     learnt = [i for i in range(40) if zlib.crc32(str(i).encode()) % 7 != 2]
     before, after = models[0]
-    assert (before.inputs[2 : 2 + len(learnt)] != after.inputs[2 : 2 + len(learnt)]).any(1).all()
+    own = slice(recurrent.FIRST, recurrent.FIRST + len(learnt))
+    assert (before.inputs[own] != after.inputs[own]).any(1).all()
 
 
 # --- 4
