@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loquent.sources.scratch import written
+
 
 def collapse(rows: DataFrame, hashed: str, order: str) -> DataFrame:
     """The first row of each hash with ``members``; rows without a hash all stay, as groups of one.
@@ -37,22 +39,42 @@ def overlap_pairs(rows: DataFrame, key: str, hashed: str, scope: list[str], leas
     return pairs.withColumn("jaccard", index_).filter(F.col("jaccard") >= least).select("a", "b", *scope, "shared", "jaccard")
 
 
-def fork_roots(spark: SparkSession, chats: DataFrame, depth: int = 64) -> DataFrame:
-    """chat_id and the topmost ancestor of each chat (columns chat_id, parent_id).
+def fork_roots(chats: DataFrame) -> DataFrame:
+    """chat_id and the topmost ancestor of each chat (columns chat_id, parent_id), over any number of generations.
 
-    Pointers double each round, so ``depth`` generations take as many rounds as its logarithm; members of a cycle
-    end at its least id. An unknown parent is no parent.
+    Pointers double each round, and chats that have reached their top take no further part. Those that are left once
+    as many steps are covered as there are such chats lie on a cycle or below one, and end at the least id of it. An
+    unknown parent is no parent. Rounds are written to the shared folder; their number is the logarithm of the longest chain.
     """
-    known = chats.select(F.col("chat_id").alias("__p"))
-    up = chats.join(known, chats["parent_id"] == F.col("__p"), "left").select("chat_id", F.coalesce("__p", "chat_id").alias("root"))
-    least = up.withColumn("least", F.least("chat_id", "root"))
-    rounds = max(1, (depth - 1).bit_length())
-    for _ in range(rounds):
-        above = least.select(F.col("chat_id").alias("__c"), F.col("root").alias("__r"), F.col("least").alias("__l"))
-        least = least.join(above, least["root"] == above["__c"]).select("chat_id", F.col("__r").alias("root"), F.least("least", "__l").alias("least"))
-    tops = up.filter("chat_id = root").select(F.col("chat_id").alias("__top"))
-    found = least.join(tops, least["root"] == tops["__top"], "left")
-    return found.select("chat_id", F.coalesce("__top", "least").alias("root"))
+    known = chats.select(F.col("chat_id").alias("__p")).distinct()
+    up = chats.dropDuplicates(["chat_id"]).join(known, F.col("parent_id") == F.col("__p"), "left").select("chat_id", F.coalesce("__p", "chat_id").alias("up"))
+    now = written(up.select("chat_id", "up", F.least("chat_id", "up").alias("least"), (F.col("up") == F.col("chat_id")).alias("done")))
+    steps = 1
+    while (left := now.filter("not done").count()) and steps <= 2 * left:
+        above = now.select(F.col("chat_id").alias("__c"), F.col("up").alias("__u"), F.col("least").alias("__l"), F.col("done").alias("__d"))
+        moved = now.filter("not done").join(above, F.col("up") == F.col("__c")).select("chat_id", F.col("__u").alias("up"), F.least("least", "__l").alias("least"), F.col("__d").alias("done"))
+        now, steps = written(now.filter("done").union(moved)), 2 * steps
+    on_cycle = now.select(F.col("chat_id").alias("__c"), F.col("least").alias("__l"))
+    return now.join(on_cycle, F.col("up") == F.col("__c")).select("chat_id", F.when(F.col("done"), F.col("up")).otherwise(F.col("__l")).alias("root"))
+
+
+def chat_duplicates(segments: DataFrame, chats: DataFrame, sizes: DataFrame, least: float = 0.3, over: int = 20) -> DataFrame:
+    """Pairs of chats of one owner and model that share blocks of text, each labelled forked or duplicate.
+
+    segments: chat_id, owner_id, model, content_hash; chats: chat_id, parent_id; sizes: chat_id, messages. Only chats
+    with more than ``over`` messages count; blocks without a hash don't.
+    """
+    eligible = segments.join(sizes.filter(F.col("messages") > over).select("chat_id"), "chat_id", "left_semi")
+    pairs = overlap_pairs(eligible, "chat_id", "content_hash", ["owner_id", "model"], least)
+    roots = fork_roots(chats)
+    side = lambda c: roots.select(F.col("chat_id").alias(c), F.col("root").alias(f"__{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").withColumn("relation", relation(F.col("__a"), F.col("__b"))).drop("__a", "__b")
+
+
+def duplicate_counts(vector_pairs: DataFrame, chat_pairs: DataFrame) -> DataFrame:
+    """One row: pairs of look-alike characters, and of duplicate chats, forks left out."""
+    one = vector_pairs.agg(F.count("*").alias("characters"))
+    return one.crossJoin(F.broadcast(chat_pairs.filter("relation <> 'forked'").agg(F.count("*").alias("chats"))))  # one row each
 
 
 def relation(root_a: Column, root_b: Column) -> Column:

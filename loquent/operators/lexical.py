@@ -8,20 +8,30 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loquent.functions.text import snippet_around
+
 #: Parameters of BM25+, and the weights of a term found by prefix or near spelling; public defaults of small engines.
 K, B, DELTA = 1.2, 0.7, 0.5
 PREFIX_WEIGHT, FUZZY_WEIGHT = 0.375, 0.45
 
 
 def index(docs: DataFrame, fields: Sequence[str], key: str = "id") -> DataFrame:
-    """id, field, term, tf and the field's length; terms are in lower case and longer than one character."""
+    """id, field, term, tf and the field's length; terms are in lower case and longer than one character.
+
+    In order of term, so that a stored index is read only where its terms may lie.
+    """
     parts = None
     for field in fields:
         words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(field, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.length(w) > 1)
         one = docs.select(F.col(key).alias("id"), F.lit(field).alias("field"), words.alias("words"))
         parts = one if parts is None else parts.unionByName(one)
     rows = parts.select("id", "field", F.size("words").alias("length"), F.explode("words").alias("term"))
-    return rows.groupBy("id", "field", "length", "term").agg(F.count("*").alias("tf"))
+    return rows.groupBy("id", "field", "length", "term").agg(F.count("*").alias("tf")).repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+
+
+def field_sizes(postings: DataFrame) -> DataFrame:
+    """Per field how many documents have it and its mean length: facts of the index, stored beside it."""
+    return postings.select("id", "field", "length").distinct().groupBy("field").agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
 
 
 def query_terms(q: str) -> list[str]:
@@ -45,12 +55,12 @@ def matching(postings: DataFrame, q: str, fuzzy: float = 0.2, prefix: bool = Tru
     return out
 
 
-def search(postings: DataFrame, q: str, boosts: dict[str, float], fuzzy: float = 0.2, prefix: bool = True, every: bool = True, limit: int = 50) -> DataFrame:
-    """id and score; with ``every``, of those that match each term of the query."""
+def search(postings: DataFrame, q: str, boosts: dict[str, float], fuzzy: float = 0.2, prefix: bool = True, every: bool = True, limit: int = 50, sizes: DataFrame | None = None) -> DataFrame:
+    """id and score; with ``every``, of those that match each term of the query. ``sizes``: stored ``field_sizes``."""
     found = matching(postings, q, fuzzy, prefix)
     if found is None:
         return postings.select("id", F.lit(0.0).alias("score")).limit(0)
-    sizes = postings.select("id", "field", "length").distinct().groupBy("field").agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
+    sizes = field_sizes(postings) if sizes is None else sizes
     spread = found.groupBy("field", "term").agg(F.count_distinct("id").alias("df"))
     boost = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in boosts.items() for x in kv]), F.col("field")), F.lit(1.0))
     rows = found.join(F.broadcast(sizes), "field").join(spread, ["field", "term"])  # sizes: a row a field
@@ -63,6 +73,12 @@ def search(postings: DataFrame, q: str, boosts: dict[str, float], fuzzy: float =
     return per.select("id", "score").orderBy(F.desc("score"), "id").limit(limit)
 
 
+def with_snippets(hits: DataFrame, docs: DataFrame, q: str, text: str, key: str = "id") -> DataFrame:
+    """``hits`` (id, score) with the place in a field where a term of the query first stands."""
+    rows = docs.select(F.col(key).alias("id"), snippet_around(F.coalesce(text, F.lit("")), query_terms(q)).alias("snippet"))
+    return hits.join(rows, "id")
+
+
 def suggest(postings: DataFrame, q: str, limit: int = 8) -> DataFrame:
     """Terms of the index that the last word of the query may become, by how many documents have them."""
     last = query_terms(q)[-1:]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loquent.functions.values import csls_distance
 from loquent.operators.dedupe import keep_first
-from loquent.operators.vectors import nearest
+from loquent.operators.vectors import nearest, nearest_each
 
 Scorer = Callable[[str, pd.Series], pd.Series]
 
@@ -78,3 +78,45 @@ def hybrid(digests: DataFrame, segments: DataFrame, query: Column, k: int = 10,
     both = one.unionByName(two, allowMissingColumns=True)
     order = [F.col("rank_distance"), F.col("distance"), F.col("origin"), F.col("id")]
     return keep_first(both, ["chat_id", "tier", "block_idx"], order).orderBy(*order).limit(k)
+
+
+def pool_each(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """For each query (query_id, vec) the ``k`` nearest of all rows (id, vec, hub, ...), with distance and rank_distance."""
+    found = nearest_each(queries, vectors, k).join(vectors.drop("vec"), "id")
+    return found.withColumn("rank_distance", csls_distance(F.col("distance"), F.col("hub")))
+
+
+def _first(rows: DataFrame, k: int, *order: str) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+    return rows.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def knn_each(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """``knn`` for a table of queries."""
+    return _first(pool_each(vectors, queries, 4 * k), k, "rank_distance", "distance", "id")
+
+
+def discover_each(segments: DataFrame, queries: DataFrame, group: str, k: int = 10, pool_size: int | None = None, evidence: int = 3) -> DataFrame:
+    """``discover`` for a table of queries."""
+    found = pool_each(segments, queries, min(20 * k, 400) if pool_size is None else pool_size)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank_distance", "distance", "id"))
+    nth = F.row_number().over(Window.partitionBy("query_id", group).orderBy("place"))
+    inside = found.withColumn("place", place).withColumn("nth", nth)
+    grouped = inside.groupBy("query_id", group).agg(F.min("place").alias("best"), F.count("*").alias("matches"), F.sort_array(F.collect_list(F.when(F.col("nth") <= evidence, F.struct("place", "id")))).alias("found"))
+    return _first(grouped, k, "best").select("query_id", group, "best", "matches", F.transform("found", lambda x: x["id"]).alias("evidence"))
+
+
+def hybrid_each(digests: DataFrame, segments: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """``hybrid`` for a table of queries."""
+    one = pool_each(digests, queries, 8 * k).withColumn("origin", F.lit("digest"))
+    two = pool_each(segments, queries, 8 * k).withColumn("origin", F.lit("segment")).withColumn("tier", F.lit(0).cast(dict(digests.dtypes)["tier"]))
+    order = ["rank_distance", "distance", "origin", "id"]
+    best = keep_first(one.unionByName(two, allowMissingColumns=True), ["query_id", "chat_id", "tier", "block_idx"], [F.col(c) for c in order])
+    return _first(best, k, *order)
+
+
+def reranked(hits: DataFrame, query: str, text: str, k: int = 10, scorer: Scorer = overlap_scorer) -> DataFrame:
+    """The ``k`` best of a pool by a scorer, with ``rank``; what it can't score comes last, in the order of the pool (column place)."""
+    scored = rerank(hits, query, text, scorer)
+    order = Window.orderBy(F.desc_nulls_last("score"), "place")  # of a pool of bounded size
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loquent.functions.values import cosine
 from loquent.operators.dedupe import collapse
-from loquent.operators.vectors import centroids, kmeans, nearest_centroid
+from loquent.operators.vectors import centroids, kmeans, nearest_centroid, nearest_each
 
 
 def compute(digests: DataFrame, k: int = 30, seed: int = 1) -> DataFrame | None:
@@ -22,6 +22,14 @@ def compute(digests: DataFrame, k: int = 30, seed: int = 1) -> DataFrame | None:
     return nearest_centroid(known, kmeans(one_each, k, seed))
 
 
+def similar_each(segments: DataFrame, asked: Column, limit: int = 10) -> DataFrame:
+    """For each chat that ``asked`` holds for (a condition on chat_id), the ``limit`` chats of the nearest mean vectors."""
+    means = centroids(segments, "chat_id")
+    queries = means.filter(asked).select(F.col("chat_id").alias("query_id"), "vec")
+    found = nearest_each(queries, means.select(F.col("chat_id").alias("id"), "vec"), limit)
+    return found.select("query_id", "id", (1 - F.col("distance")).alias("similarity"))
+
+
 def rollup(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("cluster").agg(F.count("*").alias("members"), F.avg("distance").alias("distance"))
 

@@ -100,11 +100,56 @@ def nearest(vectors: DataFrame, query: Column, k: int) -> DataFrame:
     return scored.orderBy("distance", "id").limit(k)
 
 
+def nearest_each(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """query_id, id and ``distance`` of the ``k`` rows nearest to each query (query_id, vec), itself left out.
+
+    Blocks of queries meet blocks of rows (id bigint, vec), one matrix product in a task; each sends on ``k`` rows a
+    query, and more only where distances are equal. Ties go to the smaller id.
+    """
+    queries, vectors = queries.filter(F.col("vec").isNotNull()), vectors.filter(F.col("vec").isNotNull())
+    n_q, n_r = (max(1, -(-df.count() // BLOCK)) for df in (queries, vectors))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    slot = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    asked = queries.select(F.col("query_id").cast("bigint").alias("id"), "vec", F.lit(True).alias("asked"), slot("query_id", n_q).alias("one"), every(n_r).alias("two"))
+    rows = vectors.select(F.col("id").cast("bigint").alias("id"), "vec", F.lit(False).alias("asked"), every(n_q).alias("one"), slot("id", n_r).alias("two"))
+
+    def each(table: pa.Table) -> pa.Table:
+        is_query, ids = table.column("asked").to_numpy(), table.column("id").to_numpy()
+        unit = _unit(table)
+        far = 1 - unit[is_query] @ unit[~is_query].T
+        far[ids[is_query][:, None] == ids[~is_query]] = np.inf
+        if far.size:
+            n = min(k, far.shape[1])
+            i, j = np.nonzero((far <= np.partition(far, n - 1, axis=1)[:, n - 1 : n]) & np.isfinite(far))
+        else:
+            i = j = np.zeros(0, np.int64)
+        return pa.table({"query_id": ids[is_query][i], "id": ids[~is_query][j], "distance": far[i, j]})
+
+    found = asked.unionByName(rows).groupBy("one", "two").applyInArrow(each, "query_id bigint, id bigint, distance double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    return found.withColumn("__rank", rank).filter(F.col("__rank") <= k).drop("__rank")
+
+
 def centroids(vectors: DataFrame, key: str) -> DataFrame:
-    """The mean vector of each key, not normalised."""
-    parts = vectors.filter(F.col("vec").isNotNull()).select(key, F.posexplode("vec").alias("pos", "x"))
-    means = parts.groupBy(key, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return means.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("vec"))
+    """The mean vector of each key, not normalised; tasks send on one sum a key, not their rows."""
+    kind = dict(vectors.dtypes)[key]
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            codes = batch.column(0).dictionary_encode("encode")
+            total = np.zeros((len(codes.dictionary), rows.shape[1]))
+            np.add.at(total, codes.indices.to_numpy(), rows)
+            n = np.bincount(codes.indices.to_numpy(), minlength=len(total))
+            yield pa.RecordBatch.from_arrays([codes.dictionary, pa.array(list(total), pa.list_(pa.float64())), pa.array(n)], [key, "total", "n"])
+
+    parts = vectors.filter(F.col("vec").isNotNull()).select(key, "vec").mapInArrow(sums, f"`{key}` {kind}, total array<double>, n bigint")
+    dims = F.max(F.size("total")).alias("dims")
+    both = parts.groupBy(key).agg(F.sum("n").alias("n"), F.collect_list("total").alias("totals"), dims)  # a row a batch
+    add = F.aggregate("totals", F.array_repeat(F.lit(0.0), F.col("dims")), lambda t, x: F.zip_with(t, x, lambda a, b: a + b))
+    return both.select(key, F.transform(add, lambda x: x / F.col("n")).alias("vec"))
 
 
 def nearest_centroid(vectors: DataFrame, few: list[tuple[int, list[float]]]) -> DataFrame:

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loquent.functions import text as tx
 from loquent.operators import catalog, dedupe, keywords, lexical, memory, search, segments, state, stats, themes, vectors
+from loquent.sources.scratch import stored
 from loquent.sources.tables import activity, messages, table
 from loquent.sources.tables import vectors as vecs
 
@@ -281,7 +282,7 @@ def fork_copy(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def segment_windows(s: SparkSession, d: str) -> DataFrame:
-    return segments.segment(messages(s, d), target=200, least=60)
+    return segments.segment(messages(s, d))
 
 
 @query()
@@ -322,12 +323,12 @@ def _chats(s: SparkSession, d: str) -> DataFrame:
 
 @query(_FORKS + " SELECT chat_id, root FROM roots")
 def fork_roots(s: SparkSession, d: str) -> DataFrame:
-    return dedupe.fork_roots(s, _chats(s, d))
+    return dedupe.fork_roots(_chats(s, d))
 
 
 @query(_FORKS + ", p AS (SELECT conv_id AS a, conv_id + 1 AS b FROM (SELECT DISTINCT conv_id FROM conversations)) SELECT a, b, CASE WHEN x.root = y.root THEN 'forked' ELSE 'duplicate' END AS relation FROM p JOIN roots x ON x.chat_id = a JOIN roots y ON y.chat_id = b")
 def chat_relations(s: SparkSession, d: str) -> DataFrame:
-    roots = dedupe.fork_roots(s, _chats(s, d))
+    roots = dedupe.fork_roots(_chats(s, d))
     one = roots.select(F.col("chat_id").alias("a"), (F.col("chat_id") + 1).alias("b"), F.col("root").alias("ra"))
     two = roots.select(F.col("chat_id").alias("b"), F.col("root").alias("rb"))
     return one.join(two, "b").select("a", "b", dedupe.relation(F.col("ra"), F.col("rb")).alias("relation"))
@@ -357,40 +358,43 @@ def csls_pairs(s: SparkSession, d: str) -> DataFrame:
     return vectors.csls_pairs(pairs, vectors.hub_scores(vecs(s, d))).select("a", "b", *r6("cosine", "csls"))
 
 
-def _query_vector(s: SparkSession, d: str) -> list[float]:
-    return vecs(s, d).filter("id = 0").select("vec").first()["vec"]
+def _with_hubs(s: SparkSession, d: str) -> DataFrame:
+    """The vectors with their hub scores, which are worked out and stored once."""
+    return vecs(s, d).join(stored("hubs", vecs(s, d), vectors.hub_scores).select("id", "hub"), "id")
 
 
-def _with_hubs(s: SparkSession, d: str) -> DataFrame:
-    return vecs(s, d).join(vectors.hub_scores(vecs(s, d)).select("id", "hub"), "id")
+def _asked(s: SparkSession, d: str) -> DataFrame:
+    return vecs(s, d).filter("id % 50 = 0").select(F.col("id").alias("query_id"), "vec")
 
 
-_POOL = _P + _HUB + """, q AS (SELECT e AS qe FROM v WHERE id = 0),
-d AS (SELECT v.id, v.grp, hub, 1 - list_cosine_similarity(e, qe) AS distance FROM v JOIN hub USING (id), q WHERE v.id <> 0),
-c AS (SELECT *, greatest(0.0, distance - 1 + hub) AS rank_distance FROM d ORDER BY distance, id LIMIT {pool})"""
+_POOL = _P + _HUB + """, q AS (SELECT id AS query_id, e AS qe FROM v WHERE id % 50 = 0),
+d AS (SELECT query_id, v.id, v.grp, hub, v.id % 2 AS half, v.id % 7 AS chat_id, v.id // 20 AS block_idx, 1 - list_cosine_similarity(e, qe) AS distance FROM v JOIN hub USING (id), q WHERE v.id <> query_id),
+h AS (SELECT *, row_number() OVER (PARTITION BY query_id{pool_by} ORDER BY distance, id) AS p FROM d),
+c AS (SELECT *, CASE WHEN half = 0 THEN 'digest' ELSE 'segment' END AS origin, greatest(0.0, distance - 1 + hub) AS rank_distance FROM h WHERE p <= {pool})"""
 
 
-@query(_POOL.format(pool=40) + " SELECT id, round(distance, 6) AS distance, round(rank_distance, 6) AS rank_distance FROM c ORDER BY c.rank_distance, c.distance, id LIMIT 10")
+@query(_POOL.format(pool=40, pool_by="") + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank_distance, distance, id)::INT AS rank FROM c) SELECT query_id, rank, id, round(distance, 6) AS distance, round(rank_distance, 6) AS rank_distance FROM r WHERE rank <= 10")
 def knn_csls(s: SparkSession, d: str) -> DataFrame:
-    found = search.knn(_with_hubs(s, d).filter("id <> 0"), search.literal_vector(_query_vector(s, d)), 10)
-    return found.select("id", *r6("distance", "rank_distance"))
+    return search.knn_each(_with_hubs(s, d), _asked(s, d), 10).select("query_id", "rank", "id", *r6("distance", "rank_distance"))
 
 
-@query(_POOL.format(pool=100) + """, r AS (SELECT *, row_number() OVER (ORDER BY rank_distance, distance, id) AS place FROM c), g AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY place) AS nth FROM r)
-SELECT grp, min(place)::INT AS best, count(*) AS matches, string_agg(id::VARCHAR, ',' ORDER BY place) FILTER (nth <= 3) AS evidence FROM g GROUP BY 1 ORDER BY 2 LIMIT 5""")
+@query(_POOL.format(pool=100, pool_by="") + """, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank_distance, distance, id) AS place FROM c), g AS (SELECT *, row_number() OVER (PARTITION BY query_id, grp ORDER BY place) AS nth FROM r),
+o AS (SELECT query_id, grp, min(place)::INT AS best, count(*) AS matches, string_agg(id::VARCHAR, ',' ORDER BY place) FILTER (nth <= 3) AS evidence FROM g GROUP BY 1, 2)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best)::INT AS rank FROM o) WHERE rank <= 5""")
 def discover_groups(s: SparkSession, d: str) -> DataFrame:
-    found = search.discover(_with_hubs(s, d).filter("id <> 0"), search.literal_vector(_query_vector(s, d)), "grp", 5)
-    return found.withColumn("evidence", F.array_join(F.transform("evidence", lambda x: x.cast("string")), ","))
+    found = search.discover_each(_with_hubs(s, d), _asked(s, d), "grp", 5)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("best"))
+    return found.withColumn("rank", rank).withColumn("evidence", F.array_join(F.transform("evidence", lambda x: x.cast("string")), ","))
 
 
-@query(_P + _HUB + """, q AS (SELECT e AS qe FROM v WHERE id = 0), d AS (SELECT v.id, hub, v.id % 2 AS half, v.id % 7 AS chat_id, v.id // 20 AS block_idx, 1 - list_cosine_similarity(e, qe) AS distance FROM v JOIN hub USING (id), q WHERE v.id <> 0),
-h AS (SELECT *, row_number() OVER (PARTITION BY half ORDER BY distance, id) AS p FROM d), c AS (SELECT *, CASE WHEN half = 0 THEN 'digest' ELSE 'segment' END AS origin, greatest(0.0, distance - 1 + hub) AS rank_distance FROM h WHERE p <= 80),
-f AS (SELECT *, row_number() OVER (PARTITION BY chat_id, block_idx ORDER BY rank_distance, distance, origin, id) AS r FROM c)
-SELECT id, origin, chat_id, block_idx, round(rank_distance, 6) AS rank_distance FROM f WHERE r = 1 ORDER BY f.rank_distance, distance, origin, id LIMIT 10""")
+@query(_POOL.format(pool=80, pool_by=", half") + """,
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id, chat_id, block_idx ORDER BY rank_distance, distance, origin, id) AS r FROM c),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank_distance, distance, origin, id)::INT AS rank FROM f WHERE r = 1)
+SELECT query_id, rank, id, origin, chat_id, block_idx, round(rank_distance, 6) AS rank_distance FROM o WHERE rank <= 10""")
 def hybrid_search(s: SparkSession, d: str) -> DataFrame:
-    rows = _with_hubs(s, d).filter("id <> 0").withColumns({"chat_id": F.col("id") % 7, "block_idx": F.floor(F.col("id") / 20)})
-    found = search.hybrid(rows.filter("id % 2 = 0").withColumn("tier", F.lit(0)), rows.filter("id % 2 = 1"), search.literal_vector(_query_vector(s, d)), 10)
-    return found.select("id", "origin", "chat_id", "block_idx", *r6("rank_distance"))
+    rows = _with_hubs(s, d).withColumns({"chat_id": F.col("id") % 7, "block_idx": F.floor(F.col("id") / 20)})
+    found = search.hybrid_each(rows.filter("id % 2 = 0").withColumn("tier", F.lit(0)), rows.filter("id % 2 = 1"), _asked(s, d), 10)
+    return found.select("query_id", "rank", "id", "origin", "chat_id", "block_idx", *r6("rank_distance"))
 
 
 @query(_P + "e AS (SELECT * FROM p WHERE cosine >= 0.3), n AS (SELECT id, count(*) AS degree FROM (SELECT a AS id FROM e UNION ALL SELECT b FROM e) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 120) SELECT a, b, round(cosine, 6) AS cosine FROM e WHERE a IN (SELECT id FROM n) AND b IN (SELECT id FROM n)")
@@ -425,12 +429,6 @@ def kmeans_themes(s: SparkSession, d: str) -> DataFrame:
     return vectors.cluster_facets(assigned, vecs(s, d).select("id", F.col("grp").alias("label")))
 
 
-@query()
-def rerank_documents(s: SparkSession, d: str) -> DataFrame:
-    docs = table(s, d, "documents").filter("lang = 'en'").orderBy(F.desc("n_chars"), "doc_id").limit(40)
-    return search.rerank(docs, "the of that", "text").select("doc_id", "score").orderBy(F.desc("score"), "doc_id").limit(10)
-
-
 # --- text
 
 
@@ -451,25 +449,31 @@ def json_props(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "long").alias("k"))
 
 
-_KEYS = r"""
-WITH w AS (SELECT doc_id, source, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS k FROM documents), r AS (SELECT DISTINCT doc_id, source, k FROM w WHERE length(k) >= 4 AND length(k) <= 5),
-t AS (SELECT count(DISTINCT doc_id) AS t FROM r), f AS (SELECT k, count(*) AS n FROM r GROUP BY 1), g AS (SELECT r.* FROM r JOIN f USING (k), t WHERE NOT f.n > 0.1 * t)"""
+_PART_WORDS = """
+WITH r AS (SELECT DISTINCT p_partkey AS id, p_brand AS c, k FROM (SELECT p_partkey, p_brand, lower(unnest(string_split(p_name || ' ' || p_type, ' '))) AS k FROM part) WHERE length(k) >= 4),
+t AS (SELECT count(DISTINCT id) AS t FROM r), f AS (SELECT k, count(*) AS n FROM r GROUP BY 1), g AS (SELECT r.* FROM r JOIN f USING (k), t WHERE NOT f.n > 0.5 * t)"""
 
 
-def _keyword_rows(s: SparkSession, d: str) -> DataFrame:
-    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), lambda w: F.length(w) <= 5)
-    digests = table(s, d, "documents").select(F.col("doc_id").alias("digest_id"), F.col("source").alias("character_id"), words.alias("keywords"))
-    return keywords.without_hubs(keywords.keyword_rows(digests), 0.1)
+def _part_words(s: SparkSession, d: str) -> DataFrame:
+    """Parts as digests: the words of name and type are the keywords, the brand is the character."""
+    words = F.split(F.concat_ws(" ", "p_name", "p_type"), " ")
+    digests = table(s, d, "part").select(F.col("p_partkey").alias("digest_id"), F.col("p_brand").alias("character_id"), words.alias("keywords"))
+    return keywords.without_hubs(keywords.keyword_rows(digests))
 
 
-@query(_KEYS + " SELECT x.k AS a, y.k AS b, count(*) AS n FROM g x JOIN g y ON x.doc_id = y.doc_id AND x.k < y.k GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 1000")
+@query(_PART_WORDS + " SELECT x.k AS a, y.k AS b, count(*) AS n FROM g x JOIN g y ON x.id = y.id AND x.k < y.k GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 10000")
 def keyword_cooccurrence(s: SparkSession, d: str) -> DataFrame:
-    return keywords.cooccurrence(_keyword_rows(s, d), most=1000).select("a", "b", "n")
+    return keywords.cooccurrence(_part_words(s, d)).select("a", "b", "n")
 
 
-@query(_KEYS + " SELECT source AS character_id, k AS keyword, count(*) AS n FROM g GROUP BY 1, 2")
+@query(r"""
+WITH w AS (SELECT doc_id, source, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS k FROM documents), r AS (SELECT DISTINCT doc_id, source, k FROM w WHERE length(k) >= 4),
+t AS (SELECT count(DISTINCT doc_id) AS t FROM r), f AS (SELECT k, count(*) AS n FROM r GROUP BY 1), g AS (SELECT r.* FROM r JOIN f USING (k), t WHERE NOT f.n > 0.5 * t)
+SELECT source AS character_id, k AS keyword, count(*) AS n FROM g GROUP BY 1, 2""")
 def character_keywords(s: SparkSession, d: str) -> DataFrame:
-    return keywords.profiles(_keyword_rows(s, d))
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    digests = table(s, d, "documents").select(F.col("doc_id").alias("digest_id"), F.col("source").alias("character_id"), words.alias("keywords"))
+    return keywords.profiles(keywords.without_hubs(keywords.keyword_rows(digests)))
 
 
 _LEX = r"""
@@ -484,23 +488,65 @@ s AS (SELECT id, asked, w * (CASE WHEN field = 'source' THEN 4.0 ELSE 1.0 END) *
 SELECT id, round(sum(s), 6) AS score FROM s GROUP BY 1 HAVING count(DISTINCT asked) = 2 ORDER BY sum(s) DESC, id LIMIT 50"""
 
 
-def _index(s: SparkSession, d: str) -> DataFrame:
-    return lexical.index(table(s, d, "documents").withColumnRenamed("doc_id", "id"), ("text", "source"))
+def _index(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Postings and field sizes, built and stored once."""
+    docs = table(s, d, "documents").withColumnRenamed("doc_id", "id")
+    postings = stored("postings", docs, lambda x: lexical.index(x, ("text", "source")))
+    return postings, stored("field sizes", docs, lambda _: lexical.field_sizes(postings))
+
+
+_LEX_HITS = "SELECT id, sum(s) AS score FROM s GROUP BY 1 HAVING count(DISTINCT asked) = 2 ORDER BY score DESC, id LIMIT"
+_LEX_HEAD = _LEX[: _LEX.index("SELECT id, round(sum(s)")]
 
 
 @query(_LEX)
 def field_search(s: SparkSession, d: str) -> DataFrame:
-    return lexical.search(_index(s, d), "heth ofth", {"source": 4.0}, fuzzy=0.0).select("id", *r6("score"))
+    postings, sizes = _index(s, d)
+    return lexical.search(postings, "heth ofth", {"source": 4.0}, fuzzy=0.0, sizes=sizes).select("id", *r6("score"))
 
 
-@query()
+@query(
+    _LEX_HEAD.rstrip().rstrip(",")
+    + f", h AS ({_LEX_HITS} 50), t AS (SELECT id, score, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS flat FROM h JOIN documents ON doc_id = id)"
+    + ", places AS (SELECT *, least(nullif(instr(lower(flat), 'heth'), 0), nullif(instr(lower(flat), 'ofth'), 0)) AS pos FROM t), e AS (SELECT *, greatest(pos - 70, 1) AS b, least(pos + 70, length(flat)) AS z FROM places)"
+    + " SELECT id, round(score, 6) AS score, sha256(CASE WHEN pos IS NULL THEN flat[1:140] ELSE (CASE WHEN b > 1 THEN '…' ELSE '' END) || flat[b:z] || (CASE WHEN z < length(flat) THEN '…' ELSE '' END) END) AS snippet_hash FROM e"
+)
+def field_search_snippets(s: SparkSession, d: str) -> DataFrame:
+    postings, sizes = _index(s, d)
+    hits = lexical.search(postings, "heth ofth", {"source": 4.0}, fuzzy=0.0, sizes=sizes)
+    found = lexical.with_snippets(hits, table(s, d, "documents"), "heth ofth", "text", "doc_id")
+    return found.select("id", *r6("score"), F.sha2("snippet", 256).alias("snippet_hash"))
+
+
+@query(
+    _LEX_HEAD.rstrip().rstrip(",")
+    + f", h AS ({_LEX_HITS} 40), o AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS place FROM h), ranked AS (SELECT id, place, len(list_intersect(string_split_regex(lower(coalesce(text, '')), '\\s+'), ['heth', 'ofth'])) / 2 AS score FROM o JOIN documents ON doc_id = id)"
+    + " SELECT id, score, rank FROM (SELECT id, score, row_number() OVER (ORDER BY score DESC, place)::INT AS rank FROM ranked) WHERE rank <= 10"
+)
+def rerank_documents(s: SparkSession, d: str) -> DataFrame:
+    """The pool is what full-text search finds in the whole table; of it the best by the scorer."""
+    postings, sizes = _index(s, d)
+    hits = lexical.search(postings, "heth ofth", {"source": 4.0}, fuzzy=0.0, limit=40, sizes=sizes)
+    place = F.row_number().over(Window.orderBy(F.desc("score"), "id"))  # of a pool of 40
+    pool = hits.withColumn("place", place).drop("score").join(table(s, d, "documents").withColumnRenamed("doc_id", "id").select("id", "text"), "id")
+    return search.reranked(pool, "heth ofth", "text").select("id", "score", "rank")
+
+
+_LEX_FUZZY = _LEX[: _LEX.index("m AS (SELECT")] + """q AS (SELECT unnest(['thinor', 'ofthe']) AS asked),
+m AS (SELECT id, field, length, term, tf, CASE WHEN term = asked THEN 1.0 WHEN asked = 'ofthe' AND starts_with(term, asked) THEN 0.375 * length(term) / (length(term) + 0.3 * (length(term) - 5)) ELSE 0.45 * length(term) / (length(term) + levenshtein(term, asked)) END AS w, asked
+  FROM i, q WHERE levenshtein(term, asked) <= 1 OR (asked = 'ofthe' AND starts_with(term, asked))),
+""" + _LEX[_LEX.index("c AS (SELECT field, term, count"):]
+
+
+@query(_LEX_FUZZY)
 def field_search_fuzzy(s: SparkSession, d: str) -> DataFrame:
-    return lexical.search(_index(s, d), "thinor ofthe", {"source": 4.0}).select("id", *r6("score"))
+    postings, sizes = _index(s, d)
+    return lexical.search(postings, "thinor ofthe", {"source": 4.0}, sizes=sizes).select("id", *r6("score"))
 
 
-@query()
+@query(_LEX_FUZZY[: _LEX_FUZZY.index("c AS (SELECT field")].replace("['thinor', 'ofthe']", "['ofthe']").rstrip().rstrip(",") + " SELECT term AS suggestion, count(DISTINCT id) AS n FROM m GROUP BY 1 ORDER BY count(DISTINCT id) * max(w) DESC, 1 LIMIT 8")
 def field_suggest(s: SparkSession, d: str) -> DataFrame:
-    return lexical.suggest(_index(s, d), "ofthe")
+    return lexical.suggest(_index(s, d)[0], "ofthe")
 
 
 @query(r"SELECT doc_id, regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])the($|[^\p{L}\p{N}_])') AS has_the FROM documents WHERE text IS NOT NULL")
@@ -565,12 +611,12 @@ def theme_characters(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    _C.replace("label AS grp", "vec_id % 20 AS grp")
-    + " SELECT y.grp AS id, round(list_cosine_similarity(x.m, y.m), 6) AS similarity FROM c x, c y WHERE x.grp = 3 AND y.grp <> 3 ORDER BY list_cosine_similarity(x.m, y.m) DESC, y.grp LIMIT 10"
+    _C.replace("label AS grp", "vec_id // 5 AS grp")
+    + ", n AS (SELECT x.grp AS query_id, y.grp AS id, list_cosine_similarity(x.m, y.m) AS s FROM c x, c y WHERE x.grp % 50 = 0 AND y.grp <> x.grp), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY 1 - s, id) AS r FROM n) SELECT query_id, id, round(s, 6) AS similarity FROM r WHERE r <= 10"
 )
 def similar_chats(s: SparkSession, d: str) -> DataFrame:
-    segs = vecs(s, d).select((F.col("id") % 20).alias("chat_id"), "vec")
-    return themes.similar_chats(segs, 3).select("id", *r6("similarity"))
+    segs = vecs(s, d).select(F.floor(F.col("id") / 5).alias("chat_id"), "vec")
+    return themes.similar_each(segs, F.col("chat_id") % 50 == 0).select("query_id", "id", *r6("similarity"))
 
 
 @query("""

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,10 +21,34 @@ def test_overlap_pairs_of_one_hot_hash(spark):
 
 def test_fork_roots_and_cycles(spark):
     chats = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, None), (5, 6), (6, 5), (7, 99)], "chat_id bigint, parent_id bigint")
-    roots = {r.chat_id: r.root for r in dedupe.fork_roots(spark, chats).collect()}
+    roots = {r.chat_id: r.root for r in dedupe.fork_roots(chats).collect()}
     assert roots == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, 7: 7}
 
 
+def test_fork_roots_of_long_chains_and_cycles(spark):
+    rows = [(1000 + i, 999 + i) for i in range(1, 300)] + [(1000, None)]  # one chain of 300
+    rows += [(3000 + i, 3000 + (i + 1) % 77) for i in range(77)] + [(10, 3005), (9, 10), (5000, 5000)]  # a long cycle with a tail of lesser ids, and a chat that names itself
+    roots = {r.chat_id: r.root for r in dedupe.fork_roots(spark.createDataFrame(rows, "chat_id bigint, parent_id bigint")).collect()}
+    assert len(roots) == len(rows) and all(roots[1000 + i] == 1000 for i in range(300))
+    assert all(roots[3000 + i] == 3000 for i in range(77)) and roots[10] == roots[9] == 3000 and roots[5000] == 5000
+
+
+def test_overlap_pairs_past_a_thousand_keys(spark):
+    rows = spark.createDataFrame([(i, "same", 1) for i in range(1200)], "chat int, h string, owner int")
+    got = dedupe.overlap_pairs(rows, "chat", "h", ["owner"], 0.3)
+    assert got.count() == 1200 * 1199 // 2 and got.select("jaccard").distinct().collect()[0].jaccard == 1.0
+
+
+def test_chat_duplicates(spark):
+    seg = lambda c, hs, o="o": [(c, o, "m", h) for h in hs]
+    segs = spark.createDataFrame(seg(1, ["a", "b", "c"]) + seg(2, ["a", "b", "c"]) + seg(3, ["a", "b", "c", None]) + seg(4, ["a", "b", "c"]) + seg(5, ["a", "b", "c"], "p"), "chat_id bigint, owner_id string, model string, content_hash string")
+    chats = spark.createDataFrame([(1, None), (2, 1), (3, None), (4, None), (5, None)], "chat_id bigint, parent_id bigint")
+    sizes = spark.createDataFrame([(1, 21), (2, 30), (3, 40), (4, 20), (5, 50)], "chat_id bigint, messages bigint")
+    got = dedupe.chat_duplicates(segs, chats, sizes)
+    assert sorted((r.a, r.b, r.relation, r.jaccard) for r in got.collect()) == [(1, 2, "forked", 1.0), (1, 3, "duplicate", 1.0), (2, 3, "duplicate", 1.0)]
+    assert dedupe.duplicate_counts(got.limit(0), got).first().asDict() == {"characters": 0, "chats": 2}
+
+
 def test_collapse_keeps_rows_without_hash(spark):
     rows = spark.createDataFrame([("a", 2), ("a", 1), (None, 3), (None, 4)], "h string, id int")
     assert sorted((r.h or "", r.id, r.members) for r in dedupe.collapse(rows, "h", "id").collect()) == [("", 3, 1), ("", 4, 1), ("a", 1, 2)]
@@ -125,6 +150,32 @@ def test_windows_never_part_a_pair():
     assert segments.windows([10, 10], [True, False]) == [(0, 1)]
 
 
+def test_windows_of_random_chats():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        n = int(rng.integers(1, 80))
+        sizes, user = rng.integers(1, 900, n), rng.random(n) < 0.5
+        spans = segments.windows(sizes, user)
+        assert {i for a, b in spans for i in range(a, b + 1)} == set(range(n)) and all(a <= b for a, b in spans)
+        assert all(x[0] < y[0] for x, y in zip(spans, spans[1:]))
+        if sizes.sum() <= 2000:
+            assert spans == [(0, n - 1)]
+            continue
+        for a, b in spans[:-2]:  # the last may hold a rest
+            assert sizes[a:b].sum() < 2000 and (b == n - 1 or not user[b] or user[b + 1] or b == a)
+        for a, _ in spans[1:-1]:
+            assert not user[a - 1] or user[a] or a == n - 1
+    assert segments.windows([1500, 400, 300, 700, 900], [True, False, True, False, False]) == [(0, 1), (2, 4), (4, 4)]  # place 1 would part a pair
+
+
+def test_segments_keep_whole_messages(spark):
+    long = "y" * 20_000
+    rows = spark.createDataFrame([(1, 0, "user", "hi", 3), (1, 1, "assistant", long, 3), (1, 2, "user", "bye", 3), (2, 0, "system", "x", 3)], "chat_id bigint, seq bigint, role string, content string, character_id int")
+    got = sorted((r.idx, r.total, r.seq_start, r.seq_end, long in r.text) for r in segments.segment(rows).collect())
+    assert got == [(0, 2, 0, 1, True), (1, 2, 2, 2, False)]
+    assert all(len(r.text) < 9000 for r in segments.segment(rows, most_chars=8000).collect())
+
+
 def test_segments_need_a_user(spark):
     rows = spark.createDataFrame([(1, 0, "assistant", "hello", 3), (2, 0, "user", "hi <b>x</b>", 3)], "chat_id bigint, seq bigint, role string, content string, character_id int")
     got = segments.segment(rows).collect()
