@@ -11,7 +11,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
 
 from loquent.functions.text import null_if_blank, slugify
 
@@ -57,6 +57,18 @@ def with_card(image: bytes, card: str) -> bytes:
     return SIGNATURE + b"".join(struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b)) for k, b in kept)
 
 
+def blank_image() -> bytes:
+    """A black image of one sample."""
+    parts = [(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)), (b"IDAT", zlib.compress(b"\0\0")), (b"IEND", b"")]
+    return SIGNATURE + b"".join(struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b)) for k, b in parts)
+
+
+@F.pandas_udf(BinaryType())
+def card_image(cards: pd.Series) -> pd.Series:
+    """A blank image with the card in it."""
+    return cards.map(lambda x: with_card(blank_image(), x) if x is not None else None)
+
+
 @F.pandas_udf(StringType())
 def png_card(images: pd.Series) -> pd.Series:
     return images.map(lambda x: card_json(bytes(x)) if x is not None else None)

@@ -9,13 +9,18 @@ from loquent.functions.text import null_if_blank, parent_of_branch, slugify, who
 from loquent.functions.values import date_to_ms
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, pos and the parsed line of every file under ``path``; lines that aren't JSON have null.
+def read_lines(spark: SparkSession, path: str, names: str = "*.jsonl") -> DataFrame:
+    """``lines_of`` every file under ``path`` whose name matches ``names``."""
+    text = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=names)
+    return lines_of(text.select(F.col("_metadata.file_path").alias("file"), "value"))
+
+
+def lines_of(texts: DataFrame) -> DataFrame:
+    """file, pos and the parsed line of texts (file, value); lines that aren't JSON have null.
 
     A file is one row until it is split, as its lines' order counts.
     """
-    text = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.jsonl")
-    files = text.select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^\\x{FEFF}", "").alias("value"))
+    files = texts.select("file", F.regexp_replace("value", "^\\x{FEFF}", "").alias("value"))
     lines = files.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line")).filter(F.trim("line") != "")
     return lines.select("file", "pos", F.try_parse_json("line").alias("v"))
 
@@ -103,3 +108,9 @@ def write_lines(rows: DataFrame, user: str = "User", char: str = "Character") ->
     line = F.struct(name.alias("name"), (F.col("role") == "user").alias("is_user"), (F.col("role") == "system").alias("is_system"), F.col("content").alias("mes"), *extra)
     body = rows.select("chat_id", (F.col("seq") + 1).cast("int").alias("pos"), F.to_json(line).alias("line"))
     return head.unionByName(body)
+
+
+def write_files(lines: DataFrame, path: str) -> None:
+    """``write_lines`` as a text file for each chat, in a folder of its own."""
+    dealt = lines.repartition("chat_id").sortWithinPartitions("chat_id", "pos")
+    dealt.select("chat_id", "line").write.partitionBy("chat_id").text(path)
