@@ -90,10 +90,12 @@ def running_totals(df: DataFrame, order: Sequence[Column], sums: dict[str, Colum
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches, so that what a function makes of one batch stays small."""
+    """The same rows in smaller batches, so that what a function makes of one batch stays small; freed memory goes back."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:

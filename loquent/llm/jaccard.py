@@ -28,6 +28,8 @@ ROWS, BANDS = 5, 52
 STEP, TOLERANCE = 26, 1e-9
 #: Texts in one block, and bytes of their n-grams, about.
 BLOCK, BLOCK_BYTES = 256, 4_000_000
+#: N-grams that are counted at once, each a column of a matrix.
+COLUMNS = 8000
 #: Estimate of similarity from which two texts of a band share a cell: far enough below any threshold in use.
 ALIKE = 0.4
 _FIND = re.compile(WORD)
@@ -42,7 +44,7 @@ class WordHashes(dict):
 
     def __missing__(self, word: str) -> int:
         found = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        if len(self) >= 200_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = found
         return found
@@ -120,9 +122,9 @@ def shared_counts(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
     column = (np.cumsum(held > 1) - 1)[column[several]]
     owner = owner[several]
     common = np.zeros((len(used), len(used)), np.float32)
-    for begin in range(0, int(column.max(initial=-1)) + 1, 20_000):
-        part = (column >= begin) & (column < begin + 20_000)
-        x = np.zeros((len(used), 20_000), np.float32)
+    for begin in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+        part = (column >= begin) & (column < begin + COLUMNS)
+        x = np.zeros((len(used), COLUMNS), np.float32)
         x[owner[part], column[part] - begin] = 1
         common += x @ x.T
     place = np.searchsorted(used, pairs)

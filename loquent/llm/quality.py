@@ -38,7 +38,7 @@ class Shapes(dict):
 
     def __missing__(self, word: str) -> tuple[int, int]:
         found = (zlib.crc32(word.lower().encode("utf-8", "surrogatepass")), zlib.crc32(shape(word).encode("utf-8", "surrogatepass")))
-        if len(self) > 400_000:
+        if len(self) >= 100_000:
             self.clear()
         if len(word) <= 64:
             self[word] = found
