@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -12,30 +11,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loquent.sources.scratch import folder
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a side that was counted may be broadcast.
 BROADCAST_ROWS = 100_000
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one only where that is unset and Spark is local."""
-    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loquent-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared scratch folder and reads it back: its lineage ends there.
 
     A lost executor costs no more than a read of these files, and Spark knows the size of what it reads.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/loquent-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/loquent-{uuid.uuid4().hex}"
     df.write.parquet(path, partitionBy=list(partition_by) or None, compression="zstd")
     table = spark.read.schema(df.schema).parquet(path)
     table.scratch_path = path
