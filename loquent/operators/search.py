@@ -120,3 +120,56 @@ def reranked(hits: DataFrame, query: str, text: str, k: int = 10, scorer: Scorer
     scored = rerank(hits, query, text, scorer)
     order = Window.orderBy(F.desc_nulls_last("score"), "place")  # of a pool of bounded size
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def find_each(characters: DataFrame, segments: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """Characters and segments in one ranking for each query: kind, id, rank. Both: id, vec, hub."""
+    one = pool_each(characters.select("id", "vec", "hub"), queries, 4 * k).withColumn("kind", F.lit("character"))
+    two = pool_each(segments.select("id", "vec", "hub"), queries, 4 * k).withColumn("kind", F.lit("segment"))
+    return _first(one.unionByName(two), k, "rank_distance", "distance", "kind", "id")
+
+
+def digests_each(digests: DataFrame, queries: DataFrame, tier: str, k: int = 10) -> DataFrame:
+    """``knn_each`` over the digests of scenes (tier 0) or of arcs (the tiers above)."""
+    if tier not in ("scene", "arc"):
+        raise ValueError("tier must be scene or arc")
+    return knn_each(digests.filter("tier = 0" if tier == "scene" else "tier > 0"), queries, k)
+
+
+def rerank_each(hits: DataFrame, k: int = 10, scorer: Scorer = overlap_scorer) -> DataFrame:
+    """The ``k`` best of each query's pool by a scorer; hits: query_id, query_text, text and rank, the place in the pool.
+
+    What the scorer has no score for comes last, in the order of the pool.
+    """
+
+    @F.pandas_udf("double")
+    def score(queries: pd.Series, texts: pd.Series) -> pd.Series:
+        out = pd.Series(np.nan, index=texts.index)
+        for query, at in queries.fillna("").groupby(queries.fillna("")).groups.items():
+            out[at] = scorer(query, texts[at])
+        return out
+
+    scored = hits.withColumn("score", F.nanvl(score("query_text", "text"), F.lit(None).cast("double"))).withColumnRenamed("rank", "place")
+    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "place")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def named(hits: DataFrame, names: DataFrame, key: str = "id") -> DataFrame:
+    """Hits with what is shown of them; those that are no longer there go."""
+    return hits.join(names, key)
+
+
+def search_each(over: str, tables: dict[str, DataFrame], queries: DataFrame, group: str = "none", k: int = 10) -> DataFrame:
+    """One entry for all searches: over characters (with segments), segments (also grouped), scenes, arcs, or a mix.
+
+    tables: characters, segments and digests, as the single searches take them.
+    """
+    if over == "characters":
+        return find_each(tables["characters"], tables["segments"], queries, k)
+    if over == "segments":
+        return discover_each(tables["segments"], queries, "character_id", k) if group == "character" else knn_each(tables["segments"], queries, k)
+    if over in ("scenes", "arcs"):
+        return digests_each(tables["digests"], queries, over[:-1], k)
+    if over == "mix":
+        return hybrid_each(tables["digests"], tables["segments"], queries, k)
+    raise ValueError("over must be characters, segments, scenes, arcs or mix")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -56,3 +56,39 @@ def cascaded(parents: DataFrame, gone: DataFrame, key: str, children: dict[str,
 def guarded(gone: DataFrame, uses: DataFrame, key: str) -> DataFrame:
     """Of the rows to go, those that something still uses, and so must not."""
     return gone.join(uses.select(key).distinct(), key, "left_semi")
+
+
+def appended(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Frames of a session after ``new`` ones came: these are numbered on from the last seq, in the order of ``pos``.
+
+    stored: session_id, subpath, seq, uuid and more; new: the same but pos for seq. A frame whose uuid its session has
+    already, or that repeats one before it in ``new``, is dropped; its number stays unused. Frames without a uuid all count.
+    """
+    keys = ["session_id", "subpath"]
+    last = stored.groupBy(*keys).agg(F.max("seq").alias("__last"))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("pos"))
+    rows = new.join(last, keys, "left").withColumn("seq", (F.coalesce("__last", F.lit(-1)) + nth).cast(dict(stored.dtypes)["seq"]))
+    again = F.row_number().over(Window.partitionBy(*keys, "uuid").orderBy("pos"))
+    fresh = rows.withColumn("__again", again).filter(F.col("uuid").isNull() | (F.col("__again") == 1))
+    known = stored.filter(F.col("uuid").isNotNull()).select(*keys, "uuid")
+    return stored.unionByName(fresh.join(known, [*keys, "uuid"], "left_anti").select(stored.columns))
+
+
+def compact_summaries(frames: DataFrame, newest: int = 10, mark: str = "session is being continued") -> DataFrame:
+    """session_id and text of the latest among each session's ``newest`` frames of the user that says it goes on.
+
+    frames: session_id, seq, type and entry, the JSON of a frame, whose message.content is text or a list of parts with text.
+    """
+    rank = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("seq")))
+    recent = frames.filter("type = 'user'").withColumn("__rank", rank).filter(F.col("__rank") <= newest)
+    v = F.try_variant_get(F.try_parse_json("entry"), "$.message.content", "variant")
+    parts = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.try_variant_get(x, "$.text", "string"))
+    text = F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(F.array_join(F.filter(parts, lambda x: x.isNotNull()), ""))
+    said = recent.select("session_id", "seq", text.alias("text")).filter(F.lower("text").contains(mark))
+    return said.groupBy("session_id").agg(F.max_by("text", "seq").alias("text"))
+
+
+def rebuilt(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Asset rows (hash, size) with those added that files (hash, content) have no row for; files that aren't what their name says are left out."""
+    sound = files.filter(F.sha2("content", 256) == F.col("hash")).select("hash", F.octet_length("content").cast(dict(rows.dtypes)["size"]).alias("size"))
+    return rows.select("hash", "size").unionByName(sound.dropDuplicates(["hash"]).join(rows.select("hash"), "hash", "left_anti"))

@@ -103,10 +103,9 @@ def rate_audit(log: DataFrame, limit: int, seconds: int = 60, key: str = "charac
     return per.filter(F.col("n") > limit)
 
 
-def log_tail(log: DataFrame, contains: str | None = None, level: str | None = None, newest: int = 2000, limit: int = 100) -> DataFrame:
-    """Of the ``newest`` entries those with a substring and a model, ``limit`` at most, newest first."""
-    if not 0 < limit <= 2000:
-        raise ValueError("limit must be from 1 to 2000")
+def log_tail(log: DataFrame, contains: str | None = None, level: str | None = None, newest: int = 2000, limit: int | None = 100) -> DataFrame:
+    """Of the ``newest`` entries those with a substring and a model, newest first: ``limit``, 2000 at most, 100 if it isn't above 0."""
+    limit = min(limit, 2000) if limit and limit > 0 else 100
     tail = log.orderBy(F.desc("event_id")).limit(newest)
     if contains:
         tail = tail.filter(F.col("props").contains(contains))

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loquent.functions import text as tx
-from loquent.operators import catalog, dedupe, images, keywords, memory, stats, vectors, views
-from loquent.plans.queries import _BLOCKS, _FORKS, _TAG_SQL, _V, _tags, page_home, query
+from loquent.operators import catalog, dedupe, images, keywords, memory, search, stats, vectors, views
+from loquent.plans.queries import _BLOCKS, _FORKS, _POOL, _TAG_SQL, _V, _asked, _tags, _with_hubs, page_home, query
 from loquent.sources import archives, cards, chats, scratch
 from loquent.sources.tables import activity, messages, table
 from loquent.sources.tables import vectors as vecs
@@ -150,6 +150,44 @@ def visual_archetypes(s: SparkSession, d: str) -> DataFrame:
     return images.visual_archetypes(images.avatars(vecs(s, d), _versions(s, d)), facets)
 
 
+# --- search over several tables
+
+
+_FOUND = _POOL.format(pool=40, pool_by=", half")
+
+
+@query(_FOUND + """, o AS (SELECT query_id, CASE WHEN half = 0 THEN 'character' ELSE 'segment' END AS kind, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY rank_distance, distance, half, id)::INT AS rank FROM c)
+SELECT query_id, rank, kind, id, round(distance, 6) AS distance, c_name AS name FROM o JOIN customer ON c_custkey = id + 1 WHERE rank <= 10""")
+def find_search(s: SparkSession, d: str) -> DataFrame:
+    rows = _with_hubs(s, d)
+    tables = {"characters": rows.filter("id % 2 = 0"), "segments": rows.filter("id % 2 = 1")}
+    names = table(s, d, "customer").select((F.col("c_custkey") - 1).alias("id"), F.col("c_name").alias("name"))
+    found = search.named(search.search_each("characters", tables, _asked(s, d)), names)
+    return found.select("query_id", "rank", "kind", "id", F.round("distance", 6).alias("distance"), "name")
+
+
+_ARCS = _POOL.replace("FROM v JOIN hub USING (id), q WHERE v.id <> query_id", "FROM v JOIN hub USING (id), q WHERE v.id <> query_id AND v.id % 3 > 0")
+
+
+@query(_ARCS.format(pool=40, pool_by="") + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank_distance, distance, id)::INT AS rank FROM c) SELECT query_id, rank, id, round(rank_distance, 6) AS rank_distance FROM r WHERE rank <= 10")
+def arc_search(s: SparkSession, d: str) -> DataFrame:
+    digests = _with_hubs(s, d).withColumn("tier", F.col("id") % 3)
+    return search.search_each("arcs", {"digests": digests}, _asked(s, d)).select("query_id", "rank", "id", F.round("rank_distance", 6).alias("rank_distance"))
+
+
+@query(_POOL.format(pool=160, pool_by="") + r""", placed AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rank_distance, distance, id) AS place FROM c),
+w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '\S+') AS ws FROM documents), y AS (SELECT query_id, id, place, list_distinct(a.ws[1:5]) AS asked, b.ws FROM placed JOIN w a ON a.doc_id = query_id JOIN w b ON b.doc_id = id WHERE place <= 40),
+z AS (SELECT query_id, id, place, len(list_intersect(ws, asked)) / greatest(1, len(asked)) AS score FROM y)
+SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place)::INT AS rank FROM z) WHERE rank <= 10""")
+def search_reranked(s: SparkSession, d: str) -> DataFrame:
+    """The forty nearest of each query, ranked anew by the words that they share with its first five."""
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    first = F.array_join(F.slice(F.regexp_extract_all(F.lower("text"), F.lit(r"\S+"), F.lit(0)), 1, 5), " ")
+    asked = docs.select(F.col("id").alias("query_id"), first.alias("query_text"))
+    hits = search.knn_each(_with_hubs(s, d), _asked(s, d), 40).select("query_id", "id", "rank").join(docs, "id").join(asked, "query_id")
+    return search.rerank_each(hits).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 # --- states and backfills
 
 

@@ -74,9 +74,9 @@ def test_swipes_of_nothing(spark):
     assert stats.swipe_totals(spark.createDataFrame([], "message_id int")).first().average == 0.0
 
 
-def test_log_tail_checks_its_limit(spark):
-    with pytest.raises(ValueError):
-        stats.log_tail(spark.range(1).toDF("event_id"), limit=0)
+def test_log_tail_clamps_its_limit(spark):
+    log = spark.range(2500).toDF("event_id")
+    assert [stats.log_tail(log, limit=n).count() for n in (0, None, -5, 7, 9999)] == [100, 100, 100, 7, 2000]
 
 
 def test_tags(spark):

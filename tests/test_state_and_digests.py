@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -51,3 +52,25 @@ def test_states(spark):
 def test_few_vectors_have_no_themes(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0], "h")], "id bigint, vec array<double>, content_hash string")
     assert themes.compute(rows, 3) is None
+
+
+def test_frames_are_appended_once(spark):
+    stored = spark.createDataFrame([("s", "main", 0, "u0", "a"), ("s", "main", 1, None, "b")], "session_id string, subpath string, seq bigint, uuid string, entry string")
+    new = spark.createDataFrame([("s", "main", 0, "u0", "again"), ("s", "main", 1, "u1", "c"), ("s", "main", 2, "u1", "c"), ("s", "main", 3, None, "d"), ("t", "main", 0, "u0", "e")], "session_id string, subpath string, pos int, uuid string, entry string")
+    got = sorted((r.session_id, r.seq, r.entry) for r in state.appended(stored, new).collect())
+    assert got == [("s", 0, "a"), ("s", 1, "b"), ("s", 3, "c"), ("s", 5, "d"), ("t", 0, "e")]
+
+
+def test_compact_summaries(spark):
+    frame = lambda c: json.dumps({"message": {"content": c}})
+    rows = [("s", 1, "user", frame("This session is being continued: old")), ("s", 2, "user", frame([{"text": "This Session is being continued"}, {"x": 1}, {"text": "new"}])), ("s", 3, "user", "no json"), ("t", 1, "assistant", frame("session is being continued"))]
+    rows += [("u", 0, "user", frame("session is being continued"))] + [("u", i, "user", frame("x")) for i in range(1, 11)]
+    got = state.compact_summaries(spark.createDataFrame(rows, "session_id string, seq int, type string, entry string")).collect()
+    assert [(r.session_id, r.text) for r in got] == [("s", "This Session is being continuednew")]
+
+
+def test_rows_are_rebuilt_from_sound_files(spark):
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    rows = spark.createDataFrame([(sha(b"a"), 1)], "hash string, size bigint")
+    files = spark.createDataFrame([(sha(b"a"), b"a"), (sha(b"bc"), b"bc"), (sha(b"bc"), b"bc"), ("0" * 64, b"bad")], "hash string, content binary")
+    assert sorted((r.hash, r["size"]) for r in state.rebuilt(rows, files).collect()) == sorted([(sha(b"a"), 1), (sha(b"bc"), 2)])
