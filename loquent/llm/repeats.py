@@ -25,8 +25,9 @@ from loquent.llm.common import BROADCAST_ROWS, discard, materialize, release, sl
 
 #: Bytes of an anchor. With it, strings of 50 bytes have 35 anchors to choose from.
 GRAM = 16
-#: Contexts of one anchor that meet in one suffix array; of more, each block of about so many has its own.
-BLOCK = 1000
+#: Contexts of one anchor that meet in one suffix array; of more, each block of about so many has its own. Few anchors
+#: have so many, and their strings meet once more, one by one.
+BLOCK = 4000
 #: Texts looked at together for anchors that very many texts have, how many make one hot, and salts that spread its rows.
 LOOK, HOT, SALTS = 2000, 20, 64
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
