@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 _STORED: dict[tuple, str] = {}
@@ -32,12 +33,17 @@ def written(df: DataFrame) -> DataFrame:
 def stored(name: str, source: DataFrame, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``build(source)``, written once in an application for the files that ``source`` reads and read from then on.
 
-    Files of a table are taken to be replaced by files of other names, not changed.
+    Files of a table are taken to be replaced by files of other names, not changed. What was cleared from the shared
+    folder is built again.
     """
     spark = source.sparkSession
     key = (spark.sparkContext.applicationId, name, *sorted(source.inputFiles()))
-    if key not in _STORED:
-        path = f"{folder(spark)}/loquent-index-{uuid.uuid4().hex}"
-        build(source).write.parquet(path, compression="zstd")
-        _STORED[key] = path
-    return spark.read.parquet(_STORED[key])
+    if key in _STORED:
+        try:
+            return spark.read.parquet(_STORED[key])
+        except AnalysisException:  # no such folder any more
+            del _STORED[key]
+    path = f"{folder(spark)}/loquent-index-{uuid.uuid4().hex}"
+    build(source).write.parquet(path, compression="zstd")
+    _STORED[key] = path
+    return spark.read.parquet(path)

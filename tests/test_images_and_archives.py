@@ -1,4 +1,5 @@
 import io
+import shutil
 import zipfile
 
 from pyspark.sql import functions as F
@@ -78,3 +79,5 @@ def test_stored_tables_are_built_once(spark, tmp_path):
     for _ in range(2):
         assert scratch.stored("twice", spark.read.parquet(str(tmp_path / "t")), build).agg(F.sum("twice")).first()[0] == 20
     assert built == [1]
+    shutil.rmtree(next(path for key, path in scratch._STORED.items() if "twice" in key).removeprefix("file:"))
+    assert scratch.stored("twice", spark.read.parquet(str(tmp_path / "t")), build).count() == 5 and built == [1, 1]
