@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loquent.llm import jaccard, media, mixing, packing, quality, recurrent, repeats, spelling, token_counts, topk, toxicity
+from loquent.llm import jaccard, media, mixing, packing, quality, ranked, recurrent, repeats, spelling, token_counts, topk, toxicity
 from loquent.llm.common import materialize
 
 
@@ -67,6 +67,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ranked.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+    return found.withColumnRenamed("item", "item_id")
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
@@ -82,11 +87,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
+    "op11_ranked_search": op11_ranked_search,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
 SQL: dict[str, str] = {
     "op5_topk": topk.SQL,
+    "op11_ranked_search": ranked.SQL,
     "op4_mixing": mixing.SQL.format(docs="documents") + """
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + (draw < rate - floor(rate))::INT))::BIGINT AS taken FROM rated
 """,
