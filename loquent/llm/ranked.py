@@ -90,7 +90,7 @@ def _spread(batch: pa.RecordBatch, n_docs: int, n_terms: int) -> tuple[np.ndarra
     return row, flat("at"), part, batch.column("w").to_numpy()[row] * part
 
 
-def tiers(held: DataFrame, shares: Sequence[float] = (0.05, 0.25), n_asked: int = BROADCAST_ROWS + 1) -> DataFrame:
+def tiers(held: DataFrame, shares: Sequence[float] = (0.1, 0.6), n_asked: int = BROADCAST_ROWS + 1) -> DataFrame:
     """The index: shard, tier, term, w, at, part, top; and ids of each shard (tier -1, no term).
 
     Tier 0 has the postings of largest impact, a share of ``shares[0]`` of all, and so on; where they part is read from a
@@ -238,7 +238,8 @@ def search(index: DataFrame, items: DataFrame, k: int = 20, n_tiers: int = 3) ->
     """item, rank, doc_id and score of each item's ``k`` best documents (``items``: of ``item_terms``), by rounds over tiers.
 
     The floor of an item is the k-th best score known so far over all shards. A pair of shard and item is done once no
-    document whose score isn't known can reach the floor; only the others are read a tier deeper, the last tier being exact.
+    document whose score isn't known can reach the floor; only the others are read a tier deeper, the last tier being
+    exact. The pairs that lead after the first tier, ``k`` an item at most, go to the last one at once: that lifts the floor.
     """
     n_blocks = items.select("block").distinct().count()
     shards = index.filter("term is null").select("shard", F.explode(F.sequence(F.lit(0), F.lit(max(0, n_blocks - 1)))).alias("block"))
@@ -248,6 +249,10 @@ def search(index: DataFrame, items: DataFrame, k: int = 20, n_tiers: int = 3) ->
     done = floors = None
     for upto in range(n_tiers):
         now = materialize(_round(pairs, index, upto, k))
+        if not upto:
+            lead = materialize(_first(now.filter("exact is not null"), k).select("shard", "block", "item").distinct())
+            full = materialize(_round(lead.join(items.drop("block"), "item").select("shard", "block", "item", "terms", "times"), index, n_tiers - 1, k))
+            now = now.join(lead, ["shard", "block", "item"], "left_anti").unionByName(full)
         told = now.filter("exact is not null")
         known = told if done is None else told.unionByName(done)
         floor = _first(known.select("item", "doc_id", "score"), k).groupBy("item").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(1).alias("floor"))

@@ -60,20 +60,20 @@ def test_search_equals_plain_scores(spark, texts, shard_rows, few, monkeypatch):
     assert got == plain(docs, items, 20)
 
 
-def test_proof_ends_items_before_the_last_tier(spark, texts):
-    docs, items = texts
-    table = spark.createDataFrame(docs, "doc_id bigint, text string")
-    asked = ranked.item_terms(spark.createDataFrame([(1, docs[5][1])], "item_id bigint, text string"))
-    index = common.materialize(ranked.tiers(common.materialize(ranked.lists(table, shard_rows=20))), "tier")
-    pairs = index.filter("term is null").crossJoin(asked).select("shard", "block", "item", "terms", "times")
-    open_after = []
-    for upto in range(3):
-        now = ranked._round(pairs, index, upto, 20).collect()
-        floor = max(1, sorted([r.score for r in now if r.exact is not None] + [0] * 20, reverse=True)[19])
-        open_after.append(sum(r.exact is None and r.score >= floor for r in now))
-    assert open_after[0] > open_after[1] >= open_after[2] == 0
+def test_proof_ends_pairs_before_the_last_tier(spark, monkeypatch):
+    rng = random.Random(1)
+    docs = [(i, " ".join(f"w{rng.randrange(12)}" for _ in range(30)) + (" seldom seen phrase" if i % 25 == 3 else "")) for i in range(200)]
+    index = common.materialize(ranked.tiers(common.materialize(ranked.lists(spark.createDataFrame(docs, "doc_id bigint, text string"), shard_rows=5))), "tier")
     by_tier = {r.tier: r.n for r in index.filter("tier >= 0").selectExpr("tier", "size(at) as n").groupBy("tier").sum("n").toDF("tier", "n").collect()}
-    assert 0 < by_tier[0] < by_tier[1] < by_tier[2]
+    assert sorted(by_tier) == [0, 1, 2] and by_tier[0] < by_tier[1]
+    read, whole_round = [], ranked._round
+    monkeypatch.setattr(ranked, "_round", lambda pairs, index, upto, k: read.append((upto, pairs.count())) or whole_round(pairs, index, upto, k))
+    items = {1: "seldom seen phrase w1", 2: "w1 w2 w3 w4"}
+    asked = ranked.item_terms(spark.createDataFrame(list(items.items()), "item_id bigint, text string"))
+    assert sorted(tuple(r) for r in ranked.search(index, asked, 5).collect()) == plain(docs, items, 5)
+    (_, every), (last, leading), *deeper = read
+    assert every == 80 and last == 2 and 5 <= leading <= 10
+    assert sum(n for upto, n in deeper if upto == 2) <= every - leading - 30  # the first item is done in all shards without its words
 
 
 def test_empty_tables(spark):
