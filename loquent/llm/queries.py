@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loquent.llm import jaccard, media, mixing, packing, quality, ranked, recurrent, repeats, spelling, token_counts, topk, toxicity
+from loquent.llm import graphs, jaccard, media, mixing, packing, quality, ranked, recurrent, repeats, spelling, token_counts, topk, toxicity
 from loquent.llm.common import materialize
 
 
@@ -72,6 +72,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("item", "item_id")
 
 
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.nearest(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
     "op11_ranked_search": op11_ranked_search,
+    "op12_nearest": op12_nearest,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
