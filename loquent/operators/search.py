@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loquent.functions.values import csls_distance
+from loquent.operators import inverted
 from loquent.operators.dedupe import keep_first
 from loquent.operators.vectors import nearest, nearest_each
 
@@ -80,9 +81,13 @@ def hybrid(digests: DataFrame, segments: DataFrame, query: Column, k: int = 10,
     return keep_first(both, ["chat_id", "tier", "block_idx"], order).orderBy(*order).limit(k)
 
 
-def pool_each(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """For each query (query_id, vec) the ``k`` nearest of all rows (id, vec, hub, ...), with distance and rank_distance."""
-    found = nearest_each(queries, vectors, k).join(vectors.drop("vec"), "id")
+def pool_each(vectors: DataFrame, queries: DataFrame, k: int, cells: inverted.Cells | None = None) -> DataFrame:
+    """For each query (query_id, vec) the ``k`` nearest of all rows (id, vec, hub, ...), with distance and rank_distance.
+
+    ``cells``: an index of these rows, through which they are found then.
+    """
+    found = inverted.nearest_each(cells, queries, k)[0] if cells else nearest_each(queries, vectors, k)
+    found = found.join(vectors.drop("vec"), "id")
     return found.withColumn("rank_distance", csls_distance(F.col("distance"), F.col("hub")))
 
 
@@ -91,9 +96,9 @@ def _first(rows: DataFrame, k: int, *order: str) -> DataFrame:
     return rows.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def knn_each(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def knn_each(vectors: DataFrame, queries: DataFrame, k: int = 10, cells: inverted.Cells | None = None) -> DataFrame:
     """``knn`` for a table of queries."""
-    return _first(pool_each(vectors, queries, 4 * k), k, "rank_distance", "distance", "id")
+    return _first(pool_each(vectors, queries, 4 * k, cells), k, "rank_distance", "distance", "id")
 
 
 def discover_each(segments: DataFrame, queries: DataFrame, group: str, k: int = 10, pool_size: int | None = None, evidence: int = 3) -> DataFrame:

@@ -30,8 +30,8 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def stored(name: str, source: DataFrame, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``build(source)``, written once in an application for the files that ``source`` reads and read from then on.
+def stored_at(name: str, source: DataFrame, build: Callable[[DataFrame, str], None]) -> str:
+    """The folder that ``build(source, folder)`` filled, once in an application for the files that ``source`` reads.
 
     Files of a table are taken to be replaced by files of other names, not changed. What was cleared from the shared
     folder is built again.
@@ -40,10 +40,18 @@ def stored(name: str, source: DataFrame, build: Callable[[DataFrame], DataFrame]
     key = (spark.sparkContext.applicationId, name, *sorted(source.inputFiles()))
     if key in _STORED:
         try:
-            return spark.read.parquet(_STORED[key])
+            spark.read.parquet(f"{_STORED[key]}/done")
+            return _STORED[key]
         except AnalysisException:  # no such folder any more
             del _STORED[key]
     path = f"{folder(spark)}/loquent-index-{uuid.uuid4().hex}"
-    build(source).write.parquet(path, compression="zstd")
+    build(source, path)
+    spark.range(1).write.parquet(f"{path}/done")
     _STORED[key] = path
-    return spark.read.parquet(path)
+    return path
+
+
+def stored(name: str, source: DataFrame, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``build(source)``, written once (``stored_at``) and read from then on."""
+    path = stored_at(name, source, lambda df, at: build(df).write.parquet(f"{at}/table", compression="zstd"))
+    return source.sparkSession.read.parquet(f"{path}/table")
