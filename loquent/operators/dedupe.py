@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loquent.operators.setjoin import similar_keys
 from loquent.sources.scratch import written
 
 
@@ -19,26 +20,6 @@ def collapse(rows: DataFrame, hashed: str, order: str) -> DataFrame:
     return some.union(rows.filter(F.col(hashed).isNull()).withColumn("members", F.lit(1).cast("long")))
 
 
-def overlap_pairs(rows: DataFrame, key: str, hashed: str, scope: list[str], least: float = 0.3, hot: int = 1000) -> DataFrame:
-    """Pairs of keys of one scope that share hashes, with the Jaccard index of their sets of hashes.
-
-    An inverted index: only keys with a hash in common meet. The keys of a hash with more than ``hot`` of them, such
-    as a common greeting, are cut into blocks of about that many, and each two blocks meet on their own.
-    """
-    sets = rows.filter(F.col(hashed).isNotNull()).select(key, hashed, *scope).distinct()
-    sizes = sets.groupBy(key, *scope).agg(F.count("*").alias("__size"))
-    spread = sets.groupBy(hashed, *scope).agg(F.count("*").alias("__keys"))
-    index = sets.join(spread, [hashed, *scope]).filter(F.col("__keys") > 1).withColumn("__n", F.ceil(F.col("__keys") / hot))
-    index = index.withColumn("__own", F.pmod(F.xxhash64(key), F.col("__n"))).withColumn("__met", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
-    met = lambda side, own, other: index.select(F.col(key).alias(side), hashed, *scope, F.col("__own").alias(own), F.col("__met").alias(other))
-    pairs = met("a", "__one", "__two").join(met("b", "__two", "__one"), [hashed, *scope, "__one", "__two"]).filter("a < b")
-    pairs = pairs.groupBy("a", "b", *scope).agg(F.count("*").alias("shared"))
-    size = lambda side: sizes.select(F.col(key).alias(side), *scope, F.col("__size").alias(f"__n_{side}"))
-    pairs = pairs.join(size("a"), ["a", *scope]).join(size("b"), ["b", *scope])
-    index_ = F.col("shared") / (F.col("__n_a") + F.col("__n_b") - F.col("shared"))
-    return pairs.withColumn("jaccard", index_).filter(F.col("jaccard") >= least).select("a", "b", *scope, "shared", "jaccard")
-
-
 def fork_roots(chats: DataFrame) -> DataFrame:
     """chat_id and the topmost ancestor of each chat (columns chat_id, parent_id), over any number of generations.
 
@@ -65,7 +46,7 @@ def chat_duplicates(segments: DataFrame, chats: DataFrame, sizes: DataFrame, lea
     with more than ``over`` messages count; blocks without a hash don't.
     """
     eligible = segments.join(sizes.filter(F.col("messages") > over).select("chat_id"), "chat_id", "left_semi")
-    pairs = overlap_pairs(eligible, "chat_id", "content_hash", ["owner_id", "model"], least)
+    pairs = similar_keys(eligible, "chat_id", "content_hash", ["owner_id", "model"], least)
     roots = fork_roots(chats)
     side = lambda c: roots.select(F.col("chat_id").alias(c), F.col("root").alias(f"__{c}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").withColumn("relation", relation(F.col("__a"), F.col("__b"))).drop("__a", "__b")

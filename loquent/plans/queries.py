@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loquent.functions import text as tx
-from loquent.operators import catalog, dedupe, keywords, lexical, memory, search, segments, state, stats, themes, vectors
+from loquent.operators import catalog, dedupe, keywords, lexical, memory, search, segments, setjoin, state, stats, themes, vectors
 from loquent.sources.scratch import stored
 from loquent.sources.tables import activity, messages, table
 from loquent.sources.tables import vectors as vecs
@@ -306,7 +306,7 @@ p AS (SELECT x.source AS a, y.source AS b, count(*) AS shared FROM t x JOIN t y
 SELECT a, b, shared, round(shared / (x.n + y.n - shared), 6) AS jaccard FROM p JOIN n x ON x.source = a JOIN n y ON y.source = b WHERE shared / (x.n + y.n - shared) >= 0.001""")
 def source_overlap(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "documents").filter("source is not null").select("source", F.sha2("text", 256).alias("content_hash"))
-    found = dedupe.overlap_pairs(rows, "source", "content_hash", [], 0.001)
+    found = setjoin.similar_keys(rows, "source", "content_hash", [], 0.001)
     return found.withColumn("jaccard", F.round("jaccard", 6))
 
 

@@ -2,20 +2,19 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loquent.operators import catalog, dedupe, keywords, lexical, memory, segments, stats
+from loquent.operators import catalog, dedupe, keywords, lexical, memory, segments, setjoin, stats
 
 
 def test_overlap_pairs(spark):
     seg = lambda c, hs, o="o": [(c, h, o) for h in hs]
     rows = spark.createDataFrame(seg("x", ["h1", "h2", "h3", "h4"]) + seg("y", ["h1", "h2", "h3", "h9"]) + seg("z", ["h1", "z1", "z2", "z3", "z4"]) + seg("x", [None]) + seg("q", ["h1", "h2", "h3"], "other"), "chat string, h string, owner string")
-    for hot in (1000, 2):  # h1 is in three chats: as a candidate, and as a common one
-        got = dedupe.overlap_pairs(rows, "chat", "h", ["owner"], 0.3, hot).collect()
-        assert [(r.a, r.b, r.shared) for r in got] == [("x", "y", 3)] and got[0].jaccard == pytest.approx(0.6)
+    got = setjoin.similar_keys(rows, "chat", "h", ["owner"], 0.3).collect()
+    assert [(r.a, r.b, r.shared) for r in got] == [("x", "y", 3)] and got[0].jaccard == pytest.approx(0.6)
 
 
 def test_overlap_pairs_of_one_hot_hash(spark):
     rows = spark.createDataFrame([(i, "same", 1) for i in range(9)] + [(9, "same", 2), (3, "other", 1)], "chat int, h string, owner int")
-    got = {(r.a, r.b): r.jaccard for r in dedupe.overlap_pairs(rows, "chat", "h", ["owner"], 0.3, 2).collect()}
+    got = {(r.a, r.b): r.jaccard for r in setjoin.similar_keys(rows, "chat", "h", ["owner"], 0.3).collect()}
     assert got == {(a, b): 0.5 if 3 in (a, b) else 1.0 for a in range(9) for b in range(a + 1, 9)}
 
 
@@ -35,7 +34,7 @@ def test_fork_roots_of_long_chains_and_cycles(spark):
 
 def test_overlap_pairs_past_a_thousand_keys(spark):
     rows = spark.createDataFrame([(i, "same", 1) for i in range(1200)], "chat int, h string, owner int")
-    got = dedupe.overlap_pairs(rows, "chat", "h", ["owner"], 0.3)
+    got = setjoin.similar_keys(rows, "chat", "h", ["owner"], 0.3)
     assert got.count() == 1200 * 1199 // 2 and got.select("jaccard").distinct().collect()[0].jaccard == 1.0
 
 
