@@ -68,9 +68,13 @@ def has_word(c: Column, key: str) -> Column:
 
 def snippet_around(c: Column, terms: Sequence[str], reach: int = 70, fallback: int = 140) -> Column:
     """The text around the first of ``terms`` found, with dots where it is cut; its beginning if none is."""
+    return snippet_of(c, F.array(*[F.lit(t.lower()) for t in terms]), reach, fallback)
+
+
+def snippet_of(c: Column, terms: Column, reach: int = 70, fallback: int = 140) -> Column:
+    """``snippet_around`` for an array of terms in lower case that each row has of its own."""
     flat = trimmed(F.regexp_replace(c, r"\s+", " "))
-    places = [F.nullif(F.locate(t.lower(), F.lower(flat)), F.lit(0)) for t in terms]
-    at = F.least(*places) if len(places) > 1 else places[0]
+    at = F.array_min(F.transform(terms, lambda t: F.nullif(F.position(t, F.lower(flat)), F.lit(0))))
     begin, end = F.greatest(at - reach, F.lit(1)), F.least(at + reach, F.length(flat))
     cut = F.concat(F.when(begin > 1, "…").otherwise(""), F.substring(flat, begin, end - begin + 1), F.when(end < F.length(flat), "…").otherwise(""))
     return F.when(at.isNotNull(), cut).otherwise(F.substring(flat, 1, fallback))

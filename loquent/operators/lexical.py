@@ -1,4 +1,4 @@
-"""Fielded full-text search: BM25+ with boosts, prefixes and near spellings, as joins and aggregates."""
+"""Fielded full-text search for one query: BM25+ with boosts, prefixes and near spellings, over ``terms``."""
 
 from __future__ import annotations
 
@@ -9,10 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loquent.functions.text import snippet_around
-
-#: Parameters of BM25+, and the weights of a term found by prefix or near spelling; public defaults of small engines.
-K, B, DELTA = 1.2, 0.7, 0.5
-PREFIX_WEIGHT, FUZZY_WEIGHT = 0.375, 0.45
+from loquent.operators import terms
+from loquent.operators.terms import Dictionary
 
 
 def index(docs: DataFrame, fields: Sequence[str], key: str = "id") -> DataFrame:
@@ -31,46 +29,28 @@ def index(docs: DataFrame, fields: Sequence[str], key: str = "id") -> DataFrame:
 
 def field_sizes(postings: DataFrame) -> DataFrame:
     """Per field how many documents have it and its mean length: facts of the index, stored beside it."""
-    return postings.select("id", "field", "length").distinct().groupBy("field").agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
+    return postings.select("id", "field", "length").distinct().groupBy("field").agg(F.count("*").alias("docs_in"), F.avg("length").alias("mean"))
 
 
 def query_terms(q: str) -> list[str]:
     return list(dict.fromkeys(t for t in re.findall(r"\w+", q.lower()) if len(t) > 1))
 
 
-def matching(postings: DataFrame, q: str, fuzzy: float = 0.2, prefix: bool = True) -> DataFrame:
-    """Postings of the query's terms: exact, by prefix for the last one, near spellings for terms over three characters."""
-    terms, out = query_terms(q), None
-    for i, term in enumerate(terms):
-        most = min(6, round(len(term) * fuzzy)) if len(term) > 3 else 0
-        gap = F.levenshtein(F.col("term"), F.lit(term), most) if most else F.lit(-1)
-        weight = F.when(F.col("term") == term, F.lit(1.0))
-        if prefix and i == len(terms) - 1:
-            extra = F.length("term") - len(term)
-            weight = weight.when(F.col("term").startswith(term), PREFIX_WEIGHT * F.length("term") / (F.length("term") + 0.3 * extra))
-        if most:
-            weight = weight.when(gap > 0, FUZZY_WEIGHT * F.length("term") / (F.length("term") + gap))
-        one = postings.withColumn("weight", weight).filter(F.col("weight").isNotNull()).withColumn("asked", F.lit(term))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def search(postings: DataFrame, q: str, boosts: dict[str, float], fuzzy: float = 0.2, prefix: bool = True, every: bool = True, limit: int = 50, sizes: DataFrame | None = None) -> DataFrame:
-    """id and score; with ``every``, of those that match each term of the query. ``sizes``: stored ``field_sizes``."""
-    found = matching(postings, q, fuzzy, prefix)
-    if found is None:
-        return postings.select("id", F.lit(0.0).alias("score")).limit(0)
+def dictionary(postings: DataFrame) -> Dictionary:
+    """The dictionary of a table of postings; worth storing where it is read more than once."""
+    words = terms.words_of(postings)
+    return Dictionary(words, terms.segments_of(words))
+
+
+def _one(postings: DataFrame, q: str) -> DataFrame:
+    return postings.sparkSession.range(1).select(F.col("id").alias("query_id"), F.lit(q).alias("q"))
+
+
+def search(postings: DataFrame, q: str, boosts: dict[str, float], fuzzy: bool = True, prefix: bool = True, every: bool = True, limit: int = 50, sizes: DataFrame | None = None, book: Dictionary | None = None) -> DataFrame:
+    """id and score; with ``every``, of those that match each term of the query. ``sizes``, ``book``: stored ones."""
     sizes = field_sizes(postings) if sizes is None else sizes
-    spread = found.groupBy("field", "term").agg(F.count_distinct("id").alias("df"))
-    boost = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in boosts.items() for x in kv]), F.col("field")), F.lit(1.0))
-    rows = found.join(F.broadcast(sizes), "field").join(spread, ["field", "term"])  # sizes: a row a field
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") * (K + 1) / (F.col("tf") + K * (1 - B + B * F.col("length") / F.col("mean")))
-    scored = rows.withColumn("s", F.col("weight") * boost * idf * (DELTA + tf))
-    per = scored.groupBy("id").agg(F.sum("s").alias("score"), F.count_distinct("asked").alias("terms"))
-    if every:
-        per = per.filter(F.col("terms") == len(query_terms(q)))
-    return per.select("id", "score").orderBy(F.desc("score"), "id").limit(limit)
+    found = terms.matches_each(book or dictionary(postings), postings, sizes, _one(postings, q), boosts, fuzzy, prefix)
+    return terms.search_each(found, every, limit).select("id", "score").orderBy(F.desc("score"), "id")
 
 
 def with_snippets(hits: DataFrame, docs: DataFrame, q: str, text: str, key: str = "id") -> DataFrame:
@@ -79,11 +59,6 @@ def with_snippets(hits: DataFrame, docs: DataFrame, q: str, text: str, key: str
     return hits.join(rows, "id")
 
 
-def suggest(postings: DataFrame, q: str, limit: int = 8) -> DataFrame:
+def suggest(postings: DataFrame, q: str, limit: int = 8, book: Dictionary | None = None) -> DataFrame:
     """Terms of the index that the last word of the query may become, by how many documents have them."""
-    last = query_terms(q)[-1:]
-    if not last:
-        return postings.select(F.col("term").alias("suggestion"), F.lit(0).cast("long").alias("n")).limit(0)
-    near = matching(postings, last[0])
-    per = near.groupBy("term").agg(F.count_distinct("id").alias("n"), F.max("weight").alias("w"))
-    return per.orderBy(F.desc(F.col("n") * F.col("w")), "term").limit(limit).select(F.col("term").alias("suggestion"), "n")
+    return terms.suggest_each(book or dictionary(postings), _one(postings, q), limit).orderBy("rank").select("suggestion", "n")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loquent.functions import text as tx
-from loquent.operators import catalog, dedupe, keywords, lexical, memory, search, segments, setjoin, state, stats, themes, vectors
+from loquent.operators import catalog, dedupe, keywords, lexical, memory, search, segments, setjoin, state, stats, terms, themes, vectors
 from loquent.sources.scratch import stored
 from loquent.sources.tables import activity, messages, table
 from loquent.sources.tables import vectors as vecs
@@ -488,11 +488,13 @@ s AS (SELECT id, asked, w * (CASE WHEN field = 'source' THEN 4.0 ELSE 1.0 END) *
 SELECT id, round(sum(s), 6) AS score FROM s GROUP BY 1 HAVING count(DISTINCT asked) = 2 ORDER BY sum(s) DESC, id LIMIT 50"""
 
 
-def _index(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Postings and field sizes, built and stored once."""
+def _index(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, lexical.Dictionary]:
+    """Postings, field sizes and the dictionary, built and stored once."""
     docs = table(s, d, "documents").withColumnRenamed("doc_id", "id")
     postings = stored("postings", docs, lambda x: lexical.index(x, ("text", "source")))
-    return postings, stored("field sizes", docs, lambda _: lexical.field_sizes(postings))
+    words = stored("words", docs, lambda _: terms.words_of(postings))
+    segs = stored("segments of words", docs, lambda _: terms.segments_of(words))
+    return postings, stored("field sizes", docs, lambda _: lexical.field_sizes(postings)), lexical.Dictionary(words, segs)
 
 
 _LEX_HITS = "SELECT id, sum(s) AS score FROM s GROUP BY 1 HAVING count(DISTINCT asked) = 2 ORDER BY score DESC, id LIMIT"
@@ -501,8 +503,8 @@ _LEX_HEAD = _LEX[: _LEX.index("SELECT id, round(sum(s)")]
 
 @query(_LEX)
 def field_search(s: SparkSession, d: str) -> DataFrame:
-    postings, sizes = _index(s, d)
-    return lexical.search(postings, "heth ofth", {"source": 4.0}, fuzzy=0.0, sizes=sizes).select("id", *r6("score"))
+    postings, sizes, book = _index(s, d)
+    return lexical.search(postings, "heth ofth", {"source": 4.0}, fuzzy=False, sizes=sizes, book=book).select("id", *r6("score"))
 
 
 @query(
@@ -512,8 +514,8 @@ def field_search(s: SparkSession, d: str) -> DataFrame:
     + " SELECT id, round(score, 6) AS score, sha256(CASE WHEN pos IS NULL THEN flat[1:140] ELSE (CASE WHEN b > 1 THEN '…' ELSE '' END) || flat[b:z] || (CASE WHEN z < length(flat) THEN '…' ELSE '' END) END) AS snippet_hash FROM e"
 )
 def field_search_snippets(s: SparkSession, d: str) -> DataFrame:
-    postings, sizes = _index(s, d)
-    hits = lexical.search(postings, "heth ofth", {"source": 4.0}, fuzzy=0.0, sizes=sizes)
+    postings, sizes, book = _index(s, d)
+    hits = lexical.search(postings, "heth ofth", {"source": 4.0}, fuzzy=False, sizes=sizes, book=book)
     found = lexical.with_snippets(hits, table(s, d, "documents"), "heth ofth", "text", "doc_id")
     return found.select("id", *r6("score"), F.sha2("snippet", 256).alias("snippet_hash"))
 
@@ -525,8 +527,8 @@ def field_search_snippets(s: SparkSession, d: str) -> DataFrame:
 )
 def rerank_documents(s: SparkSession, d: str) -> DataFrame:
     """The pool is what full-text search finds in the whole table; of it the best by the scorer."""
-    postings, sizes = _index(s, d)
-    hits = lexical.search(postings, "heth ofth", {"source": 4.0}, fuzzy=0.0, limit=40, sizes=sizes)
+    postings, sizes, book = _index(s, d)
+    hits = lexical.search(postings, "heth ofth", {"source": 4.0}, fuzzy=False, limit=40, sizes=sizes, book=book)
     place = F.row_number().over(Window.orderBy(F.desc("score"), "id"))  # of a pool of 40
     pool = hits.withColumn("place", place).drop("score").join(table(s, d, "documents").withColumnRenamed("doc_id", "id").select("id", "text"), "id")
     return search.reranked(pool, "heth ofth", "text").select("id", "score", "rank")
@@ -540,13 +542,14 @@ m AS (SELECT id, field, length, term, tf, CASE WHEN term = asked THEN 1.0 WHEN a
 
 @query(_LEX_FUZZY)
 def field_search_fuzzy(s: SparkSession, d: str) -> DataFrame:
-    postings, sizes = _index(s, d)
-    return lexical.search(postings, "thinor ofthe", {"source": 4.0}, sizes=sizes).select("id", *r6("score"))
+    postings, sizes, book = _index(s, d)
+    return lexical.search(postings, "thinor ofthe", {"source": 4.0}, sizes=sizes, book=book).select("id", *r6("score"))
 
 
 @query(_LEX_FUZZY[: _LEX_FUZZY.index("c AS (SELECT field")].replace("['thinor', 'ofthe']", "['ofthe']").rstrip().rstrip(",") + " SELECT term AS suggestion, count(DISTINCT id) AS n FROM m GROUP BY 1 ORDER BY count(DISTINCT id) * max(w) DESC, 1 LIMIT 8")
 def field_suggest(s: SparkSession, d: str) -> DataFrame:
-    return lexical.suggest(_index(s, d)[0], "ofthe")
+    postings, _, book = _index(s, d)
+    return lexical.suggest(postings, "ofthe", book=book)
 
 
 @query(r"SELECT doc_id, regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])the($|[^\p{L}\p{N}_])') AS has_the FROM documents WHERE text IS NOT NULL")

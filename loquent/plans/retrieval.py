@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loquent.operators import inverted, search
-from loquent.plans.queries import SQL, _asked, _with_hubs, query, r6
+from loquent.operators import inverted, search, terms
+from loquent.plans.queries import SQL, _LEX, _asked, _index, _with_hubs, query, r6
 from loquent.sources.scratch import stored_at
+from loquent.sources.tables import table
 from loquent.sources.tables import vectors as vecs
 
 
@@ -19,3 +21,60 @@ def _cells(s: SparkSession, d: str) -> inverted.Cells:
 def knn_indexed(s: SparkSession, d: str) -> DataFrame:
     """``knn_csls`` with its pool from the index, which proves that it is exact."""
     return search.knn_each(_with_hubs(s, d), _asked(s, d), 10, _cells(s, d)).select("query_id", "rank", "id", *r6("distance", "rank_distance"))
+
+
+# --- full-text search for a table of queries: the first three words of each benchmark item
+
+_LETTERS = "translate({}, 'àâäáãåçèéêëìíîïñòóôöõùúûüýÿœæßÀÂÄÁÉÈÊÇÑÖÜÓÚÍ', '!\"#$%&()*+-./:;<=>?@[]^_`{{|}}~0123456789ABCDEFGHI')"
+_NEAR = f"levenshtein({_LETTERS.format('term')}, {_LETTERS.format('asked')})"  # DuckDB counts bytes
+_EACH = (
+    _LEX[: _LEX.index("m AS (SELECT")]
+    + rf"""qw AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')[1:3] AS ws FROM benchmark),
+qa AS (SELECT query_id, asked, min(p) AS p FROM (SELECT query_id, unnest(ws) AS asked, generate_subscripts(ws, 1) AS p FROM qw) WHERE length(asked) > 1 GROUP BY ALL),
+qt AS (SELECT query_id, asked, p = max(p) OVER (PARTITION BY query_id) AS last, count(*) OVER (PARTITION BY query_id) AS terms, CASE WHEN length(asked) > 3 THEN least(6, round(length(asked) * 0.2)) ELSE 0 END AS e FROM qa),
+tm AS (SELECT term, count(DISTINCT id) AS docs FROM i GROUP BY 1),
+em AS (SELECT query_id, asked, terms, term, docs, CASE WHEN term = asked THEN 1.0 WHEN last AND starts_with(term, asked) THEN 0.375 * length(term) / (length(term) + 0.3 * (length(term) - length(asked))) ELSE 0.45 * length(term) / (length(term) + {_NEAR}) END AS w
+  FROM qt JOIN tm ON term = asked OR (last AND starts_with(term, asked)) OR (e > 0 AND abs(length(term) - length(asked)) <= e AND {_NEAR} <= e)),
+dfs AS (SELECT field, term, count(DISTINCT id) AS df FROM i GROUP BY 1, 2),
+mt AS (SELECT query_id, id, field, term, asked, terms, w * (CASE WHEN field = 'source' THEN 4.0 ELSE 1.0 END) * ln(1 + (docs_in - df + 0.5) / (df + 0.5)) * (0.5 + tf * 2.2 / (tf + 1.2 * (1 - 0.7 + 0.7 * length / mean))) AS s
+  FROM em JOIN i USING (term) JOIN (SELECT field, docs AS docs_in, mean FROM z) USING (field) JOIN dfs USING (field, term)),
+hits AS (SELECT query_id, id, sum(s) AS score FROM mt GROUP BY 1, 2 HAVING count(DISTINCT asked) = max(terms)),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id)::INT AS rank FROM hits) WHERE rank <= 10)"""
+)
+
+
+def _phrases(s: SparkSession, d: str, most: int = 3) -> DataFrame:
+    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), 1, most)
+    return table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("q"))
+
+
+def _matches(s: SparkSession, d: str) -> DataFrame:
+    postings, sizes, book = _index(s, d)
+    return terms.matches_each(book, postings, sizes, _phrases(s, d), {"source": 4.0})
+
+
+@query(_EACH + " SELECT query_id, id, rank, round(score, 6) AS score FROM best")
+def field_search_each(s: SparkSession, d: str) -> DataFrame:
+    return terms.search_each(_matches(s, d), limit=10).select("query_id", "id", "rank", *r6("score"))
+
+
+@query(
+    _EACH
+    + r""", fm AS (SELECT query_id, id, field, list(DISTINCT term) AS ts FROM mt JOIN best USING (query_id, id) GROUP BY ALL),
+ft AS (SELECT fm.*, trim(regexp_replace(coalesce(CASE WHEN field = 'text' THEN text ELSE source END, ''), '\s+', ' ', 'g')) AS flat FROM fm JOIN documents ON doc_id = id),
+fp AS (SELECT *, list_min(list_transform(ts, lambda x: nullif(instr(lower(flat), x), 0))) AS pos FROM ft), fe AS (SELECT *, greatest(pos - 70, 1) AS b, least(pos + 70, length(flat)) AS z FROM fp)
+SELECT query_id, id, field, sha256(CASE WHEN pos IS NULL THEN flat[1:140] ELSE (CASE WHEN b > 1 THEN '…' ELSE '' END) || flat[b:z] || (CASE WHEN z < length(flat) THEN '…' ELSE '' END) END) AS snippet_hash FROM fe"""
+)
+def field_matches(s: SparkSession, d: str) -> DataFrame:
+    """A snippet for each field of each hit."""
+    matches = _matches(s, d)
+    found = terms.field_snippets(terms.search_each(matches, limit=10), matches, table(s, d, "documents"), ["text", "source"], "doc_id")
+    return found.select("query_id", "id", "field", F.sha2("snippet", 256).alias("snippet_hash"))
+
+
+_SUGGEST = _EACH[: _EACH.index("dfs AS (SELECT field, term")].rstrip().rstrip(",")
+
+
+@query(_SUGGEST.replace("AS e FROM qa)", "AS e FROM qa QUALIFY p = max(p) OVER (PARTITION BY query_id))") + ", r AS (SELECT query_id, term AS suggestion, docs AS n, row_number() OVER (PARTITION BY query_id ORDER BY round(docs * w, 9) DESC, term)::INT AS rank FROM em) SELECT * FROM r WHERE rank <= 8")
+def field_suggest_each(s: SparkSession, d: str) -> DataFrame:
+    return terms.suggest_each(_index(s, d)[2], _phrases(s, d))
