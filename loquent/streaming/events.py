@@ -1,12 +1,9 @@
-"""Streams: activity in windows, sessions, unique events, and blocks kept up to date batch by batch."""
+"""Streams of activity: windows, sessions and unique events."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-
-from loquent.operators.memory import blocks, refreshed, stale
 
 
 def event_stream(spark: SparkSession, path: str, schema: str, at: str = "ts") -> DataFrame:
@@ -25,28 +22,3 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "40 days",
 
 def unique(events: DataFrame, key: str = "event_id", late: str = "40 days", at: str = "ts") -> DataFrame:
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
-
-
-def keep_blocks(messages: DataFrame, history: DataFrame, path: str, checkpoint: str, size: int = 8) -> StreamingQuery:
-    """Blocks of the chats that a batch of messages touches, built again where stale; each batch writes a new state under ``path``.
-
-    ``history``: all messages so far, as a table. A batch that is run again finds its blocks fresh and changes nothing.
-    """
-
-    def update(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = blocks(history.join(batch.select("chat_id").distinct(), "chat_id", "left_semi"), size)
-        place = f"{path}/state-{number - 1}"
-        try:
-            stored = spark.read.parquet(place)
-        except Exception as missing:
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            stored = fresh.withColumn("created_at", F.lit(0).cast("long")).limit(0)
-        touched = batch.select("chat_id").distinct()
-        built = stale(fresh, stored).withColumn("created_at", F.lit(number).cast("long"))
-        others = stored.join(touched, "chat_id", "left_anti")
-        mine = stored.join(touched, "chat_id", "left_semi")
-        others.unionByName(refreshed(fresh, mine, built)).write.mode("overwrite").parquet(f"{path}/state-{number}")
-
-    return messages.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -108,12 +108,3 @@ def test_streamed_counts_equal_batch(spark, sf, tmp_path):
         assert sorted(r.n for r in spark.table(name).collect()) == sorted(r["count"] for r in batch.collect())
     events.unique(stream.union(stream)).writeStream.format("memory").queryName("u").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "u")).start().awaitTermination(120)
     assert spark.table("u").count() == table.count()
-
-
-def test_blocks_kept_by_stream(spark, tmp_path):
-    ddl = "chat_id bigint, seq bigint, role string, content string"
-    rows = spark.createDataFrame([(c, i, "user" if i % 2 == 0 else "assistant", f"{c}-{i}") for c in range(3) for i in range(5)], ddl)
-    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(ddl).parquet(str(tmp_path / "in"))
-    events.keep_blocks(stream, rows, str(tmp_path / "out"), str(tmp_path / "cp"), 2).awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "out" / "state-0")).count() == 9
