@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from loquent.functions.text import trimmed
 from loquent.functions.values import cosine
+from loquent.operators.intervals import span_of, uncovered
+from loquent.operators.ordering import running
 
 
 @dataclass(frozen=True)
@@ -36,14 +38,17 @@ def history(messages: DataFrame) -> DataFrame:
 def blocks(messages: DataFrame, size: int = 8, char: str = "Character", user: str = "User", partial: bool = True, aged: int | None = None) -> DataFrame:
     """Consecutive blocks of ``size`` messages of a chat: span, transcript and its SHA-256.
 
-    ``aged``: only messages that many seqs before the chat's last; ``partial``: with the last, shorter block.
+    ``aged``: only messages that many seqs before the chat's last; ``partial``: with the last, shorter block. Messages
+    are numbered in ranges of (chat, seq), without their texts, so no task sorts a whole chat; a seq is a message.
     """
     rows = history(messages)
+    places = rows.groupBy("chat_id", "seq").agg(F.count("*").alias("__c"))
     if aged is not None:
-        last = F.max("seq").over(Window.partitionBy("chat_id"))
-        rows = rows.withColumn("__last", last).filter(F.col("seq") <= F.col("__last") - aged)
-    nth = F.row_number().over(Window.partitionBy("chat_id").orderBy("seq")) - 1
-    rows = rows.withColumn("block_idx", F.floor(nth / size).cast("int"))
+        last = rows.groupBy("chat_id").agg(F.max("seq").alias("__last"))
+        places = places.join(last, "chat_id").filter(F.col("seq") <= F.col("__last") - aged).drop("__last")
+    numbered = running(places, ["chat_id"], ["seq"], F.col("__c"), "sum", "__total")
+    nth = F.col("__total") - F.col("__c")
+    rows = rows.join(numbered.select("chat_id", "seq", F.floor(nth / size).cast("int").alias("block_idx")), ["chat_id", "seq"])
     line = F.concat(F.when(F.col("role") == "user", user).otherwise(char), F.lit(": "), trimmed(F.col("content")))
     made = rows.groupBy("chat_id", "block_idx").agg(F.min("seq").alias("seq_start"), F.max("seq").alias("seq_end"), F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("seq", line.alias("line")))).alias("lines"))
     made = made.withColumn("text", F.array_join(F.transform("lines", lambda x: x["line"]), "\n\n"))
@@ -62,9 +67,7 @@ def stale(fresh: DataFrame, stored: DataFrame, edits: DataFrame | None = None) -
     both = fresh.join(old, ["chat_id", "block_idx"], "left")
     due = F.col("__at").isNull() | (F.col("seq_start") != F.col("__s")) | (F.col("seq_end") != F.col("__e"))
     if edits is not None:
-        e = edits.select(F.col("chat_id").alias("__c"), F.col("seq").alias("__seq"), "edited_at")
-        inside = (both["chat_id"] == e["__c"]) & e["__seq"].between(both["seq_start"], both["seq_end"])
-        last = both.join(e, inside).groupBy("chat_id", "block_idx").agg(F.max("edited_at").alias("__edited"))
+        last = span_of(edits.select("chat_id", "seq", "edited_at"), fresh).groupBy("chat_id", "block_idx").agg(F.max("edited_at").alias("__edited"))
         both = both.join(last, ["chat_id", "block_idx"], "left")
         due = due | F.coalesce(F.col("__edited") > F.col("__at"), F.lit(False))
     return both.filter(due).select(fresh.columns)
@@ -98,13 +101,8 @@ def digests(messages: DataFrame, cfg: MemoryConfig = MemoryConfig(), summarise:
 
 
 def bridge(tiers: DataFrame) -> DataFrame:
-    """Digests whose span no higher tier holds: coarse for old parts, fine for new ones.
-
-    The equi-join on the chat keeps the comparison of spans within a chat.
-    """
-    up = tiers.select(F.col("chat_id").alias("__c"), F.col("tier").alias("__t"), F.col("seq_start").alias("__s"), F.col("seq_end").alias("__e"))
-    covers = (F.col("chat_id") == F.col("__c")) & (F.col("__t") > F.col("tier")) & (F.col("__s") <= F.col("seq_start")) & (F.col("__e") >= F.col("seq_end"))
-    return tiers.join(up, covers, "left_anti")
+    """Digests whose span no higher tier holds: coarse for old parts, fine for new ones."""
+    return uncovered(tiers)
 
 
 def recent_query(messages: DataFrame, window: int = 2) -> DataFrame:

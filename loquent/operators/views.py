@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loquent.functions.values import bucket_ms
+from loquent.operators.intervals import middle_of
 
 
 def themes_of(digests: DataFrame, levels: dict[str, Column]) -> DataFrame:
@@ -85,10 +86,8 @@ def mid_times(digests: DataFrame, messages: DataFrame) -> DataFrame:
     digests: chat_id, tier, block_idx, seq_start, seq_end, mid_at; messages: chat_id, seq, created_at. Running it again adds nothing.
     """
     due = digests.filter(F.col("mid_at").isNull()).drop("mid_at")
-    inside = (F.col("chat_id") == F.col("__c")) & F.col("seq").between(F.col("seq_start"), F.col("seq_end"))
-    both = due.join(messages.select(F.col("chat_id").alias("__c"), "seq", "created_at"), inside)
-    per = both.groupBy(*due.columns).agg(F.sort_array(F.collect_list(F.struct("seq", "created_at"))).alias("m"))  # of one span
-    return per.select(*due.columns, F.get("m", F.floor(F.size("m") / 2).cast("int"))["created_at"].alias("mid_at"))
+    found = middle_of(due, messages.select("chat_id", "seq", F.col("created_at").alias("mid_at")), "mid_at")
+    return due.join(found, ["chat_id", "tier", "block_idx"])
 
 
 def missing_hashes(rows: DataFrame, text: str, hashed: str = "content_hash") -> DataFrame:

@@ -7,8 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loquent.operators import tiers
+from loquent.operators.memory import MemoryConfig
 from loquent.plans.queries import _BLOCKS, query
 from loquent.sources import scratch
+from loquent.sources.tables import messages
 from loquent.streaming import blocks
 
 
@@ -22,3 +25,38 @@ def streamed_blocks(s: SparkSession, d: str) -> DataFrame:
     blocks.keep(messages, f"{place}/blocks", f"{place}/checkpoint", 3).awaitTermination()
     found = blocks.current(s.read.schema(blocks.SCHEMA).parquet(f"{place}/blocks"))
     return found.select("chat_id", "block_idx", "seq_start", "seq_end", "n", "seq_mid", "content_hash")
+
+
+# --- digests of all tiers after messages came, went and were edited
+
+
+def _grid(name: str, where: str) -> str:
+    """The digests of the messages that ``where`` leaves: blocks of two behind the last message, and two tiers of two each."""
+    up = lambda k: f"{name}{k + 1} AS (SELECT chat_id, block_idx // 2 AS block_idx, min(s) AS s, max(e) AS e, string_agg(text, chr(10) || chr(10) ORDER BY block_idx) AS text FROM {name}{k} GROUP BY 1, 2 HAVING count(*) = 2)"
+    return (
+        rf"""{name}h AS (SELECT conv_id, turn, max(turn) OVER (PARTITION BY conv_id) AS last, (CASE WHEN role = 'user' THEN 'User' ELSE 'Character' END) || ': ' || regexp_replace(text, '^\s+|\s+$', '', 'g') AS line FROM conversations WHERE role <> 'system' AND regexp_replace(text, '^\s+|\s+$', '', 'g') <> '' AND {where}),
+{name}g AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS nth FROM {name}h WHERE turn <= last - 1),
+{name}b AS (SELECT conv_id AS chat_id, (nth // 2)::INT AS block_idx, min(turn) AS s, max(turn) AS e, count(*) AS n, string_agg(line, chr(10) || chr(10) ORDER BY turn) AS text FROM {name}g GROUP BY 1, 2),
+{name}0 AS (SELECT * EXCLUDE (n) FROM {name}b WHERE chat_id IN (SELECT chat_id FROM {name}b WHERE block_idx = 0 AND n = 2)), """
+        + ", ".join(map(up, (0, 1)))
+    )
+
+
+_WERE, _ARE = "NOT (conv_id % 4 = 1 AND turn > 3)", "NOT (conv_id % 4 = 0 AND turn > 3)"
+_MARK = "SELECT x.*, y.chat_id IS NULL OR y.s <> x.s OR y.e <> x.e OR {why} AS due FROM new{k} x LEFT JOIN old{k} y USING (chat_id, block_idx)"
+_RISEN = _MARK + " LEFT JOIN (SELECT chat_id, block_idx // 2 AS block_idx, bool_or(due) AS child FROM due{below} GROUP BY 1, 2) z USING (chat_id, block_idx)"
+_PART = "SELECT chat_id, {k} AS tier, block_idx, '{state}' AS state, s AS seq_start, e AS seq_end, sha256(text) AS text_hash FROM "
+
+
+@query(
+    f"WITH {_grid('old', _WERE)}, {_grid('new', _ARE)}, due0 AS ({_MARK.format(k=0, why='x.chat_id % 5 = 1 AND 1 BETWEEN x.s AND x.e')}), due1 AS ({_RISEN.format(k=1, below=0, why='child')}), due2 AS ({_RISEN.format(k=2, below=1, why='child')}) "
+    + " UNION ALL ".join(f"{_PART.format(k=k, state='built')} due{k} WHERE due UNION ALL {_PART.format(k=k, state='gone').replace('s AS seq_start, e AS seq_end, sha256(text)', 'NULL AS seq_start, NULL AS seq_end, NULL')} (SELECT * FROM old{k} ANTI JOIN new{k} USING (chat_id, block_idx))" for k in range(3))
+)
+def digest_upkeep(s: SparkSession, d: str) -> DataFrame:
+    """Of digests that were whole once, those built again and those that went: messages came, went and were edited since."""
+    cfg = MemoryConfig(block_size=2, verbatim=1, fan_out=2, max_tier=2)
+    stored = tiers.replay(messages(s, d).filter(_WERE.replace("conv_id", "chat_id").replace("turn", "seq")), 100, cfg)
+    edits = messages(s, d).filter("chat_id % 5 = 1 and seq = 1").select("chat_id", "seq", F.lit(200).alias("edited_at"))
+    now = tiers.keep_up(messages(s, d).filter(_ARE.replace("conv_id", "chat_id").replace("turn", "seq")), stored, edits, 300, cfg)
+    built = now.built.select("chat_id", "tier", "block_idx", F.lit("built").alias("state"), "seq_start", "seq_end", F.sha2("text", 256).alias("text_hash"))
+    return built.unionByName(now.gone.withColumn("state", F.lit("gone")), allowMissingColumns=True)
