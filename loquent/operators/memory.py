@@ -149,3 +149,50 @@ def recall(tiers: DataFrame, query_text: str, query_vector: Column, cfg: MemoryC
         ranked = rerank(chosen.withColumnRenamed("score", "first_score"), query_text, "text", scorer)
         chosen = ranked.orderBy(F.desc("score"), F.desc("first_score"), "tier", "block_idx").limit(cfg.rerank_to)
     return chosen.orderBy("seq_start")
+
+
+def recall_each(tiers: DataFrame, asked: DataFrame, cfg: MemoryConfig = MemoryConfig(), scorer: Callable[[str, pd.Series], pd.Series] | None = None) -> DataFrame:
+    """``recall`` for a table of chats: what each recalls of its own digests, with ``score`` and ``place`` in order of time.
+
+    tiers: chat_id, tier, block_idx, seq_start, seq_end, text, vec (may be null), keywords; asked: chat_id, query_text and
+    vec, a row a chat. A digest meets the one query of its chat; ranks are cut before the shuffle, so a chat of very many
+    digests sends on ``retrieve_k`` from each task.
+    """
+    mine = tiers.join(asked.select("chat_id").distinct(), "chat_id", "left_semi")
+    if cfg.mode == "off":
+        return _placed(mine.limit(0).withColumn("score", F.lit(None).cast("double")))
+    if cfg.mode == "mixA":
+        return _placed(mine.filter("tier = 0").withColumn("score", F.lit(None).cast("double")))
+    pool = bridge(mine)
+    if cfg.mode == "tiered":
+        return _placed(pool.withColumn("score", F.lit(None).cast("double")))
+    top = pool.groupBy("chat_id").agg(F.max("seq_start").alias("__top"))
+    query = asked.select("chat_id", F.coalesce("query_text", F.lit("")).alias("query_text"), F.col("vec").alias("__vec"))
+    both = pool.join(query, "chat_id").join(top, "chat_id")
+    recency = cfg.recency_bias * F.col("seq_start") / F.greatest("__top", F.lit(1))
+    near = F.when(F.col("vec").isNotNull() & F.col("__vec").isNotNull(), cosine(F.col("vec"), F.col("__vec")))
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    telling = F.filter(F.flatten(F.transform("keywords", words)), lambda w: (F.length(w) >= 4) | w.rlike(r"[^\x00-\x7F]"))
+    hit = F.coalesce(F.arrays_overlap(telling, words(F.col("query_text"))), F.lit(False)) & F.lit(cfg.keyword_match)
+    blank = F.col("query_text") == ""
+    score = F.when(~blank, F.when(near >= cfg.min_score, near + recency).when(hit, cfg.min_score + recency))
+    scored = both.withColumn("score", score).filter(blank | F.col("score").isNotNull())
+    rank = F.row_number().over(Window.partitionBy("chat_id").orderBy(F.desc(F.round("score", 9)), "tier", "block_idx"))
+    chosen = scored.filter(~blank).withColumn("rank", rank).filter(F.col("rank") <= cfg.retrieve_k)
+    if cfg.mode == "mixC" and scorer:
+        from loquent.operators.search import rerank_each
+
+        ranked = rerank_each(chosen.withColumnRenamed("chat_id", "query_id").drop("score"), cfg.rerank_to, scorer)
+        chosen = ranked.withColumnRenamed("query_id", "chat_id")
+    every = scored.filter(blank).withColumn("score", F.lit(None).cast("double"))  # a chat with nothing to ask by recalls its bridge
+    return _placed(chosen.select(*tiers.columns, "score").unionByName(every.select(*tiers.columns, "score")))
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("chat_id").orderBy("seq_start", "tier")))
+
+
+def format_block(rows: DataFrame) -> DataFrame:
+    """chat_id and its recalled texts (text, place), trimmed, a blank line between; null where all are blank."""
+    kept = rows.withColumn("__t", trimmed(F.col("text"))).groupBy("chat_id").agg(F.sort_array(F.collect_list(F.when(F.col("__t") != "", F.struct("place", "__t")))).alias("__b"))
+    return kept.select("chat_id", F.nullif(F.array_join(F.transform("__b", lambda x: x["__t"]), "\n\n"), F.lit("")).alias("block"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loquent.functions.values import csls_distance
 from loquent.operators import inverted
 from loquent.operators.dedupe import keep_first
-from loquent.operators.vectors import nearest, nearest_each
+from loquent.operators.vectors import nearest, nearest_each, nearest_in_scope
 
 Scorer = Callable[[str, pd.Series], pd.Series]
 
@@ -81,12 +81,16 @@ def hybrid(digests: DataFrame, segments: DataFrame, query: Column, k: int = 10,
     return keep_first(both, ["chat_id", "tier", "block_idx"], order).orderBy(*order).limit(k)
 
 
-def pool_each(vectors: DataFrame, queries: DataFrame, k: int, cells: inverted.Cells | None = None) -> DataFrame:
+def pool_each(vectors: DataFrame, queries: DataFrame, k: int, cells: inverted.Cells | None = None, scope: str | None = None) -> DataFrame:
     """For each query (query_id, vec) the ``k`` nearest of all rows (id, vec, hub, ...), with distance and rank_distance.
 
-    ``cells``: an index of these rows, through which they are found then.
+    ``cells``: an index of these rows, through which they are found then. ``scope``: a column of both tables, such as the
+    owner or the chat; a query finds rows of its own one only, and no place in the pool goes to others.
     """
-    found = inverted.nearest_each(cells, queries, k)[0] if cells else nearest_each(queries, vectors, k)
+    if scope:
+        found = nearest_in_scope(queries, vectors, k, scope)
+    else:
+        found = inverted.nearest_each(cells, queries, k)[0] if cells else nearest_each(queries, vectors, k)
     found = found.join(vectors.drop("vec"), "id")
     return found.withColumn("rank_distance", csls_distance(F.col("distance"), F.col("hub")))
 
@@ -96,14 +100,14 @@ def _first(rows: DataFrame, k: int, *order: str) -> DataFrame:
     return rows.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def knn_each(vectors: DataFrame, queries: DataFrame, k: int = 10, cells: inverted.Cells | None = None) -> DataFrame:
-    """``knn`` for a table of queries."""
-    return _first(pool_each(vectors, queries, 4 * k, cells), k, "rank_distance", "distance", "id")
+def knn_each(vectors: DataFrame, queries: DataFrame, k: int = 10, cells: inverted.Cells | None = None, scope: str | None = None) -> DataFrame:
+    """``knn`` for a table of queries; in a scope the pool is twice as deep."""
+    return _first(pool_each(vectors, queries, 8 * k if scope else 4 * k, cells, scope), k, "rank_distance", "distance", "id")
 
 
-def discover_each(segments: DataFrame, queries: DataFrame, group: str, k: int = 10, pool_size: int | None = None, evidence: int = 3) -> DataFrame:
+def discover_each(segments: DataFrame, queries: DataFrame, group: str, k: int = 10, pool_size: int | None = None, evidence: int = 3, scope: str | None = None) -> DataFrame:
     """``discover`` for a table of queries."""
-    found = pool_each(segments, queries, min(20 * k, 400) if pool_size is None else pool_size)
+    found = pool_each(segments, queries, min(20 * k, 400) if pool_size is None else pool_size, scope=scope)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank_distance", "distance", "id"))
     nth = F.row_number().over(Window.partitionBy("query_id", group).orderBy("place"))
     inside = found.withColumn("place", place).withColumn("nth", nth)
@@ -111,10 +115,10 @@ def discover_each(segments: DataFrame, queries: DataFrame, group: str, k: int =
     return _first(grouped, k, "best").select("query_id", group, "best", "matches", F.transform("found", lambda x: x["id"]).alias("evidence"))
 
 
-def hybrid_each(digests: DataFrame, segments: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def hybrid_each(digests: DataFrame, segments: DataFrame, queries: DataFrame, k: int = 10, scope: str | None = None) -> DataFrame:
     """``hybrid`` for a table of queries."""
-    one = pool_each(digests, queries, 8 * k).withColumn("origin", F.lit("digest"))
-    two = pool_each(segments, queries, 8 * k).withColumn("origin", F.lit("segment")).withColumn("tier", F.lit(0).cast(dict(digests.dtypes)["tier"]))
+    one = pool_each(digests, queries, 8 * k, scope=scope).withColumn("origin", F.lit("digest"))
+    two = pool_each(segments, queries, 8 * k, scope=scope).withColumn("origin", F.lit("segment")).withColumn("tier", F.lit(0).cast(dict(digests.dtypes)["tier"]))
     order = ["rank_distance", "distance", "origin", "id"]
     best = keep_first(one.unionByName(two, allowMissingColumns=True), ["query_id", "chat_id", "tier", "block_idx"], [F.col(c) for c in order])
     return _first(best, k, *order)
@@ -127,18 +131,19 @@ def reranked(hits: DataFrame, query: str, text: str, k: int = 10, scorer: Scorer
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def find_each(characters: DataFrame, segments: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def find_each(characters: DataFrame, segments: DataFrame, queries: DataFrame, k: int = 10, scope: str | None = None) -> DataFrame:
     """Characters and segments in one ranking for each query: kind, id, rank. Both: id, vec, hub."""
-    one = pool_each(characters.select("id", "vec", "hub"), queries, 4 * k).withColumn("kind", F.lit("character"))
-    two = pool_each(segments.select("id", "vec", "hub"), queries, 4 * k).withColumn("kind", F.lit("segment"))
+    kept = ["id", "vec", "hub", *([scope] if scope else [])]
+    one = pool_each(characters.select(*kept), queries, 4 * k, scope=scope).withColumn("kind", F.lit("character"))
+    two = pool_each(segments.select(*kept), queries, 4 * k, scope=scope).withColumn("kind", F.lit("segment"))
     return _first(one.unionByName(two), k, "rank_distance", "distance", "kind", "id")
 
 
-def digests_each(digests: DataFrame, queries: DataFrame, tier: str, k: int = 10) -> DataFrame:
+def digests_each(digests: DataFrame, queries: DataFrame, tier: str, k: int = 10, scope: str | None = None) -> DataFrame:
     """``knn_each`` over the digests of scenes (tier 0) or of arcs (the tiers above)."""
     if tier not in ("scene", "arc"):
         raise ValueError("tier must be scene or arc")
-    return knn_each(digests.filter("tier = 0" if tier == "scene" else "tier > 0"), queries, k)
+    return knn_each(digests.filter("tier = 0" if tier == "scene" else "tier > 0"), queries, k, scope=scope)
 
 
 def rerank_each(hits: DataFrame, k: int = 10, scorer: Scorer = overlap_scorer) -> DataFrame:
@@ -164,17 +169,17 @@ def named(hits: DataFrame, names: DataFrame, key: str = "id") -> DataFrame:
     return hits.join(names, key)
 
 
-def search_each(over: str, tables: dict[str, DataFrame], queries: DataFrame, group: str = "none", k: int = 10) -> DataFrame:
+def search_each(over: str, tables: dict[str, DataFrame], queries: DataFrame, group: str = "none", k: int = 10, scope: str | None = None) -> DataFrame:
     """One entry for all searches: over characters (with segments), segments (also grouped), scenes, arcs, or a mix.
 
-    tables: characters, segments and digests, as the single searches take them.
+    tables: characters, segments and digests, as the single searches take them; ``scope`` as in ``pool_each``.
     """
     if over == "characters":
-        return find_each(tables["characters"], tables["segments"], queries, k)
+        return find_each(tables["characters"], tables["segments"], queries, k, scope)
     if over == "segments":
-        return discover_each(tables["segments"], queries, "character_id", k) if group == "character" else knn_each(tables["segments"], queries, k)
+        return discover_each(tables["segments"], queries, "character_id", k, scope=scope) if group == "character" else knn_each(tables["segments"], queries, k, scope=scope)
     if over in ("scenes", "arcs"):
-        return digests_each(tables["digests"], queries, over[:-1], k)
+        return digests_each(tables["digests"], queries, over[:-1], k, scope)
     if over == "mix":
-        return hybrid_each(tables["digests"], tables["segments"], queries, k)
+        return hybrid_each(tables["digests"], tables["segments"], queries, k, scope)
     raise ValueError("over must be characters, segments, scenes, arcs or mix")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loquent.functions.values import cosine
+from loquent.sources.scratch import written
 
 #: Rows of a block; two blocks and their product fit easily in a task.
 BLOCK = 1024
@@ -130,6 +131,39 @@ def nearest_each(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return found.withColumn("__rank", rank).filter(F.col("__rank") <= k).drop("__rank")
 
 
+def nearest_in_scope(queries: DataFrame, vectors: DataFrame, k: int, scope: str) -> DataFrame:
+    """``nearest_each`` among the rows of each query's own ``scope`` (a column of both), such as an owner or a chat.
+
+    A scope's queries meet only its rows, a large one's in pairs of blocks; scopes that nothing asks in are not read
+    further, and a null scope has no rows.
+    """
+    sound = lambda df: df.filter(F.col("vec").isNotNull() & F.col(scope).isNotNull())
+    queries, vectors = sound(queries).withColumnRenamed(scope, "scope"), sound(vectors).withColumnRenamed(scope, "scope")
+    blocks = lambda df, name: df.groupBy("scope").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    sizes = written(blocks(queries, "n_q").join(blocks(vectors, "n_r"), "scope"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    slot = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    asked = queries.join(sizes, "scope").select("scope", F.col("query_id").cast("bigint").alias("query_id"), "vec", slot("query_id", "n_q").alias("one"), every("n_r").alias("two"))
+    rows = vectors.join(sizes, "scope").select("scope", F.col("id").cast("bigint").alias("id"), "vec", every("n_q").alias("one"), slot("id", "n_r").alias("two"))
+    rows = rows.select(*[F.col(c).alias(c) for c in rows.columns])
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        q, ids = left.column("query_id").to_numpy(), right.column("id").to_numpy()
+        i = j = np.zeros(0, np.int64)
+        far = np.zeros((0, 0))
+        if len(q) and len(ids):
+            far = 1 - _unit(left) @ _unit(right).T
+            far[q[:, None] == ids] = np.inf
+            n = min(k, far.shape[1])
+            i, j = np.nonzero((far <= np.partition(far, n - 1, axis=1)[:, n - 1 : n]) & np.isfinite(far))
+        return pa.table({"query_id": q[i], "id": ids[j], "distance": far[i, j]})
+
+    keys = ["scope", "one", "two"]
+    found = asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(meet, "query_id bigint, id bigint, distance double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    return found.withColumn("__rank", rank).filter(F.col("__rank") <= k).drop("__rank")
+
+
 def centroids(vectors: DataFrame, key: str) -> DataFrame:
     """The mean vector of each key, not normalised; tasks send on one sum a key, not their rows."""
     kind = dict(vectors.dtypes)[key]
@@ -146,10 +180,12 @@ def centroids(vectors: DataFrame, key: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([codes.dictionary, pa.array(list(total), pa.list_(pa.float64())), pa.array(n)], [key, "total", "n"])
 
     parts = vectors.filter(F.col("vec").isNotNull()).select(key, "vec").mapInArrow(sums, f"`{key}` {kind}, total array<double>, n bigint")
-    dims = F.max(F.size("total")).alias("dims")
-    both = parts.groupBy(key).agg(F.sum("n").alias("n"), F.collect_list("total").alias("totals"), dims)  # a row a batch
-    add = F.aggregate("totals", F.array_repeat(F.lit(0.0), F.col("dims")), lambda t, x: F.zip_with(t, x, lambda a, b: a + b))
-    return both.select(key, F.transform(add, lambda x: x / F.col("n")).alias("vec"))
+    # a row a place and key from each task, added before the shuffle; a key's own rows never meet in a list
+    sizes = parts.groupBy(key).agg(F.sum("n").alias("__n"))
+    places = parts.select(key, F.posexplode("total").alias("__i", "__x")).groupBy(key, "__i").agg(F.sum("__x").alias("__x"))
+    added = places.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("__i", "__x"))).alias("__v"))  # a row a dimension
+    both = added.join(sizes, added[key].eqNullSafe(sizes[key])).select(added[key], "__v", "__n")
+    return both.select(key, F.transform("__v", lambda x: x["__x"] / F.col("__n")).alias("vec"))
 
 
 def nearest_centroid(vectors: DataFrame, few: list[tuple[int, list[float]]]) -> DataFrame:
@@ -191,8 +227,11 @@ def graph(pairs: DataFrame, most: int = 120) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
-def cluster_facets(assigned: DataFrame, facts: DataFrame, key: str = "id") -> DataFrame:
-    """Per cluster: size, most common value of each fact (ties to the least) and the first 12 members."""
+def cluster_facets(assigned: DataFrame, facts: DataFrame, key: str = "id", most: int = 12) -> DataFrame:
+    """Per cluster: size, most common value of each fact (ties to the least) and the first ``most`` members."""
     joined = assigned.join(facts, key)
     modes = [F.mode(c, True).alias(c) for c in facts.columns if c != key]
-    return joined.groupBy("cluster").agg(F.count("*").alias("size"), *modes, F.slice(F.sort_array(F.collect_list(key)), 1, 12).alias("members"))
+    rank = F.row_number().over(Window.partitionBy("cluster").orderBy(key))
+    first = joined.select("cluster", key).withColumn("__rank", rank).filter(F.col("__rank") <= most)
+    first = first.groupBy("cluster").agg(F.sort_array(F.collect_list(key)).alias("members"))
+    return joined.groupBy("cluster").agg(F.count("*").alias("size"), *modes).join(first, "cluster")
