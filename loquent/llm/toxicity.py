@@ -31,18 +31,18 @@ EXCEPTIONS = ("trash can", "trash bin", "clown fish", "class clown", "pond scum"
 
 _FULLWIDTH = {0xFF01 + i: 0x21 + i for i in range(94)}
 _TABLE = str.maketrans(LOOKALIKES) | _FULLWIDTH | {c: None for c in (0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD)}
-_SWAPPED = re.compile(r"[013457@$!](?=[^\W\d_])|(?<=[^\W\d_])[013457](?![\w])")
+_SIGNS = str.maketrans(SUBSTITUTES)
+# a run is tried at its beginning alone, and not in parts, so that a long one costs its length
+_SWAPPED = re.compile(r"(?<![013457@$!])[013457@$!]++(?=[^\W\d_])|(?<=[^\W\d_])[013457](?![\w])")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def fold(text: str) -> str:
-    """Lower case, look-alikes and substitutes undone; a sign is a letter only before one, or a digit at a word's end."""
+    """Lower case, look-alikes and substitutes undone: a run of signs right before a letter, or one digit at a word's end."""
     text = text.lower()
     if not text.isascii():
         text = text.translate(_TABLE)
-    while (new := _SWAPPED.sub(lambda m: SUBSTITUTES[m[0]], text)) != text:
-        text = new
-    return text
+    return _SWAPPED.sub(lambda m: m[0].translate(_SIGNS), text)
 
 
 @dataclass

@@ -3,6 +3,8 @@
 import hashlib
 import itertools
 import random
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -621,6 +623,20 @@ def test_prefix_counts_odd_rows(spark):
 # --- 10
 
 
+def test_folding_of_runs_equals_one_sign_at_a_time():
+    one = re.compile(r"[013457@$!](?=[^\W\d_])|(?<=[^\W\d_])[013457](?![\w])")
+    rng = random.Random(3)
+    for _ in range(20_000):
+        text = want = "".join(rng.choice("ab01347@$!2_ é.") for _ in range(rng.randrange(14)))
+        while (new := one.sub(lambda m: toxicity.SUBSTITUTES[m[0]], want)) != want:
+            want = new
+        assert toxicity.fold(text) == want
+    began = time.perf_counter()
+    assert toxicity.fold("0" * 1_000_000 + "a") == "o" * 1_000_000 + "a"
+    assert toxicity.fold("0" * 1_000_000 + " a") == "0" * 1_000_000 + " a"
+    assert time.perf_counter() - began < 5
+
+
 def test_folding():
     assert toxicity.fold("l0ser 1D10T") == "loser idiot" and toxicity.fold("trаsh ａ​b") == "trash ab"
     assert toxicity.fold("stop!! it's 2024") == "stop!! it's 2024"
