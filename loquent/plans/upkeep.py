@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loquent.operators import tiers
+from loquent.operators import clusters, tiers
 from loquent.operators.memory import MemoryConfig
 from loquent.plans.queries import _BLOCKS, query
 from loquent.sources import scratch
 from loquent.sources.tables import messages
+from loquent.sources.tables import vectors as vecs
 from loquent.streaming import blocks
 
 
@@ -60,3 +61,16 @@ def digest_upkeep(s: SparkSession, d: str) -> DataFrame:
     now = tiers.keep_up(messages(s, d).filter(_ARE.replace("conv_id", "chat_id").replace("turn", "seq")), stored, edits, 300, cfg)
     built = now.built.select("chat_id", "tier", "block_idx", F.lit("built").alias("state"), "seq_start", "seq_end", F.sha2("text", 256).alias("text_hash"))
     return built.unionByName(now.gone.withColumn("state", F.lit("gone")), allowMissingColumns=True)
+
+
+# --- themes of every owner and level
+
+
+@query("""
+WITH g AS (SELECT vec_id AS id, vec_id % 3 AS owner_id, CASE WHEN vec_id % 4 = 0 THEN 'arc' ELSE 'scene' END AS level, vec_id % 7 AS character_id FROM embeddings WHERE vec_id % 3 < 2 OR vec_id < 20)
+SELECT owner_id, level, CASE WHEN level = 'arc' THEN 4 ELSE 8 END::BIGINT AS themes, count(*) AS members, count(DISTINCT character_id) AS characters FROM g GROUP BY ALL HAVING count(DISTINCT id % 400) > CASE WHEN level = 'arc' THEN 4 ELSE 8 END""")
+def owner_themes(s: SparkSession, d: str) -> DataFrame:
+    """Digests of three owners, the third with too few for themes; copies by their hash count once where themes are made."""
+    rows = vecs(s, d).filter("id % 3 < 2 or id < 20").withColumns({"owner_id": F.col("id") % 3, "level": F.when(F.col("id") % 4 == 0, "arc").otherwise("scene"), "content_hash": F.md5((F.col("id") % 400).cast("string"))})
+    found = clusters.themes(rows, F.when(F.col("level") == "arc", 4).otherwise(8), rounds=10).withColumn("character_id", F.col("id") % 7)
+    return found.groupBy("owner_id", "level").agg(F.count_distinct("cluster").alias("themes"), F.count("*").alias("members"), F.count_distinct("character_id").alias("characters"))
