@@ -17,32 +17,36 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loquent.llm.common import BROADCAST_ROWS, discard, materialize, release, sliced, text_or_empty
+from loquent.llm.common import discard, join_small, materialize, release, sliced, text_or_empty
 
 #: Bytes of an anchor. With it, strings of 50 bytes have 35 anchors to choose from.
 GRAM = 16
-#: Contexts of one anchor that meet in one suffix array; of more, each block of about so many has its own. Few anchors
-#: have so many, and their strings meet once more, one by one.
-BLOCK = 4000
+#: Longer anchors, for those that more contexts have than meet in one suffix array.
+LONGER = (32, 44)
+BLOCK = 1000
+#: Bytes of a text that anchors are looked for in at once: places have 28 bits.
+PIECE = 1 << 27
 #: Texts looked at together for anchors that very many texts have, how many make one hot, and salts that spread its rows.
 LOOK, HOT, SALTS = 2000, 20, 64
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _POS = np.uint64((1 << 28) - 1)
 
 
-def gram_hashes(raw: bytes) -> np.ndarray:
-    """Hashes of the runs of ``GRAM`` bytes, from the two words of eight bytes that each is made of."""
-    if len(raw) < GRAM:
+def gram_hashes(raw: bytes, gram: int = GRAM) -> np.ndarray:
+    """Hashes of the runs of ``gram`` bytes (16 or more), from the words of eight bytes that each is made of."""
+    n = len(raw) - gram + 1
+    if n <= 0:
         return np.zeros(0, np.uint64)
     words = np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,)).copy()  # at every byte
     words ^= words >> np.uint64(31)
     words *= _B
-    h = (words[:-8] ^ (words[:-8] >> np.uint64(29))) * _A
-    h += words[8:]
+    h = words[:n].copy()
+    for at in [*range(8, gram - 8, 8), gram - 8]:
+        h = (h ^ (h >> np.uint64(29))) * _A
+        h += words[at : at + n]
     h ^= h >> np.uint64(32)
     h *= _B
     h ^= h >> np.uint64(29)
@@ -57,18 +61,26 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - size)], h[width - size :]) if size < width else h
 
 
+def least_runs(raw: bytes, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of ``raw``, and for each string of ``length`` bytes the place of its run of least hash, the first of equal ones."""
+    width = length - gram + 1
+    h = gram_hashes(raw, gram)
+    if len(h) < width:
+        return h, np.zeros(0, np.int64)
+    key = (h & ~_POS) | np.arange(len(h), dtype=np.uint64)
+    return h, (sliding_min(key, width) & _POS).astype(np.int64)
+
+
 def anchors(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each stretch of strings with one anchor: its hash, and the first and last place where a string starts."""
-    width = length - GRAM + 1
-    h = gram_hashes(raw)
-    if len(h) < width:
-        none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), none, none
-    key = (h & ~_POS) | np.arange(len(h), dtype=np.uint64)  # the first of equal ones counts
-    at = (sliding_min(key, width) & _POS).astype(np.int64)
-    edge = np.flatnonzero(at[1:] != at[:-1]) + 1
-    first = np.concatenate(([0], edge))
-    return h[at[first]], first, np.concatenate((edge - 1, [len(at) - 1]))
+    found = []
+    for begin in range(0, max(1, len(raw) - length + 1), PIECE):  # pieces overlap so that each string lies in one
+        h, at = least_runs(raw[begin : begin + PIECE + length - 1] if len(raw) > PIECE else raw, length)
+        edge = np.flatnonzero(at[1:] != at[:-1]) + 1
+        first = np.concatenate((np.zeros(min(1, len(at)), np.int64), edge))
+        last = np.concatenate((edge - 1, np.full(min(1, len(at)), len(at) - 1)))
+        found.append((h[at[first]], begin + first, begin + last))
+    return tuple(np.concatenate(x) for x in zip(*found)) if len(found) > 1 else found[0]
 
 
 _BYTES = np.random.default_rng(20).integers(0, 2**64, 256, dtype=np.uint64)
@@ -254,25 +266,18 @@ def with_bytes(held: DataFrame, rows: DataFrame, length: int) -> DataFrame:
     return joined.mapInArrow(emit, "anchor bigint, key bigint, doc_id bigint, n bigint, context binary")
 
 
-def scan_blocks(contexts: DataFrame, length: int, block: int) -> DataFrame:
-    """Adds ``firsts`` to rows (anchor, key, doc_id, n, context): among about ``block`` contexts of its anchor, the least document of each string.
+def scan(contexts: DataFrame, length: int) -> DataFrame:
+    """anchor, key and ``firsts`` of rows (anchor, key, doc_id, context): for each string of a context the least document among all of its anchor."""
 
-    Only contexts of larger anchors keep their bytes, as they are wanted again.
-    """
-    rows = contexts.withColumn("block", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / block)))
-    schema = "anchor bigint, key bigint, n bigint, context binary, firsts array<bigint>"
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows in order of anchor and block, as many whole blocks at once as make a suffix array of good size."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows in order of anchor, as many whole anchors at once as make a suffix array of good size."""
         held: list[pa.RecordBatch] = []
         size = 0
 
         def done(table: pa.Table) -> pa.RecordBatch:
             best, bounds = first_documents(table.column("context").to_pylist(), table.column("doc_id").to_numpy(), length)
             made = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(best))
-            n = table.column("n").combine_chunks()
-            kept = pc.if_else(pc.greater(n, block), table.column("context").combine_chunks(), pa.scalar(None, pa.binary()))
-            return pa.RecordBatch.from_arrays([table.column("anchor").combine_chunks(), table.column("key").combine_chunks(), n, kept, made], ["anchor", "key", "n", "context", "firsts"])
+            return pa.RecordBatch.from_arrays([table.column("anchor").combine_chunks(), table.column("key").combine_chunks(), made], ["anchor", "key", "firsts"])
 
         for batch in sliced(batches, 2000):
             held.append(batch)
@@ -280,8 +285,8 @@ def scan_blocks(contexts: DataFrame, length: int, block: int) -> DataFrame:
             if size < 4000:
                 continue
             table = pa.Table.from_batches(held)
-            anchor, part = table.column("anchor").to_numpy(), table.column("block").to_numpy()
-            cut = np.flatnonzero((anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1]))
+            anchor = table.column("anchor").to_numpy()
+            cut = np.flatnonzero(anchor[1:] != anchor[:-1])
             if len(cut):
                 cut = int(cut[-1]) + 1
                 yield done(table.slice(0, cut).combine_chunks())
@@ -289,7 +294,68 @@ def scan_blocks(contexts: DataFrame, length: int, block: int) -> DataFrame:
         if size:
             yield done(pa.Table.from_batches(held).combine_chunks())
 
-    return rows.repartition("anchor", "block").sortWithinPartitions("anchor", "block", "key").mapInArrow(scan, schema)
+    laid = contexts.select("anchor", "key", "doc_id", "context").repartition("anchor").sortWithinPartitions("anchor", "key")
+    return laid.mapInArrow(run, "anchor bigint, key bigint, firsts array<bigint>")
+
+
+def parted(contexts: DataFrame, length: int, gram: int) -> DataFrame:
+    """The parts of contexts (anchor, key, doc_id, context) whose strings share a least run of ``gram`` bytes.
+
+    anchor, key; ``offset`` and ``places``: where the part starts and its strings; part_anchor (of both anchors), part_key
+    (of its bytes) and part. With ``gram`` as long as strings are, the parts are these.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 2000):
+            texts = batch.column("context").to_pylist()
+            raw = b"".join(texts)
+            size = np.array([len(t) for t in texts])
+            begin = np.concatenate(([0], np.cumsum(size)))[:-1]
+            h, at = least_runs(raw, length, gram)
+            owner = np.repeat(np.arange(len(texts)), size)[: len(at)]
+            start = np.flatnonzero(np.arange(len(at)) + length <= (begin + size)[owner])  # strings inside one context
+            at, owner = at[start], owner[start]
+            first = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (owner[1:] != owner[:-1]))))
+            places = np.diff(first, append=len(start))
+            owner, low = owner[first], start[first]
+            high = low + places - 1 + length
+            both = h[at[first]] * _A ^ batch.column("anchor").to_numpy().view(np.uint64)[owner] * _B
+            rows = pa.array(owner)
+            columns = [batch.column("anchor").take(rows), batch.column("key").take(rows), batch.column("doc_id").take(rows), pa.array((low - begin[owner]).astype(np.int32)), pa.array(places.astype(np.int32)), pa.array(both.view(np.int64)), pa.array(stretch_hashes(raw, low, high)), pa.array([raw[a:b] for a, b in zip(low.tolist(), high.tolist())], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["anchor", "key", "doc_id", "offset", "places", "part_anchor", "part_key", "part"])
+
+    return contexts.select("anchor", "key", "doc_id", "context").mapInArrow(run, "anchor bigint, key bigint, doc_id bigint, offset int, places int, part_anchor bigint, part_key bigint, part binary")
+
+
+def least_documents(contexts: DataFrame, length: int, longer: Sequence[int] = LONGER) -> DataFrame:
+    """anchor, key and ``firsts`` of different contexts (anchor, key, doc_id, n, context), n being how many their anchor has.
+
+    Anchors with more than ``BLOCK`` are parted by the next longer one; of equal parts but one goes on, so a passage that
+    very many contexts share counts once. The answers of the parts are put together for each context.
+    """
+    hot = contexts.filter(F.col("n") > BLOCK)
+    alone = contexts.filter(F.col("n") == 1).select("anchor", "key", F.array("doc_id").alias("firsts"))
+    small = alone.unionByName(scan(contexts.filter((F.col("n") > 1) & (F.col("n") <= BLOCK)), length))
+    if not hot.limit(1).count():
+        return small
+    gram = longer[0] if longer else length
+    parts = materialize(parted(hot, length, gram))
+    equal = parts.groupBy("part_anchor", "part_key", "part").agg(F.min("doc_id").alias("doc_id"))
+    if longer:
+        one_each = materialize(equal.select(F.col("part_anchor").alias("anchor"), F.col("part_key").alias("key"), "doc_id", F.col("part").alias("context")))
+        counts = materialize(one_each.groupBy("anchor").agg(F.count("*").alias("n")))
+        known = least_documents(materialize(join_small(one_each, counts, "anchor", counts.count())), length, longer[1:])
+        known = materialize(known.withColumnsRenamed({"anchor": "part_anchor", "key": "part_key"}))
+        discard(one_each, counts)
+    else:
+        known = materialize(equal.select("part_anchor", "part_key", F.array("doc_id").alias("firsts")))
+    # by one column, so that a part which very many contexts share is dealt by salts
+    of_part = lambda df: df.withColumn("both", F.struct("part_anchor", "part_key")).drop("part_anchor", "part_key")
+    met = join_small(of_part(parts.drop("part", "doc_id")), of_part(known), "both", known.count())
+    whole = F.transform(F.sort_array(F.collect_list(F.struct("offset", "places", "firsts"))), lambda x: F.when(F.size(x["firsts"]) == 1, F.array_repeat(x["firsts"][0], x["places"])).otherwise(x["firsts"]))  # of one context
+    made = met.groupBy("anchor", "key").agg(F.flatten(whole).alias("firsts"))
+    made = made.select("anchor", "key", F.when(F.array_min("firsts") == F.array_max("firsts"), F.slice("firsts", 1, 1)).otherwise(F.col("firsts")).alias("firsts"))
+    return small.unionByName(made)
 
 
 def settled(held: DataFrame, found: DataFrame, length: int) -> DataFrame:
@@ -303,21 +369,8 @@ def settled(held: DataFrame, found: DataFrame, length: int) -> DataFrame:
     single = counted.filter("n = 1").select("anchor", "key", F.array("doc_id").alias("firsts"))
     several = materialize(with_bytes(held, counted.filter("n > 1"), length))
     release(spark)
-    scanned = materialize(scan_blocks(several, length, BLOCK))
-    discard(several)
-    release(spark)
-    some = scanned.filter(f"n <= {BLOCK}").select("anchor", "key", "firsts")
-
-    # the strings of blocks of one anchor meet: those that a block found equal have one number there, so they are combined before the shuffle
-    places = F.sequence(F.lit(1), F.octet_length("context") - length + 1)
-    string = F.substring(F.col("context"), F.col("place"), F.lit(length)).alias("string")
-    first = F.element_at("firsts", F.when(F.size("firsts") == 1, 1).otherwise(F.col("place"))).alias("first")
-    many = scanned.filter(f"n > {BLOCK}").select("anchor", "key", "context", "firsts", F.explode(places).alias("place"))
-    many = many.select("anchor", "key", "place", string, first)
-    least = materialize(many.groupBy("string").agg(F.min("first").alias("first")))
-    many = many.drop("first").join(least, "string").groupBy("anchor", "key").agg(F.sort_array(F.collect_list(F.struct("place", "first"))).alias("found"))
-    known = materialize(single.union(some).union(many.select("anchor", "key", F.col("found.first").alias("firsts"))))
-    discard(counted, scanned, least)
+    known = materialize(single.unionByName(least_documents(several, length)))
+    discard(counted, several)
     return known
 
 
@@ -380,7 +433,8 @@ def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text: str =
     """One row per row: doc_id, n_bytes, ``spans`` (begin and end of each maximal run removed) and ``kept`` (bytes).
 
     A byte goes if a string of ``length`` bytes over it also starts in a document with a smaller id; strings are
-    those of the input, and don't cross documents. Null texts are empty; texts shorter than ``length`` stay whole.
+    those of the input, and don't cross documents; texts of any length are read whole. Null texts are empty, an empty
+    table gives no rows; texts shorter than ``length`` stay whole.
     Of equal texts all but those with the least id go entirely. Rows with a null id stay whole and take nothing from
     others; rows that repeat an id take nothing from each other. Columns in ``carry`` come along, in ``carried``;
     others are left out. With ``as_text``, ``kept`` is a string, without characters that were cut in two.
@@ -399,10 +453,8 @@ def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text: str =
     marks = materialize(spans.union(copies).dropDuplicates(["doc_id", "text_key"]))
     discard(spans, member, reps)
     release(rows.sparkSession)
-    size = marks.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("spans")).first()
-    small = size["n"] <= BROADCAST_ROWS and size["spans"] <= 10 * BROADCAST_ROWS
     marks = marks.withColumnRenamed("doc_id", "__doc").withColumnRenamed("text_key", "__key")
-    marked = rows.join(F.broadcast(marks) if small else marks, (F.col("doc_id").cast("bigint") == F.col("__doc")) & (F.col("text_key") == F.col("__key")), "left")
+    marked = rows.join(marks, (F.col("doc_id").cast("bigint") == F.col("__doc")) & (F.col("text_key") == F.col("__key")), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))

@@ -200,6 +200,29 @@ def test_repeats_equal_brute_force(spark, corpus, block, hot, monkeypatch):
     assert got == brute_repeats(corpus)
 
 
+@pytest.mark.parametrize("block", [1000, 30, 4])
+def test_repeats_of_a_passage_in_very_many_settings(spark, block, monkeypatch):
+    """One anchor of hundreds of different contexts: equal for 20, 36, 46 or 60 bytes, or at one side only."""
+    monkeypatch.setattr(repeats, "BLOCK", block)
+    rng = random.Random(11)
+    core = "".join(rng.choice("abcdefgh") for _ in range(60))
+    side = lambda n: "".join(rng.choice("xyz01é") for _ in range(n))
+    texts = []
+    for i in range(240):
+        n = rng.choice([20, 36, 46, 60])
+        texts.append((i, side(rng.choice([5, 60, 60])) + core[:n] + side(60)))
+    texts += [(300 + i, texts[i][1][40:] + side(9)) for i in range(60)] + [(400 + i, side(3) + texts[0][1] + side(2)) for i in range(40)]
+    got = {r.doc_id: (r.n_bytes, sum(s.end - s.begin for s in r.spans), len(r.spans), bytes(r.kept)) for r in repeats.dedup(docs_of(spark, texts)).collect()}
+    assert got == brute_repeats(texts)
+
+
+def test_long_texts_are_read_in_pieces(spark, corpus, monkeypatch):
+    monkeypatch.setattr(repeats, "PIECE", 97)
+    some = corpus[40:100]
+    got = {r.doc_id: (r.n_bytes, sum(s.end - s.begin for s in r.spans), len(r.spans), bytes(r.kept)) for r in repeats.dedup(docs_of(spark, some)).collect()}
+    assert got == brute_repeats(some)
+
+
 def test_repeats_odd_rows(spark):
     long = "abcdefghij" * 6
     rows = [(1, long), (1, long), (2, long), (None, long), (3, None)]
