@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from loquent.operators import clusters, tiers
 from loquent.operators.memory import MemoryConfig
 from loquent.plans.queries import _BLOCKS, query
-from loquent.sources import scratch
-from loquent.sources.tables import messages
+from loquent.sources import assets, scratch
+from loquent.sources.tables import messages, table
 from loquent.sources.tables import vectors as vecs
 from loquent.streaming import blocks
 
@@ -74,3 +74,16 @@ def owner_themes(s: SparkSession, d: str) -> DataFrame:
     rows = vecs(s, d).filter("id % 3 < 2 or id < 20").withColumns({"owner_id": F.col("id") % 3, "level": F.when(F.col("id") % 4 == 0, "arc").otherwise("scene"), "content_hash": F.md5((F.col("id") % 400).cast("string"))})
     found = clusters.themes(rows, F.when(F.col("level") == "arc", 4).otherwise(8), rounds=10).withColumn("character_id", F.col("id") % 7)
     return found.groupBy("owner_id", "level").agg(F.count_distinct("cluster").alias("themes"), F.count("*").alias("members"), F.count_distinct("character_id").alias("characters"))
+
+
+# --- a content-addressed store
+
+
+@query("SELECT sha256(text) AS digest, strlen(text) AS size, CASE WHEN bool_or(doc_id % 2 = 0) THEN 1 ELSE 2 END AS put, true AS ok FROM documents WHERE text IS NOT NULL GROUP BY text")
+def stored_texts(s: SparkSession, d: str) -> DataFrame:
+    """Texts of even documents put into a store, then all; what it lists, with the put that made it, verified."""
+    path = f"{scratch.folder(s)}/loquent-assets-{uuid.uuid4().hex}"
+    texts = table(s, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    assets.put(texts.filter("doc_id % 2 = 0"), path)
+    created = assets.put(texts, path).select("digest", F.when(F.col("created"), 2).otherwise(1).alias("put"))
+    return assets.listed(s, path).join(created, "digest").join(assets.verified(s, path), "digest").select("digest", "size", "put", "ok")
