@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loquent.operators import clusters, tiers
 from loquent.operators.memory import MemoryConfig
 from loquent.plans.queries import _BLOCKS, query
-from loquent.sources import assets, scratch
+from loquent.sources import assets, cards, scratch, transfer
 from loquent.sources.tables import messages, table
 from loquent.sources.tables import vectors as vecs
 from loquent.streaming import blocks
@@ -87,3 +87,27 @@ def stored_texts(s: SparkSession, d: str) -> DataFrame:
     assets.put(texts.filter("doc_id % 2 = 0"), path)
     created = assets.put(texts, path).select("digest", F.when(F.col("created"), 2).otherwise(1).alias("put"))
     return assets.listed(s, path).join(created, "digest").join(assets.verified(s, path), "digest").select("digest", "size", "put", "ok")
+
+
+# --- characters with lorebooks
+
+
+@query("""
+SELECT p_partkey % 2 AS owner_id, p_partkey AS id, p_name AS name, row_number() OVER (PARTITION BY p_partkey ORDER BY l_orderkey, l_linenumber, l_returnflag, l_linestatus = 'F')::INT - 1 AS pos, l_returnflag AS title, l_orderkey::VARCHAR AS second_key,
+  'line ' || l_linenumber::VARCHAR AS content, l_linestatus = 'F' AS enabled, l_linenumber::DOUBLE AS priority, 1 AS version
+FROM part JOIN lineitem ON l_partkey = p_partkey""")
+def character_lore(s: SparkSession, d: str) -> DataFrame:
+    """Parts as characters of two owners with a lorebook entry for each line, exported as cards and imported from these."""
+    who = [(F.col("p_partkey") % 2).alias("owner_id"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("handle"), F.lit(1).alias("version")]
+    parts, lines = table(s, d, "part"), table(s, d, "lineitem")
+    versions = parts.select(*who, F.col("p_name").alias("name"), F.col("p_type").alias("description"), F.array("p_brand").alias("tags"))
+    order = F.struct("l_orderkey", "l_linenumber").alias("pos")
+    lore = lines.withColumnRenamed("l_partkey", "p_partkey").select(*who, order, F.array("l_returnflag", F.col("l_orderkey").cast("string")).alias("keys"), F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("content"), (F.col("l_linestatus") == "F").alias("enabled"), F.col("l_linenumber").cast("double").alias("priority"))
+    out = transfer.export_cards(versions, lore)
+    found = cards.parsed(out.select(F.concat_ws("/", "owner_id", "handle").alias("file"), "json"))
+    texts = out.select(F.concat_ws("/", "owner_id", "handle").alias("file"), "owner_id", "json")
+    found = found.join(texts, "file").withColumn("import_hash", F.sha2("json", 256))
+    made = transfer.import_cards(found, s.createDataFrame([], "owner_id bigint, handle string, version int, import_hash string"))
+    named = made.versions.select("owner_id", "handle", "name")
+    rows = made.lore.join(named, ["owner_id", "handle"])
+    return rows.select("owner_id", F.expr("bigint(substring(handle, 2))").alias("id"), "name", "pos", "title", F.get("keys", F.lit(1)).alias("second_key"), "content", "enabled", "priority", "version")
