@@ -52,6 +52,16 @@ def chat_duplicates(segments: DataFrame, chats: DataFrame, sizes: DataFrame, lea
     return pairs.join(side("a"), "a").join(side("b"), "b").withColumn("relation", relation(F.col("__a"), F.col("__b"))).drop("__a", "__b")
 
 
+def read_duplicates(pairs: DataFrame, least: float = 0.3, include_forked: bool = False, owner: int | None = None, limit: int = 100) -> DataFrame:
+    """The likest pairs of stored duplicates (a, b, owner_id, jaccard, relation): of one owner, forks only if asked for."""
+    kept = pairs.filter(F.col("jaccard") >= least)
+    if not include_forked:
+        kept = kept.filter("relation <> 'forked'")
+    if owner is not None:
+        kept = kept.filter(F.col("owner_id") == owner)
+    return kept.orderBy(F.desc(F.round("jaccard", 9)), "a", "b").limit(limit)
+
+
 def duplicate_counts(vector_pairs: DataFrame, chat_pairs: DataFrame) -> DataFrame:
     """One row: pairs of look-alike characters, and of duplicate chats, forks left out."""
     one = vector_pairs.agg(F.count("*").alias("characters"))

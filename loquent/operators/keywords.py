@@ -9,9 +9,10 @@ from loquent.functions.text import normalize_keyword
 
 
 def keyword_rows(digests: DataFrame, keywords: str = "keywords") -> DataFrame:
-    """digest_id, character_id and each of its keywords once, normalised. digests: those and an array of keywords."""
-    rows = digests.select("digest_id", "character_id", F.explode(keywords).alias("keyword"))
-    return rows.select("digest_id", "character_id", normalize_keyword(F.col("keyword")).alias("keyword")).filter(F.col("keyword").isNotNull()).distinct()
+    """The columns of ``digests`` (digest_id, character_id, perhaps an owner) and each of its keywords once, normalised."""
+    own = [c for c in digests.columns if c != keywords]
+    rows = digests.select(*own, F.explode(keywords).alias("keyword"))
+    return rows.select(*own, normalize_keyword(F.col("keyword")).alias("keyword")).filter(F.col("keyword").isNotNull()).distinct()
 
 
 def without_hubs(rows: DataFrame, share: float = 0.5) -> DataFrame:
@@ -22,18 +23,23 @@ def without_hubs(rows: DataFrame, share: float = 0.5) -> DataFrame:
     return rows.join(hubs, "keyword", "left_anti")
 
 
-def cooccurrence(rows: DataFrame, sample: int = 10, most: int = 10_000) -> DataFrame:
+def cooccurrence(rows: DataFrame, sample: int = 10, most: int = 10_000, scope: str | None = None) -> DataFrame:
     """Pairs a < b with the number of digests that have both and up to ``sample`` characters, the ``most`` frequent pairs.
 
-    Pairs are made inside a digest's own sorted list.
+    Pairs are made inside a digest's own sorted list. ``scope``: a column of ``rows``, such as the owner, that pairs are
+    counted and limited in; ranks are cut before the shuffle, so a large one sends on ``most`` pairs from each task.
     """
-    lists = rows.groupBy("digest_id", "character_id").agg(F.sort_array(F.collect_set("keyword")).alias("k"))
+    own = [scope] if scope else []
+    lists = rows.groupBy(*own, "digest_id", "character_id").agg(F.sort_array(F.collect_set("keyword")).alias("k"))
     pairs = F.flatten(F.transform("k", lambda a, i: F.transform(F.slice("k", i + 2, F.greatest(F.size("k") - i - 1, F.lit(0))), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    each = lists.select("character_id", F.explode(pairs).alias("p")).groupBy("p.a", "p.b", "character_id").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("character_id"))
+    each = lists.select(*own, "character_id", F.explode(pairs).alias("p")).groupBy(*own, "p.a", "p.b", "character_id").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy(*own, "a", "b").orderBy("character_id"))
     ranked = each.withColumn("__rank", rank)
-    found = ranked.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.when(F.col("__rank") <= sample, F.col("character_id")))).alias("characters"))
-    return found.orderBy(F.desc("n"), "a", "b").limit(most)
+    found = ranked.groupBy(*own, "a", "b").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.when(F.col("__rank") <= sample, F.col("character_id")))).alias("characters"))
+    if not scope:
+        return found.orderBy(F.desc("n"), "a", "b").limit(most)
+    place = F.row_number().over(Window.partitionBy(scope).orderBy(F.desc("n"), "a", "b"))
+    return found.withColumn("__place", place).filter(F.col("__place") <= most).drop("__place")
 
 
 def profiles(rows: DataFrame) -> DataFrame:

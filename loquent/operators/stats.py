@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loquent.functions.text import snippet
 from loquent.functions.values import bucket_ms
 
 
@@ -91,6 +92,11 @@ def swipe_hotspots(variants: DataFrame, limit: int = 15) -> DataFrame:
     return per.orderBy(F.desc("variants"), "message_id").limit(limit)
 
 
+def hotspot_texts(hotspots: DataFrame, messages: DataFrame) -> DataFrame:
+    """Hotspots with the beginning of their messages (message_id, content); one whose message is gone has none."""
+    return hotspots.join(messages.select("message_id", snippet(F.col("content")).alias("snippet")), "message_id", "left")
+
+
 def swipes_by(variants: DataFrame, key: str, least_messages: int = 5, limit: int = 20) -> DataFrame:
     per = variants.groupBy(key).agg(F.count("*").alias("variants"), F.count_distinct("message_id").alias("messages"))
     per = per.filter(F.col("messages") >= least_messages).withColumn("average", F.col("variants") / F.col("messages"))

@@ -1,6 +1,6 @@
 import pytest
 
-from loquent.plans import pages, retrieval, upkeep  # noqa: F401
+from loquent.plans import pages, reads, retrieval, upkeep  # noqa: F401
 from loquent.plans.queries import QUERIES, SQL
 from tests.compare import same_rows
 
