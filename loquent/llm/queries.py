@@ -43,7 +43,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = media.media_table(table(spark, sf_dir, "documents"))
+    held = materialize(media.media_table(table(spark, sf_dir, "documents")))  # written once; what follows reads the stored bytes
     facts = materialize(media.read_back(held))  # its size is known then, and so are partitions to split
     found = media.resolve(media.sequences(media.document_pages(held), "doc_id"), facts, "doc_id")
     found = found.filter(F.col("digest").isNotNull())
