@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loquent.llm.common import discard, join_small, materialize, release, sliced, text_or_empty
+from loquent.llm.common import discard, materialize, release, sliced, text_or_empty
 
 #: Bytes of an anchor. With it, strings of 50 bytes have 35 anchors to choose from.
 GRAM = 16
@@ -333,29 +333,37 @@ def least_documents(contexts: DataFrame, length: int, longer: Sequence[int] = LO
     Anchors with more than ``BLOCK`` are parted by the next longer one; of equal parts but one goes on, so a passage that
     very many contexts share counts once. The answers of the parts are put together for each context.
     """
-    hot = contexts.filter(F.col("n") > BLOCK)
+    spark = contexts.sparkSession
     alone = contexts.filter(F.col("n") == 1).select("anchor", "key", F.array("doc_id").alias("firsts"))
-    small = alone.unionByName(scan(contexts.filter((F.col("n") > 1) & (F.col("n") <= BLOCK)), length))
+    small = materialize(alone.unionByName(scan(contexts.filter((F.col("n") > 1) & (F.col("n") <= BLOCK)), length)))
+    release(spark)
+    hot = contexts.filter(F.col("n") > BLOCK)
     if not hot.limit(1).count():
         return small
     gram = longer[0] if longer else length
     parts = materialize(parted(hot, length, gram))
-    equal = parts.groupBy("part_anchor", "part_key", "part").agg(F.min("doc_id").alias("doc_id"))
+    one_each = materialize(parts.groupBy("part_anchor", "part_key", "part").agg(F.min("doc_id").alias("doc_id")))
+    places = materialize(parts.drop("part", "doc_id"))
+    discard(parts)
+    release(spark)
     if longer:
-        one_each = materialize(equal.select(F.col("part_anchor").alias("anchor"), F.col("part_key").alias("key"), "doc_id", F.col("part").alias("context")))
-        counts = materialize(one_each.groupBy("anchor").agg(F.count("*").alias("n")))
-        known = least_documents(materialize(join_small(one_each, counts, "anchor", counts.count())), length, longer[1:])
-        known = materialize(known.withColumnsRenamed({"anchor": "part_anchor", "key": "part_key"}))
-        discard(one_each, counts)
+        one_each_ = one_each.select(F.col("part_anchor").alias("anchor"), F.col("part_key").alias("key"), "doc_id", F.col("part").alias("context"))
+        counted = materialize(one_each_.join(one_each_.groupBy("anchor").agg(F.count("*").alias("n")), "anchor"))
+        discard(one_each)
+        release(spark)
+        known = least_documents(counted, length, longer[1:])
+        discard(counted)
     else:
-        known = materialize(equal.select("part_anchor", "part_key", F.array("doc_id").alias("firsts")))
-    # by one column, so that a part which very many contexts share is dealt by salts
-    of_part = lambda df: df.withColumn("both", F.struct("part_anchor", "part_key")).drop("part_anchor", "part_key")
-    met = join_small(of_part(parts.drop("part", "doc_id")), of_part(known), "both", known.count())
+        known = materialize(one_each.select(F.col("part_anchor").alias("anchor"), F.col("part_key").alias("key"), F.array("doc_id").alias("firsts")))
+        discard(one_each)
+    met = places.join(known.withColumnsRenamed({"anchor": "part_anchor", "key": "part_key"}), ["part_anchor", "part_key"])
     whole = F.transform(F.sort_array(F.collect_list(F.struct("offset", "places", "firsts"))), lambda x: F.when(F.size(x["firsts"]) == 1, F.array_repeat(x["firsts"][0], x["places"])).otherwise(x["firsts"]))  # of one context
     made = met.groupBy("anchor", "key").agg(F.flatten(whole).alias("firsts"))
     made = made.select("anchor", "key", F.when(F.array_min("firsts") == F.array_max("firsts"), F.slice("firsts", 1, 1)).otherwise(F.col("firsts")).alias("firsts"))
-    return small.unionByName(made)
+    both = materialize(small.unionByName(made))
+    discard(small, places, known)
+    release(spark)
+    return both
 
 
 def settled(held: DataFrame, found: DataFrame, length: int) -> DataFrame:
@@ -369,8 +377,10 @@ def settled(held: DataFrame, found: DataFrame, length: int) -> DataFrame:
     single = counted.filter("n = 1").select("anchor", "key", F.array("doc_id").alias("firsts"))
     several = materialize(with_bytes(held, counted.filter("n > 1"), length))
     release(spark)
-    known = materialize(single.unionByName(least_documents(several, length)))
-    discard(counted, several)
+    many = least_documents(several, length)
+    discard(several)
+    known = materialize(single.unionByName(many))
+    discard(counted, many)
     return known
 
 
