@@ -17,14 +17,19 @@ from loquent.sources.scratch import folder
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a side that was counted may be broadcast.
 BROADCAST_ROWS = 100_000
+#: Bytes of the batches that go to Python, where the session doesn't say: a task holds several, in Java and in Python.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
 
 
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared scratch folder and reads it back: its lineage ends there.
 
-    A lost executor costs no more than a read of these files, and Spark knows the size of what it reads.
+    A lost executor costs no more than a read of these files, and Spark knows the size of what it reads. Where the
+    session has no size of batches for Python, it gets ``BATCH_BYTES``, so that long texts don't fill a task.
     """
     spark = df.sparkSession
+    if spark.conf.get(BATCH_BYTES[0], None) is None:
+        spark.conf.set(BATCH_BYTES[0], str(BATCH_BYTES[1]))
     path = f"{folder(spark)}/loquent-{uuid.uuid4().hex}"
     df.write.parquet(path, partitionBy=list(partition_by) or None, compression="zstd")
     table = spark.read.schema(df.schema).parquet(path)
