@@ -33,6 +33,8 @@ PIECE = 1 << 27
 LOOK, HOT, SALTS = 2000, 20, 64
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _POS = np.uint64((1 << 28) - 1)
+#: The last bits of an anchor's hash are left for its salt, so that a row is sorted by one number.
+_SALT = np.uint64(SALTS - 1)
 
 
 def gram_hashes(raw: bytes, gram: int = GRAM) -> np.ndarray:
@@ -72,14 +74,14 @@ def least_runs(raw: bytes, length: int, gram: int = GRAM) -> tuple[np.ndarray, n
 
 
 def anchors(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each stretch of strings with one anchor: its hash, and the first and last place where a string starts."""
+    """Of each stretch of strings with one anchor: its hash, without the last bits, and the first and last place where a string starts."""
     found = []
     for begin in range(0, max(1, len(raw) - length + 1), PIECE):  # pieces overlap so that each string lies in one
         h, at = least_runs(raw[begin : begin + PIECE + length - 1] if len(raw) > PIECE else raw, length)
         edge = np.flatnonzero(at[1:] != at[:-1]) + 1
         first = np.concatenate((np.zeros(min(1, len(at)), np.int64), edge))
         last = np.concatenate((edge - 1, np.full(min(1, len(at)), len(at) - 1)))
-        found.append((h[at[first]], begin + first, begin + last))
+        found.append((h[at[first]] & ~_SALT, begin + first, begin + last))
     return tuple(np.concatenate(x) for x in zip(*found)) if len(found) > 1 else found[0]
 
 
@@ -178,35 +180,36 @@ def shared_anchors(docs: DataFrame, length: int) -> DataFrame:
             found = [np.unique(anchors(batch.column(0)[i].as_py().encode(), length)[0]) for i in at.tolist()]
             keys, values = np.repeat(keys, [len(f) for f in found]), np.concatenate([np.zeros(0, np.uint64), *found])
             first, inverse, counts = np.unique(values, return_index=True, return_inverse=True, return_counts=True)[1:]
-            salt = np.where(counts[inverse] > HOT, 1 + keys % (SALTS - 1), 0)
+            salt = np.where(counts[inverse] > HOT, 1 + keys % (SALTS - 1), 0).astype(np.uint64)
             met = first[counts > HOT]
-            keys, values, salt = np.concatenate((keys, keys[met])), np.concatenate((values, values[met])), np.concatenate((salt, np.zeros(len(met), np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(values.view(np.int64)), pa.array(salt.astype(np.int8))], ["text_key", "anchor", "salt"])
+            keys, values = np.concatenate((keys, keys[met])), np.concatenate((values | salt, values[met]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(values.view(np.int64))], ["text_key", "salted"])
 
-    rows = docs.select("text", "text_key").mapInArrow(emit, "text_key bigint, anchor bigint, salt tinyint")
+    rows = docs.select("text", "text_key").mapInArrow(emit, "text_key bigint, salted bigint")
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows in order of anchor, salt and text, those of anchors with more than one text, and each row once."""
-        last: tuple[int, int, int, bool] | None = None  # a row whose anchor may go on in the next batch, and if it was told
+        """Of rows in order of ``salted``, those of anchors with more than one text; a text may come more than once."""
+        last: tuple[int, int, bool] | None = None  # the first row of what may go on in the next batch, and if it was told
         for batch in batches:
             if not batch.num_rows:
                 continue
-            text, anchor, salt = (batch.column(k).to_numpy() for k in ("text_key", "anchor", "salt"))
+            text, salted = (batch.column(k).to_numpy() for k in ("text_key", "salted"))
             if last:
-                text, anchor, salt = (np.concatenate(([x], y)) for x, y in zip(last, (text, anchor, salt)))
-            group = (anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])
-            new = np.concatenate(([True], (text[1:] != text[:-1]) | group))
-            told = bool(last and last[3])
-            text, anchor, salt = text[new], anchor[new], salt[new]
-            same = (anchor[1:] == anchor[:-1]) & (salt[1:] == salt[:-1])
-            shared = np.concatenate((same, [False])) | np.concatenate(([False], same)) | (salt > 0)
-            ends_told = bool(shared[-1]) or (told and len(text) == 1)
-            if told:
-                shared[0] = False
-            last = (int(text[-1]), int(anchor[-1]), int(salt[-1]), ends_told)
-            yield pa.RecordBatch.from_arrays([pa.array(text[shared]), pa.array(anchor[shared])], ["text_key", "anchor"])
-
-    return rows.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "text_key").mapInArrow(several, "text_key bigint, anchor bigint")
+                text, salted = np.concatenate(([last[0]], text)), np.concatenate(([last[1]], salted))
+            begin = np.flatnonzero(np.concatenate(([True], salted[1:] != salted[:-1])))
+            size = np.diff(begin, append=len(text))
+            other = text != np.repeat(text[begin], size)
+            shared = np.logical_or.reduceat(other, begin) | (salted[begin] & int(_SALT) > 0)
+            told = other.copy()
+            told[begin] = True
+            told &= np.repeat(shared, size)
+            if last and last[2]:  # its first row was told before, and what is another text is now
+                told[: size[0]] = other[: size[0]]
+            ends = bool(shared[-1]) or bool(last and last[2] and len(begin) == 1)
+            last = (int(text[begin[-1]]), int(salted[begin[-1]]), ends)
+            yield pa.RecordBatch.from_arrays([pa.array(text[told]), pa.array(salted[told] & ~int(_SALT))], ["text_key", "anchor"])
+
+    return rows.repartition("salted").sortWithinPartitions("salted").mapInArrow(several, "text_key bigint, anchor bigint")
 
 
 def contexts_of(texts: DataFrame, lists: DataFrame, length: int) -> DataFrame:
@@ -236,7 +239,7 @@ def contexts_of(texts: DataFrame, lists: DataFrame, length: int) -> DataFrame:
             lists_ = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), lists_, pa.array(at, pa.list_(pa.int32())), pa.array(parts, pa.list_(pa.binary()))], ["doc_id", "text_key", "contexts", "at", "parts"])
 
-    rows = texts.join(lists, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "anchors")
+    rows = texts.join(lists.hint("shuffle_hash"), ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "anchors")
     return rows.mapInArrow(emit, "doc_id bigint, text_key bigint, contexts array<struct<anchor:bigint,key:bigint,start:int,places:int>>, at array<int>, parts array<binary>")
 
 
@@ -262,7 +265,7 @@ def with_bytes(held: DataFrame, rows: DataFrame, length: int) -> DataFrame:
             docs = batch.column("doc_id").take(pa.array(np.repeat(np.arange(batch.num_rows), sizes)))
             yield pa.RecordBatch.from_arrays([flat.field("anchor"), flat.field("key"), docs, flat.field("n"), pa.array(out, pa.binary())], ["anchor", "key", "doc_id", "n", "context"])
 
-    joined = held.select("doc_id", "text_key", "at", "parts").join(lists, ["doc_id", "text_key"]).select("doc_id", "at", "parts", "found")
+    joined = held.select("doc_id", "text_key", "at", "parts").join(lists.hint("shuffle_hash"), ["doc_id", "text_key"]).select("doc_id", "at", "parts", "found")
     return joined.mapInArrow(emit, "anchor bigint, key bigint, doc_id bigint, n bigint, context binary")
 
 
@@ -371,7 +374,7 @@ def settled(held: DataFrame, found: DataFrame, length: int) -> DataFrame:
     spark = found.sparkSession
     distinct = materialize(found.groupBy("anchor", "key").agg(F.min(F.struct("doc_id", "text_key", "start", "places")).alias("f")).select("anchor", "key", "f.*"))
     counts = materialize(distinct.groupBy("anchor").agg(F.count("*").alias("n")))
-    counted = materialize(distinct.join(counts, "anchor"))
+    counted = materialize(distinct.join(counts.hint("shuffle_hash"), "anchor"))
     discard(distinct, counts)
     release(spark)
     single = counted.filter("n = 1").select("anchor", "key", F.array("doc_id").alias("firsts"))
@@ -393,7 +396,7 @@ def covered_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     shared = materialize(shared_anchors(docs, length))
     release(spark)
     firsts = docs.groupBy("same", "text_key").agg(F.min("doc_id").alias("doc_id")).drop("same")
-    lists = materialize(firsts.join(shared, "text_key").groupBy("doc_id", "text_key").agg(F.collect_list("anchor").alias("anchors")))  # of one text
+    lists = materialize(shared.groupBy("text_key").agg(F.collect_list("anchor").alias("anchors")).join(firsts, "text_key"))  # of one text
     discard(shared)
     release(spark)
     held = materialize(contexts_of(docs.select("doc_id", "text_key", "text"), lists, length))
@@ -402,7 +405,7 @@ def covered_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     found = held.select("doc_id", "text_key", F.explode("contexts").alias("c")).select("doc_id", "text_key", "c.*")
     known = settled(held, found, length)
     release(spark)
-    rows = materialize(found.join(known, ["anchor", "key"]).filter(F.exists("firsts", lambda x: x < F.col("doc_id"))).select("doc_id", "text_key", "start", "places", "firsts"))
+    rows = materialize(found.join(known.hint("shuffle_hash"), ["anchor", "key"]).filter(F.exists("firsts", lambda x: x < F.col("doc_id"))).select("doc_id", "text_key", "start", "places", "firsts"))
     discard(held, known)
     release(spark)
 
@@ -464,7 +467,7 @@ def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text: str =
     discard(spans, member, reps)
     release(rows.sparkSession)
     marks = marks.withColumnRenamed("doc_id", "__doc").withColumnRenamed("text_key", "__key")
-    marked = rows.join(marks, (F.col("doc_id").cast("bigint") == F.col("__doc")) & (F.col("text_key") == F.col("__key")), "left")
+    marked = rows.join(marks.hint("shuffle_hash"), (F.col("doc_id").cast("bigint") == F.col("__doc")) & (F.col("text_key") == F.col("__key")), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
