@@ -291,7 +291,8 @@ def similar(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col: str = "
     ``links`` counts the other documents with an n-gram Jaccard similarity of ``threshold`` or more, equal texts
     with them. Texts of fewer than ``n`` words are one n-gram; null and empty texts and those of white space have
     no n-grams, no links and a class of their own. Rows that repeat an id are one document, with the least of their
-    texts. Rows with a null id and other columns are left out. No rows give none.
+    texts. Rows with a null id and other columns are left out. No rows give none. Texts of any length are read whole; a
+    task holds all n-grams of a text at once, as hashes of 8 bytes.
     """
     source = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_or_empty(text).alias("text"))
     if source.groupBy("id").count().filter("count > 1").limit(1).count():

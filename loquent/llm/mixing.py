@@ -48,7 +48,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: s
 
     Nulls: a null text has size 0, a null source is a source of its own, a null id draws as the text "null".
     Rows that repeat an id draw alike. Input columns named as a result column are replaced. No rows give none.
-    Documents of a source without words have 0 copies. Reruns agree, as draws depend on id and seed only.
+    Documents of a source without words have 0 copies. Reruns agree, as draws depend on id and seed only. Texts of any
+    length are counted whole.
     """
     made = ("size", "source_size", "target", "copies")
     docs = docs.drop(*[c for c in made if c not in (id_col, source, text)])

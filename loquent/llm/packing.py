@@ -288,7 +288,8 @@ def ranked(cut: DataFrame, counts: dict[int, int], per_group: int = 20_000) -> D
 def pack(docs: DataFrame, path: str | None = None, size: int = 1024, end_id: int = 2, groups: int = 500, small: int = 256, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The pieces of all documents with ``sequence_id`` and ``offset``: gapless from 0 in each sequence.
 
-    Every piece is placed. No rows give none. Nulls and repeated rows: as ``pieces`` says; other columns go.
+    Every piece is placed. No rows give none. Nulls and repeated rows: as ``pieces`` says; other columns go. Texts of any
+    length are encoded whole, and cut into pieces of ``size`` at most.
     """
     cut = materialize(pieces(docs, path, size, end_id, id_col, text))
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most size rows
