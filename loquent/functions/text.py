@@ -72,12 +72,21 @@ def snippet_around(c: Column, terms: Sequence[str], reach: int = 70, fallback: i
 
 
 def snippet_of(c: Column, terms: Column, reach: int = 70, fallback: int = 140) -> Column:
-    """``snippet_around`` for an array of terms in lower case that each row has of its own."""
-    flat = trimmed(F.regexp_replace(c, r"\s+", " "))
-    at = F.array_min(F.transform(terms, lambda t: F.nullif(F.position(t, F.lower(flat)), F.lit(0))))
-    begin, end = F.greatest(at - reach, F.lit(1)), F.least(at + reach, F.length(flat))
-    cut = F.concat(F.when(begin > 1, "…").otherwise(""), F.substring(flat, begin, end - begin + 1), F.when(end < F.length(flat), "…").otherwise(""))
-    return F.when(at.isNotNull(), cut).otherwise(F.substring(flat, 1, fallback))
+    """``snippet_around`` for an array of terms in lower case that each row has of its own.
+
+    The flat text is made once a row: inside lambdas Spark works out again whatever isn't bound to a variable.
+    """
+    flat = F.trim(F.regexp_replace(c, r"\s+", " "))
+    low = F.transform(F.array(flat), lambda x: F.struct(x.alias("flat"), F.lower(x).alias("low")))
+    places = lambda x: F.filter(F.transform(terms, lambda t: F.position(t, x["low"])), lambda p: p > 0)
+    found = F.transform(low, lambda x: F.struct(x["flat"].alias("flat"), F.array_min(places(x)).alias("at")))
+
+    def shown(x: Column) -> Column:
+        begin, end = F.greatest(x["at"] - reach, F.lit(1)), F.least(x["at"] + reach, F.length(x["flat"]))
+        cut = F.concat(F.when(begin > 1, "…").otherwise(""), F.substring(x["flat"], begin, end - begin + 1), F.when(end < F.length(x["flat"]), "…").otherwise(""))
+        return F.when(x["at"].isNotNull(), cut).otherwise(F.substring(x["flat"], 1, fallback))
+
+    return F.get(F.transform(found, shown), F.lit(0))
 
 
 def whole_name(c: Column) -> Column:

@@ -73,3 +73,10 @@ def test_snippets(spark):
 def test_cosine_of_nothing(spark):
     df = spark.createDataFrame([([0.0, 0.0], [1.0, 0.0])], "a array<float>, b array<float>")
     assert df.select(values.cosine(F.col("a"), F.col("b")).alias("c")).first().c == 0.0
+
+
+def test_snippet_flattens_a_text_once_however_many_terms(spark):
+    rows = spark.createDataFrame([("a  long\n text " * 40 + "Needle", ["zzz", "needle", "none"]), ("  Only\tthis ", ["x"]), (None, ["x"])], "t string, ws array<string>")
+    out = rows.select(text.snippet_of(F.coalesce("t", F.lit("")), F.col("ws"), 5).alias("s"))
+    assert [r.s for r in out.collect()] == ["…text Needle", "Only this", ""]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
