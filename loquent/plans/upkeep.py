@@ -106,8 +106,8 @@ def character_lore(s: SparkSession, d: str) -> DataFrame:
     out = transfer.export_cards(versions, lore)
     found = cards.parsed(out.select(F.concat_ws("/", "owner_id", "handle").alias("file"), "json"))
     texts = out.select(F.concat_ws("/", "owner_id", "handle").alias("file"), "owner_id", "json")
-    found = found.join(texts, "file").withColumn("import_hash", F.sha2("json", 256))
+    found = found.join(texts.hint("merge"), "file").withColumn("import_hash", F.sha2("json", 256))
     made = transfer.import_cards(found, s.createDataFrame([], "owner_id bigint, handle string, version int, import_hash string"))
     named = made.versions.select("owner_id", "handle", "name")
-    rows = made.lore.join(named, ["owner_id", "handle"])
+    rows = made.lore.join(named.hint("merge"), ["owner_id", "handle"])
     return rows.select("owner_id", F.expr("bigint(substring(handle, 2))").alias("id"), "name", "pos", "title", F.get("keys", F.lit(1)).alias("second_key"), "content", "enabled", "priority", "version")

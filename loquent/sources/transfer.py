@@ -1,4 +1,7 @@
-"""Whole characters in and out: cards with their lorebooks into versions and entries, and these into cards again."""
+"""Whole characters in and out: cards with their lorebooks into versions and entries, and these into cards again.
+
+Joins of characters are merged: files of cards compress so well that Spark would take them for small and broadcast them.
+"""
 
 from __future__ import annotations
 
@@ -62,7 +65,7 @@ def import_cards(found: DataFrame, stored: DataFrame) -> Import:
     nth = F.row_number().over(Window.partitionBy(*who).orderBy("file", "import_hash"))
     numbered = written(found.withColumn("__nth", nth))
     last = stored.groupBy(*who).agg(F.max("version").alias("__v"), F.max_by("import_hash", "version").alias("__hash"))
-    both = numbered.join(last, who, "left")
+    both = numbered.join(last.hint("merge"), who, "left")
     state = F.when(F.col("__nth") > 1, "repeated").when(F.col("__v").isNull(), "created").when(F.col("__hash").eqNullSafe(F.col("import_hash")), "unchanged").otherwise("new version")
     told = written(both.withColumn("state", state).withColumn("version", F.coalesce("__v", F.lit(0)) + (state.isin("created", "new version")).cast("int")))
     new = told.filter(F.col("state").isin("created", "new version"))
@@ -83,11 +86,11 @@ def export_cards(versions: DataFrame, lore: DataFrame) -> DataFrame:
     enabled, priority. A file is named after its character; the handle tells those of one name apart.
     """
     who = ["owner_id", "handle", "version"]
-    last = versions.join(versions.groupBy("owner_id", "handle").agg(F.max("version").alias("version")), who, "left_semi")
+    last = versions.join(versions.groupBy("owner_id", "handle").agg(F.max("version").alias("version")).hint("merge"), who, "left_semi")
     entry = F.struct("pos", "keys", "content", "enabled", F.col("priority").alias("insertion_order"))
-    books = lore.join(last.select(who), who, "left_semi").groupBy(*who).agg(F.sort_array(F.collect_list(entry)).alias("__e"))  # of one character
+    books = lore.join(last.select(who).hint("merge"), who, "left_semi").groupBy(*who).agg(F.sort_array(F.collect_list(entry)).alias("__e"))  # of one character
     books = books.select(*who, F.struct(F.transform("__e", lambda x: x.dropFields("pos")).alias("entries")).alias("character_book"))
-    rows = last.join(books, who, "left")
+    rows = last.join(books.hint("merge"), who, "left")
     fields = [*[c for c in (*TEXTS, *LISTS) if c in versions.columns], "character_book"]
     names = F.concat(slugify(F.col("name")), F.lit("-"), slugify(F.col("handle")), F.lit(".json"))
     return rows.select("owner_id", "handle", names.alias("file"), card_v3(rows.select(*fields)).alias("json"))

@@ -63,3 +63,13 @@ def test_export_and_import_round_trip(spark, first):
     assert "character_book" not in files["bob-bob.json"]["data"]
     back = transfer.lore_entries(out.select("file", "json")).collect()
     assert [(r.file, r["keys"], r.content, r.priority) for r in back] == [("ann-ann.json", ["moon", "sea"], "c1", 5.0)]
+
+
+def test_no_join_of_characters_is_a_broadcast(spark, sf):
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["character_lore"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    versions = spark.createDataFrame([(1, "a", 1, "A")], "owner_id int, handle string, version int, name string")
+    lore = spark.createDataFrame([], "owner_id int, handle string, version int, pos int, keys array<string>, content string, enabled boolean, priority double")
+    assert "Broadcast" not in transfer.export_cards(versions, lore)._jdf.queryExecution().executedPlan().toString()
