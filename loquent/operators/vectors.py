@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from loquent.functions.values import cosine
 from loquent.sources.scratch import written
 
-#: Rows of a block; two blocks and their product fit easily in a task.
-BLOCK = 1024
+#: Rows of a block at least, blocks of a group where its rows allow it, and rows of a block at most.
+BLOCK, BLOCKS, LARGEST = 256, 24, 65_536
+#: Rows of each side in one matrix product; a block is met in tiles of so many.
+TILE = 2048
 
 
 def _unit(table: pa.Table) -> np.ndarray:
@@ -23,38 +25,78 @@ def _unit(table: pa.Table) -> np.ndarray:
     return rows / np.where(size == 0, 1, size)
 
 
-def _blocks(vectors: DataFrame) -> DataFrame:
-    """Each row once for each other block of its group: grp, one <= two, block, id, vec."""
+def _block_rows(n: Column) -> Column:
+    """Rows of a block where ``n`` rows meet: with ``BLOCKS`` blocks what is sent grows as the rows, not as their square."""
+    return F.least(F.greatest(F.lit(BLOCK), F.ceil(n / BLOCKS)), F.lit(LARGEST))
+
+
+def _blocks(vectors: DataFrame, *more: str) -> DataFrame:
+    """Each row once for each other block of its group: grp, one <= two, block, id, vec and columns ``more``."""
     sound = vectors.filter(F.col("vec").isNotNull())
-    sizes = sound.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("__n"))
+    sizes = sound.groupBy("grp").agg(F.count("*").alias("__c")).select("grp", F.ceil(F.col("__c") / _block_rows(F.col("__c"))).cast("int").alias("__n"))
     rows = sound.join(sizes, sound["grp"].eqNullSafe(sizes["grp"])).drop(sizes["grp"])
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("__n")).cast("int"))
     rows = rows.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-    return rows.select("id", "vec", "grp", "block", F.least("block", "__other").alias("one"), F.greatest("block", "__other").alias("two"))
+    return rows.select("id", "vec", "grp", "block", F.least("block", "__other").alias("one"), F.greatest("block", "__other").alias("two"), *more)
+
 
+def _products(table: pa.Table, ordered: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in the table of rows of two blocks and their cosines, tile by tile; of pairs inside a block each once, the rest as -inf.
 
-def _products(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of two blocks and their cosines; a block with itself above the diagonal only, the rest as -inf."""
+    Not ``ordered``: both sides of a block with itself, a row with itself as -inf.
+    """
     block = table.column("block").to_numpy()
     one, two = table.column("one")[0].as_py(), table.column("two")[0].as_py()
-    ids, unit = table.column("id").to_numpy(), _unit(table)
-    a, b = block == one, block == two
-    sims = unit[a] @ unit[b].T
-    if one == two:
-        sims[np.tril_indices(len(sims))] = -np.inf
-    return ids[a], ids[b], sims
+    unit = _unit(table)
+    a, b = np.nonzero(block == one)[0], np.nonzero(block == two)[0]
+    for i in range(0, len(a), TILE):
+        left = unit[a[i : i + TILE]]
+        for j in range(i if one == two and ordered else 0, len(b), TILE):
+            sims = left @ unit[b[j : j + TILE]].T
+            if one == two and i == j:
+                sims[np.tril_indices(len(sims)) if ordered else np.diag_indices(len(sims))] = -np.inf
+            yield a[i : i + TILE], b[j : j + TILE], sims
 
 
-def pairs_above(vectors: DataFrame, least: float) -> DataFrame:
-    """a < b and their cosine, for each pair of one group (columns id bigint, vec, grp) with a cosine of ``least`` or more."""
+def pairs_above(vectors: DataFrame, least: float, carried: str | None = None) -> DataFrame:
+    """a < b and their cosine, for each pair of one group (columns id bigint, vec, grp) with a cosine of ``least`` or more.
+
+    ``carried``: a column of doubles that pairs get from both rows, as ``<name>_a`` and ``<name>_b``.
+    """
+    more = [carried] if carried else []
+
+    def each(table: pa.Table) -> pa.Table:
+        ids, extra = table.column("id").to_numpy(), table.column(carried).to_numpy() if carried else None
+        out = []
+        for left, right, sims in _products(table):
+            i, j = np.nonzero(sims >= least)
+            x, y = left[i], right[j]
+            swap = ids[x] > ids[y]
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            out.append((ids[x], ids[y], sims[i, j], *((extra[x], extra[y]) if carried else ())))
+        if not out:
+            return pa.table(dict(zip(names, [np.zeros(0, np.int64), np.zeros(0, np.int64), *[np.zeros(0)] * (len(names) - 2)])))
+        return pa.table(dict(zip(names, map(np.concatenate, zip(*out)))))
+
+    names = ["a", "b", "cosine", *[f"{c}_{side}" for c in more for side in "ab"]]
+    shape = "a bigint, b bigint, " + ", ".join(f"{n} double" for n in names[2:])
+    return _blocks(vectors, *more).groupBy("grp", "one", "two").applyInArrow(each, shape)
+
+
+def degrees(vectors: DataFrame, least: float) -> DataFrame:
+    """id and in how many of ``pairs_above`` it is, for rows in any; tasks send on a row a vector, not the pairs."""
 
     def each(table: pa.Table) -> pa.Table:
-        left, right, sims = _products(table)
-        i, j = np.nonzero(sims >= least)
-        a, b = left[i], right[j]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "cosine": sims[i, j]})
+        n = np.zeros(table.num_rows, np.int64)
+        for left, right, sims in _products(table):
+            near = sims >= least
+            n[left] += near.sum(1)
+            n[right] += near.sum(0)
+        some = n > 0
+        return pa.table({"id": table.column("id").to_numpy()[some], "n": n[some]})
 
-    return _blocks(vectors).groupBy("grp", "one", "two").applyInArrow(each, "a bigint, b bigint, cosine double")
+    found = _blocks(vectors).groupBy("grp", "one", "two").applyInArrow(each, "id bigint, n bigint")
+    return found.groupBy("id").agg(F.sum("n").alias("degree"))
 
 
 def hub_scores(vectors: DataFrame, k: int = 10) -> DataFrame:
@@ -64,18 +106,13 @@ def hub_scores(vectors: DataFrame, k: int = 10) -> DataFrame:
     """
 
     def each(table: pa.Table) -> pa.Table:
-        left, right, sims = _products(table)
-        out_ids, out = [], []
+        best = np.full((table.num_rows, k), -np.inf)
         same = table.column("one")[0].as_py() == table.column("two")[0].as_py()
-        if same:
-            sims = np.maximum(sims, sims.T)  # the diagonal stays -inf
-        for ids, s in ((left, sims),) if same else ((left, sims), (right, sims.T)):
-            n = min(k, s.shape[1])
-            if n and len(ids):
-                best = -np.partition(-s, n - 1, axis=1)[:, :n]
-                out_ids.append(np.repeat(ids, n))
-                out.append(best.ravel())
-        ids, sims = (np.concatenate(out_ids), np.concatenate(out)) if out else (np.zeros(0, np.int64), np.zeros(0))
+        for left, right, sims in _products(table, ordered=False):
+            for at, s in ((left, sims),) if same else ((left, sims), (right, sims.T)):
+                both = np.concatenate([best[at], s], axis=1)
+                best[at] = -np.partition(-both, k - 1, axis=1)[:, :k]
+        sims, ids = best.ravel(), np.repeat(table.column("id").to_numpy(), k)
         sound = np.isfinite(sims)
         return pa.table({"id": ids[sound], "sim": sims[sound]})
 
@@ -95,12 +132,37 @@ def csls_pairs(pairs: DataFrame, hubs: DataFrame) -> DataFrame:
     return both.select("a", "b", "cosine", csls.alias("csls"))
 
 
+def csls_above(vectors: DataFrame, least: float) -> DataFrame:
+    """``csls_pairs`` of ``pairs_above``: vectors (id, vec, grp, hub) bring their hubs along, so pairs are joined with nothing."""
+    found = pairs_above(vectors.withColumn("hub", F.coalesce(F.col("hub").cast("double"), F.lit(0.0))), least, "hub")
+    return found.select("a", "b", "cosine", (2 * F.col("cosine") - F.col("hub_a") - F.col("hub_b")).alias("csls"))
+
+
 def nearest(vectors: DataFrame, query: Column, k: int) -> DataFrame:
     """The ``k`` rows nearest to one query vector, with ``distance`` = 1 - cosine; filters belong before."""
     scored = vectors.filter(F.col("vec").isNotNull()).withColumn("distance", 1 - cosine(F.col("vec"), query))
     return scored.orderBy("distance", "id").limit(k)
 
 
+def _nearest(asked: np.ndarray, x: np.ndarray | None, ids: np.ndarray, y: np.ndarray | None, k: int) -> pa.Table:
+    """query_id, id and distance of the ``k`` rows nearest to each query in one block of both, tile by tile, with ties at the end."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for at in range(0, len(asked) if len(ids) else 0, TILE):
+        q = asked[at : at + TILE]
+        kth = np.full((len(q), 1), np.inf)  # no row beyond the k-th of any tile so far is among the k nearest
+        for to in range(0, len(ids), TILE):
+            far = 1 - x[at : at + TILE] @ y[to : to + TILE].T
+            far[q[:, None] == ids[to : to + TILE]] = np.inf
+            n = min(k, far.shape[1])
+            last = np.partition(far, n - 1, axis=1)[:, n - 1 : n]
+            if n == k:
+                kth = np.minimum(kth, last)
+            i, j = np.nonzero((far <= np.minimum(last, kth)) & np.isfinite(far))
+            out.append((q[i], ids[to + j], far[i, j]))
+    query, row, far = (np.concatenate(c) for c in zip(*out))
+    return pa.table({"query_id": query, "id": row, "distance": far})
+
+
 def nearest_each(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """query_id, id and ``distance`` of the ``k`` rows nearest to each query (query_id, vec), itself left out.
 
@@ -108,7 +170,9 @@ def nearest_each(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     query, and more only where distances are equal. Ties go to the smaller id.
     """
     queries, vectors = queries.filter(F.col("vec").isNotNull()), vectors.filter(F.col("vec").isNotNull())
-    n_q, n_r = (max(1, -(-df.count() // BLOCK)) for df in (queries, vectors))
+    n_q, n_r = (df.count() for df in (queries, vectors))
+    # rows are sent once for each block of queries, of which there are far fewer, so these are larger
+    n_q, n_r = (max(1, -(-n // min(max(least, -(-n // BLOCKS)), LARGEST))) for n, least in ((n_q, 32 * BLOCK), (n_r, BLOCK)))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     slot = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     asked = queries.select(F.col("query_id").cast("bigint").alias("id"), "vec", F.lit(True).alias("asked"), slot("query_id", n_q).alias("one"), every(n_r).alias("two"))
@@ -117,14 +181,7 @@ def nearest_each(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     def each(table: pa.Table) -> pa.Table:
         is_query, ids = table.column("asked").to_numpy(), table.column("id").to_numpy()
         unit = _unit(table)
-        far = 1 - unit[is_query] @ unit[~is_query].T
-        far[ids[is_query][:, None] == ids[~is_query]] = np.inf
-        if far.size:
-            n = min(k, far.shape[1])
-            i, j = np.nonzero((far <= np.partition(far, n - 1, axis=1)[:, n - 1 : n]) & np.isfinite(far))
-        else:
-            i = j = np.zeros(0, np.int64)
-        return pa.table({"query_id": ids[is_query][i], "id": ids[~is_query][j], "distance": far[i, j]})
+        return _nearest(ids[is_query], unit[is_query], ids[~is_query], unit[~is_query], k)
 
     found = asked.unionByName(rows).groupBy("one", "two").applyInArrow(each, "query_id bigint, id bigint, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
@@ -139,7 +196,7 @@ def nearest_in_scope(queries: DataFrame, vectors: DataFrame, k: int, scope: str)
     """
     sound = lambda df: df.filter(F.col("vec").isNotNull() & F.col(scope).isNotNull())
     queries, vectors = sound(queries).withColumnRenamed(scope, "scope"), sound(vectors).withColumnRenamed(scope, "scope")
-    blocks = lambda df, name: df.groupBy("scope").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    blocks = lambda df, name: df.groupBy("scope").agg(F.count("*").alias("c")).select("scope", F.ceil(F.col("c") / _block_rows(F.col("c"))).cast("int").alias(name))
     sizes = written(blocks(queries, "n_q").join(blocks(vectors, "n_r"), "scope"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     slot = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
@@ -149,14 +206,8 @@ def nearest_in_scope(queries: DataFrame, vectors: DataFrame, k: int, scope: str)
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         q, ids = left.column("query_id").to_numpy(), right.column("id").to_numpy()
-        i = j = np.zeros(0, np.int64)
-        far = np.zeros((0, 0))
-        if len(q) and len(ids):
-            far = 1 - _unit(left) @ _unit(right).T
-            far[q[:, None] == ids] = np.inf
-            n = min(k, far.shape[1])
-            i, j = np.nonzero((far <= np.partition(far, n - 1, axis=1)[:, n - 1 : n]) & np.isfinite(far))
-        return pa.table({"query_id": q[i], "id": ids[j], "distance": far[i, j]})
+        some = len(q) and len(ids)
+        return _nearest(q, _unit(left) if some else None, ids, _unit(right) if some else None, k)
 
     keys = ["scope", "one", "two"]
     found = asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(meet, "query_id bigint, id bigint, distance double")
@@ -227,6 +278,12 @@ def graph(pairs: DataFrame, most: int = 120) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
+def graph_above(vectors: DataFrame, least: float, most: int = 120) -> tuple[DataFrame, DataFrame]:
+    """``graph`` of ``pairs_above``, without making all pairs: degrees are counted where blocks meet, edges are those of the kept."""
+    nodes = degrees(vectors, least).orderBy(F.desc("degree"), "id").limit(most)
+    return nodes, pairs_above(vectors.join(F.broadcast(nodes.select("id")), "id", "left_semi"), least)  # ``most`` rows
+
+
 def cluster_facets(assigned: DataFrame, facts: DataFrame, key: str = "id", most: int = 12) -> DataFrame:
     """Per cluster: size, most common value of each fact (ties to the least) and the first ``most`` members."""
     joined = assigned.join(facts, key)

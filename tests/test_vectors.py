@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +94,34 @@ def test_graph_keeps_edges_of_kept_nodes(spark):
     pairs = spark.createDataFrame([(1, 2, 0.9), (1, 3, 0.9), (4, 5, 0.9)], "a bigint, b bigint, cosine double")
     nodes, edges = vectors.graph(pairs, 3)
     assert [r.id for r in nodes.collect()] == [1, 2, 3] and edges.count() == 2
+
+
+def test_what_blocks_send_grows_with_the_rows_and_not_their_square(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 4)
+    rows = lambda n: spark.range(n).select("id", F.array(F.lit(1.0)).alias("vec"), F.lit(0).alias("grp"))
+    assert vectors._blocks(rows(4000)).count() <= 4000 * 25
+    assert vectors._blocks(rows(4000)).groupBy("grp", "one", "two").count().count() > 100  # and many tasks share them
+
+
+@pytest.fixture
+def tiled(spark, monkeypatch):
+    """40 rows of two groups in blocks of 7 and tiles of 2, and their cosines."""
+    monkeypatch.setattr(vectors, "BLOCK", 7)
+    monkeypatch.setattr(vectors, "TILE", 2)
+    x = np.random.default_rng(3).normal(size=(40, DIMS))
+    x[9] = x[4]
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    return spark.createDataFrame([(i, x[i].tolist(), i % 2) for i in range(40)], "id bigint, vec array<double>, grp int"), x @ x.T
+
+
+def test_tiles_of_blocks_against_brute_force(tiled):
+    rows, sims = tiled
+    want = {(a, b) for a in range(40) for b in range(a + 1, 40) if a % 2 == b % 2 and sims[a, b] >= 0.2}
+    assert sorted((r.a, r.b) for r in vectors.pairs_above(rows, 0.2).collect()) == sorted(want) and want
+    assert {r.id: r.degree for r in vectors.degrees(rows, 0.2).collect()} == {i: n for i in range(40) if (n := sum(i in p for p in want))}
+    for r in vectors.hub_scores(rows, 3).collect():
+        assert r.hub == pytest.approx(np.mean(sorted((sims[r.id, i] for i in range(40) if i % 2 == r.grp and i != r.id), reverse=True)[:3]))
+    near = {}
+    for r in vectors.nearest_each(rows.select(F.col("id").alias("query_id"), "vec"), rows, 5).collect():
+        near.setdefault(r.query_id, []).append((round(r.distance, 9), r.id))
+    assert {q: sorted(v) for q, v in near.items()} == {q: sorted((round(1 - sims[q, i], 9), i) for i in range(40) if i != q)[:5] for q in range(40)}
