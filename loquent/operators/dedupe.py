@@ -62,9 +62,12 @@ def read_duplicates(pairs: DataFrame, least: float = 0.3, include_forked: bool =
     return kept.orderBy(F.desc(F.round("jaccard", 9)), "a", "b").limit(limit)
 
 
-def duplicate_counts(vector_pairs: DataFrame, chat_pairs: DataFrame) -> DataFrame:
-    """One row: pairs of look-alike characters, and of duplicate chats, forks left out."""
-    one = vector_pairs.agg(F.count("*").alias("characters"))
+def duplicate_counts(vector_pairs: DataFrame, chat_pairs: DataFrame, counted: Column | None = None) -> DataFrame:
+    """One row: pairs of look-alike characters, and of duplicate chats, forks left out.
+
+    ``counted``: an aggregate of the first table, where it isn't a row a pair.
+    """
+    one = vector_pairs.agg((F.count("*") if counted is None else counted).alias("characters"))
     return one.crossJoin(F.broadcast(chat_pairs.filter("relation <> 'forked'").agg(F.count("*").alias("chats"))))  # one row each
 
 

@@ -46,8 +46,8 @@ _PAIR_COUNT = "(SELECT count(*) FROM (SELECT x.vec_id FROM embeddings x JOIN emb
 
 @query(_CHAT_DUPS + f" SELECT {_PAIR_COUNT} AS characters, (SELECT count(*) FROM dup WHERE relation <> 'forked') AS chats")
 def duplicate_counts(s: SparkSession, d: str) -> DataFrame:
-    pairs = vectors.pairs_above(vecs(s, d).withColumn("grp", F.lit(0)), 0.35)
-    return dedupe.duplicate_counts(pairs, _chat_duplicates(s, d))
+    ends = vectors.degrees(vecs(s, d).withColumn("grp", F.lit(0)), 0.35)
+    return dedupe.duplicate_counts(ends, _chat_duplicates(s, d), F.coalesce((F.sum("degree") / 2).cast("long"), F.lit(0).cast("long")))
 
 
 # --- themes, pages

@@ -195,3 +195,10 @@ def test_batches_stay_in_budget(spark):
     rows = spark.createDataFrame([(i, 150 + i) for i in range(300)], "id bigint, tokens bigint")
     got = segments.packed_batches(rows, 4096).groupBy("part", "batch").agg((F.max("tokens") * F.count("*")).alias("padded")).collect()
     assert max(r.padded for r in got) <= 4096
+
+
+def test_duplicates_are_counted_from_degrees(spark):
+    chats = spark.createDataFrame([(1, 2, "duplicate"), (2, 3, "forked")], "a int, b int, relation string")
+    ends = spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "id bigint, degree bigint")  # pairs 1-2 and 1-3
+    half = (F.sum("degree") / 2).cast("long")
+    assert dedupe.duplicate_counts(ends, chats, half).first().asDict() == {"characters": 2, "chats": 1}
