@@ -23,17 +23,22 @@ def image_search(images: DataFrame, versions: DataFrame, queries: DataFrame, k:
 def similar_art(held: DataFrame, asked: DataFrame, k: int = 10) -> DataFrame:
     """For each character of ``asked`` (character_id) the ``k`` others whose avatars are nearest. held: ``avatars``.
 
-    Images are compared once, however many characters have them: the k nearest images and the character's own hold the
-    k nearest characters.
+    Images are compared once, however many characters have them, and of each only the ``k`` + 1 characters of least id
+    meet others, of whom one may be the asker. An image goes by the least character that has it, so where distances are
+    equal the k nearest images and the character's own hold the k nearest characters.
     """
-    queries = held.join(asked, "character_id", "left_semi").select(F.col("character_id").alias("query_id"), F.col("asset_id").alias("own"), "vec")
-    images = held.select(F.col("asset_id").alias("id"), "vec").dropDuplicates(["id"])
-    wanted = queries.select(F.col("own").alias("query_id"), "vec").dropDuplicates(["query_id"])
-    near = nearest_each(wanted, images, k).select(F.col("query_id").alias("own"), F.col("id").alias("asset_id"), "distance")
-    own = wanted.select(F.col("query_id").alias("own"), F.col("query_id").alias("asset_id"), F.lit(0.0).alias("distance"))
-    pairs = queries.select("query_id", "own").join(near.unionByName(own), "own").join(held.select("character_id", "asset_id"), "asset_id")
-    pairs = pairs.filter(F.col("character_id") != F.col("query_id"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "character_id"))
+    first = held.groupBy("asset_id").agg(F.min("character_id").alias("id"))
+    images = held.join(first, (held["asset_id"] == first["asset_id"]) & (held["character_id"] == first["id"])).select("id", "vec").dropDuplicates(["id"])
+    queries = held.select("character_id", "asset_id").join(asked, "character_id", "left_semi").join(first, "asset_id").select(F.col("character_id").alias("query_id"), F.col("id").alias("own"))
+    wanted = images.join(queries.select(F.col("own").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("query_id"), "vec")
+    near = nearest_each(wanted, images, k).select(F.col("query_id").alias("own"), "id", "distance")
+    near = near.unionByName(wanted.select(F.col("query_id").alias("own"), F.col("query_id").alias("id"), F.lit(0.0).alias("distance")))
+    nth = F.row_number().over(Window.partitionBy("asset_id").orderBy("character_id"))
+    few = held.select("character_id", "asset_id").withColumn("nth", nth).filter(F.col("nth") <= k + 1).join(first, "asset_id").select("id", "character_id")
+    place = F.row_number().over(Window.partitionBy("own").orderBy("distance", "character_id"))
+    lists = near.join(few, "id").withColumn("place", place).filter(F.col("place") <= k + 1)
+    pairs = queries.join(lists, "own").filter(F.col("character_id") != F.col("query_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("place"))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "character_id", (1 - F.col("distance")).alias("similarity"))
 
 

@@ -39,6 +39,17 @@ def test_similar_art_leaves_the_character_out(spark):
     assert sorted((r.query_id, r.rank, r.character_id) for r in got) == [(10, 1, 11), (10, 2, 12), (13, 1, 12), (13, 2, 10)]
 
 
+def test_similar_art_where_very_many_share_an_image(spark):
+    """Three images at one distance of the asker's; characters of least id count, though one has them on the last image."""
+    at = {0: [1.0, 0.0, 0.0, 0.0], 1: [0.0, 1.0, 0.0, 0.0], 2: [0.0, 0.0, 1.0, 0.0], 3: [0.0, 0.0, 0.0, 1.0]}
+    who = [(100, 0)] + [(c, 1) for c in range(40, 60)] + [(c, 2) for c in range(20, 40)] + [(c, 3) for c in range(20)]
+    held = spark.createDataFrame([(c, a, at[a]) for c, a in who], "character_id bigint, asset_id bigint, vec array<double>")
+    asked = spark.createDataFrame([(100,), (5,)], "character_id bigint")
+    out = images.similar_art(held, asked, 2)
+    assert sorted((r.query_id, r["rank"], r.character_id) for r in out.collect()) == [(5, 1, 0), (5, 2, 1), (100, 1, 0), (100, 2, 1)]
+    assert "(nth" in out._jdf.queryExecution().optimizedPlan().toString()  # no more than three characters of an image meet an asker
+
+
 def test_visual_archetypes_name_their_styles(spark):
     held = spark.createDataFrame([(i, i, [1.0, i % 2 * 5.0]) for i in range(20)], "character_id bigint, asset_id bigint, vec array<double>")
     facets = spark.createDataFrame([(i, "noir" if i % 2 else None, "dark" if i % 2 else "") for i in range(20)], "character_id bigint, genre string, tone string")
