@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loquent.operators.vectors import kmeans, nearest_centroid, nearest_each
+from loquent.sources.scratch import written
 
 
 def avatars(images: DataFrame, versions: DataFrame) -> DataFrame:
@@ -45,12 +46,15 @@ def similar_art(held: DataFrame, asked: DataFrame, k: int = 10) -> DataFrame:
 def visual_archetypes(held: DataFrame, facets: DataFrame, k: int = 8, seed: int = 1) -> DataFrame | None:
     """Styles of avatars: size, most common genre and tone, a label of both, and the first twelve characters.
 
-    facets: character_id, genre, tone. None where there are no more than ``k`` avatars.
+    facets: character_id, genre, tone. None where there are no more than ``k`` avatars. Clusters are made of images, each
+    with the weight of the characters that have it.
     """
     if held.count() <= k:
         return None
-    rows = held.select(F.col("character_id").alias("id"), "vec")
-    assigned = nearest_centroid(rows, kmeans(rows, k, seed)).select(F.col("id").alias("character_id"), "cluster")
+    had = held.groupBy("asset_id").agg(F.count("*").alias("n"), F.min("character_id").alias("character_id"))
+    rows = written(held.join(had, ["asset_id", "character_id"]).select(F.col("asset_id").alias("id"), "vec", "n").dropDuplicates(["id"]))
+    places = nearest_centroid(rows, kmeans(rows, k, seed, weight="n")).select(F.col("id").alias("asset_id"), "cluster")
+    assigned = held.select("character_id", "asset_id").join(places, "asset_id").select("character_id", "cluster")
     rank = F.row_number().over(Window.partitionBy("cluster").orderBy("character_id"))
     first = assigned.withColumn("nth", rank).filter(F.col("nth") <= 12).groupBy("cluster").agg(F.sort_array(F.collect_list("character_id")).alias("members"))
     mode = lambda c: F.mode(F.when(F.col(c) != "", F.col(c)), True).alias(c)

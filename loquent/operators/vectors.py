@@ -256,16 +256,21 @@ def nearest_centroid(vectors: DataFrame, few: list[tuple[int, list[float]]]) ->
     return vectors.filter(F.col("vec").isNotNull()).select("id", "vec").mapInArrow(assign, "id bigint, cluster bigint, distance double")
 
 
-def kmeans(vectors: DataFrame, k: int, seed: int = 1, rounds: int = 50) -> list[tuple[int, list[float]]]:
-    """``k`` centroids by Spark's own k-means on the cosine, or as many as there are rows."""
+def kmeans(vectors: DataFrame, k: int, seed: int = 1, rounds: int = 50, weight: str | None = None) -> list[tuple[int, list[float]]]:
+    """``k`` centroids by Spark's own k-means on the cosine, or as many as there are rows.
+
+    Rows are dealt out in parts of a like size first: what a task holds doesn't depend on how few files there are.
+    ``weight``: a column with how often a row counts.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = vectors.filter(F.col("vec").isNotNull()).select(array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
+    dealt = vectors.filter(F.col("vec").isNotNull()).select("vec", *([weight] if weight else [])).hint("rebalance")
+    rows = dealt.select(array_to_vector(F.col("vec").cast("array<double>")).alias("features"), *([F.col(weight).cast("double").alias(weight)] if weight else []))
     k = min(k, rows.count())
     if k < 2:
         return [(0, r["vec"]) for r in centroids(vectors.withColumn("__all", F.lit(0)), "__all").collect()]  # one row
-    model = KMeans(k=k, seed=seed, maxIter=rounds, distanceMeasure="cosine").fit(rows)
+    model = KMeans(k=k, seed=seed, maxIter=rounds, distanceMeasure="cosine", **({"weightCol": weight} if weight else {})).fit(rows)
     return [(i, list(map(float, c))) for i, c in enumerate(model.clusterCenters())]
 
 

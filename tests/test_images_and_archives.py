@@ -39,6 +39,15 @@ def test_similar_art_leaves_the_character_out(spark):
     assert sorted((r.query_id, r.rank, r.character_id) for r in got) == [(10, 1, 11), (10, 2, 12), (13, 1, 12), (13, 2, 10)]
 
 
+def test_archetypes_cluster_images_and_not_each_character(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(images, "kmeans", lambda rows, k, seed, weight: (seen.append(rows), [(0, [1.0, 0.0]), (1, [0.0, 1.0])])[1])
+    held = spark.createDataFrame([(c, c % 3, [1.0, 0.1 * (c % 3)] if c % 3 else [0.0, 1.0]) for c in range(90)], "character_id bigint, asset_id bigint, vec array<double>")
+    facets = spark.createDataFrame([(c, "g", "t") for c in range(90)], "character_id bigint, genre string, tone string")
+    got = {r.cluster: (r["size"], r.members[:2]) for r in images.visual_archetypes(held, facets, 2).collect()}
+    assert got == {0: (60, [1, 2]), 1: (30, [0, 3])} and sorted((r.id, r.n) for r in seen[0].collect()) == [(0, 30), (1, 30), (2, 30)]
+
+
 def test_similar_art_where_very_many_share_an_image(spark):
     """Three images at one distance of the asker's; characters of least id count, though one has them on the last image."""
     at = {0: [1.0, 0.0, 0.0, 0.0], 1: [0.0, 1.0, 0.0, 0.0], 2: [0.0, 0.0, 1.0, 0.0], 3: [0.0, 0.0, 0.0, 1.0]}
