@@ -86,3 +86,53 @@ def test_an_empty_index(spark):
     asked = spark.createDataFrame([("a", "red fox")], "query_id string, q string")
     assert terms.matches_each(lexical.dictionary(postings), postings, lexical.field_sizes(postings), asked, {}).count() == 0
     assert terms.suggest_each(lexical.dictionary(postings), asked).count() == 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_index_is_shuffled_once_and_equals_the_count_of_repeated_rows(spark):
+    rows = [(1, "b a b the the the", "a b x"), (2, None, "x"), (3, "", None), (4, "q a q", "q")]
+    docs = spark.createDataFrame(rows, "id bigint, text string, name string")
+    shown = lambda df: sorted(tuple(r[c] for c in ("id", "field", "length", "term", "tf")) for r in df.collect())
+    assert shown(lexical.index(docs.limit(0), ("text",))) == []
+    docs = docs.select("id", *[F.regexp_replace(c, "([a-z])", "$1$1").alias(c) for c in ("text", "name")])  # words of two letters
+    postings = lexical.index(docs, ("text", "name"))
+    assert plan_of(postings).count("Exchange") == 1
+    assert shown(postings) == [(1, "name", 3, "aa", 1), (1, "name", 3, "bb", 1), (1, "name", 3, "xx", 1), (1, "text", 6, "aa", 1), (1, "text", 6, "bb", 2), (1, "text", 6, "tthhee", 3), (2, "name", 1, "xx", 1), (4, "name", 1, "qq", 1), (4, "text", 3, "aa", 1), (4, "text", 3, "qq", 2)]
+    twice = lexical.index(docs.unionByName(docs.filter("id = 1")), ("text", "name"))  # rows of one id add up
+    assert {(r.id, r.field, r.term): r.tf for r in twice.collect()} == {(r.id, r.field, r.term): r.tf * (2 if r.id == 1 else 1) for r in postings.collect()}
+    plain = postings.drop("first", "head")  # as if made elsewhere
+    for made in (terms.words_of, lexical.field_sizes):
+        norm = lambda df: sorted([tuple(sorted(map(tuple, v)) if isinstance(v, list) else v for v in (r[c] for c in sorted(df.columns))) for r in df.collect()], key=repr)
+        assert norm(made(postings)) == norm(made(plain))
+
+
+def test_what_few_queries_ask_is_sent_to_an_index_that_stays_in_place(spark, tmp_path):
+    docs = spark.range(300).select("id", F.concat_ws(" ", F.lit("common"), F.concat(F.lit("wording"), F.col("id").cast("string"))).alias("text"))
+    made = lexical.dictionary(lexical.index(docs, ("text",)))
+    made.words.write.parquet(str(tmp_path / "w"))
+    made.segments.write.parquet(str(tmp_path / "s"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if all were large
+    try:
+        book = terms.Dictionary(spark.read.parquet(str(tmp_path / "w")), spark.read.parquet(str(tmp_path / "s")))
+        found = terms.expand(book, spark.createDataFrame([(0, "wording12 commom")], "query_id int, q string"))
+        assert "SortMergeJoin" not in plan_of(found) and {"common", "wording12"} <= {r.term for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_terms_found_are_counted_by_bits_or_by_name(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "red fox den"), (2, "red den"), (3, "fox fox")], "id bigint, text string")
+    postings = lexical.index(docs, ("text",))
+    sizes, book = lexical.field_sizes(postings), lexical.dictionary(postings)
+    asked = spark.createDataFrame([("a", "red fox"), ("b", "den fox red")], "query_id string, q string")
+    run = lambda: terms.matches_each(book, postings, sizes, asked, {})
+    by_bits = run()
+    assert plan_of(terms.search_each(by_bits)).count("Exchange hashpartitioning(query_id") == 2  # one, and one by query
+    monkeypatch.setattr(terms, "BITS", 1)
+    by_name = run()
+    assert "bit" in by_bits.columns and "bit" not in by_name.columns
+    assert terms.search_each(by_bits).collect() == terms.search_each(by_name).collect() and terms.search_each(by_bits).count() == 2
