@@ -23,6 +23,8 @@ from loquent.sources.scratch import written
 SAMPLE_ROWS, SAMPLE_VALUES, MOST_CELLS = 50_000, 8_000_000, 4096
 #: Rows of a block of a cell; a larger cell is met block by block.
 BLOCK = 4096
+#: Rows of a batch that meet all centroids at once: with ``MOST_CELLS`` of them their angles hold 8 MB.
+TILE = 256
 #: Slack of the bounds, in radians, for rounding.
 SLACK = 1e-6
 
@@ -50,7 +52,7 @@ def fitted(vectors: DataFrame, per_cell: int = 128, rounds: int = 8) -> np.ndarr
     x = _unit(sample)
     centres = x[: max(1, min(MOST_CELLS, facts["n"] // per_cell, len(x)))].copy()
     for _ in range(rounds):
-        own = (x @ centres.T).argmax(1)
+        own = np.concatenate([(x[at : at + 8 * TILE] @ centres.T).argmax(1) for at in range(0, len(x), 8 * TILE)])
         total = np.zeros_like(centres)
         np.add.at(total, own, x)
         size = np.sqrt((total * total).sum(1, keepdims=True))
@@ -66,8 +68,9 @@ def dealt(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
     """id, vec, cell and the angle to its centroid, for every row with a vector; rows without length are of cell -1."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for at in range(0, whole.num_rows, TILE):
+                batch = whole.slice(at, TILE)
                 x = _unit(pa.Table.from_batches([batch]))
                 angle = _angles(x, centres) if len(centres) else np.zeros((len(x), 1))
                 cell, least = angle.argmin(1).astype(np.int32), angle.min(1)
@@ -132,24 +135,29 @@ def bounds(x: np.ndarray, cells: Cells) -> tuple[np.ndarray, np.ndarray]:
 
 
 def probes(queries: DataFrame, cells: Cells, begin: int, end: int | None) -> DataFrame:
-    """query_id, vec and cell, for the cells that a query (query_id, vec, reach) must read of those ranked ``begin`` to ``end`` by angle."""
+    """query_id, vec, cell and reach, for the cells that a query (query_id, vec, reach) must read of those ranked ``begin`` to ``end`` by angle."""
 
     def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, TILE):
+                part = batch.slice(at, TILE)
                 angle, least = bounds(_unit(pa.Table.from_batches([part])), cells)
                 rank = np.argsort(np.argsort(angle, axis=1, kind="stable"), axis=1)
                 reach = part.column("reach").to_numpy()[:, None]
                 i, j = np.nonzero((rank >= begin) & (rank < (end or angle.shape[1])) & (least <= reach))
-                yield pa.RecordBatch.from_arrays([part.column("query_id").take(pa.array(i)), part.column("vec").take(pa.array(i)), pa.array(cells.number[j])], ["query_id", "vec", "cell"])
+                for to in range(0, len(i), 32 * TILE):  # a query may read every cell
+                    own = pa.array(i[to : to + 32 * TILE])
+                    yield pa.RecordBatch.from_arrays([part.column("query_id").take(own), part.column("vec").take(own), pa.array(cells.number[j[to : to + 32 * TILE]]), part.column("reach").take(own)], ["query_id", "vec", "cell", "reach"])
 
     kind = dict(queries.dtypes)["vec"]
-    return queries.select(F.col("query_id").cast("bigint").alias("query_id"), "vec", "reach").mapInArrow(plan, f"query_id bigint, vec {kind}, cell int")
+    return queries.select(F.col("query_id").cast("bigint").alias("query_id"), "vec", F.col("reach").cast("double").alias("reach")).mapInArrow(plan, f"query_id bigint, vec {kind}, cell int, reach double")
 
 
 def _met(asked: DataFrame, cells: Cells, k: int) -> DataFrame:
-    """query_id, id and distance of the ``k`` nearest rows of each cell that a query reads; only these cells are scanned."""
+    """query_id, id and distance of the ``k`` nearest rows of each cell that a query reads, as far as they are in its reach.
+
+    Only these cells are scanned.
+    """
     spark = asked.sparkSession
     read = [r["cell"] for r in asked.select("cell").distinct().collect()]  # at most MOST_CELLS
     blocks = {int(c): -(-int(n) // BLOCK) for c, n in zip(cells.number, cells.rows)}
@@ -159,7 +167,7 @@ def _met(asked: DataFrame, cells: Cells, k: int) -> DataFrame:
         parts = F.coalesce(F.create_map(*[F.lit(x) for kv in large.items() for x in kv])[F.col("cell")], F.lit(1))
     rows = _rows(spark, cells.path, dict(asked.dtypes)["vec"]).filter(F.col("cell").isin(read))
     rows = rows.select("cell", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), "id", "vec")
-    asked = asked.select("cell", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "query_id", "vec")
+    asked = asked.select("cell", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "query_id", "vec", "reach")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         query, row = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -167,11 +175,13 @@ def _met(asked: DataFrame, cells: Cells, k: int) -> DataFrame:
         if left.num_rows and right.num_rows:
             q, ids, x = left.column("query_id").to_numpy(), right.column("id").to_numpy(), _unit(right)
             out = []
-            for at in range(0, len(q), 1024):
-                d = 1 - _unit(left.slice(at, 1024)) @ x.T
-                d[q[at : at + 1024, None] == ids] = np.inf
+            far_off = 1 - np.cos(np.minimum(left.column("reach").to_numpy() + SLACK, np.pi)) + SLACK
+            for at in range(0, len(q), TILE):
+                d = 1 - _unit(left.slice(at, TILE)) @ x.T
+                d[q[at : at + TILE, None] == ids] = np.inf
                 n = min(k, d.shape[1])
-                i, j = np.nonzero((d <= np.partition(d, n - 1, axis=1)[:, n - 1 : n]) & np.isfinite(d))
+                last = np.minimum(np.partition(d, n - 1, axis=1)[:, n - 1], far_off[at : at + TILE])
+                i, j = np.nonzero((d <= last[:, None]) & np.isfinite(d))
                 out.append((q[at + i], ids[j], d[i, j]))
             query, row, far = (np.concatenate(c) for c in zip(*out))
         return pa.table({"query_id": query, "id": row, "distance": far})

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loquent.operators import inverted
 
@@ -84,3 +85,28 @@ def test_an_empty_table(spark, tmp_path):
     cells = inverted.opened(spark, path)
     asked = spark.createDataFrame([(1, [1.0])], "query_id bigint, vec array<double>")
     assert inverted.nearest_each(cells, asked, 3)[0].count() == 0
+
+
+def test_no_batch_meets_all_centroids_at_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(inverted, "TILE", 8)
+    x = np.random.default_rng(5).normal(size=(300, 6))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, vec array<double>")
+    seen, angles = [], inverted._angles
+    monkeypatch.setattr(inverted, "_angles", lambda x, c: (seen.append(len(x)), angles(x, c))[1])
+    centres = inverted.fitted(rows, 20)
+    batch = rows.coalesce(1).toArrow().combine_chunks().to_batches()
+    taken = []
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda df, f, shape: taken.append(f) or df)
+    inverted.dealt(rows, centres)
+    made = list(taken[0](iter(batch)))
+    assert max(seen) <= 8 and sum(b.num_rows for b in made) == 300
+    monkeypatch.undo()
+    inverted.build(rows, str(tmp_path / "i"), 20)
+    cells = inverted.opened(spark, str(tmp_path / "i"))
+    found, _ = inverted.nearest_each(cells, rows.select(F.col("id").alias("query_id"), "vec"), 5, first=1)
+    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+    near = {}
+    for r in found.collect():
+        near.setdefault(r.query_id, []).append((round(r.distance, 9), r.id))
+    far = 1 - unit @ unit.T
+    assert {q: sorted(v) for q, v in near.items()} == {q: sorted((round(far[q, i], 9), i) for i in range(300) if i != q)[:5] for q in range(300)}
