@@ -136,3 +136,14 @@ def test_terms_found_are_counted_by_bits_or_by_name(spark, monkeypatch):
     by_name = run()
     assert "bit" in by_bits.columns and "bit" not in by_name.columns
     assert terms.search_each(by_bits).collect() == terms.search_each(by_name).collect() and terms.search_each(by_bits).count() == 2
+
+
+def test_reranking_broadcasts_its_pool_and_shuffles_no_documents(spark, sf):
+    from loquent.plans.queries import QUERIES
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if all were large
+    try:
+        assert "SortMergeJoin" not in plan_of(QUERIES["rerank_documents"](spark, sf))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
