@@ -8,11 +8,11 @@ text has a probability. Shards are made by hashes and the number of tokens, so s
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +27,8 @@ SYMBOLS = CLASSES * EACH
 WINDOW, SCORED, BATCH = 32, 64, 512
 #: Predictions whose probabilities are worked out at once, at most and one step of all documents more.
 AT_ONCE = 60_000
+#: Logits up to which exponentials are taken as they are; beyond, the greatest of a prediction is taken off first.
+STEADY = 60
 #: Most frequent words whose counts every task holds; counts of others are joined.
 HELD = 100_000
 #: Tokens that one task trains on between two averages, about.
@@ -36,34 +38,58 @@ RARE, END_SYMBOL = 0, EACH
 OWN, FIRST = SYMBOLS - EACH - 1, EACH + 1
 
 
-class WordCodes(dict):
-    """The rank of a held word, or -1 - its hash for another; kept up to a number, then anew."""
+#: Words whose counts are added up at once; bytes of a word up to which it is hashed along with all others.
+TALLIED, SHORT = 1 << 21, 64
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Keeps the first 0 to 8 bytes of a number.
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
-    def __init__(self, ranks: dict[int, int] | None = None, keep: int = 400_000):
-        super().__init__()
-        self.ranks, self.keep = ranks or {}, keep
 
-    def __missing__(self, word: bytes) -> int:
-        h = word_hash(word)
-        found = self.ranks.get(h, -1 - h)
-        if len(self) >= self.keep:
-            self.clear()
-        self[word] = found
-        return found
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """63 bits that stand for each word of all ``texts`` (no nulls), in order, and how many words each text has.
+
+    Words are runs of anything but ASCII white space, A-Z in lower case. They are found and hashed in the bytes of all
+    texts at once, eight bytes of every word at a time; the few very long ones one by one.
+    """
+    if not len(texts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    texts = texts.cast(pa.large_binary())
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    n, begins = int(bounds[-1] - bounds[0]), bounds - bounds[0]
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+    raw = np.zeros(n + 8, np.uint8)  # eight bytes can be read at each place
+    data = raw[:n]
+    data[:] = np.frombuffer(texts.buffers()[2], np.uint8, n, int(bounds[0]))
+    data += (data - np.uint8(65) < 26).view(np.uint8) << 5
+    inside = (data != 32) & (data - np.uint8(9) > 4)
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    edge = begins[(begins > 0) & (begins < n)]  # words end where their text does
+    first[edge], last[edge - 1] = inside[edge], inside[edge - 1]
+    start = np.flatnonzero(first)
+    size = np.flatnonzero(last) + 1 - start
+    eights = np.ndarray((n + 1,), "<u8", raw, 0, (1,))
+    out = size.astype(np.uint64) * _B
+    rest = slice(None) if size.max(initial=0) <= 8 else np.arange(len(size))
+    for at in range(0, min(int(size.max(initial=0)), SHORT), 8):
+        if at:
+            rest = rest[size[rest] > at]
+        h = out[rest] ^ (eights[start[rest] + at] & _FIRST_BYTES[np.minimum(size[rest] - at, 8)])
+        h *= _A
+        h ^= h >> np.uint64(32)
+        h *= _B
+        h ^= h >> np.uint64(29)
+        out[rest] = h
+    for i in np.flatnonzero(size > SHORT).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : start[i] + size[i]].tobytes())
+    return (out >> np.uint64(1)).view(np.int64), np.diff(np.searchsorted(start, begins))
 
 
 def word_hash(word: bytes) -> int:
     """63 bits that stand for a word."""
-    return xxhash.xxh3_64_intdigest(word) >> 1
-
-
-def words_of(text: str) -> list[bytes]:
-    """Runs of anything but ASCII white space, A-Z in lower case."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
-
-
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    return int(word_hashes(pa.array([word], pa.binary()))[0][0])
 
 
 class Model:
@@ -73,7 +99,7 @@ class Model:
     SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 
     def __init__(self, flat: np.ndarray):
-        self.flat, at = flat.astype(np.float32), 0
+        self.flat, at = flat.astype(np.float32, copy=False), 0
         self.at: dict[str, slice] = {}
         for name, shape in self.SHAPES.items():
             self.at[name] = slice(at, at + int(np.prod(shape)))
@@ -90,13 +116,26 @@ class Model:
         model.word_b[:] = np.log(share.reshape(CLASSES, EACH)) - model.class_b[:, None]
         return model
 
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The states after ``h`` (a column for each text) and inputs ``x``, and what backpropagation needs of the gates."""
-        g = self.carry.T @ h
-        zr = sigmoid(x[: 2 * UNITS] + g[: 2 * UNITS])
-        z, r = zr[:UNITS], zr[UNITS:]
-        n = np.tanh(x[2 * UNITS :] + r * g[2 * UNITS :])
-        return n + z * (h - n), z, r, n, g[2 * UNITS :]
+    def step(self, x: np.ndarray, h: np.ndarray, gates: np.ndarray | None = None, cand: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The states after ``h`` (a column for each text) and inputs ``x``, and what backpropagation needs of the gates.
+
+        That is the two gates and what the third lets through, in rows one below the other, and the candidates; they are
+        written to ``gates`` and ``cand`` where these are given.
+        """
+        gates = np.matmul(self.carry.T, h, out=gates)
+        zr = gates[: 2 * UNITS]
+        zr += x[: 2 * UNITS]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        cand = np.multiply(zr[UNITS:], gates[2 * UNITS :], out=cand)
+        cand += x[2 * UNITS :]
+        np.tanh(cand, out=cand)
+        after = h - cand
+        after *= zr[:UNITS]
+        after += cand
+        return after, gates, cand
 
     def columns(self) -> np.ndarray:
         """What each symbol puts into the gates, as a column."""
@@ -105,45 +144,39 @@ class Model:
     def told(self, h: np.ndarray, symbols: np.ndarray, grads: Model | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Log probabilities of ``symbols`` after states ``h`` (columns); with ``grads``, adds the loss's slopes, and gives that by ``h``.
 
-        The class of rare words has no other symbol, so nothing is to be told inside it.
+        The class of rare words has no other symbol, so nothing is to be told inside it. States get a row of ones for the
+        biases, and each class writes its columns of one array, so that all else is done once for all classes.
         """
-        order = np.argsort((symbols // EACH).astype(np.uint16), kind="stable")  # by class, so that each class is one slice
-        h, group, word = np.take(h, order, axis=1), symbols[order] // EACH, symbols[order] % EACH
-        every = np.arange(len(symbols))
-        logits = self.class_w.T @ h + self.class_b[:, None]
-        logits -= logits.max(0)
-        picked = logits[group, every]
-        np.exp(logits, out=logits)
-        total = logits.sum(0)
-        out = picked - np.log(total)
-        slope = None
-        if grads is not None:
-            logits /= total
-            logits[group, every] -= 1
-            grads.class_w += h @ logits.T
-            grads.class_b += logits.sum(1)
-            slope = self.class_w @ logits
+        group = symbols // EACH
+        order = np.argsort(group.astype(np.uint16), kind="stable")  # by class, so that each class is one slice
+        group, word = group[order], symbols[order] % EACH
+        h = np.concatenate((np.take(h, order, axis=1), np.ones((1, len(order)), np.float32)))
+        logits = self.classes().T @ h
+        out = settle(logits, group, grads is not None)
         bounds = np.searchsorted(group, np.arange(CLASSES + 1))
-        for c in np.flatnonzero(np.diff(bounds)):
-            if c == RARE // EACH:
-                continue
-            at = slice(bounds[c], bounds[c + 1])
-            logits = self.word_w[c] @ h[:, at] + self.word_b[c][:, None]
-            logits -= logits.max(0)
-            one = every[: logits.shape[1]]
-            picked = logits[word[at], one]
-            np.exp(logits, out=logits)
-            total = logits.sum(0)
-            out[at] += picked - np.log(total)
-            if grads is not None:
-                logits /= total
-                logits[word[at], one] -= 1
-                grads.word_w[c] += logits @ h[:, at].T
-                grads.word_b[c] += logits.sum(1)
-                slope[:, at] += self.word_w[c].T @ logits
+        inner = bounds[RARE // EACH + 1]  # the rare ones come first
+        found = [(c, slice(bounds[c], bounds[c + 1]), slice(bounds[c] - inner, bounds[c + 1] - inner)) for c in np.flatnonzero(np.diff(bounds)).tolist() if c != RARE // EACH]
+        words = np.concatenate((self.word_w, self.word_b[:, :, None]), axis=2)
+        inside = np.empty((EACH, len(order) - inner), np.float32)
+        for c, at, own in found:
+            np.matmul(words[c], h[:, at], out=inside[:, own])
+        out[inner:] += settle(inside, word[inner:], grads is not None)
         back = np.empty_like(order)
-        back[order] = every
-        return out[back], np.take(slope, back, axis=1) if slope is not None else None
+        back[order] = np.arange(len(order))
+        if grads is None:
+            return out[back], None
+        grads.classes()[:] += h @ logits.T
+        slope = self.class_w @ logits
+        for c, at, own in found:
+            both = inside[:, own] @ h[:, at].T
+            grads.word_w[c] += both[:, :UNITS]
+            grads.word_b[c] += both[:, UNITS]
+            slope[:, at] += self.word_w[c].T @ inside[:, own]
+        return out[back], np.take(slope, back, axis=1)
+
+    def classes(self) -> np.ndarray:
+        """Weights of the classes and, as the last row, their biases."""
+        return self.flat[self.at["class_w"].start : self.at["class_b"].stop].reshape(UNITS + 1, CLASSES)
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """The natural log probability of each sequence of symbols, all stepping together from window to window."""
@@ -153,28 +186,25 @@ class Model:
         sizes = sizes[order]
         begins = np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(sizes) else sizes
         out, h = np.zeros(len(texts)), np.zeros((UNITS, len(texts)), np.float32)
-        held: list[tuple[np.ndarray, ...]] = []
-        steps = int(sizes.max(initial=0))
-        rows, columns = 0, self.columns()
-        for t in range(steps):
-            n = int(np.searchsorted(-sizes, -t, "left"))  # those longer than t come first
-            now = flat[begins[:n] + t]
-            h = h[:, :n]
-            held.append((h, now, np.arange(n)))
-            h = self.step(np.take(columns, now, axis=1), h)[0]
-            rows += n
-            if rows >= AT_ONCE or len(held) == SCORED or t + 1 == steps:
-                states = np.concatenate([x[0] for x in held], axis=1)
-                symbols, owners = (np.concatenate([x[i] for x in held]) for i in (1, 2))
-                out += np.bincount(owners, self.told(states, symbols)[0], minlength=len(texts))
-                held, rows = [], 0
+        steps, at, columns = int(sizes.max(initial=0)), 0, self.columns()
+        while at < steps:
+            counts = np.searchsorted(-sizes, -np.arange(at, min(at + SCORED, steps)), "left")  # those longer come first
+            counts = counts[: 1 + int(np.searchsorted(np.cumsum(counts), AT_ONCE))]
+            symbols, owners, bounds = laid(flat, begins, at, counts)
+            before = np.empty((UNITS, len(symbols)), np.float32)
+            for n, a, b in zip(counts.tolist(), bounds, bounds[1:]):
+                h = h[:, :n]
+                before[:, a:b] = h
+                h = self.step(np.take(columns, symbols[a:b], axis=1), h)[0]
+            out += np.bincount(owners, self.told(before, symbols)[0], minlength=len(texts))
+            at += len(counts)
         back = np.empty(len(texts))
         back[order] = out
         return back
 
     def train(self, texts: list[np.ndarray], rate: float) -> int:
         """Adam over windows of batches of sequences; returns the symbols seen."""
-        first, second, step = np.zeros(self.SIZE, np.float32), np.zeros(self.SIZE, np.float32), 0
+        first, second, change, step = *np.zeros((3, self.SIZE), np.float32), 0
         texts = sorted(texts, key=len, reverse=True)
         many = min(BATCH, max(32, len(texts) // 16))  # few texts: smaller batches, so that there are steps enough
         for b in range(0, len(texts), many):
@@ -186,9 +216,19 @@ class Model:
                 counts = np.searchsorted(-sizes, -np.arange(at, min(at + WINDOW, int(sizes[0]))), "left")  # those that go on come first
                 slope, h = self.window(flat, begins, at, counts, h)
                 step += 1
-                first += 0.1 * (slope - first)
-                second += 0.01 * (slope * slope - second)
-                self.flat -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
+                np.subtract(slope, first, out=change)
+                change *= 0.1
+                first += change
+                np.multiply(slope, slope, out=change)
+                change -= second
+                change *= 0.01
+                second += change
+                np.divide(second, 1 - 0.99**step, out=change)
+                np.sqrt(change, out=change)
+                change += 1e-6
+                np.divide(first, change, out=change)
+                change *= rate / (1 - 0.9**step)
+                self.flat -= change
         return sum(map(len, texts))
 
     def window(self, flat: np.ndarray, begins: np.ndarray, at: int, counts: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,40 +236,59 @@ class Model:
 
         The steps from ``at`` on have ``counts`` sequences each; ``begins`` says where those lie in ``flat``.
         """
-        bounds = np.concatenate(([0], np.cumsum(counts)))
-        steps = np.repeat(np.arange(len(counts)), counts)
-        symbols = flat[begins[np.arange(bounds[-1]) - bounds[steps]] + at + steps]
-        x, before, gates = np.take(self.columns(), symbols, axis=1), np.empty((UNITS, bounds[-1]), np.float32), []
-        for n, a, b in zip(counts, bounds, bounds[1:]):
-            h = before[:, a:b] = h[:, :n]
-            h, *now = self.step(x[:, a:b], h)
-            gates.append(now)
+        symbols, _, bounds = laid(flat, begins, at, counts)
+        x, before = np.take(self.columns(), symbols, axis=1), np.empty((UNITS, len(symbols)), np.float32)
+        gates, cand = np.empty_like(x), np.empty_like(before)
+        steps = list(zip(counts.tolist(), bounds, bounds[1:]))
+        for n, a, b in steps:
+            h = h[:, :n]
+            before[:, a:b] = h
+            h = self.step(x[:, a:b], h, gates[:, a:b], cand[:, a:b])[0]
         grads = Model(np.zeros(self.SIZE, np.float32))
         slopes = self.told(before, symbols, grads)[1]
-        dg, dx = np.empty_like(x), x  # x is not read again
+        # what each gate's input does to a state, so that going back a step is a product with the state's slopes
+        z, r, g = gates.reshape(3, UNITS, -1)
+        direct = (1 - z) * (1 - cand * cand)
+        factors = np.stack(((before - cand) * z * (1 - z), direct * r * g * (1 - r), direct * r))
+        dg, after = x.reshape(3, UNITS, -1), np.empty_like(before)  # x is not read again
         d = np.zeros((UNITS, 0), np.float32)
-        for n, a, b, (z, r, cand, g) in zip(counts[::-1], bounds[-2::-1], bounds[:0:-1], gates[::-1]):
+        for n, a, b in steps[::-1]:
             if d.shape[1] < n:
                 d = np.concatenate((d, np.zeros((UNITS, n - d.shape[1]), np.float32)), axis=1)
-            dn = d * (1 - z)
-            dx[:UNITS, a:b] = dn * (before[:, a:b] - cand) * z
-            dn *= 1 - cand * cand
-            rest = dn * r
-            dx[UNITS : 2 * UNITS, a:b] = rest * g * (1 - r)
-            dx[2 * UNITS :, a:b] = dn
-            dg[: 2 * UNITS, a:b] = dx[: 2 * UNITS, a:b]
-            dg[2 * UNITS :, a:b] = rest
-            d = d * z + self.carry @ dg[:, a:b] + slopes[:, a:b]
-        grads.carry += before @ dg.T
+            after[:, a:b] = d
+            np.multiply(factors[:, :, a:b], d, out=dg[:, :, a:b])
+            d *= z[:, a:b]
+            d += self.carry @ x[:, a:b]
+            d += slopes[:, a:b]
+        grads.carry += before @ x.T
+        np.multiply(after, direct, out=dg[2])
         order = np.argsort(symbols.astype(np.uint16), kind="stable")
         distinct, begin = np.unique(symbols[order], return_index=True)
-        grads.inputs[distinct] += np.add.reduceat(np.take(dx, order, axis=1), begin, axis=1).T
+        grads.inputs[distinct] += np.add.reduceat(np.take(x, order, axis=1), begin, axis=1).T
         return np.clip(grads.flat / len(symbols), -1, 1), h
 
 
-def symbols_of(codes: np.ndarray) -> np.ndarray:
-    """The model's symbols for the words with these codes, and the end."""
-    return np.concatenate((np.where((codes >= 0) & (codes < OWN), codes + FIRST, RARE), [END_SYMBOL])).astype(np.int64)
+def settle(logits: np.ndarray, picked: np.ndarray, slopes: bool) -> np.ndarray:
+    """Log probabilities of the row ``picked`` in each column of ``logits``; these become the loss's slopes or are used up."""
+    if max(logits.max(initial=0), -logits.min(initial=0)) > STEADY:
+        logits -= logits.max(0)
+    at = picked * logits.shape[1] + np.arange(logits.shape[1])
+    out = np.take(logits, at)
+    np.exp(logits, out=logits)
+    total = logits.sum(0)
+    out -= np.log(total)
+    if slopes:
+        logits /= total
+        logits.reshape(-1)[at] -= 1
+    return out
+
+
+def laid(flat: np.ndarray, begins: np.ndarray, at: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Symbols of the steps from ``at`` on, which have ``counts`` sequences each, whose they are, and where each step begins and ends."""
+    bounds = np.concatenate(([0], np.cumsum(counts)))
+    steps = np.repeat(np.arange(len(counts)), counts)
+    owners = np.arange(bounds[-1]) - bounds[steps]
+    return flat[begins[owners] + at + steps], owners, bounds.tolist()
 
 
 def held_out(id_col: Column) -> Column:
@@ -241,17 +300,17 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """``word`` (hash) and ``n`` over all of ``docs`` (column text)."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        found: list[np.ndarray] = []
 
         def made() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([word_hash(w) for w in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+            words = pc.value_counts(pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
+            return pa.RecordBatch.from_arrays([words.field("values"), words.field("counts")], ["word", "n"])
 
-        for batch in batches:
-            for text in batch.column(0):
-                counts.update(words_of(text.as_py()))
-                if len(counts) > 300_000:
-                    yield made()
-                    counts.clear()
+        for batch in sliced(batches):
+            found.append(word_hashes(batch.column(0))[0])
+            if sum(map(len, found)) > TALLIED:
+                yield made()
+                found.clear()
         yield made()
 
     return docs.select("text").mapInArrow(tally, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
@@ -324,7 +383,7 @@ def score(docs: DataFrame, rounds: int = 3, id_col: str = "doc_id", text: str =
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_tokens, n_types = sums["n"] + ends, sums["v"] + (ends > 0)
     words, held = most_frequent(counts, HELD)
-    ranks = {w: i for i, w in enumerate(words)}
+    words = np.array(words, np.int64)
     own = held[:OWN]
     rare = n_tokens - ends - own.sum()
     shares = np.zeros(SYMBOLS)
@@ -333,25 +392,27 @@ def score(docs: DataFrame, rounds: int = 3, id_col: str = "doc_id", text: str =
     rare_mass = float(rare + (n_types - (ends > 0) - len(own)) + 1)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each text's symbols, the sums that its held words give, and its other words."""
-        codes = WordCodes(ranks)
+        """Each text's symbols, the sums that its held words give, and its other words, of a thousand texts at once."""
+        ranks = pa.array(words)
         for batch in sliced(batches):
-            rows, symbols, others, tfs, bounds = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [0]
-            for value in batch.column(1):
-                found = words_of(value.as_py())
-                code = np.fromiter(map(codes.__getitem__, found), np.int64, len(found))
-                known = code[code >= 0]
-                small = known[known >= OWN]
-                other, tf = np.unique(-1 - code[code < 0], return_counts=True)
-                others.append(other)
-                tfs.append(tf)
-                bounds.append(bounds[-1] + len(other))
-                symbols.append(symbols_of(code).astype(np.uint16).tobytes())
-                rows.append((len(found) + 1, len(known) + (ends > 0), log_held[known].sum() + np.log10(ends + 1), log_held[small].sum(), len(small) + len(found) - len(known)))
-            columns = [pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 5, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()))]
-            items = pa.StructArray.from_arrays([pa.array(np.concatenate(others)), pa.array(np.concatenate(tfs).astype(np.int64))], ["word", "tf"])
-            rest = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), items)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *columns, pa.array(symbols, pa.binary()), rest], NAMES)
+            found, sizes = word_hashes(batch.column(1))
+            many, owner = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
+            code = pc.fill_null(pc.index_in(pa.array(found), ranks), -1).to_numpy()
+            known, small = np.flatnonzero(code >= 0), np.flatnonzero(code >= OWN)
+            n_known, n_small = (np.bincount(owner[x], minlength=many) for x in (known, small))
+            logs, rare_logs = (np.bincount(owner[x], log_held[code[x]], many).astype(np.float64) for x in (known, small))
+            bounds = np.concatenate(([0], np.cumsum(sizes + 1)))
+            symbols = np.full(bounds[-1], END_SYMBOL, np.uint16)
+            symbols[np.arange(len(owner)) + owner] = np.where((code >= 0) & (code < OWN), code + FIRST, RARE)
+            symbols = pa.Array.from_buffers(pa.binary(), many, [None, pa.py_buffer((bounds * 2).astype(np.int32)), pa.py_buffer(symbols)])
+            other = np.flatnonzero(code < 0)
+            other = other[np.lexsort((found[other], owner[other]))]
+            word, text = found[other], owner[other]
+            begin = np.flatnonzero(np.concatenate((np.ones(min(1, len(other)), bool), (word[1:] != word[:-1]) | (text[1:] != text[:-1]))))
+            items = pa.StructArray.from_arrays([pa.array(word[begin]), pa.array(np.diff(begin, append=len(other)))], ["word", "tf"])
+            rest = pa.ListArray.from_arrays(pa.array(np.searchsorted(text[begin], np.arange(many + 1)), pa.int32()), items)
+            columns = [sizes + 1, n_known + (ends > 0), logs + np.log10(ends + 1), rare_logs, n_small + sizes - n_known]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *map(pa.array, columns), symbols, rest], NAMES)
 
     NAMES = ["doc_id", "held_out", "key", "twin", "n_tokens", "n_known", "logs", "rare_logs", "n_rare", "symbols", "rest"]
     schema = f"doc_id {kind}, held_out boolean, key bigint, twin bigint, n_tokens bigint, n_known bigint, logs double, rare_logs double, n_rare bigint, symbols binary, rest array<struct<word:bigint,tf:bigint>>"

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -390,6 +391,40 @@ def test_lm_odd_rows(spark):
     assert recurrent.score(df.limit(0)).count() == 0
 
 
+def test_words_are_hashed_at_once_as_if_one_by_one():
+    """Texts are split and lower-cased in their bytes: no object for each word, and the words of a plain split."""
+    texts = ["A\x0bb\x0c C\x1cd", "", " ", "tail", "head", "\x85é É \u2003Ä", "x" * 64 + " " + "x" * 65 + " " + "X" * 700, "eightlet EIGHTLET eightlett", " \t lead\r\n", "a\0 a \0a"]
+    column = pa.array(["cut", *texts, "off"]).slice(1, len(texts))
+    found, sizes = recurrent.word_hashes(column)
+    want = [t.encode().lower().split() for t in texts]
+    assert sizes.tolist() == [len(w) for w in want]
+    flat = [w for words in want for w in words]
+    assert found.tolist() == [recurrent.word_hash(w) for w in flat]
+    assert len(set(found.tolist())) == len(set(flat)) and found.min() >= 0
+    assert [x.tolist() for x in recurrent.word_hashes(pa.array([], pa.string()))] == [[], []]
+    assert [x.tolist() for x in recurrent.word_hashes(pa.array(["", " \n"]))] == [[], [0, 0]]
+
+
+def test_softmaxes_of_all_classes_are_worked_out_at_once(monkeypatch):
+    """Two of them, of classes and inside these, however many classes there are; and none overflows or vanishes."""
+    calls, settle = [], recurrent.settle
+    monkeypatch.setattr(recurrent, "settle", lambda *x: calls.append(1) or settle(*x))
+    rng = np.random.default_rng(9)
+    for scale in (0.3, 300):
+        model = recurrent.Model(rng.normal(0, scale, recurrent.Model.SIZE))
+        h = rng.uniform(-1, 1, (recurrent.UNITS, 400)).astype(np.float32)
+        symbols = rng.integers(recurrent.EACH, recurrent.SYMBOLS, 400)
+        calls.clear()
+        got = model.told(h, symbols)[0]
+        assert len(calls) == 2
+        for i, s in enumerate(symbols.tolist()):
+            c, w = divmod(s, recurrent.EACH)
+            x = h[:, i].astype(np.float64)
+            group, word = x @ model.class_w + model.class_b, model.word_w[c] @ x + model.word_b[c]
+            want = group[c] - group.max() - np.log(np.exp(group - group.max()).sum()) + word[w] - word.max() - np.log(np.exp(word - word.max()).sum())
+            assert got[i] == pytest.approx(want, rel=1e-3, abs=1e-3)
+
+
 def test_lm_trains_on_every_document(spark, monkeypatch):
     models, trained = [], recurrent.trained
     monkeypatch.setattr(recurrent, "trained", lambda docs, model, *rest: models.append((model, trained(docs, model, *rest))) or models[0][1])
