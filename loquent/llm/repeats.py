@@ -14,9 +14,11 @@ Contexts count as equal if the 64-bit hashes of their anchor and of all their by
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ LONGER = (32, 44)
 BLOCK = 1000
 #: Bytes of a text that anchors are looked for in at once: places have 28 bits.
 PIECE = 1 << 27
+#: Bytes of texts whose anchors are looked for together, about, and powers that are kept for hashes of their parts.
+TOGETHER = 1 << 16
 #: Texts looked at together for anchors that very many texts have, how many make one hot, and salts that spread its rows.
 LOOK, HOT, SALTS = 2000, 20, 64
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -46,12 +50,14 @@ def gram_hashes(raw: bytes, gram: int = GRAM) -> np.ndarray:
     words ^= words >> np.uint64(31)
     words *= _B
     h = words[:n].copy()
+    moved = np.empty_like(h)
     for at in [*range(8, gram - 8, 8), gram - 8]:
-        h = (h ^ (h >> np.uint64(29))) * _A
+        h ^= np.right_shift(h, np.uint64(29), out=moved)
+        h *= _A
         h += words[at : at + n]
-    h ^= h >> np.uint64(32)
+    h ^= np.right_shift(h, np.uint64(32), out=moved)
     h *= _B
-    h ^= h >> np.uint64(29)
+    h ^= np.right_shift(h, np.uint64(29), out=moved)
     return h
 
 
@@ -85,16 +91,58 @@ def anchors(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return tuple(np.concatenate(x) for x in zip(*found)) if len(found) > 1 else found[0]
 
 
+def chunks(texts: list[bytes], most: int | None = None) -> Iterator[tuple[int, int]]:
+    """Where runs of ``texts`` of about ``most`` bytes (``TOGETHER``) begin and end."""
+    begin = size = 0
+    for i, text in enumerate(texts):
+        if size and size + len(text) > (most or TOGETHER):
+            yield begin, i
+            begin, size = i, 0
+        size += len(text)
+    if texts:
+        yield begin, len(texts)
+
+
+def anchors_of(texts: list[bytes], length: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts as one, and the ``anchors`` of all: their hashes, first and last places in that one, and whose each is."""
+    raw = b"".join(texts)
+    if len(texts) == 1:
+        found = anchors(raw, length)
+        return raw, *found, np.zeros(len(found[0]), np.int64)
+    ends = np.cumsum([len(t) for t in texts])
+    h, at = least_runs(raw, length)
+    mark = np.ones(len(at), bool)
+    mark[1:] = at[1:] != at[:-1]
+    edge = np.concatenate((ends, ends - length + 1))  # from here on, strings are of another text or of two
+    mark[edge[(edge >= 0) & (edge < len(at))]] = True
+    first = np.flatnonzero(mark)
+    last = np.append(first[1:], len(at))[: len(first)] - 1
+    owner = np.searchsorted(ends, first, "right")
+    kept = first + length <= ends[owner]
+    first, last = first[kept], last[kept]
+    return raw, h[at[first]] & ~_SALT, first, last, owner[kept]
+
+
 _BYTES = np.random.default_rng(20).integers(0, 2**64, 256, dtype=np.uint64)
 _INVERSE = np.uint64(pow(int(_A), -1, 2**64))
 
 
+def powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers from 0 to ``n``, and their inverses."""
+    return tuple(np.concatenate(([np.uint64(1)], np.multiply.accumulate(np.full(n, x)))) for x in (_A, _INVERSE))
+
+
+@cache
+def kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return powers_to(2 * TOGETHER)
+
+
 def stretch_hashes(raw: bytes, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the bytes from each begin to its end, by sums of powers, so that places don't matter."""
     n = len(raw)
-    powers = np.concatenate(([np.uint64(1)], np.multiply.accumulate(np.full(n, _A))))
-    back = np.concatenate(([np.uint64(1)], np.multiply.accumulate(np.full(n, _INVERSE))))
-    sums = np.concatenate(([np.uint64(0)], np.cumsum(_BYTES[np.frombuffer(raw, np.uint8)] * powers[:n])))
+    powers, back = kept_powers() if n <= 2 * TOGETHER else powers_to(n)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTES[np.frombuffer(raw, np.uint8)] * powers[:n], out=sums[1:])
     h = (sums[ends] - sums[begins]) * back[begins] + (ends - begins).astype(np.uint64) * _B
     h ^= h >> np.uint64(29)
     h *= _B
@@ -177,10 +225,22 @@ def shared_anchors(docs: DataFrame, length: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, LOOK):
             keys, at = np.unique(batch.column(1).to_numpy(), return_index=True)
-            found = [np.unique(anchors(batch.column(0)[i].as_py().encode(), length)[0]) for i in at.tolist()]
-            keys, values = np.repeat(keys, [len(f) for f in found]), np.concatenate([np.zeros(0, np.uint64), *found])
-            first, inverse, counts = np.unique(values, return_index=True, return_inverse=True, return_counts=True)[1:]
-            salt = np.where(counts[inverse] > HOT, 1 + keys % (SALTS - 1), 0).astype(np.uint64)
+            texts = batch.column(0).take(pa.array(at)).cast(pa.binary()).to_pylist()
+            values, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for a, b in chunks(texts):
+                _, found, _, _, owner = anchors_of(texts[a:b], length)
+                values.append(found)
+                owners.append(a + owner)
+            values, owners = np.concatenate(values), np.concatenate(owners)
+            order = np.argsort(values, kind="stable")  # texts of an anchor stay in order
+            values, owners = values[order], owners[order]
+            other = np.ones(len(values), bool)
+            other[1:] = values[1:] != values[:-1]
+            new = other.copy()
+            new[1:] |= owners[1:] != owners[:-1]
+            values, keys, first = values[new], keys[owners[new]], np.flatnonzero(other[new])
+            counts = np.diff(first, append=len(values))
+            salt = np.where(np.repeat(counts, counts) > HOT, 1 + keys % (SALTS - 1), 0).astype(np.uint64)
             met = first[counts > HOT]
             keys, values = np.concatenate((keys, keys[met])), np.concatenate((values | salt, values[met]))
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(values.view(np.int64))], ["text_key", "salted"])
@@ -222,22 +282,28 @@ def contexts_of(texts: DataFrame, lists: DataFrame, length: int) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 200):
-            values, counts, at, parts = [], [], [], []
-            for text, wanted in zip(batch.column("text"), batch.column("anchors")):
-                raw = text.as_py().encode()
-                h, first, last = anchors(raw, length)
+            # what a text of the batch asks for is shared, so whichever other text has it asks for it too
+            wanted, texts = batch.column("anchors").flatten(), batch.column("text").cast(pa.binary()).to_pylist()
+            values, counts, at, parts, many = [], [], [], [], []
+            for a, b in chunks(texts):
+                raw, h, first, last, owner = anchors_of(texts[a:b], length)
                 h = h.view(np.int64)
-                keep = np.flatnonzero(np.isin(h, wanted.values.to_numpy()))
-                first, last = first[keep], last[keep]
-                values.append((h[keep], stretch_hashes(raw, first, last + length), first.astype(np.int32), (last - first + 1).astype(np.int32)))
-                counts.append(len(keep))
-                edge = np.flatnonzero(first[1:] > last[:-1] + length) + 1  # contexts are in order; where one doesn't touch the next
-                begins, ends = first[np.concatenate((np.zeros(min(1, len(keep)), np.int64), edge))], last[np.concatenate((edge - 1, np.full(min(1, len(keep)), len(keep) - 1)))] + length
-                at.append(begins.tolist())
-                parts.append([raw[a:b] for a, b in zip(begins.tolist(), ends.tolist())])
+                keep = np.flatnonzero(pc.is_in(pa.array(h), wanted).to_numpy(zero_copy_only=False))
+                h, first, last, owner = h[keep], first[keep], last[keep], owner[keep]
+                base = np.cumsum([0, *map(len, texts[a:b])])
+                values.append((h, stretch_hashes(raw, first, last + length), (first - base[owner]).astype(np.int32), (last - first + 1).astype(np.int32)))
+                counts.append(np.bincount(owner, minlength=b - a))
+                new = np.ones(len(keep), bool)
+                new[1:] = (first[1:] > last[:-1] + length) | (owner[1:] != owner[:-1])  # contexts are in order; where one doesn't touch the next
+                edge = np.flatnonzero(new)
+                begins, ends = first[edge], last[np.append(edge[1:], len(keep))[: len(edge)] - 1] + length
+                at.append((begins - base[owner[edge]]).astype(np.int32))
+                parts += [raw[x:y] for x, y in zip(begins.tolist(), ends.tolist())]
+                many.append(np.bincount(owner[edge], minlength=b - a))
             flat = pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in zip(*values)], fields=list(context))
-            lists_ = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), lists_, pa.array(at, pa.list_(pa.int32())), pa.array(parts, pa.list_(pa.binary()))], ["doc_id", "text_key", "contexts", "at", "parts"])
+            bounds, edges = (pa.array(np.concatenate(([0], np.cumsum(np.concatenate(x)))), pa.int32()) for x in (counts, many))
+            lists_ = [pa.ListArray.from_arrays(bounds, flat), pa.ListArray.from_arrays(edges, pa.array(np.concatenate(at))), pa.ListArray.from_arrays(edges, pa.array(parts, pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *lists_], ["doc_id", "text_key", "contexts", "at", "parts"])
 
     rows = texts.join(lists.hint("shuffle_hash"), ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "anchors")
     return rows.mapInArrow(emit, "doc_id bigint, text_key bigint, contexts array<struct<anchor:bigint,key:bigint,start:int,places:int>>, at array<int>, parts array<binary>")
@@ -431,15 +497,21 @@ def covered_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     return out
 
 
-def merged(spans: list[dict]) -> list[tuple[int, int]]:
-    """Overlapping and touching spans as one; ``spans`` are in order."""
-    out: list[tuple[int, int]] = []
-    for x in spans:
-        if out and x["begin"] <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], x["end"]))
-        else:
-            out.append((x["begin"], x["end"]))
-    return out
+def merged(spans: pa.Array, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Overlapping and touching spans as one: begins, ends and how many each text has.
+
+    ``spans``: a list for each text (null: none) of begin and end, in order of begins; ``sizes``: how long texts are.
+    """
+    flat, many = spans.flatten(), pc.fill_null(pc.list_value_length(spans), 0).to_numpy()
+    owner = np.repeat(np.arange(len(many)), many)
+    base = np.cumsum(sizes + 1) - sizes - 1  # texts lie one behind the other, and don't touch
+    begin, end = (flat.field(k).to_numpy() + base[owner] for k in ("begin", "end"))
+    end = np.maximum.accumulate(end)
+    new = np.ones(len(begin), bool)
+    new[1:] = begin[1:] > end[:-1]
+    first = np.flatnonzero(new)
+    owner = owner[first]
+    return begin[first] - base[owner], end[np.append(first[1:], len(end))[: len(first)] - 1] - base[owner], np.bincount(owner, minlength=len(many))
 
 
 def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text: str = "text", carry: Sequence[str] = (), as_text: bool = False) -> DataFrame:
@@ -470,17 +542,18 @@ def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text: str =
     marked = rows.join(marks.hint("shuffle_hash"), (F.col("doc_id").cast("bigint") == F.col("__doc")) & (F.col("text_key") == F.col("__key")), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
         for batch in sliced(batches):
-            sizes, gone, kept = [], [], []
-            for value, found in zip(batch.column(1), batch.column(2).to_pylist()):
-                raw = value.as_py().encode()
-                runs = merged(found or [])
-                sizes.append(len(raw))
-                gone.append([{"begin": a, "end": b} for a, b in runs])
-                rest = b"".join(raw[a:b] for a, b in zip([0, *[b for _, b in runs]], [*[a for a, _ in runs], len(raw)]))
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            sizes = np.array([len(t) for t in texts], np.int64)
+            begins, ends, many = merged(batch.column(2), sizes)
+            gone = pa.StructArray.from_arrays([pa.array(begins), pa.array(ends)], ["begin", "end"])
+            gone = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(many))), pa.int32()), gone)
+            begins, ends, kept, at = begins.tolist(), ends.tolist(), [], 0
+            for raw, n in zip(texts, many.tolist()):
+                rest = b"".join([raw[a:b] for a, b in zip([0, *ends[at : at + n]], [*begins[at : at + n], len(raw)])]) if n else raw
+                at += n
                 kept.append(kept_text(rest) if as_text else rest)
-            made = [pa.array(sizes, pa.int64()), pa.array(gone, pairs), pa.array(kept, pa.string() if as_text else pa.binary())]
+            made = [pa.array(sizes), gone, pa.array(kept, pa.string() if as_text else pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made, *([batch.column(3)] if carry else [])], ["doc_id", "n_bytes", "spans", "kept", *["carried"] * bool(carry)])
 
     schema = f"doc_id {kind}, n_bytes bigint, spans array<struct<begin:bigint,end:bigint>>, kept {'string' if as_text else 'binary'}"

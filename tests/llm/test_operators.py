@@ -241,6 +241,48 @@ def test_kept_text_has_whole_characters(spark):
     assert got == {1: ("é" * 40, "en"), 2: ("xy", "de")}
 
 
+def test_anchors_of_many_texts_are_those_of_each():
+    """Found in all texts at once: no string lies across two of them, empty and short ones have none."""
+    rng = random.Random(21)
+    texts = [bytes(rng.choice(b"ab ") for _ in range(n)) for n in (0, 49, 50, 51, 300, 0, 3, 120, 48, 50, 700, 1)] + [b"z" * 90, b"z" * 60, b""]
+    for most in (1, 130, 1 << 16):
+        parts = list(repeats.chunks(texts, most))
+        assert [i for a, b in parts for i in range(a, b)] == list(range(len(texts)))
+        got, hashes = [], []
+        for a, b in parts:
+            raw, h, first, last, owner = repeats.anchors_of(texts[a:b], 50)
+            base = np.cumsum([0, *map(len, texts[a:b])])
+            got += zip((a + owner).tolist(), h.tolist(), (first - base[owner]).tolist(), (last - base[owner]).tolist())
+            hashes += repeats.stretch_hashes(raw, first, last + 50).tolist()
+        each = [repeats.anchors(t, 50) for t in texts]
+        assert got == [(i, *x) for i, found in enumerate(each) for x in zip(*(y.tolist() for y in found))]
+        powers = repeats.powers_to(1000)
+        assert hashes == [x for t, (_, first, last) in zip(texts, each) for x in repeats.stretch_hashes(t, first, last + 50).tolist()] and all((a[:1001] == b).all() for a, b in zip(repeats.kept_powers(), powers))
+
+
+def test_spans_of_many_texts_are_merged_at_once():
+    rng = random.Random(22)
+    spans, sizes = [], []
+    for _ in range(200):
+        size = rng.randrange(0, 90)
+        found = sorted((a, rng.randrange(a + 1, size + 1)) for a in (rng.randrange(size) for _ in range(rng.randrange(4)))) if size else []
+        spans.append([{"begin": a, "end": b} for a, b in found] if rng.random() < 0.9 else None)
+        sizes.append(size)
+    kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+    for column, lengths in ((pa.array(spans, kind), sizes), (pa.array(spans, kind).slice(50, 90), sizes[50:140]), (pa.array([None, []], kind), [0, 5])):
+        begins, ends, many = (x.tolist() for x in repeats.merged(column, np.array(lengths, np.int64)))
+        want = []
+        for found in column.to_pylist():
+            out = []
+            for x in found or []:
+                if out and x["begin"] <= out[-1][1]:
+                    out[-1] = (out[-1][0], max(out[-1][1], x["end"]))
+                else:
+                    out.append((x["begin"], x["end"]))
+            want.append(out)
+        assert list(zip(begins, ends)) == [x for out in want for x in out] and many == [len(out) for out in want]
+
+
 def test_maximal_repeats_have_all_their_occurrences():
     text = b"xabcdeyabcdezabcdq"
     starts = np.arange(len(text))
