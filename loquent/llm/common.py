@@ -56,13 +56,13 @@ def join_small(df: DataFrame, small: DataFrame, on: str, rows: int, how: str = "
     """Joins ``small``, which has ``rows`` rows and each key once, to ``df``, whose keys may be hot.
 
     Up to ``BROADCAST_ROWS`` rows it is broadcast. Beyond that each of its rows is repeated for ``salts`` salts
-    and the rows of ``df`` are dealt over them, so that a hot key is shared by that many tasks.
-    Null keys match null keys.
+    and the rows of ``df`` are dealt over them, so that a hot key is shared by that many tasks; the join is merged, as
+    Spark sizes the repeated rows as if they were there once and would broadcast them. Null keys match null keys.
     """
     if rows <= BROADCAST_ROWS:
         right = F.broadcast(small.withColumnRenamed(on, "__key"))
         return df.join(right, df[on].eqNullSafe(right["__key"]), how).drop("__key")
-    many = small.withColumnRenamed(on, "__key").withColumn("__salt_r", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    many = small.withColumnRenamed(on, "__key").withColumn("__salt_r", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
     left = df.withColumn("__salt", F.pmod(F.xxhash64(*[df[c] for c in df.columns if c != on]), F.lit(salts)).cast("int"))
     cond = left["__salt"].eqNullSafe(many["__salt_r"]) & left[on].eqNullSafe(many["__key"])
     return left.join(many, cond, how).drop("__salt", "__salt_r", "__key")

@@ -200,14 +200,15 @@ def variants(docs: DataFrame, least: int = 7, occurrences: int = 2, times: int =
     Words are near if one inserted, deleted or replaced letter parts them; the form is the near word of largest n, ties
     to the smallest in code-point order, where that is at least ``times`` the word's n. Null texts are empty, a null id
     counts as an empty one, rows that repeat an id count each; texts and words of any length are read whole; other
-    columns don't matter, and an empty table or one without such words gives no rows.
+    columns don't matter, and an empty table or one without such words gives no rows. Tables of words are merged: their
+    files compress so well that Spark would take them for small and broadcast them.
     """
     words = materialize(dictionary(docs, least, occurrences, every, id_col, text))
     rows, scratch = blocks(words, least, most)
     near = materialize(neighbours(rows))
     discard(*scratch)
-    both = words.join(near, "word", "left")
+    both = words.join(near.hint("merge"), "word", "left")
     is_form = -F.col("best.less") >= times * F.col("n")
     named = materialize(both.select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(is_form, F.col("best.near")).alias("form"), F.when(is_form, -F.col("best.less")).alias("form_n")))
     last = roots(named.filter("form is not null"))
-    return named.join(last, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return named.join(last.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from loquent.llm import queries, spelling
+from loquent.llm import common, queries, spelling
 from tests.compare import rows_of
 
 SCHEMA = "doc_id bigint, text string"
@@ -83,6 +83,15 @@ def test_variants_equal_plain_comparison(spark, crowded, most):
     assert root["commonwoyx"] == root["commonworx"] == "commonword"
 
 
+def test_tables_of_words_are_not_broadcast(spark, crowded, monkeypatch):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    plans, written = [], spelling.materialize
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)  # as if all tables had more rows than may be broadcast
+    monkeypatch.setattr(spelling, "materialize", lambda df: plans.append(plan(df)) or written(df))
+    plans.append(plan(same(spark, crowded, most=8)))
+    assert sum("SortMergeJoin" in p for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
+
+
 def test_no_rows_and_clashing_columns(spark):
     same(spark, [])
     same(spark, [(1, "short it is")])
