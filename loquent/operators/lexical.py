@@ -69,7 +69,7 @@ def search(postings: DataFrame, q: str, boosts: dict[str, float], fuzzy: bool =
     """id and score; with ``every``, of those that match each term of the query. ``sizes``, ``book``: stored ones."""
     sizes = field_sizes(postings) if sizes is None else sizes
     found = terms.matches_each(book or dictionary(postings), postings, sizes, _one(postings, q), boosts, fuzzy, prefix)
-    return terms.search_each(found, every, limit).select("id", "score").orderBy(F.desc("score"), "id")
+    return terms.search_each(found, every, limit).orderBy("rank").select("id", "score")
 
 
 def with_snippets(hits: DataFrame, docs: DataFrame, q: str, text: str, key: str = "id") -> DataFrame:

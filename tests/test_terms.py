@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loquent.operators import lexical, terms
+from tests.compare import same_rows
 
 
 def distance(a, b):
@@ -147,3 +148,31 @@ def test_reranking_broadcasts_its_pool_and_shuffles_no_documents(spark, sf):
         assert "SortMergeJoin" not in plan_of(QUERIES["rerank_documents"](spark, sf))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_reranking_places_equal_scores_by_id(spark, tmp_path, monkeypatch):
+    """The parts of a score are added in another order for the second document, which ends in another last place."""
+    from loquent.plans.queries import QUERIES
+
+    docs = spark.createDataFrame([(i, "heth ofth", "a") for i in (1, 2, 3)], "doc_id bigint, text string, source string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    parts = [(0, i, a, 2, s) for i, order in ((1, (0.3, 0.2, 0.1)), (2, (0.1, 0.2, 0.3)), (3, (0.3, 0.2, 0.1))) for a, s in zip(("heth", "ofth", "ofth"), order)]
+    found = spark.createDataFrame(parts, "query_id bigint, id bigint, asked string, terms int, score double").coalesce(1)
+    sums = {r.id: r.s for r in found.groupBy("id").agg(F.sum("score").alias("s")).collect()}
+    assert sums[1] < sums[2]
+    monkeypatch.setattr(terms, "matches_each", lambda *args: found)
+    assert [r.id for r in lexical.search(found, "heth ofth", {}, sizes=found, book=found).collect()] == [1, 2, 3]
+    assert [r.id for r in QUERIES["rerank_documents"](spark, str(tmp_path)).orderBy("rank").collect()] == [1, 2, 3]
+
+
+def test_reranking_splits_words_as_its_sql(spark, tmp_path):
+    import duckdb
+
+    from loquent.plans.queries import QUERIES, SQL
+
+    gaps = [" ", "\u00a0", "\x0b", "\x1c", "\u3000", "\u0085", "\r\n", "\f\t"]
+    docs = spark.createDataFrame([(i, f"heth{gap}ofth" + " more" * i, "a") for i, gap in enumerate(gaps)], "doc_id bigint, text string, source string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    same_rows(QUERIES["rerank_documents"](spark, str(tmp_path)), con, SQL["rerank_documents"])
